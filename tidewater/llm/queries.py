@@ -36,6 +36,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.ngram_join import ngram_components
+
+    return ngram_components(load(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.chat import format_conversations, read_back
 
@@ -47,6 +53,20 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.toxicity import fit, score
+
+    docs = load(spark, sf_dir, "documents")
+    return score(docs, fit(docs, load(spark, sf_dir, "labels")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.language_id import fit, identify
+
+    docs = load(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.exact_dedup import exact_dedup
 
@@ -56,7 +76,10 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_chat": op5_chat,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_block_naming": op10_block_naming,
 }
 
