@@ -246,11 +246,12 @@ def _possible(x: str, y: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of distinct node pairs, by the sizes of the sets and of their intersection."""
+    """(a, b, shared, linked) of distinct node pairs, by the sizes of the sets and of their intersection."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
     both = F.size(F.array_intersect("at", "bt"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", (9 * both >= 4 * (F.col("an") + F.col("bn"))).alias("linked"))
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("shared"), (F.col("an") + F.col("bn")).alias("sizes"))
+    return met.select("a", "b", "shared", (9 * F.col("shared") >= 4 * F.col("sizes")).alias("linked"))
 
 
 def links(docs: DataFrame, group: DataFrame, total: int, text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -276,22 +277,34 @@ def links(docs: DataFrame, group: DataFrame, total: int, text_col: str = "text",
     )
     pivots = pivots.where("k > 1").select("entry", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.m").alias("pm"))
     rows = materialise(rows.join(pivots, "entry"), "entries")
+    rows = rows.where(F.col("node") != F.col("pnode"))
     ends = [F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")]
-    stars = rows.where(F.col("node") != F.col("pnode")).where(_possible("", "p")).select(*ends).distinct()
+    stars = rows.where(_possible("", "p")).select(*ends).distinct()
     first = materialise(_verified(stars, sets), "stars")
     linked = first.where("linked").select("a", "b")
+
     label = components(linked)
     rows = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     pivot_label = label.select(F.col("node").alias("pnode"), F.col("component").alias("pcomponent"))
     rows = rows.join(pivot_label, "pnode", "left").withColumn("pcomponent", F.coalesce("pcomponent", "pnode"))
-    spread = rows.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rows = materialise(rows.join(spread.select("entry"), "entry", "left_semi"), "open-entries")
-    # of two components in an entry at most one is the pivot's
-    x = rows.where("component != pcomponent").select("entry", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "m", "index", "component")))
-    y = rows.select("entry", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "m", "index", "component")))
+    spread = rows.groupBy("entry").agg(F.count_if(F.col("component") != F.col("pcomponent")).alias("apart"), F.count("*").alias("k"))
+    # two sets besides the most typical one can only be apart where one of them is apart from it
+    spread = spread.where("apart > 0 and k > 1").select("entry")
+    rows = materialise(rows.join(spread, "entry", "left_semi"), "open-entries")
+    # what each set shares with the typical set p bounds what two of them share:
+    # |x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|), tokens of a single set left out
+    unknown = rows.select(*ends).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    met = materialise(first.unionByName(_verified(unknown, sets)).select("a", "b", "shared"), "shared")
+    rows = rows.select("*", *ends).join(met, ["a", "b"]).withColumnRenamed("shared", "i")
+    rows = materialise(rows.select("entry", "node", "n", "m", "i", "index", "component", "pcomponent"), "bounded")
+    # of two components in an entry at most one is the typical set's
+    x = rows.where("component != pcomponent").select("entry", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "m", "i", "index", "component")))
+    y = rows.select("entry", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "m", "i", "index", "component")))
     smaller_indexed = (F.col("x_index") & (F.col("x_n") <= F.col("y_n"))) | (F.col("y_index") & (F.col("y_n") <= F.col("x_n")))
-    rest = x.join(y, "entry").where(F.col("x_component") != F.col("y_component")).where(smaller_indexed)
-    rest = rest.where(_possible("x_", "y_")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    most = F.least("x_i", "y_i") + F.least(F.col("x_m") - F.col("x_i"), F.col("y_m") - F.col("y_i"))
+    near = (9 * most >= 4 * (F.col("x_n") + F.col("y_n"))) & (F.col("x_component") != F.col("y_component"))
+    rest = x.join(y, (x.entry == y.entry) & smaller_indexed & near & _possible("x_", "y_"))
+    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     rest = rest.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialise(_verified(rest, sets), "rest")
     return linked.unionByName(second.where("linked").select("a", "b"))
