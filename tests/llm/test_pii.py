@@ -1,0 +1,62 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tidewater.llm import pii
+
+ROWS = [
+    "mail Ab.34@mail7.example.com and ab.34@MAIL7.example.com, not x.y@other.example.com",
+    "call +1 (017) 555-7713 or +1 (017) 555 7713 or 017-555-7713",
+    "card 4845168114407329 or 4845 1681 1440 7329",
+    "ip 97.51.17.173. and 97.51.17.173!",
+    'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" ok',
+    "Mr. John Smith met Mrs Mary Jones and Herr Иван Петров. ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00",
+    None,
+    "",
+    "Version 2.0 of 2024-01-01, 1,234,567 pieces; room 12",
+    "again: ab.34@mail7.example.com 97.51.17.173",
+]
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(reversed(d))) % 10
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame([(i, t, "x", [1]) for i, t in enumerate(ROWS)], "doc_id long, text string, kind string, e array<int>")
+    out = pii.replace(df)
+    assert out.columns == [*df.columns, "n_entities"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].n_entities for i in range(10)] == [3, 3, 2, 2, 1, 5, 0, 0, 0, 2]
+    text = {i: r.text for i, r in got.items()}
+    assert text[6] is None and text[7] == "" and text[8] == ROWS[8] and got[0].kind == "x"
+    for i, t in enumerate(ROWS):
+        for e in re.findall(r"\S*\d{2,}\S*|Smith|Jones|John|Mary|Иван|Петров", t or ""):
+            assert i == 8 or e not in text[i]
+    a, b, c = re.findall(r"[\w.]+@[\w.]+[a-z]", text[0])
+    assert a == b != c and re.fullmatch(r"[a-z]{2}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", a) and a in text[9]
+    phones = re.findall(r"\+?[\d() -]{12,}\d", text[1])
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) and phones[0].startswith("+1 (")
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"\d[\d ]{14,}\d", text[2])]
+    assert cards[0] == cards[1] and luhn(cards[0]) == luhn("4845168114407329")
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", text[3])
+    assert ips[0] == ips[1] and ips[0] in text[9] and all(0 < int(x) < 255 for x in ips[0].split("."))
+    assert re.search(r'"[0-9a-f]{40}"', text[4])
+    m = re.search(r"Mr\. (\w+) \w+ met Mrs (\w+) \w+ and Herr (\w+) (\w+)\. ssn \d{3}-\d\d-\d{4} iban DE\d\d( \d{4}){4} \d\d", text[5])
+    assert m[1] in pii.GIVEN_M and m[2] in pii.GIVEN_F and re.fullmatch("[А-Я][а-я]+", m[4])
+    assert pii.replace(df.limit(0)).count() == 0
+
+
+def test_other_key_other_surrogates(spark):
+    df = spark.createDataFrame([(0, ROWS[3])], "doc_id long, text string")
+    assert pii.replace(df, key="a").first().text != pii.replace(df, key="b").first().text
+
+
+def test_colliding_entities_get_surrogates_of_their_own(spark):
+    # two-character users at one domain: 36 * 26 pairs of many collide at the first attempt
+    users = [f"{a}{b}" for a in "abcdefghijkl" for b in "mnopqrstuvwx"]
+    df = spark.createDataFrame([(i, f"to {u}@d.io!") for i, u in enumerate(users)], "doc_id long, text string")
+    assert pii.exceptions(df).count() > 0
+    seen = [r.s for r in pii.replace(df).select(F.regexp_extract("text", r"(\S+@\S+)!", 1).alias("s")).collect()]
+    assert len(set(seen)) == len(users)
+    assert not set(seen) & {f"{u}@d.io" for u in users}

@@ -36,6 +36,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.ann import nearest
+
+    return nearest(load(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.ngram_join import ngram_components
 
@@ -53,6 +59,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.pii import replace
+
+    return replace(load(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.toxicity import fit, score
 
@@ -76,8 +88,10 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ann": op3_ann,
     "op4_ngram_join": op4_ngram_join,
     "op5_chat": op5_chat,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_block_naming": op10_block_naming,
