@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, MAX_WORDS = 3000, 6000, 150_000
+MAX_TOXIC, MAX_ORDINARY, MAX_WORDS = 3000, 6000, 100_000
 MAX_CONTEXT, SHARED_CONTEXT = 6, 1
 EPSILON = 0.02
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 MAX_WORD_CHARS = 64  # longer runs of letters are read in pieces of this size
 _START, _END = 1, 2
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % MAX_WORD_CHARS)
@@ -110,10 +110,16 @@ class Model:
             return np.zeros(0)
         word, _, grams, contexts = _grams(words)
         p = np.full((len(word), 2), 1.0 / self.alphabet)
+        at = np.arange(len(word))
         for k in range(MAX_CONTEXT + 1):
-            left = self.contexts[k][contexts[k]]
+            left = self.contexts[k][contexts[k][at]]
             seen = left > 0
-            p = np.where(seen, self.grams[k][grams[k]] + left * p, p)
+            # a context that neither class has seen is not seen with more characters either
+            some = seen.any(1)
+            at, left, seen = at[some], left[some], seen[some]
+            if not len(at):
+                break
+            p[at] = np.where(seen, self.grams[k][grams[k][at]] + left * p[at], p[at])
         ratio = np.bincount(word, np.log(p[:, 1] / p[:, 0]), len(words))
         return np.log(1 - EPSILON + EPSILON * np.exp(np.minimum(ratio, 30)))
 
