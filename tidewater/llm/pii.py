@@ -27,19 +27,20 @@ MAX_ATTEMPTS = 64
 TITLES_M = "Mr|Herr|Monsieur|Señor|Don"
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Doña"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key"
 PATTERNS = {
-    "email": r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)[\w-]{12,}"
-    r"|(?<=(?:token|secret|password|passwd|api_key|apikey|access_key) ?[=:] ?[\"']?)[\w+/=.-]{8,}"
-    r"|(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}])"
-    r"|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}])"
-    r"|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?",
+    "email": r"[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
+    "named_secret": rf"(?:{SECRET_WORDS}) ?[=:] ?[\"']?[\w+/=.-]{{8,}}",
+    "key": r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)[\w-]{12,}",
+    "hexadecimal": r"(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ipv4": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "card": r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}])"
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}])"
+    r"|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
+    "person": rf"(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?",
 }
 GIVEN_M = ["James", "Peter", "Louis", "Carlos", "Martin", "Paul", "Oscar", "Hugo", "Felix", "David", "Simon", "Victor"]
 GIVEN_F = ["Maria", "Anna", "Julia", "Clara", "Laura", "Helena", "Sofia", "Emma", "Alice", "Nora", "Irene", "Lucia"]
@@ -56,12 +57,17 @@ ALPHABETS = [
 ]
 # end of fixed values
 
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# every entity starts where no word goes on; most places of a text fail at this first test
+ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
+# no entity is without one of these; a text that has none is not searched further
+HINT = "[0-9@]"
+WORD_HINT = rf"(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}}|(?:{SECRET_WORDS}) ?[=:]|(?:ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
 
 
 def kind_of(entity: Column) -> Column:
     """Type of a string that the combined pattern has matched."""
     shapes = {
+        "secret": rf"^(?:{SECRET_WORDS}) ?[=:]",
         "email": "^[^@ ]+@[^@ ]+$",
         "person": rf"^(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?$",
         "ipv4": r"^\d{1,3}(\.\d{1,3}){3}$",
@@ -76,6 +82,11 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+def _named(entity: Column) -> Column:
+    """What stands before the value of a named secret, such as `token = "`; empty for other entities."""
+    return F.regexp_extract(entity, rf"^((?:{SECRET_WORDS}) ?[=:] ?[\"']?)", 1)
+
+
 def normal_form(entity: Column, kind: Column) -> Column:
     """What makes two mentions one entity."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
@@ -84,7 +95,7 @@ def normal_form(entity: Column, kind: Column) -> Column:
         .when(kind == "email", F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "person", F.regexp_replace(entity, r"\.", ""))
-        .otherwise(entity)
+        .otherwise(F.substring(entity, F.length(_named(entity)) + 1, F.length(entity)))
     )
 
 
@@ -169,10 +180,10 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
     given = F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), given).otherwise(_recoded(first, _digest(key, "given", attempt, first)))
     person = F.concat_ws(" ", title, F.when(first != "", given), _recoded(last, _digest(key, "family", attempt, last)))
 
-    prefix = F.regexp_extract(entity, r"^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)", 1)
+    prefix = F.regexp_extract(normal, r"^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)", 1)
     rest = F.substring(normal, F.length(prefix) + 1, F.length(normal))
     hexes = [("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF")]
-    secret = F.concat(prefix, F.when(rest.rlike("^[0-9a-fA-F]+$"), _recoded(rest, digest, hexes)).otherwise(_recoded(rest, digest)))
+    secret = F.concat(_named(entity), prefix, F.when(rest.rlike("^[0-9a-fA-F]+$"), _recoded(rest, digest, hexes)).otherwise(_recoded(rest, digest)))
     return (
         F.when(kind == "email", email)
         .when(kind == "person", person)
@@ -186,7 +197,9 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
 
 
 def found_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """All entities of a text in order; none, as an empty array, where no hint of one stands."""
+    hinted = text.rlike(HINT) | text.rlike(WORD_HINT)
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
