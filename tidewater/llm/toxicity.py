@@ -19,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, MAX_WORDS = 3000, 6000, 100_000
+MAX_TOXIC, MAX_ORDINARY, MAX_WORDS = 3000, 6000, 80_000
 MAX_CONTEXT, SHARED_CONTEXT = 6, 1
 EPSILON = 0.02
 CACHED_WORDS = 800_000
@@ -69,30 +68,40 @@ class Table:
         return self.rows[place]
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Word number and place of each predicted character; by context size, hashes of gram and context.
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character codes of the words with their start and end marks, word number and place of each."""
+    joined = "".join(f"{chr(_START)}{w}{chr(_END)}" for w in words)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(w) + 2 for w in words])
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    place = np.arange(len(code), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+    return code.astype(np.uint64), word, place
+
+
+def _layers(code: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By context size, hashes of gram and context of each predicted character.
 
     A gram of context size k is only defined where the word, with its start mark, has k
     characters before the predicted one; elsewhere its hash is 0.
     """
-    joined = "".join(f"{chr(_START)}{w}{chr(_END)}" for w in words)
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in words])
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grams, contexts = [], []
+    keep = place >= 1
     context = np.zeros(len(code), np.uint64)
     for k in range(MAX_CONTEXT + 1):
         if k:
-            back = np.concatenate([np.zeros(k, np.uint64), code[:-k]]) if len(code) > k else np.zeros(len(code), np.uint64)
+            back = np.zeros(len(code), np.uint64)
+            back[k:] = code[:-k]
             context = (context ^ (back + np.uint64(k << 32))) * np.uint64(0x100000001B3) + (back << np.uint64(7)) + np.uint64(1)
         gram = (context * np.uint64(31) + code + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         gram ^= gram >> np.uint64(29)
         ok = place >= max(k, 1)
-        grams.append(np.where(ok, gram | np.uint64(1), 0).astype(np.uint64))
-        contexts.append(np.where(ok, context | np.uint64(1), 0).astype(np.uint64))
-    keep = place >= 1
-    return word[keep], place[keep], [g[keep] for g in grams], [c[keep] for c in contexts]
+        yield np.where(ok, gram | np.uint64(1), np.uint64(0))[keep], np.where(ok, context | np.uint64(1), np.uint64(0))[keep]
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Word number and place of each predicted character; by context size, hashes of gram and context."""
+    code, word, place = _places(words)
+    grams, contexts = zip(*_layers(code, place), strict=True)
+    return word[place >= 1], place[place >= 1], list(grams), list(contexts)
 
 
 @dataclass
@@ -126,33 +135,34 @@ class Model:
 
 def fit_counts(words: list[str], counts: np.ndarray) -> Model:
     """Interpolated Kneser-Ney from words and their counts, one column per class (ordinary, toxic)."""
-    word, place, grams, contexts = _grams(words)
+    code, word, place = _places(words)
+    layers = _layers(code, place)
+    word, place = word[place >= 1], place[place >= 1]
     tables: tuple[list[Table], list[Table]] = ([], [])
+    gram, context = next(layers)
     for k in range(MAX_CONTEXT + 1):
-        ok = grams[k] != 0
+        wider, wider_context = next(layers, (None, None))
         # a gram without a longer one to its left has its own count, any other the number of
         # different characters before it
-        own = ok & ((place == k) | (k == MAX_CONTEXT))
-        parts = [pd.DataFrame({"g": grams[k][own], "h": contexts[k][own], "o": counts[word[own], 0], "t": counts[word[own], 1]})]
-        if k < MAX_CONTEXT:
-            more = ok & (grams[k + 1] != 0) & (place > k)
-            wider = pd.DataFrame({"g": grams[k][more], "h": contexts[k][more], "w": grams[k + 1][more], "o": counts[word[more], 0], "t": counts[word[more], 1]})
-            wider = wider.groupby(["g", "h", "w"], sort=False)[["o", "t"]].sum().reset_index()
-            wider[["o", "t"]] = (wider[["o", "t"]] > 0).astype(float)
-            parts.append(wider[["g", "h", "o", "t"]])
-        c = pd.concat(parts).groupby(["g", "h"], sort=False)[["o", "t"]].sum().reset_index()
+        own = np.flatnonzero((gram != 0) & ((place == k) | (k == MAX_CONTEXT)))
+        at, mass = own, counts[word[own]]
+        if wider is not None:
+            more = np.flatnonzero(wider)
+            _, first, inverse = np.unique(wider[more], return_index=True, return_inverse=True)
+            seen = np.column_stack([np.bincount(inverse, counts[word[more], j]) > 0 for j in (0, 1)])
+            at, mass = np.concatenate([own, more[first]]), np.concatenate([mass, seen])
+        names, first, inverse = np.unique(gram[at], return_index=True, return_inverse=True)
+        n = np.column_stack([np.bincount(inverse, mass[:, j], len(names)) for j in (0, 1)])
         if k <= SHARED_CONTEXT:
-            c["o"] = c["t"] = c["o"] + c["t"]
-        n = c[["o", "t"]].to_numpy(float)
+            n[:] = n.sum(1, keepdims=True)
         ones, twos = (n == 1).sum(0), (n == 2).sum(0)
         discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
-        of = c.groupby("h")[["o", "t"]].transform("sum").to_numpy(float)
-        a = np.where(n > 0, np.maximum(n - discount, 0) / np.maximum(of, 1), 0)
-        kinds = c.assign(o=n[:, 0] > 0, t=n[:, 1] > 0).groupby("h")[["o", "t"]].sum()
-        total = c.groupby("h")[["o", "t"]].sum().loc[kinds.index].to_numpy(float)
-        left = np.where(total > 0, discount * kinds.to_numpy(float) / np.maximum(total, 1), 0)
-        tables[0].append(Table(c["g"].to_numpy(np.uint64), a))
-        tables[1].append(Table(kinds.index.to_numpy(np.uint64), left))
+        before, group = np.unique(context[at][first], return_inverse=True)
+        total = np.column_stack([np.bincount(group, n[:, j], len(before)) for j in (0, 1)])
+        kinds = np.column_stack([np.bincount(group, n[:, j] > 0, len(before)) for j in (0, 1)])
+        tables[0].append(Table(names, np.maximum(n - discount, 0) / np.maximum(total[group], 1)))
+        tables[1].append(Table(before, discount * kinds / np.maximum(total, 1)))
+        gram, context = wider, wider_context
     return Model(*tables, alphabet=max(2, len(set("".join(words))) + 1))
 
 
@@ -264,11 +274,12 @@ def fit(
         .agg(F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") == 1).alias("t"))
         .orderBy(F.desc(F.col("o") + F.col("t")), "w")
         .limit(max_words)
-        .toPandas()
+        .toArrow()
     )
-    if counted.empty:
+    if not counted.num_rows:
         return fit_counts(["a"], np.ones((1, 2)))
-    model = fit_counts(counted["w"].tolist(), counted[["o", "t"]].to_numpy(float))
+    counts = np.column_stack([counted.column(c).to_numpy().astype(np.float64) for c in ("o", "t")])
+    model = fit_counts(counted.column("w").to_pylist(), counts)
     seen = (
         evidence(texts.where("part = 1").select(F.col("toxic").alias("doc_id"), "text"), model)
         .toPandas()
