@@ -87,12 +87,12 @@ def expected_shortfall(events: DataFrame, keys: Sequence[str], tail: float = 0.0
     Counts per distinct value find the cut, so no group is sorted in one task beyond its values.
     """
     keys = list(keys)
-    size = events.groupBy(*keys).agg(F.greatest(F.ceil(count() * tail), F.lit(1)).alias("k"))
-    each = events.groupBy(*keys, "net").agg(count().alias("c"))
+    size = events.groupBy(*keys).agg(F.greatest(F.ceil(count() * tail), F.lit(1)).alias("_k"))
+    each = events.groupBy(*keys, "net").agg(count().alias("_c"))
     w = Window.partitionBy(*keys).orderBy("net")
-    run = each.withColumn("upto", F.sum("c").over(w)).join(size, keys)
-    took = F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - (F.col("upto") - F.col("c"))))
-    return run.groupBy(*keys).agg((F.sum(took * F.col("net")) / F.first("k")).alias("expected_shortfall"))
+    run = each.withColumn("_upto", F.sum("_c").over(w)).join(size, keys)
+    took = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_k") - (F.col("_upto") - F.col("_c"))))
+    return run.groupBy(*keys).agg((F.sum(took * F.col("net")) / F.first("_k")).alias("expected_shortfall"))
 
 
 def auc(events: DataFrame, score: str, label: str, keys: Sequence[str]) -> DataFrame:
