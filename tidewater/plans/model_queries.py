@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.columns import HOUR
 from tidewater.functions.columns import rounded as r
 from tidewater.operators import fracdiff as D
+from tidewater.operators import indicators as I
 from tidewater.operators import metrics as M
 from tidewater.operators import models as L
 from tidewater.operators import regime as G
@@ -101,3 +102,6 @@ def stop_ticks(s, d):
 
 
 add("stop_management", lambda s, d: S.manage_stops(stop_ticks(s, d)).select("position_id", F.unix_micros("ts").alias("us"), "event", *rr("price", "stop")))
+add("screener_indicators", lambda s, d: I.indicators(V.bars(s, d)).select("symbol", "open_us", *rr(*I.NAMES)))
+add("screener_top", lambda s, d: I.screened(V.bars(s, d), 3, 100).select("symbol", "bars", *rr("relative_volume", "rsi14")))
+add("granger_volume_to_return", lambda s, d: I.granger(base_features(V.bars(s, d)).drop("pos"), "volume_change", "log_return").select("symbol", "lag", "n", *rr("f", "p_value")))
