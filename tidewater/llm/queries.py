@@ -97,7 +97,39 @@ QUERIES = {
     "op10_block_naming": op10_block_naming,
 }
 
+_CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]")
+
+
+def _escaped_length(column: str) -> str:
+    """SQL for the length of a text with its backslashes doubled and one more in every control string."""
+    parts = [f"2 * length({column}) - length(replace({column}, '\\', ''))"]
+    parts += [f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in _CONTROL]
+    return "(" + " + ".join(parts) + ")"
+
+
 ORACLES = {
+    "op4_ngram_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+          g as (select doc_id, unnest(list_distinct(case when len(ws) >= 5
+            then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+            when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as g from w),
+          n as (select doc_id, count(*) as n from g group by 1),
+          p as (select a.doc_id as a, b.doc_id as b, count(*) as k from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+          l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+          e as (select a, b from l union all select b, a from l),
+          r as (select doc_id, doc_id as c from documents union select r.doc_id, e.b from r join e on e.a = r.c)
+        select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.c) as component_id from r left join n using (doc_id) group by 1
+    """,
+    "op5_chat": f"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+          cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+          sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+          cast(sum({12 + 10 + 2} + {_escaped_length("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped_length("text")}) as bigint) as formatted_chars
+        from t group by 1
+    """,
     "op10_block_naming": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
           doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256

@@ -1,41 +1,6 @@
-"""Reading inputs and cutting lineage through the cluster's shared checkpoint folder."""
+"""Reading inputs and writing intermediate tables, as in the rest of the library."""
 
-from __future__ import annotations
+from tidewater.sources.store import materialise, shared_dir
+from tidewater.sources.views import table as load
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    The session's own setting wins. Only a local session without one (tests) gets a
-    temporary folder, because there the driver is the only executor.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as a table in the shared folder and read it back.
-
-    Later stages start from files instead of from the plan, so a lost executor costs the
-    tasks it was running and nothing upstream of the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["load", "materialise", "shared_dir"]
