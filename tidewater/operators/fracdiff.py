@@ -22,30 +22,40 @@ def weights(d: float, threshold: float, most: int = 100_000) -> np.ndarray:
     return np.array(w)
 
 
-def fractional_difference(df: DataFrame, x: str, d: float, threshold: float, name: str, rows: int = ROWS) -> DataFrame:
-    """Add `name`: the difference of order d over the non-null values of `x`, NULL before the width is full.
+def _convolved(df: DataFrame, x: str, kernels: dict[float, np.ndarray], rows: int) -> DataFrame:
+    """symbol, open_us, _k, d, fd, base: the differences of all orders in `kernels`, each from its full width on.
 
-    Non-null values get ordinals of their own and are dealt into chunks that carry a halo as wide
-    as the kernel; each chunk is one convolution.
+    Non-null values get ordinals `_k` of their own and are dealt into chunks that carry a halo as
+    wide as the widest kernel; each chunk is one convolution for each kernel.
     """
-    w = weights(d, threshold)
-    width = len(w)
+    widest = max(len(w) for w in kernels.values())
     present = ordinal(df.where(F.col(x).isNotNull()).select(*KEYS, *ORDER, x), KEYS, ORDER, "_k")
-    lo, hi = F.floor(F.col("_k") / rows), F.floor((F.col("_k") + width - 1) / rows)
+    lo, hi = F.floor(F.col("_k") / rows), F.floor((F.col("_k") + widest - 1) / rows)
     spread = present.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
 
     def convolve(table: pa.Table) -> pa.Table:
         table = table.sort_by("_k")
         v = table.column(x).to_numpy()
         k, chunk = table.column("_k").to_numpy(), table.column("_chunk")[0].as_py() if len(v) else 0
-        out = np.convolve(v, w)[: len(v)] if len(v) else v
-        own = (k >= chunk * rows) & (np.arange(len(v)) >= min(width - 1, len(v)))
-        keep = np.flatnonzero(own)
-        return table.select([*KEYS, *ORDER]).take(pa.array(keep)).append_column(name, pa.array(out[keep], pa.float64()))
-
-    schema = f"symbol {dict(df.dtypes)['symbol']}, open_us long, {name} double"
-    got = spread.groupBy(*KEYS, "_chunk").applyInArrow(convolve, schema)
-    return df.join(got, [*KEYS, *ORDER], "left")
+        own = (k >= chunk * rows) & (k < (chunk + 1) * rows)
+        got = []
+        for d, w in kernels.items():
+            out = np.convolve(v, w)[: len(v)] if len(v) else v
+            keep = np.flatnonzero(own & (np.arange(len(v)) >= len(w) - 1))
+            part = table.select([*KEYS, *ORDER, "_k"]).take(pa.array(keep, pa.int64()))
+            part = part.append_column("d", pa.array(np.full(len(keep), d), pa.float64()))
+            part = part.append_column("fd", pa.array(out[keep], pa.float64()))
+            got.append(part.append_column("base", pa.array(v[keep], pa.float64())))
+        return pa.concat_tables(got)
+
+    schema = f"symbol {dict(df.dtypes)['symbol']}, open_us long, _k long, d double, fd double, base double"
+    return spread.groupBy(*KEYS, "_chunk").applyInArrow(convolve, schema)
+
+
+def fractional_difference(df: DataFrame, x: str, d: float, threshold: float, name: str, rows: int = ROWS) -> DataFrame:
+    """Add `name`: the difference of order d over the non-null values of `x`, NULL before the width is full."""
+    got = _convolved(df, x, {d: weights(d, threshold)}, rows)
+    return df.join(got.select(*KEYS, *ORDER, F.col("fd").alias(name)), [*KEYS, *ORDER], "left")
 
 
 def fractional_features(bars: DataFrame, d: float = 0.45, threshold: float = 1e-3) -> DataFrame:

@@ -11,6 +11,7 @@ from tidewater.operators import indicators as I
 from tidewater.operators import metrics as M
 from tidewater.operators import models as L
 from tidewater.operators import regime as G
+from tidewater.operators import stationarity as T
 from tidewater.operators.features import base_features
 from tidewater.plans.sqlviews import over
 from tidewater.sources import views as V
@@ -40,6 +41,7 @@ add(
       select x.symbol, x.open_us, round(fd, 6) + 0e0 as fd from x left join s using (symbol, open_us)"""),
 )
 add("fractional_features", lambda s, d: D.fractional_features(V.bars(s, d)).select("symbol", "open_us", *rr("fd_close", "fd_volume", "fd_range", "fd_return", "fd_vol", "fd_trend")))
+add("fractional_order_selection", lambda s, d: T.order_selection(V.bars(s, d).withColumn("x", F.ln("close")), "x", threshold=1e-2).select("symbol", "selected_d", *rr("p_value", "correlation"), "reason"))
 
 
 def regimes(s, d):
