@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.series import ordinal
+from tidewater.operators.series import SPAN, asof_join, ordinal, rolling
 
 NAMES = ("bear", "neutral", "bull")
 
@@ -92,3 +92,35 @@ def regime_summary(regimes: DataFrame) -> DataFrame:
     total = regimes.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
     each = regimes.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
     return each.join(total, "symbol").withColumn("share", F.col("n") / F.col("_n")).drop("_n")
+
+
+def confirm_switches(df: DataFrame, key: str, ts: str, state: str, confirm: int = 2, span: int = SPAN) -> DataFrame:
+    """Add accepted, previous, changed and age_bars: a new state counts once it came `confirm` times in a row.
+
+    The first row of a key is accepted at once. The accepted state is thus that of the last row
+    whose state equals those of the `confirm` - 1 rows before it, an as-of lookup; so is the age.
+    Times must be distinct within a key; `state` must not be NULL.
+    """
+
+    def settled(w) -> dict:
+        same = F.lit(True)
+        for i in range(1, confirm):
+            same &= F.coalesce(F.lag(state, i).over(w) == F.col(state), F.lit(False))
+        return {"_settled": same | (F.col("pos") == 0)}
+
+    marked = rolling(df, [key], [ts], confirm, settled, span=span)
+    anchors = marked.where("_settled").select(key, F.col(ts).alias("at"), F.col(state).alias("state"))
+    held = asof_join(marked.drop("_settled", "pos"), anchors, [key], ts, "at", prefix="_held_", span=span)
+    held = held.withColumnRenamed("_held_state", "accepted").drop("_held_at")
+    held = rolling(held, [key], [ts], 1, lambda w: {"previous": F.lag("accepted").over(w)}, span=span)
+    held = held.withColumn("changed", F.coalesce(F.col("previous") != F.col("accepted"), F.lit(False)))
+    starts = held.where("changed or previous is null").select(key, F.col(ts).alias("at"), F.col("pos").alias("start"))
+    aged = asof_join(held, starts, [key], ts, "at", prefix="_since_", span=span)
+    return aged.withColumn("age_bars", F.col("pos") - F.col("_since_start") + 1).drop("pos", "_since_at", "_since_start")
+
+
+def anchored(regimes: DataFrame, confirm: int = 2) -> DataFrame:
+    """Regimes with confirmed switches and the margin of the proposed over the previously accepted one."""
+    chance = lambda c: F.coalesce(*(F.when(F.col(c) == n, F.col(n)) for n in NAMES), F.lit(0.0))
+    out = confirm_switches(regimes, "symbol", "open_us", "regime", confirm)
+    return out.withColumn("switch_margin", chance("regime") - chance("previous"))

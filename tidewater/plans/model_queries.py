@@ -51,6 +51,25 @@ def regimes(s, d):
 
 add("walk_forward_regimes", lambda s, d: regimes(s, d).select("symbol", "open_us", *rr("bear", "neutral", "bull", "margin", "entropy"), "regime", "policy"))
 add("regime_summary", lambda s, d: G.regime_summary(regimes(s, d)).select("symbol", "regime", "n", *rr("mean_confidence", "share")))
+add("anchored_regimes", lambda s, d: G.anchored(materialise(regimes(s, d), "regimes")).select("symbol", "open_us", "accepted", "previous", "changed", "age_bars", *rr("switch_margin")))
+
+
+def proposals(s, d):
+    state = F.when(F.col("close") > F.col("open") * 1.2, "bull").when(F.col("close") < F.col("open") * 0.8, "bear").otherwise("neutral")
+    return materialise(V.bars(s, d).select("symbol", "open_us", state.alias("state")), "proposals")
+
+
+add(
+    "confirmed_switches",
+    lambda s, d: G.confirm_switches(proposals(s, d), "symbol", "open_us", "state").select("symbol", "open_us", "state", "accepted", "previous", "changed", "age_bars"),
+    over("bars", """, p as (select symbol, open_us, case when close > open * 1.2e0 then 'bull' when close < open * 0.8e0 then 'bear' else 'neutral' end as state,
+        row_number() over (partition by symbol order by open_us) as k from bars),
+      f as (select *, case when k = 1 or state = lag(state) over (partition by symbol order by k) then state end as sure from p),
+      a as (select *, last_value(sure ignore nulls) over (partition by symbol order by k rows between unbounded preceding and current row) as accepted from f),
+      c as (select *, lag(accepted) over (partition by symbol order by k) as previous from a),
+      g as (select *, max(case when previous is null or previous <> accepted then k end) over (partition by symbol order by k rows between unbounded preceding and current row) as start from c)
+      select symbol, open_us, state, accepted, previous, coalesce(previous <> accepted, false) as changed, k - start + 1 as age_bars from g"""),
+)
 
 
 def events(s, d):
