@@ -67,3 +67,32 @@ def test_table_finds_what_it_holds():
     table = T.Table(keys, np.arange(len(keys), dtype=float)[:, None])
     assert np.array_equal(table[keys][:, 0], np.arange(len(keys), dtype=np.float32))
     assert not table[keys + np.uint64(1)][~np.isin(keys + np.uint64(1), keys)].any()
+
+
+def test_spark_counts_grams_as_the_driver_does(spark):
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abcö"), rng.integers(1, 12))) for _ in range(3000)})
+    counts = rng.integers(0, 4, (len(words), 2)) + np.array([[1, 0]])
+    rows = [(w, int(o), int(t)) for w, (o, t) in zip(words, counts, strict=True)]
+    df = spark.createDataFrame(rows, "w string, o long, t long").repartition(3)
+    one, other = T.fit_words(df), T.fit_counts(words, counts.astype(float))
+    probe = words + ["cab" * 9, "zebra"]
+    assert one.alphabet == other.alphabet
+    assert np.allclose(one.word_evidence(probe), other.word_evidence(probe), atol=1e-6)
+    assert T.fit_words(df.limit(0)) is None
+
+
+def test_rare_words_count_however_many_there_are(spark):
+    code = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(4))
+    docs, labels = [], []
+    for i in range(200):
+        words = [f"a{code(i * 700 + j)}" for j in range(700)]
+        if i % 2:
+            words.append(f"zzq{code(i)}")  # a toxic stem whose every word stands once
+        docs.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = T.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    _, place, _, contexts = T._grams(["zzqaaaa"])
+    after_stem = model.contexts[4][contexts[4][place == 4]][0]  # with the start mark: no ordinary word begins so
+    assert after_stem[1] > 0 and after_stem[0] == 0

@@ -8,8 +8,9 @@ model; the evidence of a word is log(1 - e + e * P_toxic / P_ordinary). The text
 divided by its number of words, and its undivided sum go into a logistic score.
 
 Training uses a bounded sample of labelled rows: at most MAX_TOXIC and MAX_ORDINARY documents,
-chosen by the hash of their id. Their words are counted by Spark; the driver turns the counts of
-the MAX_WORDS most frequent words into hash tables. Scoring reads every whole text once.
+chosen by the hash of their id. All their words count. Spark counts the grams of every context
+size with their continuations; the driver gets one row a gram and turns them into hash tables.
+Scoring reads every whole text once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, MAX_WORDS = 3000, 6000, 80_000
+MAX_TOXIC, MAX_ORDINARY = 3000, 6000
 MAX_CONTEXT, SHARED_CONTEXT = 6, 1
 EPSILON = 0.02
 CACHED_WORDS = 800_000
@@ -133,6 +134,18 @@ class Model:
         return np.log(1 - EPSILON + EPSILON * np.exp(np.minimum(ratio, 30)))
 
 
+def _discounted(k: int, names: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[Table, Table]:
+    """Tables of one context size from its grams, their contexts and counts by class."""
+    if k <= SHARED_CONTEXT:
+        n = np.repeat(n.sum(1, keepdims=True), 2, axis=1)
+    ones, twos = (n == 1).sum(0), (n == 2).sum(0)
+    discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
+    before, group = np.unique(context, return_inverse=True)
+    total = np.column_stack([np.bincount(group, n[:, j], len(before)) for j in (0, 1)])
+    kinds = np.column_stack([np.bincount(group, n[:, j] > 0, len(before)) for j in (0, 1)])
+    return Table(names, np.maximum(n - discount, 0) / np.maximum(total[group], 1)), Table(before, discount * kinds / np.maximum(total, 1))
+
+
 def fit_counts(words: list[str], counts: np.ndarray) -> Model:
     """Interpolated Kneser-Ney from words and their counts, one column per class (ordinary, toxic)."""
     code, word, place = _places(words)
@@ -153,19 +166,67 @@ def fit_counts(words: list[str], counts: np.ndarray) -> Model:
             at, mass = np.concatenate([own, more[first]]), np.concatenate([mass, seen])
         names, first, inverse = np.unique(gram[at], return_index=True, return_inverse=True)
         n = np.column_stack([np.bincount(inverse, mass[:, j], len(names)) for j in (0, 1)])
-        if k <= SHARED_CONTEXT:
-            n[:] = n.sum(1, keepdims=True)
-        ones, twos = (n == 1).sum(0), (n == 2).sum(0)
-        discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
-        before, group = np.unique(context[at][first], return_inverse=True)
-        total = np.column_stack([np.bincount(group, n[:, j], len(before)) for j in (0, 1)])
-        kinds = np.column_stack([np.bincount(group, n[:, j] > 0, len(before)) for j in (0, 1)])
-        tables[0].append(Table(names, np.maximum(n - discount, 0) / np.maximum(total[group], 1)))
-        tables[1].append(Table(before, discount * kinds / np.maximum(total, 1)))
+        for table, made in zip(tables, _discounted(k, names, context[at][first], n), strict=True):
+            table.append(made)
         gram, context = wider, wider_context
     return Model(*tables, alphabet=max(2, len(set("".join(words))) + 1))
 
 
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From words with their counts (w, o, t) the grams of each context size, summed within a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        counts = [batch.column(i).to_numpy().astype(np.float64) for i in (1, 2)]
+        code, word, place = _places(batch.column(0).to_pylist())
+        layers = _layers(code, place)
+        word, place = word[place >= 1], place[place >= 1]
+        shorter = np.zeros(len(place), np.uint64)
+        for k, (gram, context) in enumerate(layers):
+            at = np.flatnonzero(gram)
+            own = (place[at] == k) | (k == MAX_CONTEXT)
+            names, first, inverse = np.unique(gram[at], return_index=True, return_inverse=True)
+            keys = [x.view(np.int64) for x in (names, context[at][first], shorter[at][first])]
+            sums = [np.bincount(inverse, c[word[at]] * x, len(names)) for x in (own, 1) for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(names), k, np.int32), *keys, *sums)], names=_GRAM_ROW)
+            shorter = gram
+
+
+_GRAM_ROW = ["k", "gram", "context", "shorter", "own_o", "own_t", "o", "t"]
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """k, gram, context and the Kneser-Ney counts o and t of every gram of `words` (w, o, t).
+
+    The count of a gram is its own where no longer one ends with it, and the number of different
+    characters before it elsewhere, as in `fit_counts`.
+    """
+    schema = "k int, gram long, context long, shorter long, own_o double, own_t double, o double, t double"
+    each = words.mapInArrow(_gram_rows, schema).groupBy("k", "gram")
+    each = each.agg(*(F.min(c).alias(c) for c in _GRAM_ROW[2:4]), *(F.sum(c).alias(c) for c in _GRAM_ROW[4:]))
+    own = F.struct("k", "gram", "context", F.col("own_o").alias("o"), F.col("own_t").alias("t"))
+    seen = [(F.col(c) > 0).cast("double").alias(c) for c in ("o", "t")]
+    more = F.struct((F.col("k") - 1).alias("k"), F.col("shorter").alias("gram"), F.lit(None).cast("long").alias("context"), *seen)
+    both = each.select(F.inline(F.array(own, more))).where("k >= 0")
+    return both.groupBy("k", "gram").agg(F.min("context").alias("context"), F.sum("o").alias("o"), F.sum("t").alias("t"))
+
+
+def fit_words(words: DataFrame) -> Model | None:
+    """The model of `fit_counts` from a table of words and counts (w, o, t), counted by Spark; None without words."""
+    rows = gram_counts(words).toArrow()  # one row a gram of the bounded sample
+    if not rows.num_rows:
+        return None
+    size, gram, context, *n = (rows.column(i).to_numpy() for i in range(5))
+    tables: tuple[list[Table], list[Table]] = ([], [])
+    for k in range(MAX_CONTEXT + 1):
+        at = np.flatnonzero(size == k)
+        made = _discounted(k, gram[at].view(np.uint64), context[at].view(np.uint64), np.column_stack([x[at] for x in n]))
+        for table, one in zip(tables, made, strict=True):
+            table.append(one)
+    # a gram without context is a character or the end mark
+    return Model(*tables, alphabet=max(2, int((size == 0).sum())))
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -216,7 +277,7 @@ class _Reader:
 
 def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words and summed evidence of every whole text; null text has no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
     id_type = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +301,6 @@ def fit(
     labels: DataFrame,
     max_toxic: int = MAX_TOXIC,
     max_ordinary: int = MAX_ORDINARY,
-    max_words: int = MAX_WORDS,
 ) -> Model:
     """Model from labelled documents outside the held-out fold.
 
@@ -272,14 +332,10 @@ def fit(
         .select("toxic", F.explode(F.expr(f"regexp_extract_all(lower(text), '[\\\\p{{L}}\\\\p{{M}}]{{1,{MAX_WORD_CHARS}}}', 0)")).alias("w"))
         .groupBy("w")
         .agg(F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") == 1).alias("t"))
-        .orderBy(F.desc(F.col("o") + F.col("t")), "w")
-        .limit(max_words)
-        .toArrow()
     )
-    if not counted.num_rows:
+    model = fit_words(counted)
+    if model is None:
         return fit_counts(["a"], np.ones((1, 2)))
-    counts = np.column_stack([counted.column(c).to_numpy().astype(np.float64) for c in ("o", "t")])
-    model = fit_counts(counted.column("w").to_pylist(), counts)
     seen = (
         evidence(texts.where("part = 1").select(F.col("toxic").alias("doc_id"), "text"), model)
         .toPandas()
