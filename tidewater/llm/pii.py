@@ -29,8 +29,8 @@ TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Doña"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key"
 PATTERNS = {
-    "email": r"[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
-    "named_secret": rf"(?:{SECRET_WORDS}) ?[=:] ?[\"']?[\w+/=.-]{{8,}}",
+    "email": r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
+    "named_secret": rf"(?=[tspa])(?:{SECRET_WORDS}) ?[=:] ?[\"']?(?![\w.+%-]++@[\w-]+\.[\w-])[\w+/=.-]{{8,}}",
     "key": r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)[\w-]{12,}",
     "hexadecimal": r"(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -57,11 +57,12 @@ ALPHABETS = [
 ]
 # end of fixed values
 
-# every entity starts where no word goes on; most places of a text fail at this first test
-ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
+# e-mails and named secrets have their own start (a name may precede `token`); all others start where no word goes on
+BOUND = [p for name, p in PATTERNS.items() if name not in ("email", "named_secret")]
+ANY = rf"(?:{PATTERNS['email']}|{PATTERNS['named_secret']}|(?<![\p{{L}}\p{{N}}])(?:" + "|".join(BOUND) + "))"
 # no entity is without one of these; a text that has none is not searched further
 HINT = "[0-9@]"
-WORD_HINT = rf"(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}}|(?:{SECRET_WORDS}) ?[=:]|(?:ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
+WORD_HINT = rf"(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}}|(?:{SECRET_WORDS}) ?[=:]|(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
 
 
 def kind_of(entity: Column) -> Column:
