@@ -38,3 +38,9 @@ def test_empty_table_and_drop(spark):
     df = spark.createDataFrame([(1, "a", "k", "n"), (2, "a", "k", "n"), (3, None, "k", "n")], SCHEMA)
     assert sorted(r.doc_id for r in drop_copies(df).collect()) == [2, 3]
     assert drop_copies(df).columns == df.columns
+
+
+def test_repeated_rows_and_ids_leave_one_copy(spark):
+    rows = [(1, "a", "k", "n"), (1, "a", "k", "n"), (2, "b", "k", "n"), (2, "c", "k", "n"), (3, "c", "k", "n"), (None, "d", "k", "n"), (None, "d", "k", "n")]
+    got = drop_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == [(1, "a"), (2, "b"), (3, "c"), (None, "d")]

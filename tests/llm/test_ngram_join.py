@@ -96,3 +96,12 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_keep_one_with_repeated_rows_and_ids(spark):
+    from tidewater.llm.ngram_join import keep_one
+
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "xy")
+    rows = [(5, one), (5, one), (5, two), (3, two + " end"), (None, one + " end"), (7, None), (7, None)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == [(3, two + " end"), (5, one), (7, None), (7, None)]

@@ -154,7 +154,11 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but one row of each group of equal texts, all columns kept.
 
-    The ids of `docs` must be unique: the decision is joined back by id.
+    Rows are numbered in a written copy and the decision is joined back by that number, so ids may
+    be repeated or null. The column name `__row` is taken by the operator.
     """
-    lost = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(lost, id_col, "left_anti")
+    row = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"))
+    numbered = materialise(docs.withColumn("__row", row), "numbered")
+    lost = exact_dedup(numbered, "__row", text_col).where("not kept").select(F.col("doc_id.n").alias("__n"))
+    kept = numbered.join(lost, F.col("__row.n") == F.col("__n"), "left_anti")
+    return kept.select(*docs.columns)

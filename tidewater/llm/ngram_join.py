@@ -334,7 +334,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component, the one with the smallest id; ids must be unique."""
-    found = ngram_components(docs, id_col, text_col)
-    lost = materialise(found.where("component_id != doc_id").select(F.col("doc_id").alias(id_col)), "near-copies")
-    return docs.join(lost, id_col, "left_anti")
+    """`docs` with one row of each component, that with the smallest id (a null id is never the smallest).
+
+    Rows are numbered in a written copy and compared by that number, so ids may be repeated or
+    null. The column name `__n` is taken by the operator.
+    """
+    numbered = materialise(docs.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+    found = ngram_components(numbered, "__n", text_col).select(F.col("doc_id").alias("__n"), "component_id")
+    found = found.join(numbered.select("__n", F.col(id_col).alias("id")), "__n")
+    found = materialise(found.select("__n", "component_id", F.struct(F.col("id").isNull(), "id", "__n").alias("place")), "placed")
+    best = found.groupBy("component_id").agg(F.min("place").alias("best"))
+    stay = best.select(F.col("best.__n").alias("__n"))
+    lost = materialise(found.select("__n").join(stay, "__n", "left_anti"), "near-copies")
+    return numbered.join(lost, "__n", "left_anti").select(*docs.columns)
