@@ -73,3 +73,12 @@ def test_entities_start_where_their_own_pattern_says(spark):
     assert [got[i].n_entities for i in range(len(rows))] == [1, 1, 1, 1, 1, 1, 1, 2, 1]
     assert not [r.text for r in got.values() if re.search("(?i)hunter|97.51|mail.example", r.text)]
     assert got[0].text.startswith("client_secret=") and got[4].text.endswith(".com谢谢")
+
+
+def test_values_that_cannot_be_recoded_at_equal_length(spark):
+    rows = ["password: ________ token ==========", "to _@_.com", "to -@_.com", "AKIA____________"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df).collect()}
+    assert [got[i].n_entities for i in range(4)] == [0, 1, 1, 1] and got[0].text == rows[0]
+    assert len({r.text for r in got.values()} | set(rows[1:])) == 7
+    assert re.fullmatch(r"to _[a-z]+@_\.com", got[1].text) and re.fullmatch(r"AKIA_{12}\d+", got[3].text)

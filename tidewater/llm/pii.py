@@ -9,7 +9,8 @@ two names becomes a given name of the same gender.
 
 Normal forms of all surrogates are checked over the whole corpus: where two entities would read the
 same, or a surrogate equals an entity that really occurs, all but the first are derived again with
-the next attempt until every entity has its own. Only those exceptions are joined back to texts.
+the next attempt until every entity has its own; after MAX_ATTEMPTS, or a round that settles none,
+a surrogate is longer than its entity, by one character more each attempt. Only those exceptions are joined back to texts.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ NAME = r"\p{Lu}[\p{L}'’-]+"
 SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
-    "named_secret": rf"(?=[tspa])(?:{SECRET_WORDS}) ?[=:] ?[\"']?(?![\w.+%-]++@[\w-]+\.[\w-])[\w+/=.-]{{8,}}",
+    "named_secret": rf"(?=[tspa])(?:{SECRET_WORDS}) ?[=:] ?[\"']?(?![\w.+%-]++@[\w-]+\.[\w-])(?=[_+/=.-]*+[a-zA-Z0-9])[\w+/=.-]{{8,}}",
     "key": r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)[\w-]{12,}",
     "hexadecimal": r"(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -140,14 +141,15 @@ def _luhn(digits: Column) -> Column:
 
 
 def _poured(shape: Column, filling: Column, places: str) -> Column:
-    """`filling` written into the places of `shape` that match `places`."""
+    """`filling` written into the places of `shape` that match `places`; what is longer follows."""
     chars = F.split(shape, "")
 
     def place(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), f"[^{places}]", ""))
         return F.when(c.rlike(f"^[{places}]$"), F.substring(filling, before, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(chars, place), "")
+    taken = F.length(F.regexp_replace(shape, f"[^{places}]", ""))
+    return F.concat(F.array_join(F.transform(chars, place), ""), F.substring(filling, taken + 1, F.length(filling)))
 
 
 def _picked(names: list[str], byte: Column) -> Column:
@@ -158,40 +160,47 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
     """The surrogate of one mention: the same for every mention of its entity, but for layout."""
     digest = _digest(key, kind, attempt, normal)
     fresh = _recoded(normal, digest)
+
+    def longer(char: str) -> Column:
+        """Keyed characters of the class of `char`, one more with each attempt after the last of equal length."""
+        size = attempt - (MAX_ATTEMPTS - 1)
+        return F.when(size > 0, _recoded(F.repeat(F.lit(char), size), _digest(key, "longer", kind, attempt, normal))).otherwise("")
+
     # what stands before ten digits is a country code and stays
     code = F.when(F.length(normal).between(11, 13), F.length(normal) - 10).otherwise(F.lit(0))
-    phone = F.concat(F.substring(normal, F.lit(1), code), F.substring(fresh, code + 1, F.length(normal)))
-    body = F.substring(fresh, F.lit(1), F.length(fresh) - 1)
+    phone = F.concat(F.substring(normal, F.lit(1), code), F.substring(fresh, code + 1, F.length(normal)), longer("0"))
+    body = F.concat(F.substring(fresh, F.lit(1), F.length(fresh) - 1), longer("0"))
     check = F.pmod(_luhn(normal) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     card = F.concat(body, check.cast("string"))
-    iban = F.concat(F.substring(normal, 1, 2), F.substring(fresh, F.lit(3), F.length(fresh)))
+    iban = F.concat(F.substring(normal, 1, 2), F.substring(fresh, F.lit(3), F.length(fresh)), longer("0"))
 
     domain = F.substring_index(normal, "@", -1)
     label = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
     email = F.concat(
-        _recoded(F.substring_index(normal, "@", 1), digest), F.lit("@"),
+        _recoded(F.substring_index(normal, "@", 1), digest), longer("a"), F.lit("@"),
         _recoded(label, _digest(key, "domain", label)), F.lit("."), F.substring_index(domain, ".", -1),
     )
     ip = F.concat_ws(".", *((F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)))
+    ip = F.concat(ip, F.when(attempt >= MAX_ATTEMPTS, F.concat(F.lit("."), longer("0"))).otherwise(""))
 
     title = F.regexp_extract(entity, r"^(\S+) ", 1)
     first, last = (F.regexp_extract(normal, r"^\S+ (?:(\S+) )?(\S+)$", i) for i in (1, 2))
     draw = _byte(_digest(key, "given", attempt, first), F.lit(0))
     given = F.when(title.rlike(rf"^(?:{TITLES_M})\.?$"), _picked(GIVEN_M, draw)).otherwise(_picked(GIVEN_F, draw))
     given = F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), given).otherwise(_recoded(first, _digest(key, "given", attempt, first)))
-    person = F.concat_ws(" ", title, F.when(first != "", given), _recoded(last, _digest(key, "family", attempt, last)))
+    person = F.concat_ws(" ", title, F.when(first != "", given), F.concat(_recoded(last, _digest(key, "family", attempt, last)), longer("a")))
 
     prefix = F.regexp_extract(normal, r"^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)", 1)
     rest = F.substring(normal, F.length(prefix) + 1, F.length(normal))
     hexes = [("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF")]
-    secret = F.concat(_named(entity), prefix, F.when(rest.rlike("^[0-9a-fA-F]+$"), _recoded(rest, digest, hexes)).otherwise(_recoded(rest, digest)))
+    secret = F.concat(_named(entity), prefix, F.when(rest.rlike("^[0-9a-fA-F]+$"), _recoded(rest, digest, hexes)).otherwise(_recoded(rest, digest)), longer("0"))
     return (
         F.when(kind == "email", email)
         .when(kind == "person", person)
         .when(kind == "ipv4", ip)
         .when(kind == "card", _poured(entity, card, "0-9"))
         .when(kind == "phone", _poured(entity, phone, "0-9"))
-        .when(kind == "ssn", _poured(entity, fresh, "0-9"))
+        .when(kind == "ssn", _poured(entity, F.concat(fresh, longer("0")), "0-9"))
         .when(kind == "iban", _poured(entity, iban, "0-9A-Z"))
         .otherwise(secret)
     )
@@ -215,7 +224,8 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
     entity = materialise(entity.groupBy("kind", "normal").agg(F.min("e").alias("e")), "entities")
     held = entity.select("kind", F.col("normal").alias("want"), F.lit(-1).alias("attempt"), F.lit("").alias("normal"))
     opened, moved = entity, None
-    for attempt in range(MAX_ATTEMPTS):
+    attempt = 0
+    while True:
         wants = opened.select("kind", "normal", "e", F.lit(attempt).alias("attempt"))
         made = surrogate(F.col("e"), F.col("kind"), F.col("normal"), F.col("attempt"), key)
         wants = wants.withColumn("want", normal_form(made, F.col("kind")))
@@ -232,8 +242,8 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
         opened = ranked.where("taken is not null or nth > 1").select("kind", "normal", "e")
         if not opened.take(1):
             break
-    else:
-        raise ValueError("no distinct surrogates found")
+        # where a round settles none, the values of equal length are used up
+        attempt = attempt + 1 if won.take(1) or attempt >= MAX_ATTEMPTS else MAX_ATTEMPTS
     if moved is None:
         moved = opened.select("kind", "normal", F.lit(1).alias("attempt"))
     return materialise(moved, "exceptions")
