@@ -59,6 +59,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.suffixes import repeated_passages
+
+    return repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.pii import replace
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op3_ann": op3_ann,
     "op4_ngram_join": op4_ngram_join,
     "op5_chat": op5_chat,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
@@ -130,6 +137,17 @@ ORACLES = {
           cast(sum({12 + 10 + 2} + {_escaped_length("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped_length("text")}) as bigint) as formatted_chars
         from t group by 1
     """,
+    "op6_suffix_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+          s as (select doc_id, ws, unnest(range(0, len(ws) - 49)) as i from w where len(ws) >= 50),
+          g as (select doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) as g from s),
+          r as (select g, min(doc_id) as first from g group by 1 having min(doc_id) <> max(doc_id)),
+          h as (select distinct doc_id, i, doc_id > first as later from g join r using (g)),
+          j as (select *, case when i - lag(i) over (partition by doc_id, later order by i) <= 50 then 0 else 1 end as new from h),
+          k as (select *, sum(new) over (partition by doc_id, later order by i rows unbounded preceding) as run from j)
+        select doc_id, later, min(i) as start_word, max(i) - min(i) + 50 as n_words from k group by doc_id, later, run
+    """,
     "op10_block_naming": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
           doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256

@@ -62,6 +62,11 @@ def _pieces(text: bytes):
         at = end
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a whole text in order, A-Z read as a-z."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_word_hashes(p)[0] for p in _pieces(text.encode("utf-8", "surrogatepass")))])
+
+
 def _windows(words: np.ndarray) -> np.ndarray:
     """Hashes of all runs of WORDS words."""
     n = len(words) - WORDS + 1
