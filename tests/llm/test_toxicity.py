@@ -96,3 +96,64 @@ def test_rare_words_count_however_many_there_are(spark):
     _, place, _, contexts = T._grams(["zzqaaaa"])
     after_stem = model.contexts[4][contexts[4][place == 4]][0]  # with the start mark: no ordinary word begins so
     assert after_stem[1] > 0 and after_stem[0] == 0
+
+
+def test_probabilities_equal_a_dictionary_model(spark):
+    """Word log-likelihood ratios against Kneser-Ney written with dictionaries."""
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(300)})
+    counts = rng.integers(0, 3, (len(words), 2)) + np.array([[1, 0]])
+    grams = [[{} for _ in range(T.MAX_CONTEXT + 1)] for _ in (0, 1)]
+    for w, n in zip(words, counts, strict=True):
+        marked = f"{chr(T._START)}{w}{chr(T._END)}"
+        for at in range(1, len(marked)):
+            k = min(at, T.MAX_CONTEXT)  # the longest context there is: its own counts
+            for c in (0, 1):
+                if n[c]:
+                    g = marked[at - k : at + 1]
+                    grams[c][k][g] = grams[c][k].get(g, 0) + n[c]
+    longest = [dict(g) for layers in grams for g in layers]
+    for c in (0, 1):  # shorter ones count the different characters before them
+        wider = {g for g in grams[c][T.MAX_CONTEXT]}
+        for k in range(T.MAX_CONTEXT - 1, -1, -1):
+            for g in wider:
+                grams[c][k][g[1:]] = grams[c][k].get(g[1:], 0) + 1
+            wider = set(grams[c][k])
+    assert longest
+    for k in range(T.SHARED_CONTEXT + 1):
+        both = {g: grams[0][k].get(g, 0) + grams[1][k].get(g, 0) for g in grams[0][k] | grams[1][k]}
+        grams[0][k] = grams[1][k] = both
+    alphabet = len(set("".join(words))) + 1
+
+    def probability(c, marked, at):
+        p = 1 / alphabet
+        for k in range(min(at, T.MAX_CONTEXT) + 1):
+            layer = grams[c][k]
+            ones, twos = (sum(v == x for v in layer.values()) for x in (1, 2))
+            d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+            same = [v for g, v in layer.items() if g[:-1] == marked[at - k : at]]
+            if same:
+                p = max(layer.get(marked[at - k : at + 1], 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p
+        return p
+
+    rows = [(w, int(o), int(t)) for w, (o, t) in zip(words, counts, strict=True)]
+    model = T.fit_words(spark.createDataFrame(rows, "w string, o long, t long"))
+    probe = [*words[:20], "dabba", "zz", "abcdabcdab"]
+    for w, got in zip(probe, model.word_evidence(probe), strict=True):
+        marked = f"{chr(T._START)}{w}{chr(T._END)}"
+        ratio = sum(np.log(probability(1, marked, at) / probability(0, marked, at)) for at in range(1, len(marked)))
+        assert np.isclose(got, np.log(1 - T.EPSILON + T.EPSILON * np.exp(ratio)), atol=1e-4)
+
+
+def test_string_ids_marks_and_one_class_kept_back(spark):
+    docs, labels = made(2, 60)
+    df = spark.createDataFrame([(f"d{i}", t, "नमस्ते") for i, t, *_ in docs], "doc_id string, text string, evidence string")
+    lab = spark.createDataFrame([(f"d{i}", t) for i, _, t in labels if t or i < 30], "doc_id string, toxic int")
+    model = T.fit(df, lab)
+    got = T.score(df, model).collect()
+    assert len(got) == 60 and model.weights is not None and {r.predicted for r in got} == {0, 1}
+    # of one toxic and one ordinary document at most one is kept back
+    two = T.fit(df, spark.createDataFrame([(f"d{labels[i][0]}", labels[i][2]) for i in (0, 4, 8, 1)], "doc_id string, toxic int"))
+    assert two.weights is not None
+    marks = T.word_counts(spark.createDataFrame([("नमस्ते", 1)], "text string, toxic int")).collect()
+    assert sorted(r.w for r in marks) == sorted(T.words_of("नमस्ते"))

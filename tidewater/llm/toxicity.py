@@ -4,8 +4,9 @@ Two character models share their low orders: one learns the words of toxic texts
 of ordinary ones. Orders of SHARED_CONTEXT characters and less are estimated on both classes
 together, so an expression that neither class has seen often falls back to the same counts and
 says nothing. A text is taken as ordinary words among which a share EPSILON follows the toxic
-model; the evidence of a word is log(1 - e + e * P_toxic / P_ordinary). The text's evidence,
-divided by its number of words, and its undivided sum go into a logistic score.
+model, so its log-likelihood ratio is the sum of log(1 - e + e * P_toxic / P_ordinary) over its words.
+Divided by the number of words that is the text's evidence, and a logistic curve fitted on documents
+kept back from counting turns it into the score.
 
 Training uses a bounded sample of labelled rows: at most MAX_TOXIC and MAX_ORDINARY documents,
 chosen by the hash of their id. All their words count. Spark counts the grams of every context
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +115,7 @@ class Model:
     contexts: list[Table]
     alphabet: int
     weights: np.ndarray | None = None
+    name: str = field(default_factory=lambda: uuid4().hex)
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """log(1 - e + e * P_toxic / P_ordinary) of each word."""
@@ -227,13 +230,28 @@ def fit_words(words: DataFrame) -> Model | None:
     return Model(*tables, alphabet=max(2, int((size == 0).sum())))
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Words of `texts` (text, toxic), cut as for scoring, and how often each stands in ordinary and toxic ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for w in words_of(text.as_py()):
+                    seen.setdefault(w, [0, 0])[toxic] += 1
+            o, t = zip(*seen.values(), strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(o, pa.int64()), pa.array(t, pa.int64())], names=["w", "o", "t"])
+
+    counted = texts.select("text", "toxic").mapInArrow(run, "w string, o long, t long")
+    return counted.groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
 def _features(n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    per_word = total / np.maximum(n, 1)
-    return np.column_stack([np.ones(len(n)), 20 * per_word, np.tanh(total / 20) * 5, np.log1p(n) / 5])
+    return np.column_stack([np.ones(len(n)), 20 * total / np.maximum(n, 1)])
 
 
 def _scores(weights: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -254,11 +272,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+_KNOWN: dict[str, dict[str, float]] = {}  # of the model that this worker process has used last
+
+
 class _Reader:
-    """Evidence of texts, with the words met so far remembered up to CACHED_WORDS."""
+    """Evidence of texts, with the words that this worker process has met remembered up to CACHED_WORDS."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        if model.name not in _KNOWN:
+            _KNOWN.clear()
+        self.model, self.known = model, _KNOWN.setdefault(model.name, {})
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n, total = [], []
@@ -266,7 +289,8 @@ class _Reader:
             texts = [words_of(t.as_py()) for t in column.slice(at, 64)]
             new = {w for ws in texts for w in ws if w not in self.known}
             if len(self.known) + len(new) > CACHED_WORDS:
-                self.known, new = {}, {w for ws in texts for w in ws}
+                self.known.clear()
+                new = {w for ws in texts for w in ws}
             new = list(new)
             self.known.update(zip(new, self.model.word_evidence(new).tolist(), strict=True))
             for ws in texts:
@@ -306,7 +330,8 @@ def fit(
 
     `labels` has doc_id and toxic; null labels are ignored and a document labelled twice is toxic
     if one label says so. Three quarters of the sample train the two language models, the rest
-    the weights of the score. Without a toxic and an ordinary document every score is 0.
+    the weights of the score; where that rest has one class only, the whole sample does. Without a
+    toxic and an ordinary document, or without any word, every score is 0.
     """
     known = (
         labels.where("toxic is not null and doc_id is not null")
@@ -325,29 +350,20 @@ def fit(
         return fit_counts(["a"], np.ones((1, 2)))
     chosen["part"] = (chosen["key"] % 4 == 0).astype(int)
     spark = docs.sparkSession
-    ids = F.broadcast(spark.createDataFrame(chosen[["doc_id", "toxic", "part"]], "doc_id long, toxic int, part int"))
+    kind = dict(known.dtypes)["doc_id"]
+    ids = F.broadcast(spark.createDataFrame(chosen[["doc_id", "toxic", "part"]], f"doc_id {kind}, toxic int, part int"))
     texts = docs.select("doc_id", "text").join(ids, "doc_id")
-    counted = (
-        texts.where("part = 0")
-        .select("toxic", F.explode(F.expr(f"regexp_extract_all(lower(text), '[\\\\p{{L}}\\\\p{{M}}]{{1,{MAX_WORD_CHARS}}}', 0)")).alias("w"))
-        .groupBy("w")
-        .agg(F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") == 1).alias("t"))
-    )
-    model = fit_words(counted)
+    model = fit_words(word_counts(texts.where("part = 0")))
     if model is None:
         return fit_counts(["a"], np.ones((1, 2)))
-    seen = (
-        evidence(texts.where("part = 1").select(F.col("toxic").alias("doc_id"), "text"), model)
-        .toPandas()
-    )
-    if seen["id"].nunique() == 2:
-        x = _features(seen["n_words"].to_numpy(), seen["evidence"].to_numpy())
-        model.weights = _logistic(x, seen["id"].to_numpy(float))
+    kept_back = texts.where("part = 1") if chosen["toxic"][chosen["part"] == 1].nunique() == 2 else texts
+    seen = evidence(kept_back.select(F.col("toxic").alias("doc_id"), "text"), model).toPandas()
+    model.weights = _logistic(_features(seen["n_words"].to_numpy(), seen["evidence"].to_numpy()), seen["id"].to_numpy(float))
     return model
 
 
 def _weights(model: Model) -> np.ndarray:
-    return model.weights if model.weights is not None else np.array([-40.0, 0, 0, 0])
+    return model.weights if model.weights is not None else np.array([-40.0, 0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
