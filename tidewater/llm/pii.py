@@ -5,7 +5,8 @@ and the entity's normal form (lower case, or its digits), so every mention of an
 same wherever it stands. The surrogate keeps the entity's shape: digits become digits, letters
 letters of the same script and case, hexadecimal stays hexadecimal, e-mail domains keep their last
 label, card numbers keep their checksum residue, addresses stay in range, and after a title the first of
-two names becomes a given name of the same gender.
+two names becomes a given name of the same gender. Where a text names a person with a title, the
+full name and the family name are replaced in the rest of that text as well.
 
 Normal forms of all surrogates are checked over the whole corpus: where two entities would read the
 same, or a surrogate equals an entity that really occurs, all but the first are derived again with
@@ -15,23 +16,27 @@ a surrogate is longer than its entity, by one character more each attempt. Only
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.tables import materialise
+from tidewater.llm.tables import materialise, shared_dir
 
-KEY = "surrogate-key"
 MAX_ATTEMPTS = 64
+ENTITIES_PER_TASK = 4096
 
 # What counts as an entity, tried in this order.
 TITLES_M = "Mr|Herr|Monsieur|Señor|Don"
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Doña"
 NAME = r"\p{Lu}[\p{L}'’-]+"
-SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key"
+SECRET_WORDS = "(?i:token|secret|password|passwd|api_key|apikey|access_key)"
+MAIL = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{N}_.+%-"
+DOMAIN = r"[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 PATTERNS = {
-    "email": r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
-    "named_secret": rf"(?=[tspa])(?:{SECRET_WORDS}) ?[=:] ?[\"']?(?![\w.+%-]++@[\w-]+\.[\w-])(?=[_+/=.-]*+[a-zA-Z0-9])[\w+/=.-]{{8,}}",
+    "email": rf"(?<![{MAIL}])[{MAIL}]++@{DOMAIN}",
+    "named_secret": rf"(?=[tspaTSPA]){SECRET_WORDS} ?[=:] ?[\"']?(?![{MAIL}]++@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_-])(?=[_+/=.-]*+[a-zA-Z0-9])[\w+/=.-]{{8,}}",
     "key": r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)[\w-]{12,}",
     "hexadecimal": r"(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -43,19 +48,32 @@ PATTERNS = {
     r"|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
     "person": rf"(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?",
 }
-GIVEN_M = ["James", "Peter", "Louis", "Carlos", "Martin", "Paul", "Oscar", "Hugo", "Felix", "David", "Simon", "Victor"]
-GIVEN_F = ["Maria", "Anna", "Julia", "Clara", "Laura", "Helena", "Sofia", "Emma", "Alice", "Nora", "Irene", "Lucia"]
-ALPHABETS = [
-    ("[0-9]", "0123456789"),
-    ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
-    ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("[а-я]", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
-    ("[А-Я]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
-    ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"),
-    ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
-    (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    (r"\p{Ll}", "abcdefghijklmnopqrstuvwxyz"),
+GIVEN_M = [
+    "James", "Peter", "Louis", "Carlos", "Martin", "Paul", "Oscar", "Hugo", "Felix", "David", "Simon", "Victor",
+    "Adam", "Bruno", "Daniel", "Emil", "Frank", "Gabriel", "Henry", "Ivan", "Jacob", "Leo", "Marco", "Nicolas",
+    "Omar", "Philip", "Robert", "Samuel", "Thomas", "William",
+]
+GIVEN_F = [
+    "Maria", "Anna", "Julia", "Clara", "Laura", "Helena", "Sofia", "Emma", "Alice", "Nora", "Irene", "Lucia",
+    "Amelia", "Bianca", "Carla", "Diana", "Elisa", "Flora", "Grace", "Hanna", "Ida", "Judith", "Lena", "Marta",
+    "Nina", "Olga", "Paula", "Rosa", "Silvia", "Vera",
+]
+# alphabets: a character of the first is replaced by one of the second
+LETTERS = [
+    ("0123456789", "0123456789"),
+    ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
+    ("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
+    ("αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ", "αβγδεζηθικλμνξοπρστυφχψω"),
+    ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
 ]
+# other scripts by their property and a range of letters
+SCRIPTS = [
+    ("IsHan", 0x4E00, 0x4EC0), ("IsHiragana", 0x3042, 0x3094), ("IsKatakana", 0x30A2, 0x30F4), ("IsHangul", 0xAC00, 0xACC0),
+    ("IsArabic", 0x0628, 0x063A), ("IsHebrew", 0x05D0, 0x05EA), ("IsDevanagari", 0x0915, 0x0939), ("IsThai", 0x0E01, 0x0E2E),
+    ("IsArmenian", 0x0561, 0x0586), ("IsGeorgian", 0x10D0, 0x10F0),
+]
 # end of fixed values
 
 # e-mails and named secrets have their own start (a name may precede `token`); all others start where no word goes on
@@ -63,13 +81,18 @@ BOUND = [p for name, p in PATTERNS.items() if name not in ("email", "named_secre
 ANY = rf"(?:{PATTERNS['email']}|{PATTERNS['named_secret']}|(?<![\p{{L}}\p{{N}}])(?:" + "|".join(BOUND) + "))"
 # no entity is without one of these; a text that has none is not searched further
 HINT = "[0-9@]"
-WORD_HINT = rf"(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}}|(?:{SECRET_WORDS}) ?[=:]|(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
+WORD_HINT = rf"(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}}|{SECRET_WORDS} ?[=:]|(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
+
+
+def key_of(spark: SparkSession) -> str:
+    """The secret of registered queries: the session's tidewater.surrogate.key, and where none is set a name that keeps nothing secret."""
+    return spark.conf.get("tidewater.surrogate.key", "no secret")
 
 
 def kind_of(entity: Column) -> Column:
     """Type of a string that the combined pattern has matched."""
     shapes = {
-        "secret": rf"^(?:{SECRET_WORDS}) ?[=:]",
+        "secret": rf"^{SECRET_WORDS} ?[=:]",
         "email": "^[^@ ]+@[^@ ]+$",
         "person": rf"^(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?$",
         "ipv4": r"^\d{1,3}(\.\d{1,3}){3}$",
@@ -86,7 +109,7 @@ def kind_of(entity: Column) -> Column:
 
 def _named(entity: Column) -> Column:
     """What stands before the value of a named secret, such as `token = "`; empty for other entities."""
-    return F.regexp_extract(entity, rf"^((?:{SECRET_WORDS}) ?[=:] ?[\"']?)", 1)
+    return F.regexp_extract(entity, rf"^({SECRET_WORDS} ?[=:] ?[\"']?)", 1)
 
 
 def normal_form(entity: Column, kind: Column) -> Column:
@@ -101,33 +124,56 @@ def normal_form(entity: Column, kind: Column) -> Column:
     )
 
 
-def _byte(digest: Column, i: Column) -> Column:
-    """The i-th byte of a 512-bit digest in hex, repeating."""
-    return F.conv(F.substring(digest, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
-
 def _digest(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)), 512)
 
 
-def _recoded(text: Column, digest: Column, alphabets: list[tuple[str, str]] = ALPHABETS) -> Column:
-    """Each character replaced by a keyed one of its own class; others stay.
+def _marks(k: int) -> str:
+    """A private character that stands for the k-th alphabet."""
+    return chr(0xE000 + k)
 
-    Longer texts take fresh digests for every 64 characters.
-    """
-    chars = F.split(text, "")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(chars) / 64).cast("int")), lambda b: F.sha2(F.concat(digest, b.cast("string")), 512)
-    )
+
+_TABLES = [choice for _, choice in LETTERS] + ["".join(map(chr, range(a, b + 1))) for _, a, b in SCRIPTS] + ["abcdef", "ABCDEF"]
+_FROM = "".join(chars for chars, _ in LETTERS)
+_TO = "".join(_marks(k) * len(chars) for k, (chars, _) in enumerate(LETTERS))
+
+
+def _shape(text: Column) -> Column:
+    """`text` with the mark of its alphabet in place of every letter and digit."""
+    out = F.translate(text, _FROM, _TO)
+    other = F.when(~out.rlike(r"[\p{L}\p{M}]"), out)
+    full = out
+    for k, (script, _, _) in enumerate(SCRIPTS, len(LETTERS)):
+        full = F.regexp_replace(full, rf"[\p{{{script}}}&&[\p{{L}}\p{{M}}]]", _marks(k))
+    full = F.regexp_replace(F.regexp_replace(full, r"\p{Lu}", _marks(2)), r"\p{L}", _marks(1))
+    return F.coalesce(other, full)
+
+
+def _hex_shape(text: Column) -> Column:
+    lower, upper = len(_TABLES) - 2, len(_TABLES) - 1
+    return F.translate(text, "0123456789abcdefABCDEF", _marks(0) * 10 + _marks(lower) * 6 + _marks(upper) * 6)
+
+
+def _filled(shape: Column, digest: Column) -> Column:
+    """Every mark of `shape` replaced by a keyed character of its alphabet; all else stays."""
+    tables = F.array(*map(F.lit, _TABLES))
+    known = "".join(map(_marks, range(len(_TABLES))))
 
     def one(c: Column, i: Column) -> Column:
-        letters = F.lit(None).cast("string")
-        for shape, choice in reversed(alphabets):
-            letters = F.when(c.rlike(f"^{shape}$"), choice).otherwise(letters)
-        byte = _byte(F.element_at(blocks, F.floor(i / 64).cast("int") + 1), i)
-        return F.coalesce(F.substring(letters, F.pmod(byte, F.length(letters)) + 1, F.lit(1)), c)
+        table = F.get(tables, F.when(c != "", F.instr(F.lit(known), c) - 1))
+        return F.coalesce(F.substring(table, (F.pmod(F.xxhash64(digest, i), F.length(table)) + 1).cast("int"), F.lit(1)), c)
 
-    return F.array_join(F.transform(chars, one), "")
+    return F.array_join(F.transform(F.split(shape, ""), one), "")
+
+
+def _recoded(text: Column, digest: Column) -> Column:
+    """Each letter and digit replaced by a keyed one of its own alphabet; other characters stay."""
+    return _filled(_shape(text), digest)
+
+
+def _drawn(digest: Column, n: int, salt: int) -> Column:
+    """A keyed number below n."""
+    return F.pmod(F.xxhash64(digest, F.lit(salt)), F.lit(n)).cast("int")
 
 
 def _luhn(digits: Column) -> Column:
@@ -152,56 +198,66 @@ def _poured(shape: Column, filling: Column, places: str) -> Column:
     return F.concat(F.array_join(F.transform(chars, place), ""), F.substring(filling, taken + 1, F.length(filling)))
 
 
-def _picked(names: list[str], byte: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), F.pmod(byte, F.lit(len(names))) + 1)
+def _let(value: Column, then) -> Column:
+    """`then(value)` with `value` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key: str = KEY) -> Column:
+def _given(title: Column, first: Column, digest: Column) -> Column:
+    """A given name of the title's gender, in the first name's script."""
+    male = F.get(F.array(*map(F.lit, GIVEN_M)), _drawn(digest, len(GIVEN_M), 0))
+    female = F.get(F.array(*map(F.lit, GIVEN_F)), _drawn(digest, len(GIVEN_F), 0))
+    name = F.when(title.rlike(rf"^(?:{TITLES_M})\.?$"), male).otherwise(female)
+    return F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), name).otherwise(_recoded(first, digest))
+
+
+def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate of one mention: the same for every mention of its entity, but for layout."""
     digest = _digest(key, kind, attempt, normal)
-    fresh = _recoded(normal, digest)
 
     def longer(char: str) -> Column:
-        """Keyed characters of the class of `char`, one more with each attempt after the last of equal length."""
+        """Keyed characters of the alphabet of `char`, one more with each attempt after the last of equal length."""
         size = attempt - (MAX_ATTEMPTS - 1)
-        return F.when(size > 0, _recoded(F.repeat(F.lit(char), size), _digest(key, "longer", kind, attempt, normal))).otherwise("")
-
-    # what stands before ten digits is a country code and stays
-    code = F.when(F.length(normal).between(11, 13), F.length(normal) - 10).otherwise(F.lit(0))
-    phone = F.concat(F.substring(normal, F.lit(1), code), F.substring(fresh, code + 1, F.length(normal)), longer("0"))
-    body = F.concat(F.substring(fresh, F.lit(1), F.length(fresh) - 1), longer("0"))
-    check = F.pmod(_luhn(normal) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    card = F.concat(body, check.cast("string"))
-    iban = F.concat(F.substring(normal, 1, 2), F.substring(fresh, F.lit(3), F.length(fresh)), longer("0"))
+        return F.when(size > 0, _filled(F.repeat(F.lit(char), size), _digest(key, "longer", kind, attempt, normal))).otherwise("")
+
+    digit, letter = _marks(0), _marks(1)
+
+    def of_digits(fresh: Column) -> Column:
+        """Cards, phone numbers, social security numbers and account numbers from recoded normal forms."""
+        # what stands before ten digits is a country code and stays
+        code = F.when(F.length(normal).between(11, 13), F.length(normal) - 10).otherwise(F.lit(0))
+        phone = F.concat(F.substring(normal, F.lit(1), code), F.substring(fresh, code + 1, F.length(normal)))
+        body = F.concat(F.substring(fresh, F.lit(1), F.length(fresh) - 1), longer(digit))
+        check = F.pmod(_luhn(normal) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
+        iban = F.concat(F.substring(normal, 1, 2), F.substring(fresh, F.lit(3), F.length(fresh)))
+        filling = F.when(kind == "card", F.concat(body, check.cast("string"))).otherwise(
+            F.concat(F.when(kind == "phone", phone).when(kind == "iban", iban).otherwise(fresh), longer(digit))
+        )
+        return F.when(kind == "iban", _poured(entity, filling, "0-9A-Z")).otherwise(_poured(entity, filling, "0-9"))
 
     domain = F.substring_index(normal, "@", -1)
     label = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
     email = F.concat(
-        _recoded(F.substring_index(normal, "@", 1), digest), longer("a"), F.lit("@"),
+        _recoded(F.substring_index(normal, "@", 1), digest), longer(letter), F.lit("@"),
         _recoded(label, _digest(key, "domain", label)), F.lit("."), F.substring_index(domain, ".", -1),
     )
-    ip = F.concat_ws(".", *((F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)))
-    ip = F.concat(ip, F.when(attempt >= MAX_ATTEMPTS, F.concat(F.lit("."), longer("0"))).otherwise(""))
+    ip = F.concat_ws(".", *((_drawn(digest, 254, i) + 1).cast("string") for i in range(4)))
+    ip = F.concat(ip, F.when(attempt >= MAX_ATTEMPTS, F.concat(F.lit("."), longer(digit))).otherwise(""))
 
     title = F.regexp_extract(entity, r"^(\S+) ", 1)
     first, last = (F.regexp_extract(normal, r"^\S+ (?:(\S+) )?(\S+)$", i) for i in (1, 2))
-    draw = _byte(_digest(key, "given", attempt, first), F.lit(0))
-    given = F.when(title.rlike(rf"^(?:{TITLES_M})\.?$"), _picked(GIVEN_M, draw)).otherwise(_picked(GIVEN_F, draw))
-    given = F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), given).otherwise(_recoded(first, _digest(key, "given", attempt, first)))
-    person = F.concat_ws(" ", title, F.when(first != "", given), F.concat(_recoded(last, _digest(key, "family", attempt, last)), longer("a")))
+    given = _given(title, first, _digest(key, "given", attempt, first))
+    person = F.concat_ws(" ", title, F.when(first != "", given), F.concat(_recoded(last, _digest(key, "family", attempt, last)), longer(letter)))
 
     prefix = F.regexp_extract(normal, r"^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)", 1)
     rest = F.substring(normal, F.length(prefix) + 1, F.length(normal))
-    hexes = [("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF")]
-    secret = F.concat(_named(entity), prefix, F.when(rest.rlike("^[0-9a-fA-F]+$"), _recoded(rest, digest, hexes)).otherwise(_recoded(rest, digest)), longer("0"))
+    shape = F.when(rest.rlike("^[0-9a-fA-F]+$"), _hex_shape(rest)).otherwise(_shape(rest))
+    secret = F.concat(_named(entity), prefix, _filled(shape, digest), longer(digit))
     return (
         F.when(kind == "email", email)
         .when(kind == "person", person)
         .when(kind == "ipv4", ip)
-        .when(kind == "card", _poured(entity, card, "0-9"))
-        .when(kind == "phone", _poured(entity, phone, "0-9"))
-        .when(kind == "ssn", _poured(entity, F.concat(fresh, longer("0")), "0-9"))
-        .when(kind == "iban", _poured(entity, iban, "0-9A-Z"))
+        .when(kind.isin("card", "phone", "ssn", "iban"), _let(_recoded(normal, digest), of_digits))
         .otherwise(secret)
     )
 
@@ -212,51 +268,67 @@ def found_in(text: Column) -> Column:
     return F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def exceptions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(kind, normal, attempt) of the entities whose first surrogate is not their own.
 
     Each round derives the candidates of the entities still open, gives a candidate to the
     entity that comes first among those that want it, and leaves the others to the next attempt.
+    What was given in all rounds is kept in one folder.
     """
+    spark = docs.sparkSession
     mention = docs.select(F.explode(found_in(F.col(text_col))).alias("e")).distinct()
     mention = mention.select("e", kind_of(F.col("e")).alias("kind"))
     entity = mention.select("kind", normal_form(F.col("e"), F.col("kind")).alias("normal"), "e")
     entity = materialise(entity.groupBy("kind", "normal").agg(F.min("e").alias("e")), "entities")
-    held = entity.select("kind", F.col("normal").alias("want"), F.lit(-1).alias("attempt"), F.lit("").alias("normal"))
-    opened, moved = entity, None
-    attempt = 0
-    while True:
-        wants = opened.select("kind", "normal", "e", F.lit(attempt).alias("attempt"))
-        made = surrogate(F.col("e"), F.col("kind"), F.col("normal"), F.col("attempt"), key)
-        wants = wants.withColumn("want", normal_form(made, F.col("kind")))
-        taken = held.select("kind", "want").withColumn("taken", F.lit(True))
+    given = f"{shared_dir(spark)}/tidewater/surrogates-{uuid.uuid4().hex}"
+    schema = "kind string, want string, normal string, attempt int"
+    entity.select("kind", F.col("normal").alias("want"), F.lit("").alias("normal"), F.lit(-1).alias("attempt")).write.parquet(given)
+    opened, attempt, settled = entity, 0, 0
+    while left := opened.count():
+        wants = opened.repartition(-(-left // ENTITIES_PER_TASK), "kind", "normal").select("kind", "normal", "e", F.lit(attempt).alias("attempt"))
+        made = _let(surrogate(F.col("e"), F.col("kind"), F.col("normal"), F.col("attempt"), key), lambda m: normal_form(m, F.col("kind")))
+        wants = wants.withColumn("want", made)
+        taken = spark.read.schema(schema).parquet(given).select("kind", "want").withColumn("taken", F.lit(True))
         first = Window.partitionBy("kind", "want").orderBy("normal")
         # a candidate is wanted by few: the window's groups are the collisions themselves
         ranked = wants.join(taken, ["kind", "want"], "left").withColumn("nth", F.row_number().over(first))
         ranked = materialise(ranked, "candidates")
-        won = ranked.where("taken is null and nth = 1").select("kind", "want", "attempt", "normal")
-        held = held.unionByName(won)
-        if attempt:
-            part = won.select("kind", "normal", "attempt")
-            moved = part if moved is None else moved.unionByName(part)
+        won = ranked.where("taken is null and nth = 1")
+        won.select("kind", "want", "normal", "attempt").write.mode("append").parquet(given)
         opened = ranked.where("taken is not null or nth > 1").select("kind", "normal", "e")
-        if not opened.take(1):
-            break
         # where a round settles none, the values of equal length are used up
-        attempt = attempt + 1 if won.take(1) or attempt >= MAX_ATTEMPTS else MAX_ATTEMPTS
-    if moved is None:
-        moved = opened.select("kind", "normal", F.lit(1).alias("attempt"))
-    return materialise(moved, "exceptions")
+        settled = left - opened.count()
+        attempt = attempt + 1 if settled or attempt >= MAX_ATTEMPTS else MAX_ATTEMPTS
+    return spark.read.schema(schema).parquet(given).where("attempt > 0").select("kind", "normal", "attempt")
+
+
+def _names(entity: Column) -> tuple[Column, Column]:
+    """Full name, or nothing where there is one name only, and family name of a person with a title."""
+    return F.regexp_extract(entity, r"^\S+ (\S+ \S+)$", 1), F.regexp_extract(entity, r"(\S+)$", 1)
+
+
+def _without_names(part: Column, people: Column) -> Column:
+    """`part` with the names of `people` (e, made), known by their titles, replaced where they stand without one."""
+
+    def one(text: Column, x: Column) -> Column:
+        for name, new in zip(_names(x.e), _names(x.made), strict=True):
+            text = F.when(name != "", F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name, F.lit(r"(?![\p{L}\p{N}])")), new)).otherwise(text)
+        return text
+
+    return F.aggregate(people, part, one)
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
-    """`docs` with every entity in `text_col` replaced, plus n_entities; all other columns as they are.
+def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """`docs` with every entity in `text_col` replaced, plus `count_col`; all other columns as they are.
 
-    Null text stays null with 0 entities, text without entities stays as it is, rows are neither
-    lost nor merged. An empty table gives an empty result. The column names n_entities and those
-    starting with `__` are taken by the operator.
+    `key` is the caller's secret: who has it can tell which surrogate stands for a known value. Null
+    text stays null with 0 entities, text without entities stays as it is, rows are neither lost nor
+    merged; repeated rows read alike. An empty table gives an empty result. A column of the name
+    `count_col` must not be there before; column names starting with `__` are taken by the operator.
     """
-    odd = exceptions(docs, text_col, key)
+    if count_col in docs.columns:
+        raise ValueError(f"the table has a column {count_col} already: name another one for the count")
+    odd = exceptions(docs, key, text_col)
     text = F.col(text_col)
     with_found = docs.withColumn("__found", F.when(text.isNotNull(), found_in(text)))
     if odd.take(1):
@@ -274,8 +346,11 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     parts = F.split(text, ANY, -1)
     facts = F.transform("__found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
     facts = F.transform(facts, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), normal_form(x.e, x.kind).alias("normal")))
-    made = F.transform(facts, lambda x: surrogate(x.e, x.kind, x.normal, attempt(x.e), key))
-    joined = F.array_join(F.flatten(F.zip_with(parts, made, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    changed = with_found.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text))
-    changed = changed.withColumn("n_entities", F.greatest(F.coalesce(F.size("__found"), F.lit(0)), F.lit(0)))
-    return changed.drop("__found", "__attempts")
+    made = F.transform(facts, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), surrogate(x.e, x.kind, x.normal, attempt(x.e), key).alias("made")))
+    with_made = with_found.withColumn("__parts", F.when(F.size("__found") > 0, parts)).withColumn("__made", made)
+    people = F.array_distinct(F.filter("__made", lambda m: m.kind == "person"))
+    plain = F.when(F.exists("__made", lambda m: m.kind == "person"), F.transform("__parts", lambda p: _without_names(p, people))).otherwise(F.col("__parts"))
+    joined = F.array_join(F.flatten(F.zip_with(plain, "__made", lambda p, m: F.array(p, F.coalesce(m.made, F.lit(""))))), "")
+    changed = with_made.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text))
+    changed = changed.withColumn(count_col, F.greatest(F.coalesce(F.size("__found"), F.lit(0)), F.lit(0)))
+    return changed.select(*docs.columns, count_col)

@@ -66,9 +66,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewater.llm.pii import replace
+    from tidewater.llm.pii import key_of, replace
 
-    return replace(load(spark, sf_dir, "documents"))
+    return replace(load(spark, sf_dir, "documents"), key_of(spark))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
