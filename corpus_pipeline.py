@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.exact_dedup import drop_copies
 from tidewater.llm.ngram_join import keep_one
 from tidewater.llm.packing import pack
-from tidewater.llm.pii import replace
+from tidewater.llm.pii import key_of, replace
 from tidewater.llm.tables import load, materialise
 from tidewater.llm.toxicity import fit, keep_ordinary
 
@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates; n_chars follows the new text."""
-    changed = replace(docs.select(*COLUMNS))
+    changed = replace(docs.select(*COLUMNS), key_of(spark))
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
