@@ -237,3 +237,26 @@ def winsorised(bars: DataFrame, x: str, low: float = 0.01, high: float = 0.99) -
     scale = F.coalesce(F.when(iqr > 1e-12, iqr), F.when(F.col("_sd") > 1e-12, F.col("_sd")), F.lit(1.0))
     out = cut.join(s, "symbol").withColumn("scaled", clip((F.col("_x") - F.col("_p")[1]) / scale, -8, 8))
     return out.drop("_q", "_x", "_p", "_sd")
+
+
+def sane_bars(bars: DataFrame) -> DataFrame:
+    """Bars with finite prices and volume, prices above 0 and no negative volume."""
+    price = [finite(F.col(c).cast("double")) for c in ("close", "high", "low")]
+    ok = (finite(F.col("volume").cast("double")) >= 0) & finite(F.col("open").cast("double")).isNotNull()
+    for p in price:
+        ok &= p > 0
+    return bars.where(F.coalesce(ok, F.lit(False)))
+
+
+def legacy_regime_features(bars: DataFrame) -> DataFrame:
+    """Log return, its 24-bar deviation and 8-bar mean, log range and log volume change; values are floored at 1e-12."""
+    floor = lambda c: F.ln(F.greatest(F.col(c), F.lit(1e-12)))
+
+    def first(w: WindowSpec) -> dict[str, Column]:
+        return {"ret": floor("close") - F.lag(floor("close")).over(w), "range": floor("high") - floor("low"), "dvolume": floor("volume") - F.lag(floor("volume")).over(w)}
+
+    def second(w: WindowSpec) -> dict[str, Column]:
+        x = F.col("ret")
+        return {"deviation24": full(x, 24, back(w, 24), F.stddev_samp(x).over(back(w, 24))), "trend8": full(x, 8, back(w, 8), F.avg(x).over(back(w, 8)), 3)}
+
+    return rolling(rolling(bars, KEYS, ORDER, 1, first), KEYS, ORDER, 24, second)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.series import SPAN, asof_join, ordinal, rolling
@@ -124,3 +124,93 @@ def anchored(regimes: DataFrame, confirm: int = 2) -> DataFrame:
     chance = lambda c: F.coalesce(*(F.when(F.col(c) == n, F.col(n)) for n in NAMES), F.lit(0.0))
     out = confirm_switches(regimes, "symbol", "open_us", "regime", confirm)
     return out.withColumn("switch_margin", chance("regime") - chance("previous"))
+
+
+def regime_probabilities(states: DataFrame) -> DataFrame:
+    """(symbol, open_us, bear, neutral, bull) from state posteriors (symbol, open_us, state_regime, p).
+
+    Probabilities of states of one regime add up and are divided by their sum; without any
+    probability mass the row is neutral for certain.
+    """
+    out = states.groupBy("symbol", "open_us").pivot("state_regime", list(NAMES)).agg(F.sum("p")).fillna(0.0, list(NAMES))
+    total = sum(F.col(n) for n in NAMES)
+    share = {n: F.when(total > 1e-12, F.col(n) / F.when(total > 1e-12, total)).otherwise(1.0 if n == "neutral" else 0.0) for n in NAMES}
+    return out.select("symbol", "open_us", *(v.alias(n) for n, v in share.items()))
+
+
+def state_statistics(rows: DataFrame, states: int = 3) -> DataFrame:
+    """Per symbol, window and state: occupancy, mean trend, return, volatility and range, persistence, and the regime of its rank.
+
+    `rows` has symbol, window, pos, post (array of state probabilities), trend, ret, vol, range. The
+    states of a window are named bear, neutral and bull in the order of trend + ret / 2.
+    """
+    w = Window.partitionBy("symbol", "window").orderBy("pos")  # a window has a bounded number of bars
+    nxt = rows.withColumn("_next", F.lead("post").over(w))
+    each = nxt.select("*", F.posexplode("post").alias("state", "p")).withColumn("_stay", F.col("p") * F.get("_next", F.col("state")))
+    p = F.col("p")
+    mean = {c: F.sum(p * F.col(c)) / F.sum(p) for c in ("trend", "ret", "vol", "range")}
+    out = each.groupBy("symbol", "window", "state").agg(
+        F.avg(p).alias("occupancy"), *(v.alias(f"mean_{n}") for n, v in mean.items()), (F.sum("_stay") / F.sum(F.when(F.col("_next").isNotNull(), p))).alias("persistence")
+    )
+    by = Window.partitionBy("symbol", "window").orderBy(F.col("mean_trend") + 0.5 * F.col("mean_ret"), "state")
+    return out.withColumn("regime", F.get(F.array(*map(F.lit, NAMES)), F.row_number().over(by) - 1))
+
+
+def match_states(windows: DataFrame, limit: float = 1.5, follow: float = 0.3) -> DataFrame:
+    """(symbol, window, state, track, distance): states of following windows joined to lasting tracks.
+
+    `windows` has symbol, window and centers (array of state centres of equal length). Tracks start as
+    the states of a symbol's first window. In each later one states and tracks are paired greedily by
+    least distance, up to `limit`; a paired track moves by `follow` towards its state. If nothing can
+    be paired within the limit all tracks restart at the window's states. What is left takes the free
+    track of least distance. Windows of a symbol pass through one task in order, which keeps one
+    set of tracks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tracks = None, None
+        for batch in batches:
+            rows = []
+            for symbol, window, centers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.asarray(centers, float)
+                if symbol != now:
+                    now, tracks = symbol, None
+                if tracks is None:
+                    tracks = x.copy()
+                    rows += [(symbol, window, k, k, 0.0) for k in range(len(x))]
+                    continue
+                gap = np.sqrt(((x[:, None] - tracks[None]) ** 2).sum(2))
+                if gap.min() > limit:
+                    tracks = x.copy()
+                    rows += [(symbol, window, k, k, float(gap[k, k])) for k in range(len(x))]
+                    continue
+                pair: dict[int, int] = {}
+                for at in np.argsort(gap, axis=None, kind="stable"):
+                    state, track = divmod(int(at), len(tracks))
+                    if state not in pair and track not in pair.values():
+                        pair[state] = track
+                        if gap[state, track] <= limit:
+                            tracks[track] += follow * (x[state] - tracks[track])
+                rows += [(symbol, window, k, pair[k], float(gap[k, pair[k]])) for k in range(len(x))]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["symbol", "window", "state", "track", "distance"])
+
+    rows = windows.select("symbol", F.col("window").cast("long").alias("window"), "centers").repartition("symbol").sortWithinPartitions("symbol", "window")
+    return rows.mapInArrow(run, "symbol string, window long, state int, track int, distance double")
+
+
+def regime_report(rows: DataFrame) -> DataFrame:
+    """Per symbol: share of ok rows, switches between following ok rows, and by regime share, mean forward return and hit rate.
+
+    `rows` has symbol, pos, ok, regime, fwd and previous (regime of the row before, where that was ok).
+    A hit is a rise after a bull and a fall after a bear.
+    """
+    ok = F.col("ok")
+    hit = F.when(F.col("regime") == "bull", F.col("fwd") > 0).when(F.col("regime") == "bear", F.col("fwd") < 0)
+    of = {n: ok & (F.col("regime") == n) for n in NAMES}
+    return rows.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(ok.cast("int")).alias("ok_rate"), F.count_if(ok & F.col("previous").isNotNull() & (F.col("previous") != F.col("regime"))).alias("switches"),
+        *((F.count_if(t) / F.count_if(ok)).alias(f"{n}_share") for n, t in of.items()), *(F.avg(F.when(t, F.col("fwd"))).alias(f"{n}_fwd") for n, t in of.items()),
+        *(F.avg(F.when(of[n], hit.cast("int"))).alias(f"{n}_hits") for n in ("bear", "bull")),
+    ).withColumn("spread", F.col("bull_fwd") - F.col("bear_fwd"))

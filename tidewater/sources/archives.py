@@ -135,3 +135,15 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def last_rows(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def chosen_files(files: DataFrame, start: str, end: str) -> DataFrame:
+    """Archive files (symbol, kind, day) of a range: the monthly file of a month where there is one, else its daily files.
+
+    `day` is a day of the file's month or the file's day; daily files outside [start, end] drop.
+    """
+    month = F.trunc("day", "month")
+    f = files.withColumn("month", month).where((month >= F.trunc(F.lit(start).cast("date"), "month")) & (month <= F.lit(end).cast("date")))
+    whole = f.where("kind = 'monthly'").select("symbol", "month").distinct()
+    days = f.where("kind = 'daily'").where(F.col("day").between(start, end)).join(whole, ["symbol", "month"], "left_anti")
+    return f.where("kind = 'monthly'").unionByName(days.select(*f.columns)).dropDuplicates(["symbol", "kind", "day"])
