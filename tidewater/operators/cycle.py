@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.columns import clip
+from tidewater.functions.columns import DAY, clip
 
 
 def normalised_confidence(x: Column) -> Column:
@@ -16,22 +16,42 @@ def normalised_confidence(x: Column) -> Column:
     return F.bround(clip(scaled, 0, 100)).cast("long")
 
 
-def extracted_votes(responses: DataFrame, text: str = "text") -> DataFrame:
-    """Vote and confidence out of response texts: a fenced JSON object first, else the first object."""
-    t = F.regexp_replace(F.col(text), "(?s)<think>.*?</think>", "")
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    bare = F.regexp_extract(t, r"(?s)(\{.*?\})", 1)
-    v = F.try_parse_json(F.when(fenced != "", fenced).otherwise(bare))
-    out = responses.withColumns(
-        {"vote": F.upper(F.try_variant_get(v, "$.vote", "string")), "_c": F.try_variant_get(v, "$.confidence", "double")}
-    )
+def _object(depth: int) -> str:
+    """Pattern of a brace-balanced object with up to `depth` levels inside; braces in strings count as text."""
+    inner = r'(?:[^{}"]|"(?:[^"\\]|\\.)*")'
+    pattern = rf"\{{{inner}*+\}}"
+    for _ in range(depth):
+        pattern = rf"\{{(?:{inner}|{pattern})*+\}}"
+    return pattern
+
+
+OBJECT = rf"(?s)({_object(4)})"
+
+
+def extracted_votes(responses: DataFrame, text: str = "text", debate: bool = False) -> DataFrame:
+    """Vote and confidence out of response texts: a fenced JSON object, else the whole text, else the first object in it.
+
+    Thoughts between <think> marks do not count. In a debate the keys are final_vote and
+    final_confidence, and `changed` tells whether the opinion did. A row is valid if the vote is BUY,
+    SELL or HOLD and the confidence a number.
+    """
+    t = F.trim(F.regexp_replace(F.col(text), "(?is)<think>.*?</think>", ""))
+    staged = responses.withColumn("_t", t)
+    parsed = [F.try_parse_json(F.regexp_extract("_t", r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)), F.try_parse_json("_t"), F.try_parse_json(F.regexp_extract("_t", OBJECT, 1))]
+    # only objects count, so that a bare number or string is passed over
+    found = F.coalesce(*(F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in parsed))
+    keys = ("final_vote", "final_confidence") if debate else ("vote", "confidence")
+    out = staged.withColumn("_v", found)
+    out = out.withColumns({"vote": F.upper(F.try_variant_get("_v", f"$.{keys[0]}", "string")), "_c": F.try_variant_get("_v", f"$.{keys[1]}", "double")})
+    if debate:
+        out = out.withColumn("changed", F.coalesce(F.try_variant_get("_v", "$.changed_opinion", "boolean"), F.lit(False)))
     ok = F.col("vote").isin("BUY", "SELL", "HOLD") & F.col("_c").isNotNull()
-    return out.withColumns({"valid": F.coalesce(ok, F.lit(False)), "confidence": normalised_confidence(F.col("_c"))}).drop("_c")
+    return out.withColumns({"valid": F.coalesce(ok, F.lit(False)), "confidence": normalised_confidence(F.col("_c"))}).drop("_c", "_v", "_t")
 
 
 def consensus(votes: DataFrame, weights: DataFrame, keys: Sequence[str] = ("cycle_id",), sure: float = 65.0, threshold: float = 0.61) -> DataFrame:
     """Weighted share of confident votes per side; BUY is looked at first."""
-    v = votes.join(F.broadcast(weights), "voter", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
+    v = votes.join(weights, "voter", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
     side = lambda s: F.sum(F.when((F.col("vote") == s) & (F.col("confidence") >= sure), F.col("w")).otherwise(0.0)) / F.sum("w")
     out = v.groupBy(*keys).agg(side("BUY").alias("buy_share"), side("SELL").alias("sell_share"))
     return out.withColumn("decision", F.when(F.col("buy_share") >= threshold, "BUY").when(F.col("sell_share") >= threshold, "SELL").otherwise("HOLD"))
@@ -46,6 +66,19 @@ def voter_weights(graded: DataFrame, floor: float = 0.11) -> DataFrame:
     return per.join(F.broadcast(top)).select("voter", "score", clip(1 + F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0), 0.2, 2).alias("weight"))
 
 
+def recent_voter_weights(graded: DataFrame, voters: DataFrame, now: int, days: int = 30) -> DataFrame:
+    """`voter_weights` of the trades closed in the last `days`; everybody weighs 1 until the first trade is that old.
+
+    `graded` has closed_us besides voter, r_multiple and right; voters without a recent trade score 0.
+    """
+    since = now - days * DAY
+    old_enough = graded.agg((F.min("closed_us") <= since).alias("_ready"))
+    recent = graded.where(F.col("closed_us") > since).select("voter", "r_multiple", "right")
+    every = voters.select("voter", F.lit(0.0).alias("r_multiple"), F.lit(True).alias("right"))
+    weights = voter_weights(recent.join(voters.select("voter"), "voter", "left_semi").unionByName(every)).join(old_enough)
+    return weights.select("voter", "score", F.when(F.coalesce("_ready", F.lit(False)), F.col("weight")).otherwise(1.0).alias("weight"))
+
+
 def gate(regime: Column, conviction: Column, threshold: Column, persistence: Column, margin: Column, fresh: Column) -> Column:
     """(decision, reason) of the regime gate, first matching rule."""
     rules = [

@@ -160,7 +160,7 @@ def forward_labels(bars: DataFrame, horizon: int = 5, quantile: float = 0.9) ->
 
     ahead = rolling(bars, KEYS, ORDER, 0, forward, ahead=horizon).withColumn("fwd_abs", F.abs("fwd_return"))
     overall = ahead.groupBy("symbol").agg(F.percentile("fwd_abs", quantile).alias("_overall"))
-    out = rolling(ahead, KEYS, ORDER, n + 1, label).join(F.broadcast(overall), "symbol")
+    out = rolling(ahead, KEYS, ORDER, n + 1, label).join(overall, "symbol")
     threshold = F.coalesce("_threshold", "_overall")
     return out.withColumn("jump", F.when(F.col("fwd_abs").isNotNull(), (F.col("fwd_abs") >= threshold).cast("int"))).drop("_threshold", "_overall")
 
@@ -220,22 +220,31 @@ def session_of(hour: Column) -> Column:
     return F.when(hour < 8, "asia").when(hour < 16, "europe").otherwise("america")
 
 
+def off_session(bars: DataFrame, hour: str = "hour", step: int = 4) -> DataFrame:
+    """Per symbol: rows, and rows whose hour does not start a bar of `step` hours, so that no session owns them."""
+    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(hour).isNull() | (F.col(hour) % step != 0)).alias("off_session"))
+
+
 def regime_ages(bars: DataFrame) -> DataFrame:
     """Direction of each bar's close against its open as a regime, and how long it has lasted."""
     state = F.when(F.col("close") > F.col("open"), "bull").when(F.col("close") < F.col("open"), "bear").otherwise("neutral")
     return islands(bars.withColumn("regime", state), KEYS, "open_us", "regime")
 
 
-def winsorised(bars: DataFrame, x: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clipped to the symbol's quantiles, then (x - median) / IQR (deviation where IQR is 0), within 8."""
-    q = bars.groupBy("symbol").agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    cut = bars.join(q, "symbol").withColumn("_x", F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(x))))
-    s = cut.groupBy("symbol").agg(
+def winsorised(bars: DataFrame, x: str, low: float = 0.01, high: float = 0.99, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Clipped to the quantiles of its keys, then (x - median) / IQR (deviation where IQR is 0), within 8.
+
+    With a window among the keys no value depends on later windows; quantiles are exact over one key.
+    """
+    keys = list(keys)
+    q = bars.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    cut = bars.join(q, keys).withColumn("_x", F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(x))))
+    s = cut.groupBy(*keys).agg(
         F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p"), F.stddev_pop("_x").alias("_sd")
     )
     iqr = F.col("_p")[2] - F.col("_p")[0]
     scale = F.coalesce(F.when(iqr > 1e-12, iqr), F.when(F.col("_sd") > 1e-12, F.col("_sd")), F.lit(1.0))
-    out = cut.join(s, "symbol").withColumn("scaled", clip((F.col("_x") - F.col("_p")[1]) / scale, -8, 8))
+    out = cut.join(s, keys).withColumn("scaled", clip((F.col("_x") - F.col("_p")[1]) / scale, -8, 8))
     return out.drop("_q", "_x", "_p", "_sd")
 
 

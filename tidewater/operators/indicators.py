@@ -82,7 +82,7 @@ def indicators(bars: DataFrame, rows: int = ROWS) -> DataFrame:
 def screened(bars: DataFrame, top: int = 3, at_least: int = 250) -> DataFrame:
     """The symbols of highest relative volume at their last closed bar; the last bar may still be open."""
     last = bars.groupBy("symbol").agg(F.max("open_us").alias("_last"))
-    closed = bars.join(F.broadcast(last), "symbol").where("open_us < _last").drop("_last")
+    closed = bars.join(last, "symbol").where("open_us < _last").drop("_last")
     got = indicators(closed)
     now = got.groupBy("symbol").agg(F.max_by(F.struct("open_us", *NAMES), "pos").alias("x"), F.count(F.lit(1)).alias("bars"))
     ok = now.where(F.col("bars") >= at_least).select("symbol", "bars", "x.*")

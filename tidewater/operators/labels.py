@@ -81,18 +81,18 @@ def purged_folds(events: DataFrame, folds: int = 5, embargo: int = 4) -> DataFra
     fold k; events before it train it if they end before the bar `embargo` bars before its first one.
     """
     n = events.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    e = ordinal(events, ["symbol"], ["open_us"], "_rank").join(F.broadcast(n), "symbol")
+    e = ordinal(events, ["symbol"], ["open_us"], "_rank").join(n, "symbol")
     e = e.withColumn("part", equal_parts(F.col("_rank"), F.col("_n"), folds + 1))
     tests = e.where("part >= 1").select("symbol", F.col("part").alias("fold"), F.lit("test").alias("role"), "pos")
     bounds = e.where("part >= 1").groupBy("symbol", F.col("part").alias("fold")).agg((F.min("pos") - embargo).alias("bound"))
-    train = e.join(F.broadcast(bounds), "symbol").where((F.col("part") < F.col("fold")) & (F.col("exit_pos") < F.col("bound")))
+    train = e.join(bounds, "symbol").where((F.col("part") < F.col("fold")) & (F.col("exit_pos") < F.col("bound")))
     return tests.unionByName(train.select("symbol", "fold", F.lit("train").alias("role"), "pos"))
 
 
 def purged_training(events: DataFrame, after_exit: int = 4 * HOUR, embargo: int = 96 * HOUR) -> DataFrame:
     """Pooled events: per fold the earlier events that end an embargo before its first decision, and how many do not."""
     starts = events.groupBy("fold").agg(F.min("decision_us").alias("start"))
-    early = events.select(F.col("fold").alias("own"), "exit_us").join(F.broadcast(starts)).where("own < fold")
+    early = events.select(F.col("fold").alias("own"), "exit_us").join(starts).where("own < fold")
     ok = F.col("exit_us") + after_exit < F.col("start") - embargo
     return early.groupBy("fold").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("removed"))
 
@@ -101,16 +101,24 @@ def last_share(events: DataFrame, share: float, keys: list[str] | None = None, u
     """Marks the last share of the rows of each key by (decision_us, symbol) as validation."""
     keys = keys or ["fold"]
     n = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    e = ordinal(events, keys, ["decision_us", "symbol"], "_rank").join(F.broadcast(n), keys)
+    e = ordinal(events, keys, ["decision_us", "symbol"], "_rank").join(n, keys)
     size = (F.ceil if up else F.floor)(F.col("_n") * share)
     return e.withColumn("validation", F.col("_rank") >= F.col("_n") - size).drop("_rank", "_n")
 
 
+def selection_split(events: DataFrame, share: float = 0.2) -> DataFrame:
+    """Adds `part`: the last share of each fold validates, earlier events train if they end before it starts, the rest is purged."""
+    e = last_share(events, share, up=True)
+    starts = e.where("validation").groupBy("fold").agg(F.min("decision_us").alias("_start"))
+    part = F.when(F.col("validation"), "validation").when(F.col("exit_us") < F.col("_start"), "train").otherwise("purged")
+    return e.join(starts, "fold").withColumn("part", part).drop("_start", "validation")
+
+
 def time_blocks(events: DataFrame, blocks: int = 4) -> DataFrame:
     """Blocks per fold that never split a time: block ends where 4 * running count >= b * total."""
     n = events.groupBy("fold", "decision_us").agg(F.count(F.lit(1)).alias("n"))
     total = events.groupBy("fold").agg(F.count(F.lit(1)).alias("_total"))
-    run = running_sums(n, ["fold"], ["decision_us"], {"_run": "n"}).join(F.broadcast(total), "fold")
+    run = running_sums(n, ["fold"], ["decision_us"], {"_run": "n"}).join(total, "fold")
     before = F.col("_run") - F.col("n")
     block = 1 + sum((blocks * before >= b * F.col("_total")).cast("int") for b in range(1, blocks))
     return run.select("fold", "decision_us", block.alias("block"), "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ def scopes(spark, evaluated: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "scope string, fold int"))
 
 
-def threshold_statistics(events: DataFrame, score: str, thresholds: Sequence[float], keys: Sequence[str] = ("fold",)) -> DataFrame:
-    """Trades at or above each threshold: number, win rate, mean and sum of net returns."""
+def threshold_statistics(events: DataFrame, score: str, thresholds: Sequence[float], keys: Sequence[str] = ("fold",), vertical: Column | None = None) -> DataFrame:
+    """Trades at or above each threshold: number, win rate, mean and sum of net returns, and the share that ran out of time."""
     tau = F.explode(F.array(*map(F.lit, thresholds)))
     picked = events.withColumn("threshold", tau)
     taken = F.col(score) >= F.col("threshold")
@@ -39,6 +40,7 @@ def threshold_statistics(events: DataFrame, score: str, thresholds: Sequence[flo
         F.avg(F.when(taken, F.col("win"))).alias("win_rate"),
         F.avg(F.when(taken, F.col("net"))).alias("mean_net"),
         F.sum(F.when(taken, F.col("net"))).alias("sum_net"),
+        *([] if vertical is None else [F.avg(F.when(taken, vertical.cast("int"))).alias("vertical_rate")]),
     )
     return out
 
@@ -84,13 +86,12 @@ def peak_so_far(curve: DataFrame, keys: Sequence[str], value: str = "equity", sp
 def expected_shortfall(events: DataFrame, keys: Sequence[str], tail: float = 0.05) -> DataFrame:
     """Mean of the ceil(tail * n) smallest net returns.
 
-    Counts per distinct value find the cut, so no group is sorted in one task beyond its values.
+    Counts per distinct value and their two-pass running sums find the cut, so no group is sorted in one task.
     """
     keys = list(keys)
     size = events.groupBy(*keys).agg(F.greatest(F.ceil(count() * tail), F.lit(1)).alias("_k"))
     each = events.groupBy(*keys, "net").agg(count().alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("net")
-    run = each.withColumn("_upto", F.sum("_c").over(w)).join(size, keys)
+    run = running_sums(each, keys, ["net"], {"_upto": "_c"}, by_value=True).join(size, keys)
     took = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_k") - (F.col("_upto") - F.col("_c"))))
     return run.groupBy(*keys).agg((F.sum(took * F.col("net")) / F.first("_k")).alias("expected_shortfall"))
 
@@ -130,7 +131,7 @@ def reliability(events: DataFrame, score: str, label: str, weight: str, keys: Se
     from tidewater.operators.labels import equal_parts
 
     e = events.withColumn("_at", F.col(score) * 1e6)
-    e = ordinal(e, keys, ["_at", "decision_us", "symbol"], "_rank", span=10_000).join(F.broadcast(size), keys)
+    e = ordinal(e, keys, ["_at", "decision_us", "symbol"], "_rank", span=10_000).join(size, keys)
     e = e.withColumn("bin", equal_parts(F.col("_rank"), F.col("_n"), bins))
     w = F.col(weight)
     return e.groupBy(*keys, "bin").agg(
@@ -153,7 +154,7 @@ def top_n(events: DataFrame, score: str, sizes: DataFrame, keys: Sequence[str] =
     """The n best events of each key by (score desc, time, symbol), n from `sizes`."""
     e = events.withColumn("_at", -F.col(score) * 1e6)
     ranked = ordinal(e, keys, ["_at", "decision_us", "symbol"], "_rank", span=10_000)
-    return ranked.join(F.broadcast(sizes), list(keys)).where(F.col("_rank") < F.col("n")).drop("_at", "_rank", "n")
+    return ranked.join(sizes, list(keys)).where(F.col("_rank") < F.col("n")).drop("_at", "_rank", "n")
 
 
 def equal_n(events: DataFrame, a: str, b: str, sizes: DataFrame) -> DataFrame:
@@ -196,11 +197,11 @@ def class_weights(events: DataFrame, label: str, weight: str, keys: Sequence[str
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties at their mean, from counts per distinct value."""
+    """Ranks from 1, ties at their mean, from counts per distinct value summed up in two passes."""
     keys = list(keys)
     each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count().alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranks = each.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    ranks = running_sums(each, keys, [value], {"_upto": "_c"}, by_value=True)
+    ranks = ranks.withColumn(name, F.col("_upto") - (F.col("_c") - 1) / 2).drop("_c", "_upto")
     return df.join(ranks, [*keys, value], "left")
 
 
@@ -217,23 +218,63 @@ def information_coefficients(df: DataFrame, features: Sequence[str], labels: Seq
     return out.select(*keys, "n", *(F.when(~few, F.col(c)).alias(c) for c in ("pearson", "spearman")), F.when(few, "insufficient").otherwise("ok").alias("status"))
 
 
-def feature_verdicts(ic: DataFrame, rows: int) -> DataFrame:
-    """skipped below 20 % coverage, insufficient below 50 rows, useful from 0.05 on, else weak."""
-    best = ic.groupBy("feature").agg(F.max(F.abs("spearman")).alias("strength"), F.max("n").alias("n"))
-    verdict = F.when(F.col("n") / rows < 0.2, "skipped").when(F.col("n") < 50, "insufficient").when(F.col("strength") >= 0.05, "useful").otherwise("weak")
-    return best.withColumn("verdict", verdict)
+def correlation_p_values(ic: DataFrame) -> DataFrame:
+    """Adds p_pearson and p_spearman, two-sided, from Student's t with n - 2 degrees; the table has one row per feature and label."""
+    from tidewater.operators.indicators import incomplete_beta
 
+    def of(r: float | None, n: int) -> float | None:
+        if r is None or n < 3:
+            return None
+        return 0.0 if abs(r) >= 1 else incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
 
-def placebo(events: DataFrame, cells: Sequence[str], sizes: DataFrame, seeds: int) -> DataFrame:
-    """Summed net of `seeds` random draws without replacement of n events per cell.
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n").to_pylist()
+            out = batch
+            for c in ("pearson", "spearman"):
+                out = out.append_column(f"p_{c}", pa.array([of(r, k) for r, k in zip(batch.column(c).to_pylist(), n, strict=True)], pa.float64()))
+            yield out
 
-    An event's place in a draw is the hash of (seed, event); each (seed, cell) is one small sort.
+    return ic.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in ic.dtypes) + ", p_pearson double, p_spearman double")
+
+
+def feature_verdicts(ic: DataFrame, rows: DataFrame) -> DataFrame:
+    """skipped below 20 % coverage, insufficient below 50 rows, useful from 0.05 on, else weak.
+
+    `rows` holds the number of rows of the table as `rows`.
+    """
+    best = ic.groupBy("feature").agg(F.max(F.abs("spearman")).alias("strength"), F.max("n").alias("n")).join(rows.select("rows"))
+    verdict = F.when(F.col("n") / F.col("rows") < 0.2, "skipped").when(F.col("n") < 50, "insufficient").when(F.col("strength") >= 0.05, "useful").otherwise("weak")
+    return best.withColumn("verdict", verdict).drop("rows")
+
+
+def placebo(events: DataFrame, cells: Sequence[str], sizes: DataFrame, seeds: int, parts: int = 16) -> DataFrame:
+    """Number, summed net and summed holding hours of `seeds` random draws without replacement, per seed and fold.
+
+    An event's place in a draw is the hash of (seed, event), and of each cell (fold, or fold and
+    symbol) the n smallest are drawn. Counts and sums per range of hashes are added up first; only
+    the range that holds the cut is sorted, a `parts`-th of a cell.
     """
-    draws = events.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    cells = list(cells)
+    hold = (F.col("exit_us") - F.col("decision_us")) / 3.6e9
+    slim = events.select("fold", *(c for c in cells if c != "fold"), "event_id", "net", hold.alias("_hold")).join(sizes.select(*cells, "n"), cells)
     key = F.xxhash64("seed", "event_id")
-    w = Window.partitionBy("seed", *cells).orderBy(key, "event_id")
-    picked = draws.withColumn("_k", F.row_number().over(w)).join(F.broadcast(sizes), list(cells)).where(F.col("_k") <= F.col("n"))
-    return picked.groupBy("seed").agg(count().alias("n"), F.sum("net").alias("sum_net"))
+    draws = slim.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("_h", key)
+    draws = draws.withColumn("_part", F.floor(F.col("_h") / (2.0**64 / parts)))
+    ranges = draws.groupBy("seed", *cells, "_part", "n").agg(count().alias("_c"), F.sum("net").alias("_net"), F.sum("_hold").alias("_held"))
+    w = Window.partitionBy("seed", *cells).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    whole = ranges.where(F.col("_before") + F.col("_c") <= F.col("n")).select("seed", "fold", F.col("_c").alias("n"), F.col("_net").alias("net"), F.col("_held").alias("hold"))
+    cut = ranges.where((F.col("_before") < F.col("n")) & (F.col("_before") + F.col("_c") > F.col("n"))).select("seed", *cells, "_part", (F.col("n") - F.col("_before")).alias("_more"))
+    order = Window.partitionBy("seed", *cells).orderBy("_h", "event_id")
+    last = draws.join(cut, ["seed", *cells, "_part"]).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_more"))
+    rows = whole.unionByName(last.select("seed", "fold", F.lit(1).cast("long").alias("n"), "net", F.col("_hold").alias("hold")))
+    return rows.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.sum("net").alias("sum_net"), F.sum("hold").alias("sum_hold"))
+
+
+def exposure(draws: DataFrame, value: str, at: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """Linear percentiles of a value over draws, one row."""
+    return draws.agg(*(F.percentile(value, q).alias(f"p{round(q * 100)}") for q in at))
 
 
 def mid_rank(draws: DataFrame, value: str, observed: float) -> DataFrame:

@@ -82,7 +82,7 @@ def volume_buckets(trades: DataFrame, buckets: int = 20, capacity: float | None
     t = signed_trades(trades)
     size = t.groupBy("symbol").agg((F.lit(capacity) if capacity else F.sum("quote") / buckets).alias("V"))
     run = running_sums(t, ["symbol"], ["us", "trade_id"], {"c1": "quote"}, span)
-    run = run.join(F.broadcast(size), "symbol").withColumn("c0", F.col("c1") - F.col("quote"))
+    run = run.join(size, "symbol").withColumn("c0", F.col("c1") - F.col("quote"))
     v = F.col("V")
     parts = run.withColumn("bucket", F.explode(F.sequence(F.floor(F.greatest(F.col("c0"), F.lit(0.0)) / v), F.floor(F.col("c1") / v))))
     k = F.col("bucket")
@@ -128,26 +128,32 @@ def missing_minutes(minutes: DataFrame) -> DataFrame:
     return n.withColumn("missing_ratio", 1 - F.col("n") / F.col("expected"))
 
 
-def vpin_history(minutes: DataFrame, capacity: float, look_back: int = 7 * DAY, step: int = HOUR, last: int = 20) -> DataFrame:
+def hourly_capacity(minutes: DataFrame, per_hour: int = 60, buckets: int = 20) -> DataFrame:
+    """Bucket capacity per symbol: the median volume of its full hours over the number of buckets."""
+    return full_hours(minutes, per_hour).groupBy("symbol").agg((F.median("quote") / buckets).alias("capacity"))
+
+
+def vpin_history(minutes: DataFrame, capacities: DataFrame, look_back: int = 7 * DAY, step: int = HOUR, last: int = 20) -> DataFrame:
     """VPIN at checkpoints from the cumulative volume curve, with buckets that start at the window's start.
 
     For checkpoint T the window is (T - look_back, T]. Instead of re-reading it, the curve of
     cumulative (volume, buys) is looked up at the `last` + 1 borders of its last complete buckets and
     interpolated linearly: an as-of join on cumulative volume. NULL where the series does not reach
-    back to the window's start or holds fewer complete buckets.
+    back to the window's start or holds fewer complete buckets, or without a capacity in `capacities`.
     """
+    capacity = F.col("capacity")
     curve = materialise(running_sums(minutes, ["symbol"], ["open_us"], {"C": "quote", "B": "buy"}, 7 * DAY), "curve")
     ends = curve.select("symbol", F.col("close_us").alias("at"), "C", "B")
     edge = curve.groupBy("symbol").agg(F.min("open_us").alias("lo"), F.max("close_us").alias("hi"))
     points = edge.select("symbol", "lo", F.explode(F.sequence(F.ceil(F.col("lo") / step) * step, F.floor(F.col("hi") / step) * step, F.lit(step))).alias("T"))
     end = asof_join(points, ends, ["symbol"], "T", "at", prefix="e_")
-    both = asof_join(end.withColumn("S", F.col("T") - look_back), ends, ["symbol"], "S", "at", prefix="s_")
+    both = asof_join(end.withColumn("S", F.col("T") - look_back), ends, ["symbol"], "S", "at", prefix="s_").join(capacities, "symbol", "left")
     c0, c1 = F.coalesce("s_C", F.lit(0.0)), F.coalesce("e_C", F.lit(0.0))
     n = F.floor((c1 - c0) / capacity + 1e-9)
     whole = (F.col("T") - look_back >= F.col("lo") - MINUTE) & (n >= last)
-    asked = materialise(both.select("symbol", "T", F.when(whole, n).alias("n"), c0.alias("c0")), "checkpoints")
+    asked = materialise(both.select("symbol", "T", F.when(whole, n).alias("n"), c0.alias("c0"), "capacity"), "checkpoints")
     # a border's place on the curve as an integer, so that time-like ordering works on volume too
-    border = asked.where("n is not null").select("symbol", "T", F.explode(F.sequence(F.col("n") - last, F.col("n"))).alias("k"), "c0")
+    border = asked.where("n is not null").select("symbol", "T", F.explode(F.sequence(F.col("n") - last, F.col("n"))).alias("k"), "c0", "capacity")
     border = border.withColumn("x", F.col("c0") + F.col("k") * capacity).withColumn("x_key", F.floor(F.col("x") * 1e4).cast("long"))
     w = Window.partitionBy("symbol", F.floor(F.col("open_us") / (7 * DAY))).orderBy("open_us")
     first = curve.groupBy("symbol", F.floor(F.col("open_us") / (7 * DAY)).alias("week")).agg(F.min_by(F.struct("quote", "buy"), "open_us").alias("f"), F.min("open_us").alias("o"))
@@ -165,7 +171,7 @@ def vpin_history(minutes: DataFrame, capacity: float, look_back: int = 7 * DAY,
     at = at.withColumn("buys", value)
     seq = Window.partitionBy("symbol", "T").orderBy("k")
     bucket = at.withColumn("got", F.col("buys") - F.lag("buys").over(seq)).where("got is not null")
-    out = bucket.groupBy("symbol", "T").agg((F.avg(F.abs(2 * F.col("got") - capacity)) / capacity).alias("vpin"))
+    out = bucket.groupBy("symbol", "T").agg(F.avg(F.abs(2 * F.col("got") - capacity) / capacity).alias("vpin"))
     return asked.select("symbol", "T").join(out, ["symbol", "T"], "left").select("symbol", F.col("T").alias("ts_us"), clip(F.col("vpin"), 0, 1).alias("vpin"))
 
 
@@ -177,6 +183,17 @@ def funding_history(funding: DataFrame, window: int = 90) -> DataFrame:
     return out.withColumn("funding_extreme_pos", F.coalesce(extreme, F.lit(False)).cast("int")).drop("pos")
 
 
+def flow_row(flow: DataFrame, min_liquidity: float) -> DataFrame:
+    """The last order flow of each symbol, also as a share of the best quantities, with counts and the reason where it is not ok."""
+    best = F.greatest(F.coalesce("bq", F.lit(0.0)), F.lit(0.0)) + F.greatest(F.coalesce("aq", F.lit(0.0)), F.lit(0.0))
+    norm = F.when(best > 1e-12, clip(F.col("ofi") / F.when(best > 1e-12, best), -1, 1)).otherwise(0.0)
+    names = ["ofi", "ofi_norm", "ofi_z", "depth_imbalance", "spread_bps", "liquidity"]
+    last = flow.withColumn("ofi_norm", norm).groupBy("symbol").agg(F.max_by(F.struct(*names), "seq").alias("x"), F.count(F.lit(1)).alias("snapshots"))
+    out = last.select("symbol", "x.*", "snapshots")
+    reason = F.when(F.col("liquidity") < min_liquidity, "liquidity_below_min").when(F.col("snapshots") < 2, "few_snapshots")
+    return out.withColumn("ok", reason.isNull()).withColumn("reason", reason)
+
+
 def combined_row(flow: DataFrame, buckets: DataFrame, min_liquidity: float) -> DataFrame:
     """Latest order flow and VPIN per symbol side by side, with reasons for what is missing."""
     latest = flow.groupBy("symbol").agg(F.max_by(F.struct("ofi", "ofi_z", "liquidity", "spread_bps"), "seq").alias("f"), F.count(F.lit(1)).alias("snapshots"))

@@ -9,11 +9,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.columns import clip, logit
-from tidewater.operators.metrics import auc
+from tidewater.functions.columns import clip, finite, logit
+from tidewater.operators.evaluation import importance_summary
+from tidewater.operators.labels import last_share
+from tidewater.operators.metrics import auc, dispersion, losses
+from tidewater.operators.series import running_sums
 
 
 def probability(name: str = "probability") -> Column:
@@ -28,20 +31,23 @@ def _stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return [*index, fill, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
+def _flagged(events: DataFrame, numeric: Sequence[str], label: str) -> DataFrame:
+    """Numbers as doubles with a flag where they are missing, and the label as `_y`."""
+    out = events.withColumns({f"_na_{c}": F.col(c).isNull().cast("double") for c in numeric})
+    return out.withColumns({c: F.col(c).cast("double") for c in numeric}).withColumn("_y", F.col(label).cast("double"))
+
+
 def walk_forward(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, name: str = "p_model", trees: int = 10, depth: int = 3) -> DataFrame:
     """Out-of-fold probabilities of boosted trees: fold k is scored by rows of earlier folds that end in time.
 
     `events` has fold, decision_us and exit_us. A training row must end `embargo` before the fold starts.
     """
-    flagged = events.withColumns({f"_na_{c}": F.col(c).isNull().cast("double") for c in numeric})
-    flagged = flagged.withColumns({c: F.col(c).cast("double") for c in numeric}).withColumn("_y", F.col(label).cast("double"))
+    flagged = _flagged(events, numeric, label)
     starts = {r["fold"]: r["s"] for r in flagged.groupBy("fold").agg(F.min("decision_us").alias("s")).collect()}  # one row a fold
     out = None
     for k in folds:
         train = flagged.where((F.col("fold") < k) & (F.col("exit_us") < starts[k] - embargo))
-        mass = {r["_y"]: r["w"] for r in train.groupBy("_y").agg(F.sum(weight).alias("w")).collect()}  # two rows
-        balance = mass.get(0.0, 1.0) / mass.get(1.0, 1.0)
-        train = train.withColumn("_w", F.col(weight) * F.when(F.col("_y") == 1, balance).otherwise(1.0))
+        train = _balanced(train, weight)
         trees_of = GBTClassifier(labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=7, maxBins=64)
         model = Pipeline(stages=[*_stages(numeric, categorical), trees_of]).fit(train)
         part = model.transform(flagged.where(F.col("fold") == k)).withColumn(name, probability())
@@ -50,30 +56,155 @@ def walk_forward(events: DataFrame, numeric: Sequence[str], categorical: Sequenc
     return out
 
 
-def permutation_importance(events: DataFrame, numeric: Sequence[str], label: str, seed: int = 7) -> DataFrame:
-    """(feature, importance): loss of AUC when a feature is replaced by that of a hash-shuffled row."""
-    base = events.dropna(subset=list(numeric)).withColumn("_y", F.col(label).cast("double"))
+def _balanced(train: DataFrame, weight: str) -> DataFrame:
+    """`_w`: the weight, of positives times the ratio of class masses."""
+    mass = {r["_y"]: r["w"] for r in train.groupBy("_y").agg(F.sum(weight).alias("w")).collect()}  # two rows
+    return train.withColumn("_w", F.col(weight) * F.when(F.col("_y") == 1, mass.get(0.0, 1.0) / mass.get(1.0, 1.0)).otherwise(1.0))
+
+
+def permutation_importance(events: DataFrame, numeric: Sequence[str], label: str, seed: int = 7, weight: str | None = None, repeats: int = 1, test: DataFrame | None = None) -> DataFrame:
+    """(feature, importance): mean loss of weighted AUC when a feature is replaced by that of a shuffled row.
+
+    The forest is fitted on `events` and judged on `test`, or on `events` where there is none.
+    """
     assemble = VectorAssembler(inputCols=list(numeric), outputCol="features")
-    model = RandomForestClassifier(labelCol="_y", numTrees=10, maxDepth=4, seed=seed).fit(assemble.transform(base))
+    made = lambda df: df.dropna(subset=list(numeric)).withColumns({"_y": F.col(label).cast("double"), "_u": F.col(weight) if weight else F.lit(1.0)})
+    base, judged = made(events), made(events if test is None else test)
+    model = RandomForestClassifier(labelCol="_y", weightCol="_w", numTrees=10, maxDepth=4, seed=seed).fit(assemble.transform(_balanced(base, "_u")))
 
     def area(df: DataFrame) -> float:
-        scored = model.transform(assemble.transform(df)).withColumn("_s", probability()).withColumn("_k", F.lit(1))
-        return auc(scored, "_s", "_y", ["_k"]).first()["auc"] or 0.5
+        scored = model.transform(assemble.transform(df)).withColumn("_s", probability())
+        return weighted_auc(scored, "_s", "_y", "_u").first()["auc"] or 0.5
 
-    whole, rows = area(base), []
+    whole, rows = area(judged), []
     n = 64  # rows swap values within hash groups, so no global sort is needed
+    group = F.pmod(F.xxhash64("event_id"), F.lit(n))
+    w = Window.partitionBy("_g").orderBy("_r", "event_id")
     for c in numeric:
-        group = F.pmod(F.xxhash64("event_id"), F.lit(n))
-        other = base.select(F.pmod(F.xxhash64("event_id"), F.lit(n)).alias("_g"), F.xxhash64("event_id", F.lit(seed)).alias("_r"), F.col(c).alias("_v"))
-        mine = base.drop(c).withColumns({"_g": group, "_r": F.xxhash64("event_id", F.lit(seed + 1))})
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("_g").orderBy("_r")
-        a, b = (x.withColumn("_n", F.row_number().over(w)).drop("_r") for x in (mine, other))
-        rows.append((c, whole - area(a.join(b, ["_g", "_n"]).withColumnRenamed("_v", c))))
+        lost = 0.0
+        for k in range(repeats):
+            other = judged.select(group.alias("_g"), F.xxhash64("event_id", F.lit(seed + 2 * k)).alias("_r"), "event_id", F.col(c).alias("_v"))
+            mine = judged.drop(c).withColumns({"_g": group, "_r": F.xxhash64("event_id", F.lit(seed + 2 * k + 1))})
+            a, b = mine.withColumn("_n", F.row_number().over(w)).drop("_r"), other.withColumn("_n", F.row_number().over(w)).drop("_r", "event_id")
+            lost += whole - area(a.join(b, ["_g", "_n"]).withColumnRenamed("_v", c))
+        rows.append((c, lost / repeats))
     return events.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def weighted_auc(scored: DataFrame, score: str, label: str, weight: str) -> DataFrame:
+    """Area under the ROC curve with row weights, ties counted half, by two-pass sums over scores; one row."""
+    each = scored.groupBy(F.lit(1).alias("_k"), F.col(score).alias("_s")).agg(
+        F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(F.col(weight))).alias("q")
+    )
+    run = running_sums(each, ["_k"], ["_s"], {"upto": "q"}, by_value=True)
+    both = F.sum("p") * F.sum("q")
+    return run.agg((F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2)) / F.when(both > 0, both)).alias("auc"))
+
+
+def select_features(events: DataFrame, numeric: Sequence[str], label: str, weight: str, folds: Sequence[int], keep: float = 0.5, repeats: int = 1) -> DataFrame:
+    """Mean permutation importance over folds, each judged on a fold by a forest of the earlier ones; the top share is kept.
+
+    `positive` tells whether the mean importance is above 0.
+    """
+    out = None
+    for k in folds:
+        part = permutation_importance(events.where(F.col("fold") < k), numeric, label, weight=weight, repeats=repeats, test=events.where(F.col("fold") == k))
+        part = part.select(F.lit(f"fold_{k}").alias("symbol"), "feature", "importance")
+        out = part if out is None else out.unionByName(part)
+    return importance_summary(out, keep).withColumn("positive", F.col("mean_importance") > 0)
+
+
+def final_refit(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, name: str = "p_final", trees: int = 10, depth: int = 3) -> DataFrame:
+    """Scores of a model fitted on all rows; `refit` gives the model itself."""
+    return refit(events, numeric, categorical, label, weight, trees, depth).transform(_flagged(events, numeric, label)).withColumn(name, probability()).select(*events.columns, name)
+
+
+def refit(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, trees: int = 10, depth: int = 3):
+    learner = GBTClassifier(labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=7, maxBins=64)
+    return Pipeline(stages=[*_stages(numeric, categorical), learner]).fit(_balanced(_flagged(events, numeric, label), weight))
+
+
+def final_calibrators(events: DataFrame, score: str, label: str, weight: str) -> DataFrame:
+    """(weighted, slope, intercept, base_rate) of logistic maps fitted on all rows, with the weights and without."""
+    flat = events.withColumn("_one", F.lit(1.0))
+    rates = flat.agg((F.sum(F.col(label) * F.col(weight)) / F.sum(weight)).alias("w"), F.avg(label).alias("u")).first()
+    rows = [(True, *platt(flat, score, label, weight), rates["w"]), (False, *platt(flat, score, label, "_one"), rates["u"])]
+    return events.sparkSession.createDataFrame([(a, b, c, float(d)) for a, b, c, d in rows], "weighted boolean, slope double, intercept double, base_rate double")
+
+
+def ablation(events: DataFrame, arms: dict[str, Sequence[str]], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, trees: int = 10, depth: int = 3) -> DataFrame:
+    """(arm, fold, n, auc, weighted_log_loss): the same frozen model refitted on the columns of each arm."""
+    out = None
+    for arm, columns in arms.items():
+        scored = walk_forward(events, columns, categorical, label, weight, folds, embargo, "_p", trees, depth)
+        area = auc(scored, "_p", label, ["fold"]).select("fold", "auc")
+        part = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).join(area, "fold").join(losses(scored, "_p", label, weight, ["fold"]), "fold")
+        part = part.select(F.lit(arm).alias("arm"), "fold", "n", "auc", "weighted_log_loss")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def nested_search(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, grid: dict[str, Sequence], share: float = 0.25) -> DataFrame:
+    """(fold, config_id, inner_loss, won): every configuration of the grid judged inside the training rows of each outer fold.
+
+    Of the rows before a fold, purged by the embargo, the last `share` by time validates and the rest, purged
+    again, trains. Least weighted log loss wins, ties within 1e-12 go to the shallower and then the smaller model.
+    Axes are depth and trees; the grid is looped over on the driver, the rows are not.
+    """
+    spark = events.sparkSession
+    configs = [(f"cfg_{i:03d}", d, t) for i, (d, t) in enumerate((d, t) for d in grid["depth"] for t in grid["trees"])]
+    starts = {r["fold"]: r["s"] for r in events.groupBy("fold").agg(F.min("decision_us").alias("s")).collect()}  # one row a fold
+    rows = []
+    for k in folds:
+        past = events.where((F.col("fold") < k) & (F.col("exit_us") < starts[k] - embargo)).withColumn("_all", F.lit(1))
+        split = last_share(past, share, ["_all"])
+        begin = split.where("validation").agg(F.min("decision_us").alias("s")).first()["s"]
+        train, valid = split.where(~F.col("validation") & (F.col("exit_us") < begin - embargo)), split.where("validation")
+        for name, depth, trees in configs:
+            scored = refit(train, numeric, categorical, label, weight, trees, depth).transform(_flagged(valid, numeric, label)).withColumn("_p", probability())
+            loss = losses(scored.drop("rawPrediction"), "_p", label, weight, ["_all"]).first()["weighted_log_loss"]
+            rows.append((k, name, float(loss), depth, trees))
+    table = spark.createDataFrame(rows, "fold int, config_id string, inner_loss double, depth int, trees int")
+    order = Window.partitionBy("fold").orderBy(F.round("inner_loss", 12), "depth", "trees")  # one row per configuration
+    return table.withColumn("won", F.row_number().over(order) == 1)
+
+
+def seed_post_mortem(events: DataFrame, score: str, label: str, weight: str, slope: float, intercept: float) -> DataFrame:
+    """Per seed: the logistic map that a fit finds when labels are drawn from a known one, and the spread of the scores.
+
+    Labels are drawn by the hash of (seed, event), so that a run can be repeated; slopes near `slope` mean that the fit is sound.
+    """
+    drawn = apply_platt(events, score, slope, intercept, "_truth")
+    coin = F.pmod(F.xxhash64("seed", "event_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = drawn.withColumn("_drawn", (coin < F.col("_truth")).cast("int"))
+    seeds = [r["seed"] for r in drawn.select("seed").distinct().orderBy("seed").collect()]  # a few runs
+    rows = [(s, *platt(drawn.where(F.col("seed") == s), score, "_drawn", weight)) for s in seeds]
+    fits = events.sparkSession.createDataFrame(rows, "seed int, slope double, intercept double")
+    return fits.join(dispersion(events, score, ["seed"]), "seed")
+
+
+def apply_map(df: DataFrame, score: str, kind: str, params, name: str) -> DataFrame:
+    """A fitted map of probabilities: `identity`, `platt` (slope, intercept) or `isotonic` (knots of x and y, flat outside).
+
+    Scores that are missing, not finite or outside [0, 1] give NULL and a mark in `violation`.
+    """
+    x = finite(F.col(score).cast("double"))
+    bad = ~F.coalesce(x.between(0, 1), F.lit(False))
+    if kind == "identity":
+        value = x
+    elif kind == "platt":
+        slope, intercept = params
+        value = 1 / (1 + F.exp(-(slope * logit(x) + intercept)))
+    elif kind == "isotonic":
+        value = F.when(x <= params[0][0], params[0][1])
+        for (x0, y0), (x1, y1) in zip(params, params[1:]):
+            value = value.when(x <= x1, y0 + (x - x0) / (x1 - x0) * (y1 - y0))
+        value = value.otherwise(params[-1][1])
+    else:
+        raise ValueError(f"no such map: {kind}")
+    return df.withColumns({name: F.when(~bad, value), "violation": bad})
+
+
 def platt(train: DataFrame, score: str, label: str, weight: str) -> tuple[float, float]:
     """Slope and intercept of a weighted logistic fit on the logit; a slope must be positive to be used."""
     rows = train.select(logit(F.col(score)).alias("_x"), F.col(label).cast("double").alias("_y"), F.col(weight).alias("_w"))

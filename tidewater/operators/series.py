@@ -23,9 +23,15 @@ def _bucket(ts: str, span: int) -> Column:
     return F.floor(F.col(ts) / span)
 
 
-def _totals(df: DataFrame, keys: Sequence[str], ts: str, span: int, aggs: dict[str, Column]) -> DataFrame:
-    """Sums before each time bucket of a key. The table has one row per key and bucket."""
-    each = df.groupBy(*keys, _bucket(ts, span).alias("_bucket")).agg(*(a.alias(n) for n, a in aggs.items()))
+def value_bucket(x: Column, parts: int = 1024) -> Column:
+    """A bucket number that rises with any finite double: each power of two is cut into `parts`."""
+    size = F.floor((F.log2(F.abs(x)) + 1075) * parts)
+    return F.when(x > 0, size).when(x < 0, -size - 1).otherwise(0).cast("long")
+
+
+def _totals(df: DataFrame, keys: Sequence[str], bucket: Column, aggs: dict[str, Column]) -> DataFrame:
+    """Sums before each bucket of a key. The table has one row per key and bucket."""
+    each = df.groupBy(*keys, bucket.alias("_bucket")).agg(*(a.alias(n) for n, a in aggs.items()))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in aggs]
     return each.select(*keys, "_bucket", *sums)
@@ -34,7 +40,7 @@ def _totals(df: DataFrame, keys: Sequence[str], ts: str, span: int, aggs: dict[s
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", span: int = SPAN) -> DataFrame:
     """Position from 0 of each row within its key, ordered by `order`; the first is a time."""
     ts = order[0]
-    totals = _totals(df, keys, ts, span, {"n": F.count(F.lit(1))})
+    totals = _totals(df, keys, _bucket(ts, span), {"n": F.count(F.lit(1))})
     own = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     out = df.withColumn("_bucket", _bucket(ts, span)).join(totals, [*keys, "_bucket"])
     return out.withColumn(name, F.col("_before_n") + F.row_number().over(own) - 1).drop("_bucket", "_before_n")
@@ -64,13 +70,18 @@ def rolling(
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], span: int = SPAN
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], span: int = SPAN, by_value: bool = False
 ) -> DataFrame:
-    """Running sums (new name -> column) up to and with each row, in two passes without a global sort."""
+    """Running sums (new name -> column) up to and with each row, in two passes without a global sort.
+
+    Rows are cut into buckets of `span` by the first column of `order`, or by its size on a
+    logarithmic scale where it is no time (`by_value`).
+    """
     ts = order[0]
-    totals = _totals(df, keys, ts, span, {n: F.sum(c) for n, c in sums.items()})
+    bucket = value_bucket(F.col(ts)) if by_value else _bucket(ts, span)
+    totals = _totals(df, keys, bucket, {n: F.sum(c) for n, c in sums.items()})
     own = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_bucket", _bucket(ts, span)).join(totals, [*keys, "_bucket"])
+    out = df.withColumn("_bucket", bucket).join(totals, [*keys, "_bucket"])
     out = out.withColumns({n: F.col(f"_before_{n}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
     return out.drop("_bucket", *(f"_before_{n}" for n in sums))
 
@@ -110,13 +121,18 @@ def asof_join(
     )
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: str, state: str) -> DataFrame:
-    """Add `island` (runs of equal `state`, from 0), `age_rows` and `age` (time since the run began)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag(state).over(w)
-    changed = F.when(F.lag(order).over(w).isNull(), 0).otherwise((~before.eqNullSafe(F.col(state))).cast("int"))
-    out = df.withColumn("_changed", changed)
-    out = out.withColumn("island", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*keys, "island").orderBy(order)
-    out = out.withColumn("age_rows", F.row_number().over(run) - 1)
-    return out.withColumn("age", F.col(order) - F.first(order).over(run)).drop("_changed")
+def islands(df: DataFrame, keys: Sequence[str], order: str, state: str, span: int = SPAN) -> DataFrame:
+    """Add `island` (runs of equal `state`, from 0), `age_rows` and `age` (time since the run began).
+
+    Changes are marked against the row before, islands are a running sum of the marks, and a row's
+    run began at the last mark at or before it: an as-of lookup. Times are distinct within a key.
+    """
+
+    def marks(w: WindowSpec) -> dict[str, Column]:
+        return {"_changed": F.when(F.col("pos") == 0, 0).otherwise((~F.lag(state).over(w).eqNullSafe(F.col(state))).cast("int"))}
+
+    marked = running_sums(rolling(df, keys, [order], 1, marks, span=span), keys, [order], {"island": "_changed"}, span)
+    starts = marked.where("_changed = 1 or pos = 0").select(*keys, F.col(order).alias("at"), F.col("pos").alias("start"))
+    out = asof_join(marked, starts, keys, order, "at", prefix="_run_", span=span)
+    out = out.withColumns({"age_rows": F.col("pos") - F.col("_run_start"), "age": F.col(order) - F.col("_run_at")})
+    return out.drop("_changed", "pos", "_run_at", "_run_start")

@@ -139,6 +139,19 @@ add(
       p as (select symbol, quantile_cont(x, 0.25) as a, quantile_cont(x, 0.5) as m, quantile_cont(x, 0.75) as b, stddev_pop(x) as sd from c group by 1)
       select c.symbol, open_us, round(greatest(-8, least(8, (x - m) / case when b - a > 1e-12 then b - a when sd > 1e-12 then sd else 1 end)), 6) + 0e0 as scaled from c join p using (symbol)"""),
 )
+add(
+    "windows_winsorised",
+    lambda s, d: X.winsorised(V.bars(s, d).withColumn("window", F.floor(F.col("open_us") / 864000000000)), "volume", keys=("symbol", "window")).select("symbol", "open_us", r(F.col("scaled")).alias("scaled")),
+    over("bars", """, b as (select *, open_us // 864000000000 as win from bars), q as (select symbol, win, quantile_cont(volume, 0.01) as lo, quantile_cont(volume, 0.99) as hi from b group by 1, 2),
+      c as (select b.*, greatest(lo, least(hi, volume)) as x from b join q using (symbol, win)),
+      p as (select symbol, win, quantile_cont(x, 0.25) as a, quantile_cont(x, 0.5) as m, quantile_cont(x, 0.75) as b, stddev_pop(x) as sd from c group by 1, 2)
+      select c.symbol, open_us, round(greatest(-8, least(8, (x - m) / case when b - a > 1e-12 then b - a when sd > 1e-12 then sd else 1 end)), 6) + 0e0 as scaled from c join p using (symbol, win)"""),
+)
+add(
+    "bars_off_session",
+    lambda s, d: X.off_session(X.base_features(V.bars(s, d))),
+    over("bars", " select symbol, count(*) as rows, count(*) filter (where (open_us // 3600000000) % 4 <> 0) as off_session from bars group by 1"),
+)
 add(
     "bars_sessions",
     lambda s, d: X.resample(V.bars(s, d)).groupBy("symbol", X.session_of(F.pmod(F.floor(F.col("open_us") / HOUR), F.lit(24))).alias("session")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("volume")).alias("volume")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.columns import rounded as r
 from tidewater.operators import metrics as M
 from tidewater.operators.features import base_features
+from tidewater.operators.series import rolling
 from tidewater.plans.sqlviews import over
 from tidewater.sources import views as V
 
@@ -138,11 +139,9 @@ FEATS = ("log_range", "taker_ratio", "volume", "trades")
 
 
 def ic(s, d):
-    b = base_features(V.bars(s, d))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("open_us")
-    return M.information_coefficients(b.withColumn("fwd", F.lead("log_return").over(w)), FEATS, ("log_return", "fwd"))
+    b = base_features(V.bars(s, d)).drop("pos")
+    b = rolling(b, ["symbol"], ["open_us"], 0, lambda w: {"fwd": F.lead("log_return").over(w)}, ahead=1)
+    return M.information_coefficients(b, FEATS, ("log_return", "fwd"))
 
 
 IC = """, b as (select *, ln(high / low) as log_range, case when volume > 0 then greatest(0, least(1, taker_buy / volume)) else 0.5 end as taker_ratio, ln(close / lag(close) over (partition by symbol order by open_us)) as log_return from bars),
@@ -157,15 +156,27 @@ add(
 )
 add(
     "feature_verdicts",
-    lambda s, d: M.feature_verdicts(ic(s, d), 100).select("feature", *rr("strength"), "n", "verdict"),
-    over("bars", IC + """ select feature, round(max(abs(spearman)), 6) + 0e0 as strength, max(n) as n, case when max(n) / 100 < 0.2 then 'skipped' when max(n) < 50 then 'insufficient' when max(abs(spearman)) >= 0.05 then 'useful' else 'weak' end as verdict from i group by 1"""),
+    lambda s, d: M.feature_verdicts(ic(s, d), V.bars(s, d).agg(F.count(F.lit(1)).alias("rows"))).select("feature", *rr("strength"), "n", "verdict"),
+    over("bars", IC + """ select feature, round(max(abs(spearman)), 6) + 0e0 as strength, max(n) as n, case when max(n) / (select count(*) from bars) < 0.2 then 'skipped' when max(n) < 50 then 'insufficient' when max(abs(spearman)) >= 0.05 then 'useful' else 'weak' end as verdict from i group by 1"""),
 )
 add(
     "strongest_coefficients",
     lambda s, d: ic(s, d).orderBy(F.abs("spearman").desc(), "feature", "label").limit(5).select("feature", "label", *rr("spearman")),
     over("bars", IC + " select feature, label, round(spearman, 6) + 0e0 as spearman from i order by abs(spearman) desc, feature, label limit 5"),
 )
-add("placebo_draws", lambda s, d: M.placebo(ev(s, d), ["fold"], sizes(ev(s, d)), 20).select("seed", "n", *rr("sum_net")))
+SEEDS = 10_000
+add("placebo_draws", lambda s, d: M.placebo(ev(s, d), ["fold"], sizes(ev(s, d)), SEEDS).select("seed", *big("fold"), "n", *rr("sum_net", "sum_hold")))
+add("coefficient_p_values", lambda s, d: M.correlation_p_values(ic(s, d)).select("feature", "label", *rr("p_pearson", "p_spearman")))
+add(
+    "vertical_rates",
+    lambda s, d: M.threshold_statistics(ev(s, d), "p_primary", TAUS, vertical=F.col("event_id") % 92 > 80).select(*big("fold", "n"), *rr("threshold", "vertical_rate")),
+    over("oof", NET + TH + " select cast(fold as bigint) as fold, count(*) filter (where p_primary >= threshold) as n, round(cast(threshold as double), 6) + 0e0 as threshold, round(avg((event_id % 92 > 80)::int) filter (where p_primary >= threshold), 6) + 0e0 as vertical_rate from e, th group by fold, threshold"),
+)
+add(
+    "hold_percentiles",
+    lambda s, d: M.exposure(ev(s, d).select(((F.col("exit_us") - F.col("decision_us")) / 3.6e9).alias("hold")), "hold").select(*rr("p5", "p50", "p95")),
+    over("oof", " select " + ", ".join(f"round(quantile_cont((exit_us - decision_us) / 3.6e9, {q}), 6) + 0e0 as p{n}" for q, n in ((0.05, 5), (0.5, 50), (0.95, 95))) + " from oof"),
+)
 add(
     "placebo_mid_rank",
     lambda s, d: M.mid_rank(ev(s, d).groupBy("symbol").agg(F.sum("net").alias("v")), "v", 0.0).select(*rr("percentile", "p_value")),

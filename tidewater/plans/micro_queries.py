@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions.columns import DAY, HOUR
 from tidewater.functions.columns import rounded as r
 from tidewater.operators import features as X
 from tidewater.operators import labels as L
@@ -81,18 +80,28 @@ add(
     lambda s, d: M.missing_minutes(M.minute_bars(V.trades(s, d))).select("symbol", "n", "expected", r(F.col("missing_ratio")).alias("missing_ratio")),
     over("trades", MIN + " select symbol, count(*) as n, (max(open_us) - min(open_us)) // 60000000 + 1 as expected, round(1 - count(*) / ((max(open_us) - min(open_us)) // 60000000 + 1), 6) + 0e0 as missing_ratio from m group by 1"),
 )
+
+
+def vpin_history(s, d):
+    """Hourly checkpoints over seven days; hours of two minutes with trades are full, as trades are sparse."""
+    m = materialise(M.minute_bars(V.trades(s, d)), "minutes")
+    return M.vpin_history(m, M.hourly_capacity(m, 2))
+
+
 add(
     "vpin_checkpoints",
-    lambda s, d: M.vpin_history(M.minute_bars(V.trades(s, d)), 3000.0, look_back=2 * DAY, step=12 * HOUR, last=5).select("symbol", "ts_us", r(F.col("vpin"), 5).alias("vpin")),
+    lambda s, d: vpin_history(s, d).select("symbol", "ts_us", r(F.col("vpin"), 5).alias("vpin")),
     over("trades", MIN + """, c as (select *, open_us + 60000000 as x_us, sum(quote) over w as C, sum(buy) over w as B from m window w as (partition by symbol order by open_us)),
       e as (select symbol, min(open_us) as lo, max(x_us) as hi from c group by 1),
-      p as (select symbol, lo, unnest(range(cast(ceil(lo / 43200000000) as bigint), hi // 43200000000 + 1)) * 43200000000 as T from e),
-      w as (select p.*, coalesce((select max(C) from c where c.symbol = p.symbol and c.x_us <= p.T - 172800000000), 0) as c0, coalesce((select max(C) from c where c.symbol = p.symbol and c.x_us <= p.T), 0) as c1 from p),
-      n as (select *, cast(floor((c1 - c0) / 3000 + 1e-9) as bigint) as n from w),
-      k as (select symbol, T, c0, unnest(range(n - 5, n)) as k from n where T - 172800000000 >= lo - 60000000 and n >= 5),
-      o as (select k.symbol, k.T, k.k, sum(c.buy * greatest(0, least(c.C, c0 + (k + 1) * 3e3) - greatest(c.C - c.quote, c0 + k * 3e3)) / c.quote) as buy
-            from k join c on c.symbol = k.symbol and c.C > c0 + k * 3e3 and c.C - c.quote < c0 + (k + 1) * 3e3 group by 1, 2, 3),
-      v as (select symbol, T, avg(abs(2 * buy - 3000)) / 3000 as vpin from o group by 1, 2)
+      hr as (select symbol, open_us // 3600000000 as h, sum(quote) as q from m group by 1, 2 having count(*) >= 2), cp as (select symbol, median(q) / 20 as cap from hr group by 1),
+      p as (select symbol, lo, unnest(range(cast(ceil(lo / 3600000000) as bigint), hi // 3600000000 + 1)) * 3600000000 as T from e),
+      p0 as (select p.symbol, p.lo, p.T, coalesce(c.C, 0) as c1 from p asof left join c on c.symbol = p.symbol and c.x_us <= p.T),
+      w as (select p0.symbol, p0.lo, p0.T, p0.c1, coalesce(c.C, 0) as c0 from (select *, T - 604800000000 as S from p0) p0 asof left join c on c.symbol = p0.symbol and c.x_us <= p0.S),
+      n as (select w.*, cap, cast(floor((c1 - c0) / cap + 1e-9) as bigint) as n from w left join cp using (symbol)),
+      k as (select symbol, T, c0, cap, unnest(range(n - 20, n)) as k from n where T - 604800000000 >= lo - 60000000 and n >= 20),
+      o as (select k.symbol, k.T, k.k, k.cap, sum(c.buy * greatest(0, least(c.C, c0 + (k + 1) * cap) - greatest(c.C - c.quote, c0 + k * cap)) / c.quote) as buy
+            from k join c on c.symbol = k.symbol and c.C > c0 + k * cap and c.C - c.quote < c0 + (k + 1) * cap group by 1, 2, 3, 4),
+      v as (select symbol, T, avg(abs(2 * buy - cap) / cap) as vpin from o group by 1, 2)
       select p.symbol, p.T as ts_us, round(case when vpin is not null then greatest(0, least(1, vpin)) end, 5) + 0e0 as vpin from p left join v using (symbol, T)"""),
 )
 add(
@@ -191,3 +200,37 @@ add(
     over("bars", """, a as (select *, avg(high - low) over (partition by symbol order by open_us rows 13 preceding) as atr, min(low) over (partition by symbol order by open_us rows 11 preceding) as sw from bars)
       select symbol, open_us, round(greatest(sw * 0.998, close - 2.5 * atr), 6) + 0e0 as stop, round(close + 2 * (close - greatest(sw * 0.998, close - 2.5 * atr)), 6) + 0e0 as target from a"""),
 )
+add(
+    "hourly_capacity",
+    lambda s, d: M.hourly_capacity(M.minute_bars(V.trades(s, d)), 2).select("symbol", r(F.col("capacity"), 4).alias("capacity")),
+    over("trades", MIN + ", h as (select symbol, open_us // 3600000000 as h, sum(quote) as q from m group by 1, 2 having count(*) >= 2) select symbol, round(median(q) / 20, 4) + 0e0 as capacity from h group by 1"),
+)
+add(
+    "combined_rows",
+    lambda s, d: M.combined_row(M.order_flow(M.books(V.depth_rows(s, d).withColumn("symbol", F.when(F.col("symbol") == "S1", "click").otherwise(F.col("symbol"))))), M.volume_buckets(V.trades(s, d)), 5000.0).select("symbol", *(r(F.col(c)).alias(c) for c in ("ofi", "ofi_z", "vpin")), "ok", "reason"),
+    over("depth trades", BOOK.replace("from depth", "from (select * replace (case symbol when 'S1' then 'click' else symbol end as symbol) from depth)") + BUCKET + """, fz as (select *, case when count(ofi) over z >= 2 and stddev_pop(ofi) over z > 1e-12 then (ofi - avg(ofi) over z) / stddev_pop(ofi) over z else 0 end as ofi_z from f window z as (partition by symbol order by seq rows 19 preceding)),
+      fl as (select symbol, max_by(ofi, seq) as ofi, max_by(ofi_z, seq) as oz, max_by(liq, seq) as liq, count(*) as n from fz group by 1),
+      vp as (select symbol, case when count(*) >= 5 then least(1, sum(imb) / sum(total)) end as vpin from g group by 1),
+      j as (select symbol, fl.*exclude(symbol), vp.vpin, case when coalesce(n, 0) < 2 then 'few_snapshots' when liq < 5000 then 'liquidity_below_min' end as a, case when vpin is null then 'no_vpin' end as b from fl full join vp using (symbol))
+      select symbol, round(coalesce(ofi, 0), 6) + 0e0 as ofi, round(coalesce(oz, 0), 6) + 0e0 as ofi_z, round(coalesce(vpin, 0), 6) + 0e0 as vpin, a is null and b is null as ok, concat_ws(';', a, b) as reason from j"""),
+)
+add(
+    "flow_rows",
+    lambda s, d: M.flow_row(M.order_flow(M.books(V.depth_rows(s, d))), 5000.0).select("symbol", *(r(F.col(c)).alias(c) for c in ("ofi", "ofi_norm", "ofi_z", "depth_imbalance", "spread_bps")), r(F.col("liquidity"), 3).alias("liquidity"), "snapshots", "ok", "reason"),
+    over("depth", BOOK + """, fz as (select *, case when count(ofi) over z >= 2 and stddev_pop(ofi) over z > 1e-12 then (ofi - avg(ofi) over z) / stddev_pop(ofi) over z else 0 end as ofi_z, row_number() over (partition by symbol order by seq desc) as nth, count(*) over (partition by symbol) as n
+        from f window z as (partition by symbol order by seq rows 19 preceding))
+      select symbol, round(ofi, 6) + 0e0 as ofi, round(case when coalesce(bq, 0) + coalesce(aq, 0) > 1e-12 then greatest(-1, least(1, ofi / (coalesce(bq, 0) + coalesce(aq, 0)))) else 0 end, 6) + 0e0 as ofi_norm, round(ofi_z, 6) + 0e0 as ofi_z,
+        round(case when bd + ad > 0 then (bd - ad) / (bd + ad) else 0 end, 6) + 0e0 as depth_imbalance, round(case when bp is not null and ap is not null then (ap - bp) / ((bp + ap) / 2) * 1e4 else 0 end, 6) + 0e0 as spread_bps, round(liq, 3) + 0e0 as liquidity,
+        n as snapshots, n >= 2 and liq >= 5000 as ok, case when liq < 5000 then 'liquidity_below_min' when n < 2 then 'few_snapshots' end as reason from fz where nth = 1"""),
+)
+add(
+    "quarantine_violations",
+    lambda s, d: L.quarantine_violations(V.oof(s, d).select("fold", F.when(F.col("event_id") % 2 == 0, "train").otherwise("selection").alias("role"), (F.col("fold") - F.col("event_id") % 3).alias("source_fold"))),
+    over("oof", " select count(*) filter (where event_id % 2 <> 0 and fold = 5) as quarantined_used, count(*) filter (where event_id % 2 = 0 and event_id % 3 = 0) as not_earlier from oof"),
+)
+add(
+    "selection_split",
+    lambda s, d: L.selection_split(V.oof(s, d)).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n")).select(F.col("fold").cast("bigint").alias("fold"), "part", "n"),
+    over("oof", """, n as (select *, row_number() over (partition by fold order by decision_us, symbol) - 1 as k, count(*) over (partition by fold) as n from oof), v as (select *, k >= n - ceil(n * 0.2) as val from n),
+      s as (select fold, min(decision_us) as start from v where val group by 1) select cast(fold as bigint) as fold, case when val then 'validation' when exit_us < start then 'train' else 'purged' end as part, count(*) as n from v join s using (fold) group by 1, 2"""),
+)

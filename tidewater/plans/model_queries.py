@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.columns import HOUR
 from tidewater.functions.columns import rounded as r
+from tidewater.operators import cycle as C
 from tidewater.operators import fracdiff as D
 from tidewater.operators import indicators as I
 from tidewater.operators import metrics as M
+from tidewater.operators import microstructure as B
 from tidewater.operators import models as L
 from tidewater.operators import regime as G
 from tidewater.operators import stationarity as T
 from tidewater.operators.features import base_features
+from tidewater.plans.micro_queries import BOOK
 from tidewater.plans.sqlviews import over
+from tidewater.sources import archives as A
 from tidewater.sources import views as V
 from tidewater.sources.store import materialise
 from tidewater.streaming import jobs as S
@@ -46,7 +50,7 @@ add("fractional_order_selection", lambda s, d: T.order_selection(V.bars(s, d).wi
 
 def regimes(s, d):
     f = base_features(V.bars(s, d)).drop("pos")
-    return G.policy(G.walk_forward_regimes(f, ["log_return", "log_range", "volume_change"], window=96, step=24))
+    return G.policy(G.walk_forward_regimes(f, ["log_return", "log_range", "volume_change"], window=120, step=1))
 
 
 add("walk_forward_regimes", lambda s, d: regimes(s, d).select("symbol", "open_us", *rr("bear", "neutral", "bull", "margin", "entropy"), "regime", "policy"))
@@ -76,7 +80,7 @@ def events(s, d):
     return materialise(M.net(V.oof(s, d)), "events")
 
 
-add("walk_forward_trees", lambda s, d: L.walk_forward(events(s, d), ["p_primary", "p_meta", "uniqueness"], ["symbol"], "win", "uniqueness", [3, 5], 96 * HOUR, trees=4).select("event_id", "fold", *rr("p_model")))
+add("walk_forward_trees", lambda s, d: L.walk_forward(events(s, d), ["p_primary", "p_meta", "uniqueness"], ["symbol"], "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR).select("event_id", "fold", *rr("p_model")))
 add("walk_forward_calibration", lambda s, d: L.walk_forward_calibration(events(s, d), "p_meta", "win", "uniqueness", [1, 2, 3, 4, 5]).select("event_id", "fold", *rr("p_platt", "p_isotonic")))
 add(
     "platt_applied",
@@ -126,3 +130,135 @@ add("stop_management", lambda s, d: S.manage_stops(stop_ticks(s, d)).select("pos
 add("screener_indicators", lambda s, d: I.indicators(V.bars(s, d)).select("symbol", "open_us", *rr(*I.NAMES)))
 add("screener_top", lambda s, d: I.screened(V.bars(s, d), 3, 100).select("symbol", "bars", *rr("relative_volume", "rsi14")))
 add("granger_volume_to_return", lambda s, d: I.granger(base_features(V.bars(s, d)).drop("pos"), "volume_change", "log_return").select("symbol", "lag", "n", *rr("f", "p_value")))
+
+
+def levels(s, d):
+    """Best bid and ask of every book snapshot."""
+    b = B.books(V.depth_rows(s, d))
+    bid, ask = F.try_element_at("bids", F.lit(1)), F.try_element_at("asks", F.lit(1))
+    return b.select("symbol", "seq", bid.price.alias("bp"), bid.qty.alias("bq"), ask.price.alias("ap"), ask.qty.alias("aq"))
+
+
+add(
+    "stream_order_flow",
+    lambda s, d: S.live_order_flow(levels(s, d)).select("symbol", "seq", *rr("ofi")),
+    over("depth", BOOK + " select symbol, seq, round(ofi, 6) + 0e0 as ofi from f"),
+)
+KNOTS = [(0.1, 0.3), (0.4, 0.35), (0.7, 0.6), (0.9, 0.8)]
+add(
+    "isotonic_applied",
+    lambda s, d: L.apply_map(V.oof(s, d).withColumn("p_meta", F.when(F.col("event_id") % 17 == 0, 1.5).otherwise(F.col("p_meta"))), "p_meta", "isotonic", KNOTS, "p").select("event_id", *rr("p"), "violation"),
+    over("oof", """, x as (select event_id, case when event_id % 17 = 0 then 1.5e0 else p_meta end as p from oof)
+      select event_id, round(case when p > 1 then null when p <= 0.1 then 0.3e0 when p <= 0.4 then 0.3e0 + (p - 0.1e0) / 0.3e0 * 0.05e0 when p <= 0.7 then 0.35e0 + (p - 0.4e0) / 0.3e0 * 0.25e0 when p <= 0.9 then 0.6e0 + (p - 0.7e0) / 0.2e0 * 0.2e0 else 0.8e0 end, 6) + 0e0 as p, p > 1 as violation from x"""),
+)
+
+
+def wide(s, d):
+    """Events whose win depends on two of three columns."""
+    e = V.oof(s, d)
+    noise = F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000.0
+    won = F.col("p_meta") + 0.4 * F.col("p_primary") + 0.3 * noise
+    return materialise(e.withColumns({"noise": noise, "win": (won > 0.95).cast("int")}), "wide")
+
+
+FEATURES = ["p_meta", "p_primary", "noise"]
+add("permutation_importance", lambda s, d: L.permutation_importance(wide(s, d), FEATURES, "win", weight="uniqueness", repeats=2).select("feature", *rr("importance", digits=4)))
+add("selected_features", lambda s, d: L.select_features(wide(s, d), FEATURES, "win", "uniqueness", [2, 3, 4, 5]).select("feature", *rr("mean_importance", digits=4), "place", "kept", "positive"))
+add("final_refit", lambda s, d: L.final_refit(wide(s, d), FEATURES, [], "win", "uniqueness").select("event_id", *rr("p_final", digits=4)))
+add("ablation_arms", lambda s, d: L.ablation(wide(s, d), {"both": FEATURES[:2], "no_meta": FEATURES[1:], "all": FEATURES}, [], "win", "uniqueness", [4, 5], 96 * HOUR).select("arm", "fold", "n", *rr("auc", "weighted_log_loss", digits=4)))
+add("nested_search", lambda s, d: L.nested_search(wide(s, d), FEATURES, [], "win", "uniqueness", [3, 5], 96 * HOUR, {"depth": [2, 3], "trees": [4]}).select("fold", "config_id", *rr("inner_loss", digits=4), "won"))
+add(
+    "seed_post_mortem",
+    lambda s, d: L.seed_post_mortem(ev_scores(s, d), "p_meta", "win", "uniqueness", 0.8, -0.3).select("seed", *rr("slope", "intercept", digits=3), *rr("lowest", "highest", "mean", "deviation"), "distinct"),
+)
+
+
+def ev_scores(s, d):
+    return materialise(M.net(V.oof(s, d)).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2)))), "seeds")
+
+
+add(
+    "agg_trade_lines",
+    lambda s, d: A.agg_trades(trade_lines(s, d)).groupBy("is_buyer_maker").agg(F.count(F.lit(1)).alias("n"), F.sum("trade_id").alias("ids"), r(F.sum("qty"), 3).alias("qty"), F.max("us").alias("last_us")),
+    "select event_id % 2 = 1 as is_buyer_maker, count(*) as n, cast(sum(event_id) as bigint) as ids, round(sum(round(value, 4)), 3) + 0e0 as qty, max(epoch_us(ts) // 1000 * 1000) as last_us from events where event_id % 13 <> 0 group by 1",
+)
+add(
+    "funding_lines",
+    lambda s, d: A.funding_rates(funding_lines(s, d)).select("settle_us", *rr("funding_rate", digits=8)),
+    over("funding", " select settle_us // 1000 * 1000 as settle_us, round(max(round(funding_rate, 8)), 8) + 0e0 as funding_rate from funding where symbol = 's1' group by 1"),
+)
+add(
+    "kline_lines",
+    lambda s, d: A.klines(kline_lines(s, d)).select("open_us", *rr("open", "high", "low", "close", "volume", digits=4), "trades"),
+    over("bars", " select open_us, round(open, 4) + 0e0 as open, round(high, 4) + 0e0 as high, round(low, 4) + 0e0 as low, round(close, 4) + 0e0 as close, round(volume, 4) + 0e0 as volume, trades from bars where symbol = 'click' and trades % 6 <> 0"),
+)
+
+
+def text(*columns):
+    return F.concat_ws(",", *(c.cast("string") for c in columns))
+
+
+def trade_lines(s, d):
+    """Events written as lines of a trade archive, every 13th without a price."""
+    e = V.events(s, d)
+    price = F.when(F.col("event_id") % 13 != 0, F.lit("101.5")).otherwise("")
+    line = text(F.col("event_id"), price, F.round("value", 4), F.lit(1), F.lit(2), F.floor(F.col("us") / 1000), F.when(F.col("event_id") % 2 == 1, "True").otherwise("false"), F.lit("True"))
+    return e.select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+def funding_lines(s, d):
+    f = V.funding(s, d).where("symbol = 's1'").groupBy("settle_us").agg(F.max("funding_rate").alias("x"))
+    rows = f.select(F.lit("f").alias("file"), F.col("settle_us").alias("line_no"), text(F.floor(F.col("settle_us") / 1000), F.lit(8), F.format_string("%.8f", F.round("x", 8))).alias("line"))
+    return rows.unionByName(s.createDataFrame([("f", -1, "calc_time,interval,rate")], "file string, line_no long, line string"))
+
+
+def kline_lines(s, d):
+    b = V.bars(s, d).where("symbol = 'click'")
+    close = F.when(F.col("trades") % 6 != 0, F.col("close").cast("string")).otherwise("none")
+    line = text(F.floor(F.col("open_us") / 1000), F.col("open"), F.col("high"), F.col("low"), close, F.col("volume"), F.lit(0), F.lit(1), F.col("trades"), F.lit(1), F.lit(1), F.lit(0))
+    return b.select(F.lit("f").alias("file"), F.col("open_us").alias("line_no"), line.alias("line"))
+
+
+add(
+    "best_prices",
+    lambda s, d: C.best_price(quotes(s, d)).select("symbol", "open_us", *rr("price")),
+    over("bars", """ select symbol, open_us, round(case when trades % 3 > 0 and trades % 4 > 0 then (low + high) / 2 when trades % 3 > 0 then low when trades % 4 > 0 then high when trades % 5 > 0 then open else close end, 6) + 0e0 as price from bars"""),
+)
+
+
+def quotes(s, d):
+    return V.bars(s, d).select("symbol", "open_us", F.when(F.col("trades") % 3 > 0, F.col("low")).alias("bid"), F.when(F.col("trades") % 4 > 0, F.col("high")).otherwise(-1.0).alias("ask"), F.when(F.col("trades") % 5 > 0, F.col("open")).alias("last"), "close")
+
+
+def dated(s, d):
+    """Graded votes of trades closed over sixty days before a fixed time."""
+    k = F.col("l_orderkey") % 60
+    return V.table(s, d, "lineitem").select(F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("voter"), ((k - 30) / 20.0).alias("r_multiple"), (F.col("l_orderkey") % 3 != 0).alias("right"), (F.lit(NOW) - k * 86_400_000_000).alias("closed_us"))
+
+
+NOW = 1_700_000_000_000_000
+add(
+    "recent_voter_weights",
+    lambda s, d: C.recent_voter_weights(dated(s, d), s.createDataFrame([(f"v{i}",) for i in range(1, 10)], "voter string"), NOW).select("voter", *rr("score", "weight")),
+    """with g as (select 'v' || cast(l_linenumber as varchar) as voter, (l_orderkey % 60 - 30) / 2e1 as rm, l_orderkey % 3 <> 0 as ok from lineitem where l_orderkey % 60 < 30),
+      n as (select 'v' || cast(i as varchar) as voter from range(1, 10) t(i)), p as (select voter, coalesce(sum(case when abs(rm) >= 0.11 then case when ok then abs(rm) else -abs(rm) end end), 0) as score from n left join g using (voter) group by 1)
+      select voter, round(score, 6) + 0e0 as score, round(greatest(0.2, least(2, 1 + score / (select max(abs(score)) from p))), 6) + 0e0 as weight from p""",
+)
+add(
+    "votes_nested",
+    lambda s, d: C.extracted_votes(responses(s, d)).groupBy("vote", "valid").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("total")),
+    over("votes", """, x as (select vote, round_even(least(100, case when confidence <= 1 then confidence * 100 else confidence end), 0) as c from votes)
+      select vote, true as valid, count(*) as n, cast(sum(c) as bigint) as total from x group by 1"""),
+)
+add(
+    "debate_votes",
+    lambda s, d: C.extracted_votes(V.votes(s, d).withColumn("text", F.concat(F.lit('<THINK>x</THINK> {"final_vote":"'), "vote", F.lit('","final_confidence":'), F.col("confidence").cast("string"), F.when(F.col("cycle_id") % 2 == 0, ',"changed_opinion":true}').otherwise("}"))), debate=True).groupBy("vote", "changed", "valid").agg(F.count(F.lit(1)).alias("n")),
+    over("votes", " select vote, cycle_id % 2 = 0 as changed, true as valid, count(*) as n from votes group by 1, 2"),
+)
+
+
+def responses(s, d):
+    """Responses with nested objects: in a fence, as the whole text, within prose."""
+    body = F.concat(F.lit('{"vote": "'), "vote", F.lit('", "levels": {"a": [{"x": 1}], "s": "}"}, "confidence": '), F.col("confidence").cast("string"), F.lit("}"))
+    k = F.col("cycle_id") % 3
+    return V.votes(s, d).withColumn("text", F.when(k == 0, F.concat(F.lit("so\n```json\n"), body, F.lit("\n```"))).when(k == 1, body).otherwise(F.concat(F.lit("I say "), body, F.lit(" and {more}"))))

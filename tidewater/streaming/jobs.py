@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewater.operators.series import rolling
+
+CLOSED_MS, OPEN_MS = 24 * 3_600_000, 30 * 24 * 3_600_000
+
 
 def closed_bars(trades: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """OHLCV bars of trades (symbol, ts, price, qty), emitted once their window has closed."""
@@ -67,7 +72,9 @@ def manage_stops(ticks: DataFrame) -> DataFrame:
     """Stop events of positions over price ticks (position_id, ts, side, entry, stop, price).
 
     Streaming input keeps each position's state between batches; the batch twin replays the ticks of a
-    position in order. Both run the same step.
+    position in order. Both run the same step. Within a batch ticks are put in order; a tick that
+    arrives batches late counts when it arrives. A closed position is remembered for CLOSED_MS so that
+    late ticks do not open it again, an open one for OPEN_MS after its last tick; then its state goes.
     """
 
     def replay(pdf: pd.DataFrame, state: tuple | None) -> tuple[list, tuple | None]:
@@ -87,8 +94,55 @@ def manage_stops(ticks: DataFrame) -> DataFrame:
         return ticks.groupBy("position_id").applyInPandas(lambda pdf: pd.DataFrame(replay(pdf, None)[0], columns=names), STOP_SCHEMA)
 
     def stateful(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows, now = replay(pd.concat(list(pdfs)), state.get if state.exists else None)
         state.update(now)
+        state.setTimeoutDuration(CLOSED_MS if now[-1] else OPEN_MS)
         yield pd.DataFrame(rows, columns=names)
 
-    return ticks.groupBy("position_id").applyInPandasWithState(stateful, STOP_SCHEMA, STOP_STATE, "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy("position_id").applyInPandasWithState(stateful, STOP_SCHEMA, STOP_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+FLOW_SCHEMA = "symbol string, seq long, ofi double"
+FLOW_STATE = "bp double, bq double, ap double, aq double"
+
+
+def level_flow(pdf: pd.DataFrame, was: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Level-1 order flow of best levels in order, after the levels `was` of the batch before; and the last levels."""
+    now = pdf[["bp", "bq", "ap", "aq"]].to_numpy(float)
+    before = np.vstack([np.full((1, 4), np.nan) if was is None else np.array([was], float), now[:-1]])
+    (bp, bq, ap, aq), (bp0, bq0, ap0, aq0) = now.T, before.T
+    up = np.where(bp >= bp0, bq, 0.0) - np.where(bp <= bp0, bq0, 0.0)
+    down = np.where(ap <= ap0, aq, 0.0) - np.where(ap >= ap0, aq0, 0.0)
+    whole = ~np.isnan(np.column_stack([bp, ap, bp0, ap0])).any(1)
+    return np.where(whole, up - down, 0.0), tuple(map(float, now[-1]))
+
+
+def live_order_flow(levels: DataFrame) -> DataFrame:
+    """Order flow of best levels (symbol, seq, bp, bq, ap, aq): the last levels of a symbol are kept between batches.
+
+    The batch twin is a lag over chunks. A symbol's state is four numbers; it goes after OPEN_MS without a snapshot.
+    """
+    if not levels.isStreaming:
+        def flow(w) -> dict:
+            was = {c: F.lag(c).over(w) for c in ("bp", "bq", "ap", "aq")}
+            up = F.when(F.col("bp") >= was["bp"], F.col("bq")).otherwise(0.0) - F.when(F.col("bp") <= was["bp"], was["bq"]).otherwise(0.0)
+            down = F.when(F.col("ap") <= was["ap"], F.col("aq")).otherwise(0.0) - F.when(F.col("ap") >= was["ap"], was["aq"]).otherwise(0.0)
+            whole = F.col("bp").isNotNull() & F.col("ap").isNotNull() & was["bp"].isNotNull() & was["ap"].isNotNull()
+            return {"ofi": F.when(whole, up - down).otherwise(0.0)}
+
+        return rolling(levels, ["symbol"], ["seq"], 1, flow, span=10**6).select("symbol", "seq", "ofi")
+
+    def stateful(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(pdfs)).sort_values("seq")
+        ofi, last = level_flow(pdf, state.get if state.exists else None)
+        state.update(last)
+        state.setTimeoutDuration(OPEN_MS)
+        yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ofi": ofi})
+
+    return levels.groupBy("symbol").applyInPandasWithState(stateful, FLOW_SCHEMA, FLOW_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
