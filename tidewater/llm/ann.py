@@ -4,18 +4,21 @@ Every vector is cut into pairs of dimensions; each pair gets one of 16 code word
 four bits. Code words and assignments minimise ||r||^2 + (eta - 1) (x.r)^2 / ||x||^2 over the
 residual r: error along the vector itself, which is what changes large inner products, counts eta
 times. Search adds up table entries: a query has one table of 16 inner products per pair, two of
-which make a table of 256 for one code byte. Every vector of a block whose approximate score comes
-within a calibrated slack of the block's k-th best is scored exactly on the original vectors; there
-is no cap on how many these are, so clusters of almost equal vectors are ranked exactly.
+which make a table of 256 for one code byte. Every vector whose approximate score comes within a
+calibrated slack of the k-th best is scored exactly on the original vectors; there is no cap on how
+many these are, so clusters of almost equal vectors are ranked exactly.
 
 The index is fitted on a bounded sample (MAX_SAMPLE vectors by the hash of their id) and covers
 every row. Rows and queries are dealt into blocks of bounded size, and each pair of blocks is one
-group of work with at most k results per query.
+group of work. Only four-bit codes are copied to the blocks of queries; a block answers with the
+rows that may be among the k best of the block, these are thinned by the k-th best of all blocks, and
+original vectors are joined to what is left.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +144,14 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
 
 
 def _encoder(q: Quantiser):
+    """(vec_id, same, code): equal vectors have the same print of 64 bits."""
+
     def run(batches):
         for batch in batches:
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.zeros((0, q.dim))
             codes = [c.tobytes() for c in q.pack(q.assign(x))] if len(x) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], names=["vec_id", "v", "code"])
+            same = [int.from_bytes(blake2b((v + 0.0).tobytes(), digest_size=8).digest(), "little", signed=True) for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(codes, pa.binary())], names=["vec_id", "same", "code"])
 
     return run
 
@@ -153,31 +159,27 @@ def _encoder(q: Quantiser):
 def _searcher(q: Quantiser, k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids = rows.column("vec_id").to_numpy()
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids) and queries.num_rows:
             order = np.argsort(ids)
             ids = ids[order]
-            x = np.stack(rows.column("v").to_numpy())[order].astype(np.float64)
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             # of equal vectors only the k + 1 smallest ids can be among k nearest
-            _, name = np.unique(x, axis=0, return_inverse=True)
+            _, name = np.unique(rows.column("same").to_numpy()[order], return_inverse=True)
             by = np.argsort(name, kind="stable")
             sizes = np.bincount(name)
             nth = np.empty(len(ids), np.int64)
             nth[by] = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = nth <= k
-            ids, x, packed = ids[keep], x[keep], np.ascontiguousarray(code[keep].T)
+            ids, packed = ids[keep], np.ascontiguousarray(code[keep].T)
             for query_id, v in zip(queries.column("vec_id").to_pylist(), queries.column("v").to_numpy(), strict=True):
-                v = np.asarray(v, np.float64)
-                about = q.scan(packed, v)
+                about = q.scan(packed, np.asarray(v, np.float64))
                 floor = np.partition(about, -k - 1)[-k - 1] if len(about) > k else -np.inf
                 near = np.flatnonzero((about >= floor - q.slack) & (ids != query_id))
-                score = (x[near] * v).sum(1)
-                best = np.lexsort((ids[near], -score))[:k]
-                found += zip([query_id] * len(best), ids[near][best].tolist(), score[best].tolist(), strict=True)
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
+                found.append((np.full(len(near), query_id), ids[near], about[near]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.float32())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "about"])
 
     return run
 
@@ -195,8 +197,8 @@ def nearest(
 
     Queries are the rows whose id is divisible by `every`; a query is no candidate of its own.
     Ties go to the smaller id. Rows with a null id take no part, nor do vectors that are null, zero,
-    of another length than most, or hold a null or non-finite component. Of rows with one id the
-    smallest vector counts. An empty table gives an empty result; other columns are not read.
+    of another length than most (no inner product with the others exists), or hold a null or non-finite
+    component. Of rows with one id the smallest vector counts, so that a rank belongs to one id. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     usable, dim = _usable(vectors, id_col, vector_col)
@@ -206,20 +208,22 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).select("v").toPandas()["v"]
     q = fit(np.stack(drawn.to_numpy()).astype(np.float64))
-    kind = dict(rows.dtypes)["v"]
-    index = rows.mapInArrow(_encoder(q), f"vec_id long, v {kind}, code binary")
+    index = materialise(rows.mapInArrow(_encoder(q), "vec_id long, same long, code binary"), "codes")
     asked = rows.where(F.col("vec_id") % every == 0)
     row_blocks, query_blocks = -(-n // block_rows), -(-max(asked.count(), 1) // block_queries)
     spot = F.xxhash64("vec_id")
-    index = index.select(
-        "vec_id", "v", "code", F.pmod(spot, F.lit(row_blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j")
-    )
-    asked = asked.select(
+    index = index.select("vec_id", "same", "code", F.pmod(spot, F.lit(row_blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j"))
+    blocks = asked.select(
         "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("i"), F.pmod(spot, F.lit(query_blocks)).cast("int").alias("j")
     )
-    pairs = index.groupBy("i", "j").cogroup(asked.groupBy("i", "j"))
-    found = pairs.applyInArrow(_searcher(q, k), "query_id long, vec_id long, score double")
+    pairs = index.groupBy("i", "j").cogroup(blocks.groupBy("i", "j"))
+    about = materialise(pairs.applyInArrow(_searcher(q, k), "query_id long, vec_id long, about float"), "candidates")
+    # what is below the k-th best of all blocks by more than the slack goes before vectors are joined
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
+    floors = about.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("query_id").agg(F.min("about").alias("floor"))
+    near = about.join(floors, "query_id").where(F.col("about") >= F.col("floor") - q.slack).select("query_id", "vec_id")
+    near = near.join(rows.withColumnRenamed("v", "x"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("y")), "query_id")
+    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, p: t + p)
+    scored = near.select("query_id", "vec_id", product.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -84,40 +84,51 @@ def block_names(
     prints = F.transform("blocks", lambda b: _fingerprint(b, fingerprint_bits))
     if not shared.take(1):
         rows = materialise(rows.select(*rows.columns[:-1], prints.alias("hs")), "rows")
-        at = rows.select("rid", F.posexplode("hs").alias("pos", "h"))
-        named = at.join(plain, "h").select("rid", "pos", "name")
+        # a text of one block has its name at once, the others of each of their blocks
+        alone = rows.where("size(hs) = 1").select("rid", F.get("hs", F.lit(0)).alias("h")).join(plain, "h")
+        done = [alone.select("rid", "name")]
+        at = rows.where("size(hs) > 1").select("rid", F.size("hs").alias("width"), F.posexplode("hs").alias("pos", "h"))
+        named = at.join(plain, "h").select("rid", "width", "pos", "name")
     else:
         rows = materialise(rows, "rows")
-        at = rows.select("rid", F.posexplode("blocks").alias("pos", "block"))
-        at = at.select("rid", "pos", _fingerprint(F.col("block"), fingerprint_bits).alias("h"), "block")
+        at = rows.select("rid", F.size("blocks").alias("width"), F.posexplode("blocks").alias("pos", "block"))
+        at = at.select("rid", "width", "pos", _fingerprint(F.col("block"), fingerprint_bits).alias("h"), "block")
         both = _numbered(
             at.join(shared, "h", "left_semi").select("h", "block").distinct(), ["h", "block"], "names-shared"
         )
-        named = at.join(plain, "h").select("rid", "pos", "name").unionByName(
+        named = at.join(plain, "h").select("rid", "width", "pos", "name").unionByName(
             # odd and even numbers keep the two name ranges apart
-            at.join(both, ["h", "block"]).select("rid", "pos", (-F.col("name") - 1).alias("name"))
+            at.join(both, ["h", "block"]).select("rid", "width", "pos", (-F.col("name") - 1).alias("name"))
         )
+        named = materialise(named, "level")
+        done = [named.where("width = 1").select("rid", "name")]
+        named = named.where("width > 1")
 
     longest = rows.agg(F.max("n_bytes")).first()[0] or 0
     width = max(1, -(-longest // block_bytes))
-    while width > 1:
+    if width > 1:
         named = materialise(named, "level")
-        pairs = named.groupBy("rid", F.shiftright("pos", 1).alias("pos")).agg(
+    while width > 1:
+        pairs = named.groupBy("rid", ((F.col("width") + 1) / 2).cast("int").alias("width"), F.shiftright("pos", 1).alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
             F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b"),
         )
         # a tail without a partner pairs with its own marker
         pairs = materialise(
-            pairs.select("rid", "pos", "a", F.col("b").isNull().alias("tail"), F.coalesce("b", F.lit(0)).alias("b")),
+            pairs.select("rid", "width", "pos", "a", F.col("b").isNull().alias("tail"), F.coalesce("b", F.lit(0)).alias("b")),
             "pairs",
         )
         keys = ["a", "b", "tail"]
         named = pairs.join(_numbered(pairs.select(*keys).distinct(), keys, "names"), keys)
-        named = named.select("rid", "pos", "name")
+        named = materialise(named.select("rid", "width", "pos", "name"), "level")
+        # what has one name left is named; texts of equal length are done in the same round
+        done.append(named.where("width = 1").select("rid", "name"))
+        named = named.where("width > 1")
         width = (width + 1) // 2
-    return rows.select("rid", "doc_id", "n_bytes", "text_sha256").join(
-        named.select("rid", "name"), "rid"
-    )
+    names = done[0]
+    for part in done[1:]:
+        names = names.unionByName(part)
+    return rows.select("rid", "doc_id", "n_bytes", "text_sha256").join(names, "rid")
 
 
 def exact_dedup(

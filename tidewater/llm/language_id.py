@@ -2,8 +2,10 @@
 
 A text is the mean of the embeddings of its subwords: runs of 2 to 4 characters inside a word
 with its borders, hashed into BUCKETS rows. A linear layer and a softmax turn the mean into
-language probabilities. Training is stochastic gradient descent in numpy on a bounded sample;
-a temperature and a rejection threshold are calibrated on a part of the sample that was not
+language probabilities. Training is stochastic gradient descent in numpy on whole texts of a
+bounded number of documents a language, each cut from its start to its end into pieces of 1, 2, 4, 8 ...
+words, so that short texts are learned too. Tasks turn pieces into subword counts; only those go
+to the driver. A temperature and a rejection threshold are calibrated on pieces that were not
 trained on. Because averaging and the linear layer commute, scoring adds up one row of
 BUCKETS x languages per subword of the whole text.
 """
@@ -20,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-MAX_PER_LANGUAGE, MAX_LANGUAGES = 1200, 256
-SNIPPETS, SNIPPET_CHARS = 4, 160
+PER_LANGUAGE = 300  # documents of a language in the sample, about
 EPOCHS, RATE, SEED = 6, 0.4, 9
-WRONG_ACCEPTED = 0.01  # share of accepted calibration snippets that may be wrong
+WRONG_ACCEPTED = 0.01  # share of accepted calibration pieces that may be wrong
 CHUNK_CHARS = 1 << 16
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -76,12 +77,32 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit_snippets(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Train on snippets; every fifth one is kept for calibration."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct subwords of a text and how often each stands in it."""
+    ids, n = np.unique(subwords(text), return_counts=True)
+    return ids.astype(np.int32), n.astype(np.int32)
+
+
+def pieces(text: str) -> list[str]:
+    """A whole text in consecutive pieces of 1, 2, 4, 8 ... words."""
+    words = [w for w in _GAP.split(text) if w]
+    out, at, size = [], 0, 1
+    while at < len(words):
+        out.append(" ".join(words[at : at + size]))
+        at, size = at + size, 2 * size
+    return out
+
+
+def fit_texts(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    return fit_counts([counted(t) for t in texts], langs, epochs, seed)
+
+
+def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Train on subword counts of pieces; every fifth piece is kept for calibration."""
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
     place = {x: i for i, x in enumerate(languages)}
-    rows = [(ids, place[x]) for t, x in zip(texts, langs, strict=True) if len(ids := subwords(t))]
+    rows = [(ids, n / n.sum(), place[x]) for (ids, n), x in zip(counts, langs, strict=True) if len(ids)]
     order = rng.permutation(len(rows))
     kept, trained = order[::5], [i for k, i in enumerate(order) if k % 5]
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
@@ -89,21 +110,21 @@ def fit_snippets(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed:
     steps, done = max(1, epochs * len(trained)), 0
     for _ in range(epochs):
         for i in rng.permutation(trained) if trained else []:
-            ids, y = rows[i]
+            ids, share, y = rows[i]
             rate = RATE * (1 - done / steps)
             done += 1
-            mean = e[ids].mean(0)
+            mean = share @ e[ids]
             g = softmax(mean @ w + b)
             g[y] -= 1
             back = w @ g
             w -= rate * np.outer(mean, g)
             b -= rate * g * 0.1
-            np.subtract.at(e, ids, rate * back / len(ids))
+            e[ids] -= rate * np.outer(share, back)
     model = Model(languages, (e @ w).astype(np.float32), b)
     held = [rows[i] for i in kept]
     if held:
-        logits = np.array([model.table[ids].mean(0) + b for ids, _ in held])
-        y = np.array([y for _, y in held])
+        logits = np.array([share @ model.table[ids] + b for ids, share, _ in held])
+        y = np.array([y for *_, y in held])
         grid = np.geomspace(0.2, 5, 41)
         loss = [-np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -120,41 +141,49 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """Snippets (lang, text) of about `per_language` documents of each of the most frequent languages.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, ids, n): subword counts of the pieces of about `per_language` whole documents of each language.
 
-    Documents are chosen by the hash of their id, snippets from their whole length, so the size
-    of the result does not depend on the size of the corpus.
+    Documents are chosen by the hash of their id, with a share that makes the expected number
+    `per_language`, so the size of the result does not depend on the size of the corpus.
     """
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    share = F.broadcast(counts.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")))
-    chosen = known.join(share, "lang").where(
-        F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    )
-    step = F.greatest(F.floor(F.length("text") / SNIPPETS), F.lit(1)).cast("int")
-    places = F.expr(f"sequence(0, {SNIPPETS - 1})")
-    return (
-        chosen.select("lang", "text", step.alias("step"), F.explode(places).alias("k"))
-        # snippets of different length: the shortest have a word or two
-        .select("lang", F.expr(f"substring(text, k * step + 1, {SNIPPET_CHARS} div (k + 1))").alias("text"))
-        .where("text != ''")
-        .limit(per_language * SNIPPETS * max_languages)
-    )
+    known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out())
+    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    chosen = known.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [c for c in map(counted, pieces(text.as_py())) if len(c[0])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(found), pa.string()), *(pa.array([c[k] for c in found], pa.list_(pa.int32())) for k in (0, 1))], names=["lang", "ids", "n"]
+                )
+
+    return chosen.select("lang", "text").mapInArrow(run, "lang string, ids array<int>, n array<int>")
 
 
-def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Model from documents outside the held-out fold; None where there is nothing to learn from."""
-    rows = sample(docs, per_language, max_languages).toPandas().sort_values(["lang", "text"])
-    rows = rows[[bool(len(subwords(t))) for t in rows["text"]]] if len(rows) else rows
-    return fit_snippets(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else None
+    table = sample(docs, per_language).toArrow()  # bounded by the number of documents a language
+    rows = sorted(
+        (lang, ids.values.to_numpy().tobytes(), n.values.to_numpy().tobytes())
+        for lang, ids, n in zip(table.column("lang").to_pylist(), table.column("ids"), table.column("n"), strict=True)
+    )
+    if not rows:
+        return None
+    return fit_counts([(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32)) for _, i, n in rows], [lang for lang, *_ in rows])
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of `docs`.
 
-    Null text and text without a letter give `und` with score 0, as does every text without a
-    model. `rejected` marks predictions below the calibrated threshold; the prediction stays.
+    Null text and text without a letter (digits, fractions and Roman numeral signs are none) give
+    `und` with score 0, as does every text without a model. Repeated rows read alike, ids may be of
+    any type, null or repeated, other columns are not read and an empty table gives an empty result. `rejected` marks predictions below the calibrated threshold; the prediction stays.
     """
     kind = docs.select("doc_id").dtypes[0][1]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -165,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score, rejected = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                if model is None or not _GAP.sub("", text[:4096]) and not _GAP.sub("", text):
+                if model is None or not has_letter(text):
                     p, best = np.zeros(1), None
                 else:
                     p = model.probabilities(text)

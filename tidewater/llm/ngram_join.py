@@ -40,7 +40,8 @@ from tidewater.llm.tables import materialise
 
 FREQUENT = 128
 RANGE_TOKENS = 1 << 21
-BLOCK_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 14
+BLOCK_TOKENS, MOST_BLOCK_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 24, 1 << 14
+MOST_BITS = 24  # 2^24 ranges of RANGE_TOKENS are more tokens than 100 TB of text have
 MEMBERS = "doc_id long, n int, f1 long, f2 long"
 BLOBS = "r int, b long, data binary"
 SETS = "f1 long, f2 long, n int, m int, singles array<long>, pairs array<long>, index_singles array<long>, index_pairs array<long>, tokens array<long>"
@@ -79,7 +80,7 @@ def _range_blobs(docs: DataFrame, bits: int, text_col: str) -> DataFrame:
 
     A set occurring more than once in a block is represented once.
     """
-    block_tokens = max(BLOCK_TOKENS, 256 << bits)
+    block_tokens = min(max(BLOCK_TOKENS, 256 << bits), MOST_BLOCK_TOKENS)
 
     def rows(block: int, sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets.values()], np.int64)
@@ -259,7 +260,7 @@ def links(docs: DataFrame, group: DataFrame, total: int, text_col: str = "text",
 
     `group` names the sets: n, f1, f2, node. `total` is the number of tokens in all of them.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / RANGE_TOKENS)), 2, 16))
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / RANGE_TOKENS)), 2, MOST_BITS))
     blobs = _range_blobs(docs, bits, text_col)
     counted = blobs.groupBy("r").applyInArrow(_count_range(bits), BLOBS)
     found = counted.groupBy("b").applyInArrow(_assemble(bits, frequent), SETS)
@@ -297,13 +298,14 @@ def links(docs: DataFrame, group: DataFrame, total: int, text_col: str = "text",
     met = materialise(first.unionByName(_verified(unknown, sets)).select("a", "b", "shared"), "shared")
     rows = rows.select("*", *ends).join(met, ["a", "b"]).withColumnRenamed("shared", "i")
     rows = materialise(rows.select("entry", "node", "n", "m", "i", "index", "component", "pcomponent"), "bounded")
-    # of two components in an entry at most one is the typical set's
-    x = rows.where("component != pcomponent").select("entry", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "m", "i", "index", "component")))
-    y = rows.select("entry", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "m", "i", "index", "component")))
+    # of two components in an entry at most one is the typical set's; sizes of linked sets lie in one class or in neighbouring ones
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25)) + 1e-9).cast("int")
+    x = rows.where("component != pcomponent").withColumn("size", F.explode(F.array(size - 1, size, size + 1))).select("entry", "size", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "m", "i", "index", "component")))
+    y = rows.select("entry", size.alias("size"), *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "m", "i", "index", "component")))
     smaller_indexed = (F.col("x_index") & (F.col("x_n") <= F.col("y_n"))) | (F.col("y_index") & (F.col("y_n") <= F.col("x_n")))
     most = F.least("x_i", "y_i") + F.least(F.col("x_m") - F.col("x_i"), F.col("y_m") - F.col("y_i"))
     near = (9 * most >= 4 * (F.col("x_n") + F.col("y_n"))) & (F.col("x_component") != F.col("y_component"))
-    rest = x.join(y, (x.entry == y.entry) & smaller_indexed & near & _possible("x_", "y_"))
+    rest = x.join(y, (x.entry == y.entry) & (x["size"] == y["size"]) & smaller_indexed & near & _possible("x_", "y_"))
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     rest = rest.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialise(_verified(rest, sets), "rest")
