@@ -35,4 +35,6 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_give_rows(spark, name):
-    assert QUERIES[name](spark, SF).schema.fields
+    """They run on whole tables; their values are held against brute force and planted effects elsewhere."""
+    got = QUERIES[name](spark, SF).collect()
+    assert got and all(len(r) == len(got[0]) for r in got)
