@@ -16,7 +16,6 @@ from tidewater.functions.columns import HOUR, ratio
 from tidewater.operators.metrics import auc, calibration_error, count, losses, reliability, threshold_statistics, top_n
 
 ABSTAIN, FIRST = 1.01, 0.55
-NEVER = F.lit(False)
 
 
 def history_statistics(events: DataFrame, score: str, thresholds: Sequence[float], folds: Sequence[int]) -> DataFrame:
@@ -69,7 +68,7 @@ def arms(events: DataFrame, folds: Sequence[int], meta_taus: Sequence[float], ba
     evaluated = evaluated.withColumn("traded_reference", reference)
     sizes = evaluated.groupBy("fold").agg(F.count_if("traded_reference").alias("n"))
     matched = top_n(evaluated, "p_meta", sizes).select("event_id", F.lit(True).alias("traded_matched"))
-    return evaluated.join(matched, "event_id", "left").withColumn("traded_matched", F.coalesce("traded_matched", NEVER))
+    return evaluated.join(matched, "event_id", "left").withColumn("traded_matched", F.coalesce("traded_matched", F.lit(False)))
 
 
 ARMS = ("meta", "baseline", "meta_forced", "baseline_forced", "matched", "reference")
@@ -185,7 +184,7 @@ def expected_value_rule(events: DataFrame, score: str, folds: Sequence[int]) ->
     past = sums.join(spread, "fold").groupBy(F.col("for_fold").alias("fold")).agg(ratio(F.sum("s0"), F.sum("n0")).alias("mean_win"), ratio(F.sum("s1"), F.sum("n1")).alias("mean_loss"))
     value = F.col(score) * F.col("mean_win") + (1 - F.col(score)) * F.col("mean_loss")
     out = events.where(F.col("fold").isin(list(folds))).join(past, "fold")
-    return out.withColumn("expected_value", value).withColumn("traded", F.coalesce(value > 0, NEVER))
+    return out.withColumn("expected_value", value).withColumn("traded", F.coalesce(value > 0, F.lit(False)))
 
 
 def pools(flagged: DataFrame, arm: str, reference: str) -> DataFrame:
