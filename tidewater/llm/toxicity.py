@@ -23,7 +23,8 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
@@ -56,6 +57,14 @@ class Table:
         self.size = size
         self.rows = np.vstack([rows, np.zeros(rows.shape[1])]).astype(np.float32)[at]
 
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        """Only what is held travels; slots are dealt again on arrival."""
+        held = self.keys != 0
+        return self.keys[held], self.rows[held]
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.__init__(*state)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _BASE) >> self.shift).astype(np.int64)
 
@@ -116,6 +125,16 @@ class Model:
     alphabet: int
     weights: np.ndarray | None = None
     name: str = field(default_factory=lambda: uuid4().hex)
+    sent: Broadcast | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sent": None}
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The tables on the executors, sent once; their size is bounded by the labelled sample."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """log(1 - e + e * P_toxic / P_ordinary) of each word."""
@@ -301,7 +320,7 @@ class _Reader:
 
 def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words and summed evidence of every whole text; null text has no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
+    shared = model.shared(docs.sparkSession)
     id_type = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +414,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` without the rows that the model rejects: one pass, no join, columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
     weights, at = _weights(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
