@@ -30,7 +30,7 @@ def planted(spark, n=1500):
         p, q = rng.random(2)
         ret = 0.01 if rng.random() < p else -0.008
         rows.append((i, f"P{i % 5}", 1 + i * 5 // n, i * HOUR, (i + 5) * HOUR, float(p), float(0.55 + 0.45 * q), ret, 0.5 + 0.5 * float(rng.random())))
-    return M.net(spark.createDataFrame(rows, OOF)).cache()
+    return M.net(spark.createDataFrame(rows, OOF)).coalesce(1).cache()
 
 
 def test_placebo_draws_equal_brute_force(spark):
