@@ -12,6 +12,7 @@ from tidewater.llm.packing import pack
 from tidewater.llm.pii import key_of, replace
 from tidewater.llm.tables import load, materialise
 from tidewater.llm.toxicity import fit, keep_ordinary
+from tidewater.sources.store import discard, scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,8 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order on `documents`, each written and read again before the next."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages in order on `documents`, each written and read again before the next.
+
+    What a stage has written goes as soon as its result is written.
+    """
+    docs, before = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scope() as written:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(spark, before + written[:-1])
+        before = written[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY, HOUR
@@ -19,7 +17,7 @@ from tidewater.plans.sqlviews import over
 from tidewater.sources import archives as R
 from tidewater.sources import sinks as S
 from tidewater.sources import views as V
-from tidewater.sources.store import materialise, shared_dir
+from tidewater.sources.store import materialise, new_path
 
 Q, O = {}, {}
 
@@ -30,10 +28,6 @@ def add(name, query, sql=None):
         O[name] = sql
 
 
-def folder(spark, name):
-    return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-
-
 add(
     "distinct_rows",
     lambda s, d: A.distinct_rows(V.table(s, d, "lineitem"), ["l_orderkey", "l_returnflag", "l_linestatus", "l_discount"]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")),
@@ -208,7 +202,7 @@ add(
 
 
 def dataset_back(s, d):
-    path = folder(s, "dataset")
+    path = new_path(s, "dataset")
     S.write_dataset(V.bars(s, d), path)
     return S.read_dataset(s, path).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.sum("close"), 4).alias("close"))
 
@@ -230,7 +224,7 @@ add(
 
 
 def oof_back(s, d):
-    path = folder(s, "oof")
+    path = new_path(s, "oof")
     S.write_oof(V.oof(s, d).dropDuplicates(["symbol", "decision_us"]), path)
     return S.fired(s.read.parquet(path), 0.9).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r(F.sum("p_primary"), 4).alias("p")).select(*big("fold"), "n", "p")
 
@@ -249,7 +243,7 @@ def history(s, d):
 
 
 def history_back(s, d):
-    path = folder(s, "history")
+    path = new_path(s, "history")
     S.append_history(history(s, d).where("us % 2000 < 1000"), path)
     S.append_history(history(s, d).where("us % 2000 >= 1000"), path)
     v = s.read.text(path).withColumn("_v", F.try_parse_json("value"))
@@ -273,7 +267,7 @@ add(
 
 
 def ledger_back(s, d):
-    path = folder(s, "ledger")
+    path = new_path(s, "ledger")
     stats = M.threshold_statistics(ev(s, d), "p_primary", (0.55, 0.75)).select("fold", "threshold", F.col("n").alias("trades"))
     S.append_ledger(stats, path, "run-1")
     S.append_ledger(stats.where("fold > 2").withColumn("trades", F.col("trades") + 1), path, "run-2")
