@@ -16,13 +16,11 @@ a surrogate is longer than its entity, by one character more each attempt. Only
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.tables import materialise, shared_dir
+from tidewater.llm.tables import materialise, new_path
 
 MAX_ATTEMPTS = 64
 ENTITIES_PER_TASK = 4096
@@ -280,7 +278,7 @@ def exceptions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mention = mention.select("e", kind_of(F.col("e")).alias("kind"))
     entity = mention.select("kind", normal_form(F.col("e"), F.col("kind")).alias("normal"), "e")
     entity = materialise(entity.groupBy("kind", "normal").agg(F.min("e").alias("e")), "entities")
-    given = f"{shared_dir(spark)}/tidewater/surrogates-{uuid.uuid4().hex}"
+    given = new_path(spark, "surrogates")
     schema = "kind string, want string, normal string, attempt int"
     entity.select("kind", F.col("normal").alias("want"), F.lit("").alias("normal"), F.lit(-1).alias("attempt")).write.parquet(given)
     opened, attempt, settled = entity, 0, 0
