@@ -68,13 +68,13 @@ def _step(state: tuple, price: float) -> tuple[tuple, str | None]:
     return state, None
 
 
-def manage_stops(ticks: DataFrame) -> DataFrame:
+def manage_stops(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
     """Stop events of positions over price ticks (position_id, ts, side, entry, stop, price).
 
     Streaming input keeps each position's state between batches; the batch twin replays the ticks of a
     position in order. Both run the same step. Within a batch ticks are put in order; a tick that
-    arrives batches late counts when it arrives. A closed position is remembered for CLOSED_MS so that
-    late ticks do not open it again, an open one for OPEN_MS after its last tick; then its state goes.
+    arrives batches late counts when it arrives. A closed position is remembered for CLOSED_MS of event time
+    so that late ticks do not open it again, an open one for OPEN_MS after its last tick; then its state goes.
     """
 
     def replay(pdf: pd.DataFrame, state: tuple | None) -> tuple[list, tuple | None]:
@@ -97,12 +97,15 @@ def manage_stops(ticks: DataFrame) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows, now = replay(pd.concat(list(pdfs)), state.get if state.exists else None)
+        parts = list(pdfs)
+        rows, now = replay(pd.concat(parts), state.get if state.exists else None)
         state.update(now)
-        state.setTimeoutDuration(CLOSED_MS if now[-1] else OPEN_MS)
+        seen = max(max(pdf["ts"].max().value // 10**6 for pdf in parts), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(seen + (CLOSED_MS if now[-1] else OPEN_MS))
         yield pd.DataFrame(rows, columns=names)
 
-    return ticks.groupBy("position_id").applyInPandasWithState(stateful, STOP_SCHEMA, STOP_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = ticks.withWatermark("ts", late).groupBy("position_id")
+    return marked.applyInPandasWithState(stateful, STOP_SCHEMA, STOP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 FLOW_SCHEMA = "symbol string, seq long, ofi double"
@@ -123,7 +126,7 @@ def level_flow(pdf: pd.DataFrame, was: tuple | None) -> tuple[np.ndarray, tuple]
 def live_order_flow(levels: DataFrame) -> DataFrame:
     """Order flow of best levels (symbol, seq, bp, bq, ap, aq): the last levels of a symbol are kept between batches.
 
-    The batch twin is a lag over chunks. A symbol's state is four numbers; it goes after OPEN_MS without a snapshot.
+    The batch twin is a lag over chunks. A symbol's state is four numbers, kept for good.
     """
     if not levels.isStreaming:
         def flow(w) -> dict:
@@ -136,13 +139,9 @@ def live_order_flow(levels: DataFrame) -> DataFrame:
         return rolling(levels, ["symbol"], ["seq"], 1, flow, span=10**6).select("symbol", "seq", "ofi")
 
     def stateful(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(pdfs)).sort_values("seq")
         ofi, last = level_flow(pdf, state.get if state.exists else None)
         state.update(last)
-        state.setTimeoutDuration(OPEN_MS)
         yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ofi": ofi})
 
-    return levels.groupBy("symbol").applyInPandasWithState(stateful, FLOW_SCHEMA, FLOW_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return levels.groupBy("symbol").applyInPandasWithState(stateful, FLOW_SCHEMA, FLOW_STATE, "append", GroupStateTimeout.NoTimeout)
