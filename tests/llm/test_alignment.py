@@ -1,16 +1,18 @@
 import hashlib
+import os
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewater.llm.alignment import align, alignment_digests, byte_of_symbol, common_ends, gallop, group_links
+from tidewater.llm.alignment import align, alignment_digests, byte_level, byte_of_symbol, common_ends, gallop, group_links
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, batch string, links string"
@@ -23,7 +25,7 @@ TEXTS = [
 @given(st.lists(st.integers(0, 60), max_size=40), st.lists(st.integers(0, 60), max_size=40))
 def test_gallop_finds_the_shared_values(x, y):
     x, y = sorted(set(x)), sorted(set(y))
-    assert [(x[i], y[j]) for i, j in gallop(x, y)] == [(v, v) for v in sorted(set(x) & set(y))]
+    assert [(x[i], y[j]) for i, j in zip(*gallop(x, y), strict=True)] == [(v, v) for v in sorted(set(x) & set(y))]
     ia, ib = common_ends(np.array(x, np.int64), np.array(y, np.int64))
     assert [x[i] for i in ia] == [y[j] for j in ib] == sorted(set(x) & set(y))
 
@@ -76,11 +78,23 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("batch_bytes", [1, 100, 1 << 23])
-def test_digests_equal_brute_force_for_any_batch(spark, batch_bytes):
+RANKS = P.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_ranks_give_the_ids_of_the_tokenizer_file():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += [t or "" for t in TEXTS]
+    one, other = byte_level(A), byte_level(RANKS, P.PATTERN)
+    assert one.encode(texts) == other.encode(texts)
+    assert one.token_bytes[: len(other.token_bytes)] == other.token_bytes
+
+
+@pytest.mark.parametrize(("batch_bytes", "ranks"), [(1, False), (100, True), (1 << 23, True)])
+def test_digests_equal_brute_force_for_any_batch(spark, batch_bytes, ranks):
     ids = [*range(len(TEXTS) - 2), None, 3]
     rows = [(i, t, "clash", "clash") for i, t in zip(ids, TEXTS, strict=True)]
-    got = alignment_digests(spark.createDataFrame(rows, SCHEMA), A, B, batch_bytes=batch_bytes).collect()
+    got = alignment_digests(spark.createDataFrame(rows, SCHEMA), RANKS if ranks else A, B, P.PATTERN if ranks else None, batch_bytes=batch_bytes).collect()
     want = [(i, *w) for i, w in zip(ids, brute(TEXTS), strict=True)]
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 

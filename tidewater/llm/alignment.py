@@ -14,6 +14,7 @@ other, and texts are read and cut only once.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -62,8 +63,22 @@ class Side(NamedTuple):
 
 
 @lru_cache(maxsize=2)
-def byte_level(path: str) -> Side:
-    """A byte-level BPE file, reading space + text; strings of special tokens are plain text."""
+def byte_level(path: str, pattern: str | None = None) -> Side:
+    """A byte-level BPE, reading space + text; strings of special tokens are plain text.
+
+    From a tokenizer file, or with the `pattern` of its words from the ranks of the same vocabulary, which give the same
+    ids at a fifth of the cost.
+    """
+    if pattern is not None:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        plain = tiktoken.Encoding("alignment", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            table[i] = token
+        return Side(lambda texts: [plain(" " + t) for t in texts], table, np.array([len(t) for t in table], np.int64))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -94,30 +109,34 @@ def pieces(path: str) -> Side:
     return Side(lambda t: model.encode(t, num_threads=1), table, np.array([len(t) for t in table], np.int64))
 
 
-def gallop(short: list[int], long: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of the values that two ascending lists share."""
-    hits, at, n = [], 0, len(long)
+def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
+    """Indices of the values that two ascending lists share, in either list."""
+    found, places, at, n = [], [], 0, len(long)
     for i, x in enumerate(short):
-        reach, step = at, 1
-        while reach < n and long[reach] < x:
-            at = reach + 1
-            reach += step
-            step += step
-        at = bisect_left(long, x, at, min(reach, n))
         if at == n:
             break
+        if long[at] < x:
+            low, reach, step = at + 1, at + 1, 1
+            while reach < n and long[reach] < x:
+                low = reach + 1
+                reach += step
+                step += step
+            at = bisect_left(long, x, low, min(reach, n))
+            if at == n:
+                break
         if long[at] == x:
-            hits.append((i, at))
+            found.append(i)
+            places.append(at)
             at += 1
-    return hits
+    return found, places
 
 
 def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the tokens of either side that end where one of the other side ends."""
     swap = len(b) < len(a)
     short, long = (b, a) if swap else (a, b)
-    hits = np.array(gallop(short.tolist(), long.tolist()), np.int64).reshape(-1, 2)
-    return (hits[:, 1], hits[:, 0]) if swap else (hits[:, 0], hits[:, 1])
+    i, j = (np.array(x, np.int64) for x in gallop(short.tolist(), long.tolist()))
+    return (j, i) if swap else (i, j)
 
 
 def aligned(a: Side, b: Side, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
@@ -198,7 +217,7 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def align(docs: DataFrame, byte_level_file: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, byte_level_file: str, piece_model: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids by both tokenizers, and how many tokens of either lie before each group's end.
 
     Null and empty texts, and texts that a tokenizer does not give back, have empty lists. Every row is a
@@ -206,7 +225,7 @@ def align(docs: DataFrame, byte_level_file: str, piece_model: str, id_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_level(byte_level_file), pieces(piece_model)
+        a, b = byte_level(byte_level_file, pattern), pieces(piece_model)
         for ids, texts in _documents(batches, ENCODE_BYTES):
             none = (np.zeros(0, np.int64),) * 4
             found = [g or none for g in aligned(a, b, texts)]
@@ -222,6 +241,7 @@ def link_batches(
     docs: DataFrame,
     byte_level_file: str,
     piece_model: str,
+    pattern: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_bytes: int = BATCH_BYTES,
@@ -231,7 +251,7 @@ def link_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, b = byte_level(byte_level_file), pieces(piece_model)
+        a, b = byte_level(byte_level_file, pattern), pieces(piece_model)
         speller = _speller(len(a.token_bytes), len(b.token_bytes))
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
@@ -293,6 +313,7 @@ def alignment_digests(
     docs: DataFrame,
     byte_level_file: str,
     piece_model: str,
+    pattern: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_bytes: int = BATCH_BYTES,
@@ -305,7 +326,7 @@ def alignment_digests(
     An empty table gives no rows. A task holds one batch of documents: about `batch_bytes` of text or a
     single longer document.
     """
-    batches = materialise(link_batches(docs, byte_level_file, piece_model, id_col, text_col, batch_bytes), "links")
+    batches = materialise(link_batches(docs, byte_level_file, piece_model, pattern, id_col, text_col, batch_bytes), "links")
     wanted = batches.select("batch", F.posexplode("pairs").alias("number", "pair"))
     found = wanted.join(pair_counts(batches), "pair").select("batch", "number", "n", "best")
     rows = batches.drop("pairs", "docs").withColumnRenamed("batch", "own")

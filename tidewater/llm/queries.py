@@ -95,9 +95,12 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from tidewater.llm.alignment import alignment_digests
 
-    return alignment_digests(load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    ranks, model = _vocabulary("byte_bpe_50k.tiktoken"), _vocabulary("piece_bpe_32k.model")
+    return alignment_digests(load(spark, sf_dir, "documents"), ranks, model, public_tokenizers.PATTERN)
 
 
 def op12_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
