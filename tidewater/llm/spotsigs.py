@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 CHAIN = 3
 DIGITS = 16
 NEAR = 0.8
-BOUNDS = 4096  # buckets of neighbouring ids
+BUCKET_ROWS = 64  # neighbouring ids of a bucket, of so many buckets at most
+MOST_BUCKETS = 8192
 
 #: Common words of English, French, German and Spanish prose.
 ANCHORS = (
@@ -83,13 +84,15 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), rise)
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str], bounds: int = BOUNDS) -> DataFrame:
+def with_next(docs: DataFrame, order: str, carried: list[str], made: dict[str, Column], bounds: int | None = None) -> DataFrame:
     """Add `next`, a struct of the `carried` columns of the row after, in descending `order`; the last row
     has the first row's. Rows without a value come last, equal ones are ordered by `tie`.
 
-    Rows are cut into at most `bounds` buckets at approximate quantiles of `order`; each bucket's first row
+    Rows are cut into `bounds` buckets (by their number, if not given) at approximate quantiles of `order`; each bucket's first row
     is copied behind the last row of the bucket before. Only the bounds and a row a bucket leave the tasks.
+    Columns in `made` are added once rows are dealt, so they are not shuffled.
     """
+    bounds = bounds or min(max(docs.count() // BUCKET_ROWS, 1), MOST_BUCKETS)
     spread = docs.select(F.percentile_approx(order, [(i + 1) / bounds for i in range(bounds - 1)], 10 * bounds)).first()[0]
     dealt = docs.withColumn("_bucket", _bucket(F.col(order), sorted(set(spread or []))))
     heads = dealt.groupBy("_bucket").agg(F.max(F.struct(order, "tie")).alias("_head"))
@@ -99,13 +102,13 @@ def with_next(docs: DataFrame, order: str, carried: list[str], bounds: int = BOU
     here = F.struct(F.col("_bucket").alias("at"), F.lit(False).alias("copy"))
     there = F.struct(F.col("_before").alias("at"), F.lit(True).alias("copy"))
     places = F.when(F.struct(order, "tie").eqNullSafe(F.col("_head")), F.array(here, there)).otherwise(F.array(here))
-    placed = marked.withColumn("_place", F.explode(places))
-    w = Window.partitionBy("_place.at").orderBy("_place.copy", F.desc_nulls_last(order), F.desc("tie"))
-    out = placed.withColumn("next", F.lead(F.struct(*carried)).over(w))
-    return out.where("not _place.copy").drop("_bucket", "_head", "_before", "_place")
+    placed = marked.withColumn("_place", F.explode(places)).drop("_bucket", "_head", "_before").select("*", "_place.*").drop("_place")
+    w = Window.partitionBy("at").orderBy("copy", F.desc_nulls_last(order), F.desc("tie"))
+    out = placed.repartition("at").withColumns(made).withColumn("next", F.lead(F.struct(*carried)).over(w))
+    return out.where("not copy").drop("at", "copy")
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, bounds: int = BOUNDS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, bounds: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edit: its last half replaced by the start of the next document.
 
     The last floor(n_chars / 2) code points give way to the first as many, or all, of the document with the
@@ -116,7 +119,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = rows.withColumns({"tie": F.xxhash64("text"), "n_chars": F.length("text").cast("long")})
-    paired = with_next(own.withColumn("signatures", signatures(F.col("text"), chain)), "doc_id", ["text", "signatures"], bounds)
+    paired = with_next(own, "doc_id", ["text", "signatures"], {"signatures": signatures(F.col("text"), chain)}, bounds)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edit = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next.text", half))
     edited = paired.select("doc_id", "n_chars", "signatures", F.col("next.signatures").alias("next"), edit.alias("edited"))
