@@ -79,15 +79,25 @@ def recent_voter_weights(graded: DataFrame, voters: DataFrame, now: int, days: i
     return weights.select("voter", "score", F.when(F.coalesce("_ready", F.lit(False)), F.col("weight")).otherwise(1.0).alias("weight"))
 
 
-def gate(regime: Column, conviction: Column, threshold: Column, persistence: Column, margin: Column, fresh: Column) -> Column:
-    """(decision, reason) of the regime gate, first matching rule."""
+def gate(policy: Column, regime: Column, side: Column, conviction: Column, threshold: Column, persistence: Column, margin: Column, changed: Column, age: Column, spot: bool = True) -> Column:
+    """(decision, reason) of the regime gate for a BUY or SELL, first matching rule; other decisions are no orders.
+
+    Policy `block` stops every order and, in spot, a bear stops a BUY. Only under `caution`, which also stands for a missing
+    policy, does an order need conviction, persistence, margin and no switch within two bars; an exceptional conviction
+    passes a fresh switch. Missing numbers count as 0.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0.0))
+    strict = F.least(F.lit(0.95), threshold + 0.10)
+    strong = number(conviction) >= F.least(F.lit(0.99), strict + 0.10)
+    careful = F.coalesce(F.lower(policy), F.lit("caution")) == "caution"
     rules = [
-        (regime == "missing", "block", "no_regime"),
-        (regime == "bear", "block", "bear_in_spot"),
-        ((regime == "neutral") & (conviction < F.least(F.lit(0.95), threshold + 0.10)), "block", "low_conviction"),
-        (persistence < 0.55, "block", "unstable"),
-        (margin < 0.10, "block", "thin_margin"),
-        (fresh, "block", "fresh_switch"),
+        (~F.coalesce(side.isin("BUY", "SELL"), F.lit(False)), "pass", "no_order"),
+        (F.lower(policy) == "block", "block", "policy"),
+        (F.lit(spot) & (side == "BUY") & (F.lower(regime) == "bear"), "block", "bear_in_spot"),
+        (careful & (number(conviction) < strict), "block", "low_conviction"),
+        (careful & (number(persistence) < 0.55), "block", "unstable"),
+        (careful & (number(margin) < 0.10), "block", "thin_margin"),
+        (careful & F.coalesce(changed, F.lit(False)) & (F.coalesce(age, F.lit(0)) < 2) & ~strong, "block", "fresh_switch"),
     ]
     out = F.struct(F.lit("pass").alias("decision"), F.lit("ok").alias("reason"))
     for test, decision, reason in reversed(rules):
@@ -113,6 +123,15 @@ def ledger(closes: DataFrame, positions: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("pnl") > 0, "win").when(F.col("pnl") < 0, "loss").otherwise("flat"))
 
 
+def graded_votes(closed: DataFrame, votes: DataFrame) -> DataFrame:
+    """Votes (position_id, voter, vote) on closed positions (position_id, side, outcome, r_multiple): aligned with the trade, and
+    right or wrong by its outcome. A HOLD and a vote on a flat trade are neither."""
+    j = votes.join(closed.select("position_id", "side", "outcome", "r_multiple"), "position_id")
+    aligned = F.coalesce(F.col("vote") == F.col("side"), F.lit(False))
+    right = F.when(~F.coalesce(F.col("vote").isin("BUY", "SELL"), F.lit(False)), None).when(F.col("outcome") == "win", aligned).when(F.col("outcome") == "loss", ~aligned)
+    return j.withColumns({"aligned": aligned, "right": right})
+
+
 def best_price(quotes: DataFrame) -> DataFrame:
     """Mid of the best bid and ask, else bid, else ask, else last trade, else last close."""
     ok = {c: F.when(F.col(c) > 0, F.col(c)) for c in ("bid", "ask", "last", "close")}

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.columns import HOUR, ratio
+from tidewater.functions.columns import HOUR, finite, ratio
 from tidewater.operators.metrics import auc, calibration_error, count, losses, reliability, threshold_statistics, top_n
+from tidewater.operators.series import quantiles
 
 ABSTAIN, FIRST = 1.01, 0.55
 
@@ -109,9 +110,9 @@ def auc_invariance(table: DataFrame, raw: str, versions: Mapping[str, str], keys
     return rest.select(*keys, "version", "raw_auc", "auc", delta.alias("delta"), F.when(kind == "monotone", F.coalesce(F.abs(delta) <= 1e-9, F.lit(True))).alias("passed"))
 
 
-def chosen_method(briers: DataFrame, tie: float = 0.001, least_gain: float = 0.0) -> DataFrame:
+def chosen_method(briers: DataFrame, tie: float = 0.001, least_gain: float = 0.001) -> DataFrame:
     """Method per key from weighted Brier scores (identity, platt, isotonic): all within `tie` of the best are
-    eligible, and platt comes before identity before isotonic."""
+    eligible, and platt comes before identity before isotonic. A gain over identity counts from above `least_gain`."""
     best = F.least("identity", "platt", "isotonic") + tie
     method = F.when(F.col("platt") <= best, "platt").when(F.col("identity") <= best, "identity").otherwise("isotonic")
     out = briers.withColumn("method", method)
@@ -204,10 +205,10 @@ def pool_contract(pooled: DataFrame, pool: str, arm: str, scores: Sequence[str])
 def pool_composition(pooled: DataFrame, pool: str, unique: Column, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """Size, mean and median net of a pool, and its mean without the events that only the arm takes."""
     inside = pooled.where(F.col(pool)).withColumn("_unique", unique)
-    return inside.groupBy(*keys).agg(
-        count().alias("pool_size"), F.avg("net").alias("mean_net"), F.median("net").alias("median_net"),
-        F.avg(F.when(~F.col("_unique"), F.col("net"))).alias("mean_without_unique"), F.count_if("_unique").alias("removed"),
+    out = inside.groupBy(*keys).agg(
+        count().alias("pool_size"), F.avg("net").alias("mean_net"), F.avg(F.when(~F.col("_unique"), F.col("net"))).alias("mean_without_unique"), F.count_if("_unique").alias("removed"),
     )
+    return out.join(quantiles(inside, keys, "net", {"median_net": 0.5}), list(keys), "left")
 
 
 def sampling_plan(pooled: DataFrame, pool: str, arm: str, cells: Sequence[str]) -> DataFrame:
@@ -346,18 +347,34 @@ def reconstruction_gaps(rows: DataFrame, replay: DataFrame) -> DataFrame:
     return both.select("fold", "n", "sum_net", ((F.col("n") == F.col("_n")) & (F.abs(F.col("sum_net") - F.col("_s")) <= 1e-9)).alias("ok"))
 
 
-def imbalance_report(live: DataFrame, rebuilt: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Agreement of a live and a rebuilt series at common keys, the last of repeated rows on either side.
+def _correlation(a: str, b: str) -> Column:
+    """Pearson correlation; NULL where a side does not vary."""
+    spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
 
-    Pearson and Spearman correlation, median of live minus rebuilt, and a verdict: under 50 pairs
-    insufficient, from 0.7 rank correlation approved, from 0.4 caution, else rejected.
+
+def imbalance_report(live: DataFrame, rebuilt: DataFrame, value: str, differences: bool = False, at: str = "open_us") -> DataFrame:
+    """Agreement of a live and a rebuilt series per symbol, at common times; the last of repeated rows on either side.
+
+    Pearson and Spearman correlation, median of live minus rebuilt, and a verdict: under 50 pairs insufficient_overlap, a
+    constant side insufficient_variation, series known to differ by design (`differences`) reference_only, then by Pearson
+    from 0.7 approved, from 0.4 caution, else rejected. Symbols without a common time have 0 pairs.
     """
     from tidewater.operators.metrics import average_ranks
 
-    keys = list(keys)
-    sides = [df.groupBy(*keys).agg(F.max_by(value, "seq").alias(n)) for df, n in ((live, "x"), (rebuilt, "y"))]
-    pairs = sides[0].join(sides[1], keys).where("x is not null and y is not null").withColumn("_k", F.lit(1))
-    ranked = average_ranks(average_ranks(pairs, ["_k"], "x", "rx"), ["_k"], "y", "ry")
-    out = ranked.groupBy("_k").agg(count().alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.percentile(F.col("x") - F.col("y"), 0.5).alias("median_bias"))
-    verdict = F.when(F.col("n") < 50, "insufficient").when(F.col("spearman") >= 0.7, "approved").when(F.col("spearman") >= 0.4, "caution").otherwise("rejected")
-    return out.drop("_k").withColumn("verdict", verdict)
+    keys = ["symbol", at]
+    sides = [df.where(finite(F.col(value)).isNotNull()).groupBy(*keys).agg(F.max_by(value, "seq").alias(n)) for df, n in ((live, "x"), (rebuilt, "y"))]
+    pairs = sides[0].join(sides[1], keys).withColumn("_gap", F.col("x") - F.col("y"))
+    ranked = average_ranks(average_ranks(pairs, ["symbol"], "x", "rx"), ["symbol"], "y", "ry")
+    found = ranked.groupBy("symbol").agg(
+        count().alias("n"), _correlation("x", "y").alias("pearson"), _correlation("rx", "ry").alias("spearman"), ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("_constant")
+    )
+    found = found.join(quantiles(pairs, ["symbol"], "_gap", {"median_bias": 0.5}), "symbol")
+    out = live.select("symbol").distinct().join(found, "symbol", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    varied = ~F.coalesce("_constant", F.lit(True))
+    out = out.withColumns({c: F.when(varied, finite(F.col(c))) for c in ("pearson", "spearman")})
+    verdict = (
+        F.when(F.col("n") < 50, "insufficient_overlap").when(~varied, "insufficient_variation").when(F.lit(differences), "reference_only")
+        .when(F.col("pearson").isNull(), "insufficient_variation").when(F.col("pearson") >= 0.7, "approved").when(F.col("pearson") >= 0.4, "caution").otherwise("rejected")
+    )
+    return out.withColumn("verdict", verdict).drop("_constant")

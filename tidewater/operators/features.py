@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import math
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import HOUR, clip, finite, ratio
-from tidewater.operators.series import asof_join, islands, rolling
+from tidewater.operators.series import asof_join, islands, ordinal, quantiles, rolling
 
 KEYS, ORDER = ["symbol"], ["open_us"]
 
@@ -106,44 +108,42 @@ def distances(bars: DataFrame, n: int = 168) -> DataFrame:
     return rolling(bars, KEYS, ORDER, n, columns)
 
 
-def ewm_weights(span: float, kernel: int) -> list[float]:
-    return [(1 - 2 / (span + 1)) ** k for k in range(kernel)]
-
-
-def ewm_std(bars: DataFrame, x: str, span: int, kernel: int | None = None, name: str = "ewm_std") -> DataFrame:
+def ewm_std(bars: DataFrame, x: str, span: int, name: str = "ewm_std") -> DataFrame:
     """Exponentially weighted deviation, recursive weights, bias-corrected, first `span` values needed.
 
     Weights of age k are a(1-a)^k and (1-a)^age for the first value of the series; they decay over
-    missing values by row distance. Beyond `kernel` rows weights are below 1e-9 of the total and
-    are left out, so the look-back is bounded.
+    missing values by row distance. A series is cut into blocks; within one, weighted sums are running
+    sums of values scaled up by (1-a)^-k, and a block hands on the sums at its end. Blocks are as long as
+    doubles allow, so that what lies before the last block with values weighs 1e-140 of it and adds nothing.
     """
-    a, kernel = 2 / (span + 1), kernel or int(22 * (span + 1) / 2)
-
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        f = back(w, kernel)
-        first = F.col("pos") == F.first(F.when(F.col(x).isNotNull(), F.col("pos")), True).over(f)
-        seen = F.collect_list(F.when(F.col(x).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(x).alias("v")))).over(f)
-        return {"_seen": seen, "_first": first}
-
-    placed = rolling(bars, KEYS, ORDER, kernel, columns)
-    age = lambda s: F.col("pos") - s.p
-    # the oldest value in reach takes what all older ones would have had together
-    weight = lambda s: F.pow(F.lit(1 - a), age(s)) * F.when(s.p == F.element_at("_seen", 1).p, 1.0).otherwise(a)
-    parts = F.aggregate(
-        "_seen",
-        F.struct(*(F.lit(0.0).alias(n) for n in ("w", "w2", "wx", "wxx"))),
-        lambda t, s: F.struct(
-            (t.w + weight(s)).alias("w"),
-            (t.w2 + weight(s) * weight(s)).alias("w2"),
-            (t.wx + weight(s) * s.v).alias("wx"),
-            (t.wxx + weight(s) * s.v * s.v).alias("wxx"),
-        ),
-    )
-    s = placed.withColumn("_s", F.when(F.size("_seen") > 0, parts))
-    mean = F.col("_s.wx") / F.col("_s.w")
-    var = F.col("_s.wxx") / F.col("_s.w") - mean * mean
-    fix = F.col("_s.w") * F.col("_s.w") / F.when(F.col("_s.w") * F.col("_s.w") > F.col("_s.w2"), F.col("_s.w") * F.col("_s.w") - F.col("_s.w2"))
-    return s.withColumn(name, F.when(F.size("_seen") >= span, F.sqrt(F.greatest(var * fix, F.lit(0.0))))).drop("_seen", "_first", "_s")
+    a = 2 / (span + 1)
+    d = 1 - a
+    length = int(140 / -math.log10(d)) if d > 0 else 1
+    placed = ordinal(bars, KEYS, ORDER, "pos")
+    firsts = placed.where(F.col(x).isNotNull()).groupBy(*KEYS).agg(F.min("pos").alias("_first"))
+    dealt = placed.join(firsts, KEYS, "left").withColumns({"_block": F.floor(F.col("pos") / length), "_k": F.col("pos") % length})
+    value = F.col(x).cast("double")
+    share = F.when(value.isNull(), 0.0).when(F.col("pos") == F.col("_first"), 1.0).otherwise(a) * F.pow(F.lit(1 / d), F.col("_k"))
+    terms = {"_w": share, "_w2": share * share, "_wx": share * F.coalesce(value, F.lit(0.0)), "_wxx": share * F.coalesce(value * value, F.lit(0.0))}
+    power = {"_w": 1, "_w2": 2, "_wx": 1, "_wxx": 1}
+    within = Window.partitionBy(*KEYS, "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    down = F.pow(F.lit(d), F.col("_k"))
+    here = dealt.withColumns({**{n: F.sum(t).over(within) * F.pow(down, F.lit(power[n])) for n, t in terms.items()}, "_n": F.count(x).over(within)})
+    ends = dealt.groupBy(*KEYS, "_block").agg(*(F.sum(t).alias(n) for n, t in terms.items()), F.count(x).alias("_n"), F.max("_k").alias("_last"))
+    before = Window.partitionBy(*KEYS).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    fall = F.pow(F.lit(d), F.col("_last"))
+    end = F.struct((F.col("_block") * length + F.col("_last")).alias("at"), *((F.col(n) * F.pow(fall, F.lit(power[n]))).alias(n) for n in terms))
+    carried = ends.select(*KEYS, "_block", F.last(F.when(F.col("_n") > 0, end), True).over(before).alias("_end"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_seen"))
+    both = here.join(carried, [*KEYS, "_block"])
+    decay = F.pow(F.lit(d), F.col("pos") - F.col("_end.at"))
+    total = {n: F.col(n) + F.coalesce(F.col(f"_end.{n}") * F.pow(decay, F.lit(power[n])), F.lit(0.0)) for n in terms}
+    out = both.withColumns(total)
+    w, w2 = F.when(F.col("_w") > 0, F.col("_w")), F.col("_w2")
+    mean = F.col("_wx") / w
+    fix = w * w / F.when(w * w > w2, w * w - w2)
+    deviation = F.sqrt(F.greatest((F.col("_wxx") / w - mean * mean) * fix, F.lit(0.0)))
+    out = out.withColumn(name, F.when(F.col("_seen") + F.col("_n") >= span, deviation))
+    return out.drop("_block", "_k", "_first", "_end", "_seen", "_n", *terms)
 
 
 def forward_labels(bars: DataFrame, horizon: int = 5, quantile: float = 0.9) -> DataFrame:
@@ -159,8 +159,8 @@ def forward_labels(bars: DataFrame, horizon: int = 5, quantile: float = 0.9) ->
         return {"_threshold": own}
 
     ahead = rolling(bars, KEYS, ORDER, 0, forward, ahead=horizon).withColumn("fwd_abs", F.abs("fwd_return"))
-    overall = ahead.groupBy("symbol").agg(F.percentile("fwd_abs", quantile).alias("_overall"))
-    out = rolling(ahead, KEYS, ORDER, n + 1, label).join(overall, "symbol")
+    overall = quantiles(ahead, ["symbol"], "fwd_abs", {"_overall": quantile})
+    out = rolling(ahead, KEYS, ORDER, n + 1, label).join(overall, "symbol", "left")
     threshold = F.coalesce("_threshold", "_overall")
     return out.withColumn("jump", F.when(F.col("fwd_abs").isNotNull(), (F.col("fwd_abs") >= threshold).cast("int"))).drop("_threshold", "_overall")
 
@@ -234,18 +234,17 @@ def regime_ages(bars: DataFrame) -> DataFrame:
 def winsorised(bars: DataFrame, x: str, low: float = 0.01, high: float = 0.99, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Clipped to the quantiles of its keys, then (x - median) / IQR (deviation where IQR is 0), within 8.
 
-    With a window among the keys no value depends on later windows; quantiles are exact over one key.
+    With a window among the keys no value depends on later windows; quantiles are exact over a key.
     """
     keys = list(keys)
-    q = bars.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    cut = bars.join(q, keys).withColumn("_x", F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(x))))
-    s = cut.groupBy(*keys).agg(
-        F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p"), F.stddev_pop("_x").alias("_sd")
-    )
-    iqr = F.col("_p")[2] - F.col("_p")[0]
+    cut = bars.join(quantiles(bars, keys, x, {"_low": low, "_high": high}), keys)
+    cut = cut.withColumn("_x", F.greatest(F.col("_low"), F.least(F.col("_high"), F.col(x))))
+    spread = cut.groupBy(*keys).agg(F.stddev_pop("_x").alias("_sd"))
+    s = quantiles(cut, keys, "_x", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).join(spread, keys)
+    iqr = F.col("_q3") - F.col("_q1")
     scale = F.coalesce(F.when(iqr > 1e-12, iqr), F.when(F.col("_sd") > 1e-12, F.col("_sd")), F.lit(1.0))
-    out = cut.join(s, keys).withColumn("scaled", clip((F.col("_x") - F.col("_p")[1]) / scale, -8, 8))
-    return out.drop("_q", "_x", "_p", "_sd")
+    out = cut.join(s, keys).withColumn("scaled", clip((F.col("_x") - F.col("_q2")) / scale, -8, 8))
+    return out.drop("_low", "_high", "_x", "_q1", "_q2", "_q3", "_sd")
 
 
 def sane_bars(bars: DataFrame) -> DataFrame:

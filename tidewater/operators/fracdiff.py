@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.features import KEYS, ORDER, back, full
+from tidewater.operators.features import back, full, KEYS, legacy_regime_features, ORDER
 from tidewater.operators.series import ROWS, ordinal, rolling
+from tidewater.sources.store import materialise
 
 
 def weights(d: float, threshold: float, most: int = 100_000) -> np.ndarray:
@@ -73,3 +74,15 @@ def fractional_features(bars: DataFrame, d: float = 0.45, threshold: float = 1e-
     return rolling(b, KEYS, ORDER, 24, statistics).drop("_c", "_v", "pos")
 
 
+
+
+REGIME_COLUMNS = ("fd_return", "fd_volatility", "fd_log_range", "fd_log_volume", "fd_trend")
+
+
+def regime_features(bars: DataFrame, d: float = 0.45, threshold: float = 1e-3) -> DataFrame:
+    """Complete rows of the five regime features and their mode: `fractional_diff`, or `legacy` for symbols without a single
+    complete fractional row, as short series are."""
+    named = lambda df, names, mode: df.select(*KEYS, *ORDER, *(F.col(n).alias(c) for n, c in zip(names, REGIME_COLUMNS, strict=True)), F.lit(mode).alias("feature_mode")).dropna()
+    fractional = materialise(named(fractional_features(bars, d, threshold), ("fd_return", "fd_vol", "fd_range", "fd_volume", "fd_trend"), "fractional_diff"), "regime_features")
+    short = bars.join(fractional.select(*KEYS).distinct(), KEYS, "left_anti")
+    return fractional.unionByName(named(legacy_regime_features(short), ("ret", "deviation24", "range", "dvolume", "trend8"), "legacy"))

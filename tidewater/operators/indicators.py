@@ -79,13 +79,23 @@ def indicators(bars: DataFrame, rows: int = ROWS) -> DataFrame:
     return slim.groupBy("symbol", "_chunk").applyInArrow(run, schema)
 
 
+def with_defaults(last: DataFrame) -> DataFrame:
+    """Indicators of last bars with what stands in for missing ones: RSI 50, ADX 0, relative volume 0, and for a range of 0 or
+    none the mean of high - low over 14 bars (`_span`), else half a percent of the close, 1e-6 at least."""
+    present = lambda c: F.when(F.col(c) > 1e-9, F.col(c))
+    atr = F.coalesce(present("atr14"), present("_span"), F.greatest(F.col("close") * 0.005, F.lit(1e-6)))
+    plain = {"rsi14": F.coalesce("rsi14", F.lit(50.0)), "adx14": F.coalesce("adx14", F.lit(0.0)), "relative_volume": F.coalesce("relative_volume", F.lit(0.0))}
+    return last.withColumns({**plain, "atr14": atr})
+
+
 def screened(bars: DataFrame, top: int = 3, at_least: int = 250) -> DataFrame:
     """The symbols of highest relative volume at their last closed bar; the last bar may still be open."""
     last = bars.groupBy("symbol").agg(F.max("open_us").alias("_last"))
     closed = bars.join(last, "symbol").where("open_us < _last").drop("_last")
     got = indicators(closed)
-    now = got.groupBy("symbol").agg(F.max_by(F.struct("open_us", *NAMES), "pos").alias("x"), F.count(F.lit(1)).alias("bars"))
-    ok = now.where(F.col("bars") >= at_least).select("symbol", "bars", "x.*")
+    got = rolling(got.join(closed.select("symbol", "open_us", "high", "low", "close"), ["symbol", "open_us"]).drop("pos"), ["symbol"], ["open_us"], 14, lambda w: {"_span": F.avg(F.col("high") - F.col("low")).over(w.rowsBetween(-13, 0))})
+    now = got.groupBy("symbol").agg(F.max_by(F.struct("open_us", "close", "_span", *NAMES), "pos").alias("x"), F.count(F.lit(1)).alias("bars"))
+    ok = with_defaults(now.where(F.col("bars") >= at_least).select("symbol", "bars", "x.*")).drop("_span")
     return ok.orderBy(F.desc("relative_volume"), "symbol").limit(top)
 
 

@@ -106,12 +106,13 @@ def last_share(events: DataFrame, share: float, keys: list[str] | None = None, u
     return e.withColumn("validation", F.col("_rank") >= F.col("_n") - size).drop("_rank", "_n")
 
 
-def selection_split(events: DataFrame, share: float = 0.2) -> DataFrame:
-    """Adds `part`: the last share of each fold validates, earlier events train if they end before it starts, the rest is purged."""
-    e = last_share(events, share, up=True)
-    starts = e.where("validation").groupBy("fold").agg(F.min("decision_us").alias("_start"))
+def selection_split(events: DataFrame, share: float = 0.2, keys: list[str] | None = None) -> DataFrame:
+    """Adds `part`: the last share of each key validates, earlier events train if they end before it starts, the rest is purged."""
+    keys = keys or ["fold"]
+    e = last_share(events, share, keys, up=True)
+    starts = e.where("validation").groupBy(*keys).agg(F.min("decision_us").alias("_start"))
     part = F.when(F.col("validation"), "validation").when(F.col("exit_us") < F.col("_start"), "train").otherwise("purged")
-    return e.join(starts, "fold").withColumn("part", part).drop("_start", "validation")
+    return e.join(starts, keys).withColumn("part", part).drop("_start", "validation")
 
 
 def time_blocks(events: DataFrame, blocks: int = 4) -> DataFrame:

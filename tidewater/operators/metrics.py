@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY, clip, finite, ratio
-from tidewater.operators.series import ordinal, running_sums
+from tidewater.operators.series import quantiles, running_sums, value_ordinal
+from tidewater.sources.store import materialise
 
 COST = 2 * (10 + 5) / 1e4  # fee and slippage per side, both ways
 
@@ -67,10 +69,11 @@ def trade_metrics(events: DataFrame, keys: Sequence[str], tail: float = 0.05) ->
     peaks = peak_so_far(curve, keys)
     base = e.groupBy(*keys).agg(
         count().alias("n"), F.sum("net").alias("sum_net"), F.avg("net").alias("mean_net"), F.avg("win").alias("win_rate"),
-        F.avg("hold").alias("mean_hold"), F.median("hold").alias("median_hold"), F.sum("hold").alias("sum_hold"),
+        F.avg("hold").alias("mean_hold"), F.sum("hold").alias("sum_hold"),
     )
     down = peaks.groupBy(*keys).agg(F.max(F.col("peak") - F.col("equity")).alias("max_drawdown"))
-    return base.join(down, list(keys)).join(expected_shortfall(e, keys, tail), list(keys))
+    middle = quantiles(e, keys, "hold", {"median_hold": 0.5})
+    return base.join(down, list(keys)).join(middle, list(keys), "left").join(expected_shortfall(e, keys, tail), list(keys))
 
 
 def peak_so_far(curve: DataFrame, keys: Sequence[str], value: str = "equity", span: int = 30 * DAY) -> DataFrame:
@@ -106,13 +109,24 @@ def auc(events: DataFrame, score: str, label: str, keys: Sequence[str]) -> DataF
     each = events.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
     )
-    each = each.withColumn("_at", F.col("_s") * 1e6)
-    run = running_sums(each, keys, ["_at"], {"upto": "q"}, span=10_000)
+    run = running_sums(each, keys, ["_s"], {"upto": "q"}, by_value=True)
     area = F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2))
     both = F.sum("p") * F.sum("q")
     return run.groupBy(*keys).agg((area / F.when(both > 0, both)).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
+def weighted_auc(scored: DataFrame, score: str, label: str, weight: str, keys: Sequence[str]) -> DataFrame:
+    """Area under the ROC curve of each key with row weights, ties counted half; NULL with a single class."""
+    keys = list(keys)
+    positive = F.col(label) == 1
+    each = scored.groupBy(*keys, F.col(score).alias("_s")).agg(
+        F.sum(F.when(positive, F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(positive, 0.0).otherwise(F.col(weight))).alias("q")
+    )
+    run = running_sums(each, keys, ["_s"], {"upto": "q"}, by_value=True)
+    both = F.sum("p") * F.sum("q")
+    return run.groupBy(*keys).agg((F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2)) / F.when(both > 0, both)).alias("auc"))
+
+
 def losses(events: DataFrame, score: str, label: str, weight: str, keys: Sequence[str]) -> DataFrame:
     """Brier score and log loss, weighted and not; probabilities are clipped at 1e-15."""
     p, y, w = F.col(score), F.col(label), F.col(weight)
@@ -130,8 +144,7 @@ def reliability(events: DataFrame, score: str, label: str, weight: str, keys: Se
     size = events.groupBy(*keys).agg(count().alias("_n"))
     from tidewater.operators.labels import equal_parts
 
-    e = events.withColumn("_at", F.col(score) * 1e6)
-    e = ordinal(e, keys, ["_at", "decision_us", "symbol"], "_rank", span=10_000).join(size, keys)
+    e = value_ordinal(events, keys, [score, "decision_us", "symbol"], "_rank").join(size, keys)
     e = e.withColumn("bin", equal_parts(F.col("_rank"), F.col("_n"), bins))
     w = F.col(weight)
     return e.groupBy(*keys, "bin").agg(
@@ -152,8 +165,8 @@ def dispersion(events: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
 
 def top_n(events: DataFrame, score: str, sizes: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """The n best events of each key by (score desc, time, symbol), n from `sizes`."""
-    e = events.withColumn("_at", -F.col(score) * 1e6)
-    ranked = ordinal(e, keys, ["_at", "decision_us", "symbol"], "_rank", span=10_000)
+    e = events.where(F.col(score).isNotNull()).withColumn("_at", -F.col(score))
+    ranked = value_ordinal(e, keys, ["_at", "decision_us", "symbol"], "_rank")
     return ranked.join(sizes, list(keys)).where(F.col("_rank") < F.col("n")).drop("_at", "_rank", "n")
 
 
@@ -248,27 +261,85 @@ def feature_verdicts(ic: DataFrame, rows: DataFrame) -> DataFrame:
     return best.withColumn("verdict", verdict).drop("rows")
 
 
-def placebo(events: DataFrame, cells: Sequence[str], sizes: DataFrame, seeds: int, parts: int = 16) -> DataFrame:
+def spark_hash(seed: int, ids: np.ndarray) -> np.ndarray:
+    """xxhash64 of (int, bigint) as Spark's function of that name gives it, for many bigints at once."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in XX_PRIMES)
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+    def settle(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        first = settle(turn((np.uint64(42) + p5 + np.uint64(4)) ^ (np.array([seed & 0xFFFFFFFF], np.uint64) * p1), 23) * p2 + p3)
+        h = first + p5 + np.uint64(8)
+        h = h ^ (turn(ids.view(np.uint64) * p2, 31) * p1)
+        return settle(turn(h, 27) * p1 + p4).view(np.int64)
+
+
+#: Fixed values of the hash function.
+XX_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+CHUNK_EVENTS = 1 << 16
+SEED_BLOCK = 500
+WIDTH = 8.0  # deviations of the expected cut that candidates may lie apart
+
+
+def placebo(events: DataFrame, cells: Sequence[str], sizes: DataFrame, seeds: int, chunk_events: int = CHUNK_EVENTS, width: float = WIDTH) -> DataFrame:
     """Number, summed net and summed holding hours of `seeds` random draws without replacement, per seed and fold.
 
-    An event's place in a draw is the hash of (seed, event), and of each cell (fold, or fold and
-    symbol) the n smallest are drawn. Counts and sums per range of hashes are added up first; only
-    the range that holds the cut is sorted, a `parts`-th of a cell.
+    An event's place in a draw is the hash of (seed, event_id), an integer, and of each cell (fold, or fold and symbol)
+    the n smallest are drawn. A cell is cut into chunks of about `chunk_events`, and a task hashes a chunk for a block of
+    seeds. A cell of one chunk is drawn there. Of a larger cell a chunk gives, for each seed, the sums of what lies below
+    `width` deviations under the expected cut, and the events within as many above it; the cut is found among those of all
+    chunks. So seeds move a few numbers each, not events. A draw whose cut lies outside is drawn from all its events.
     """
     cells = list(cells)
     hold = (F.col("exit_us") - F.col("decision_us")) / 3.6e9
-    slim = events.select("fold", *(c for c in cells if c != "fold"), "event_id", "net", hold.alias("_hold")).join(sizes.select(*cells, "n"), cells)
-    key = F.xxhash64("seed", "event_id")
-    draws = slim.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("_h", key)
-    draws = draws.withColumn("_part", F.floor(F.col("_h") / (2.0**64 / parts)))
-    ranges = draws.groupBy("seed", *cells, "_part", "n").agg(count().alias("_c"), F.sum("net").alias("_net"), F.sum("_hold").alias("_held"))
-    w = Window.partitionBy("seed", *cells).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    whole = ranges.where(F.col("_before") + F.col("_c") <= F.col("n")).select("seed", "fold", F.col("_c").alias("n"), F.col("_net").alias("net"), F.col("_held").alias("hold"))
-    cut = ranges.where((F.col("_before") < F.col("n")) & (F.col("_before") + F.col("_c") > F.col("n"))).select("seed", *cells, "_part", (F.col("n") - F.col("_before")).alias("_more"))
-    order = Window.partitionBy("seed", *cells).orderBy("_h", "event_id")
-    last = draws.join(cut, ["seed", *cells, "_part"]).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_more"))
-    rows = whole.unionByName(last.select("seed", "fold", F.lit(1).cast("long").alias("n"), "net", F.col("_hold").alias("hold")))
+    slim = events.select("fold", *(c for c in cells if c != "fold"), F.col("event_id").cast("long").alias("event_id"), "net", hold.alias("_hold"))
+    slim = slim.join(sizes.select(*cells, F.col("n").cast("long").alias("_n")).where("n > 0"), cells)
+    pool = slim.groupBy(*cells).agg(count().alias("_pool"))
+    dealt = slim.join(pool, cells).withColumn("_chunks", F.ceil(F.col("_pool") / chunk_events))
+    dealt = dealt.withColumns({"_chunk": F.pmod(F.xxhash64("event_id", F.lit(1)), F.col("_chunks")), "_block": F.explode(F.sequence(F.lit(0), F.lit((seeds - 1) // SEED_BLOCK)))})
+    names = [*dict.fromkeys(["fold", *cells])]
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", seed int, below long, net double, hold double, near array<struct<h:long,id:long,net:double,hold:double>>, want long"
+
+    def draw(table: pa.Table) -> pa.Table:
+        ids, net_, held = (table.column(c).to_numpy() for c in ("event_id", "net", "_hold"))
+        want, size, chunks, block = (table.column(c)[0].as_py() for c in ("_n", "_pool", "_chunks", "_block"))
+        rows = []
+        share = min(want / size, 1.0)
+        slack = width * (share * (1 - share) / size) ** 0.5 + 2 / size
+        lo, hi = (int(min(max((share + k * slack) * 2.0**64 - 2.0**63, -(2.0**63)), 2.0**63 - 1025)) for k in (-1, 1))
+        for seed in range(block * SEED_BLOCK, min((block + 1) * SEED_BLOCK, seeds)):
+            h = spark_hash(seed, ids)
+            if chunks == 1:
+                below = np.lexsort((ids, h))[:want] if want < len(h) else np.arange(len(h))
+                near = []
+            else:
+                below, at = np.flatnonzero(h < lo), np.flatnonzero((h >= lo) & (h <= hi))
+                near = [{"h": int(h[i]), "id": int(ids[i]), "net": float(net_[i]), "hold": float(held[i])} for i in at]
+            rows.append((seed, len(below), float(net_[below].sum()), float(held[below].sum()), near))
+        same = {c: pa.array([table.column(c)[0].as_py()] * len(rows), table.schema.field(c).type) for c in names}
+        place = pa.list_(pa.struct([("h", pa.int64()), ("id", pa.int64()), ("net", pa.float64()), ("hold", pa.float64())]))
+        found = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.float64(), place), strict=True)]
+        own = dict(zip(("seed", "below", "net", "hold", "near"), found, strict=True))
+        return pa.table({**same, **own, "want": pa.array([min(want, size)] * len(rows), pa.int64())})
+
+    parts = dealt.groupBy(*cells, "_chunk", "_block").applyInArrow(draw, schema)
+    by = ["seed", *names]
+    near = F.array_sort(F.flatten(F.collect_list("near")))
+    draws = materialise(parts.groupBy(*by).agg(F.sum("below").alias("below"), F.sum("net").alias("net"), F.sum("hold").alias("hold"), near.alias("near"), F.first("want").alias("want")), "draws")
+    more = (F.col("want") - F.col("below")).cast("int")
+    found = (more >= 0) & (more <= F.size("near"))
+    took = F.slice("near", 1, F.greatest(more, F.lit(0)))
+    total = lambda c: F.col(c) + F.aggregate(took, F.lit(0.0), lambda s, x: s + x[c])
+    done = draws.where(found).select(*by, F.col("want").alias("n"), total("net").alias("net"), total("hold").alias("hold"))
+    rest = slim.join(draws.where(~found).select(*by), names).withColumn("_h", F.xxhash64("seed", "event_id"))
+    order = Window.partitionBy(*by).orderBy("_h", "event_id")
+    rest = rest.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_n"))
+    rows = done.unionByName(rest.groupBy(*by).agg(count().alias("n"), F.sum("net").alias("net"), F.sum("_hold").alias("hold")))
     return rows.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.sum("net").alias("sum_net"), F.sum("hold").alias("sum_hold"))
 
 
@@ -300,6 +371,18 @@ def block_matrix(values: DataFrame, rows: str, column: str, columns: Sequence, v
     return values.groupBy(rows).pivot(column, list(columns)).agg(value)
 
 
+def anchors(events: DataFrame, label: str, weight: str, folds: Sequence[int]) -> DataFrame:
+    """(metric, value) of the evaluated population: rows in all and per fold, base rate plain and weighted, missing labels, bad weights."""
+    e = events.where(F.col("fold").isin(list(folds)))
+    w = finite(F.col(weight).cast("double"))
+    known = F.col(label).isNotNull()
+    whole = {
+        "rows": count(), "base_rate": F.avg(label), "weighted_base_rate": F.sum(F.col(label) * w) / F.sum(F.when(known, w)),
+        "missing_labels": F.count_if(~known), "bad_weights": F.count_if(w.isNull()), **{f"rows_fold_{k}": F.count_if(F.col("fold") == k) for k in folds},
+    }
+    return e.agg(*(v.cast("double").alias(n) for n, v in whole.items())).unpivot([], list(whole), "metric", "value")
+
+
 def expectation_gaps(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """Observed against expected metrics (metric, value) with tolerances; missing ones fail."""
     e = expected.select("metric", F.col("value").alias("expected"), "tolerance")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY, HOUR, MINUTE, clip, ratio
 from tidewater.operators.features import back, full, prior_zscore, tail_zscore
-from tidewater.operators.series import SPAN, asof_join, rolling, running_sums
+from tidewater.operators.series import SPAN, asof_join, quantiles, rolling, running_sums
 from tidewater.sources.store import materialise
 
 
@@ -61,7 +61,7 @@ def order_flow(book: DataFrame, n_levels: int = 5, window: int = 20) -> DataFram
 
 
 def signed_trades(trades: DataFrame) -> DataFrame:
-    """Trades with quote notional and its buyer- and seller-initiated parts; bad rows dropped."""
+    """Trades with quote notional and the buyer- and seller-initiated parts of it and of the quantity; bad rows dropped."""
     ok = trades.where("us >= 0 and price > 0 and qty > 0")
     quote = F.col("price") * F.col("qty")
     return ok.withColumns(
@@ -69,28 +69,32 @@ def signed_trades(trades: DataFrame) -> DataFrame:
             "quote": quote,
             "buy_quote": F.when(~F.col("is_buyer_maker"), quote).otherwise(0.0),
             "sell_quote": F.when(F.col("is_buyer_maker"), quote).otherwise(0.0),
+            "buy_base": F.when(~F.col("is_buyer_maker"), F.col("qty")).otherwise(0.0),
+            "sell_base": F.when(F.col("is_buyer_maker"), F.col("qty")).otherwise(0.0),
         }
     )
 
 
-def volume_buckets(trades: DataFrame, buckets: int = 20, capacity: float | None = None, span: int = SPAN) -> DataFrame:
+def volume_buckets(trades: DataFrame, buckets: int = 20, capacity: float | None = None, span: int = SPAN, unit: str = "quote") -> DataFrame:
     """Volume-clock buckets per symbol; a trade that crosses a border is split in proportion.
 
-    A trade takes [c0, c1) of its symbol's running volume and bucket k is [kV, (k+1)V), with V the
-    capacity or the symbol's total over `buckets`. Incomplete last buckets are dropped.
+    Volume is quote notional or, by `unit`, base quantity. A trade takes [c0, c1) of its symbol's running volume and bucket
+    k is [kV, (k+1)V), with V the capacity or the symbol's total over `buckets`. Incomplete last buckets are
+    dropped; without a capacity above 0 there are none.
     """
+    volume = {"quote": "quote", "base": "qty"}[unit]
     t = signed_trades(trades)
-    size = t.groupBy("symbol").agg((F.lit(capacity) if capacity else F.sum("quote") / buckets).alias("V"))
-    run = running_sums(t, ["symbol"], ["us", "trade_id"], {"c1": "quote"}, span)
-    run = run.join(size, "symbol").withColumn("c0", F.col("c1") - F.col("quote"))
+    size = t.groupBy("symbol").agg((F.lit(float(capacity)) if capacity is not None else F.sum(volume) / buckets).alias("V")).where("V > 1e-12")
+    run = running_sums(t, ["symbol"], ["us", "trade_id"], {"c1": volume}, span)
+    run = run.join(size, "symbol").withColumn("c0", F.col("c1") - F.col(volume))
     v = F.col("V")
     parts = run.withColumn("bucket", F.explode(F.sequence(F.floor(F.greatest(F.col("c0"), F.lit(0.0)) / v), F.floor(F.col("c1") / v))))
     k = F.col("bucket")
     take = F.least(F.col("c1"), (k + 1) * v) - F.greatest(F.col("c0"), k * v)
     parts = parts.withColumn("take", take).where("take > 0")
-    share = F.col("take") / F.col("quote")
+    share = F.col("take") / F.col(volume)
     out = parts.groupBy("symbol", "bucket", "V").agg(
-        F.sum(share * F.col("buy_quote")).alias("buy"), F.sum(share * F.col("sell_quote")).alias("sell"),
+        F.sum(share * F.col(f"buy_{unit}")).alias("buy"), F.sum(share * F.col(f"sell_{unit}")).alias("sell"),
         F.sum("take").alias("total"), F.min("us").alias("start_us"), F.max("us").alias("end_us"),
     )
     return out.where(F.col("total") >= F.col("V") * (1 - 1e-9)).withColumn("imbalance", F.abs(F.col("buy") - F.col("sell")))
@@ -98,8 +102,7 @@ def volume_buckets(trades: DataFrame, buckets: int = 20, capacity: float | None
 
 def vpin(buckets: DataFrame, at_least: int = 5) -> DataFrame:
     """Share of imbalance in the volume of all complete buckets, its lower bound and the last z-score."""
-    w = Window.partitionBy("symbol").orderBy("bucket")
-    z = buckets.withColumn("z", tail_zscore(F.col("imbalance") / F.col("total"), 50, w))
+    z = rolling(buckets, ["symbol"], ["bucket"], 50, lambda w: {"z": tail_zscore(F.col("imbalance") / F.col("total"), 50, w)}, span=100_000)
     volume = F.sum("total")
     return z.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("buckets"),
@@ -130,7 +133,8 @@ def missing_minutes(minutes: DataFrame) -> DataFrame:
 
 def hourly_capacity(minutes: DataFrame, per_hour: int = 60, buckets: int = 20) -> DataFrame:
     """Bucket capacity per symbol: the median volume of its full hours over the number of buckets."""
-    return full_hours(minutes, per_hour).groupBy("symbol").agg((F.median("quote") / buckets).alias("capacity"))
+    middle = quantiles(full_hours(minutes, per_hour), ["symbol"], "quote", {"_middle": 0.5})
+    return middle.select("symbol", (F.col("_middle") / buckets).alias("capacity"))
 
 
 def vpin_history(minutes: DataFrame, capacities: DataFrame, look_back: int = 7 * DAY, step: int = HOUR, last: int = 20) -> DataFrame:

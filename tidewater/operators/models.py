@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import clip, finite, logit
-from tidewater.operators.evaluation import importance_summary
+from tidewater.operators.fits import past_maps
 from tidewater.operators.labels import last_share
 from tidewater.operators.metrics import auc, dispersion, losses
-from tidewater.operators.series import running_sums
 
 
 def probability(name: str = "probability") -> Column:
@@ -62,58 +61,6 @@ def _balanced(train: DataFrame, weight: str) -> DataFrame:
     return train.withColumn("_w", F.col(weight) * F.when(F.col("_y") == 1, mass.get(0.0, 1.0) / mass.get(1.0, 1.0)).otherwise(1.0))
 
 
-def permutation_importance(events: DataFrame, numeric: Sequence[str], label: str, seed: int = 7, weight: str | None = None, repeats: int = 1, test: DataFrame | None = None) -> DataFrame:
-    """(feature, importance): mean loss of weighted AUC when a feature is replaced by that of a shuffled row.
-
-    The forest is fitted on `events` and judged on `test`, or on `events` where there is none.
-    """
-    assemble = VectorAssembler(inputCols=list(numeric), outputCol="features")
-    made = lambda df: df.dropna(subset=list(numeric)).withColumns({"_y": F.col(label).cast("double"), "_u": F.col(weight) if weight else F.lit(1.0)})
-    base, judged = made(events), made(events if test is None else test)
-    model = RandomForestClassifier(labelCol="_y", weightCol="_w", numTrees=10, maxDepth=4, seed=seed).fit(assemble.transform(_balanced(base, "_u")))
-
-    def area(df: DataFrame) -> float:
-        scored = model.transform(assemble.transform(df)).withColumn("_s", probability())
-        return weighted_auc(scored, "_s", "_y", "_u").first()["auc"] or 0.5
-
-    whole, rows = area(judged), []
-    n = 64  # rows swap values within hash groups, so no global sort is needed
-    group = F.pmod(F.xxhash64("event_id"), F.lit(n))
-    w = Window.partitionBy("_g").orderBy("_r", "event_id")
-    for c in numeric:
-        lost = 0.0
-        for k in range(repeats):
-            other = judged.select(group.alias("_g"), F.xxhash64("event_id", F.lit(seed + 2 * k)).alias("_r"), "event_id", F.col(c).alias("_v"))
-            mine = judged.drop(c).withColumns({"_g": group, "_r": F.xxhash64("event_id", F.lit(seed + 2 * k + 1))})
-            a, b = mine.withColumn("_n", F.row_number().over(w)).drop("_r"), other.withColumn("_n", F.row_number().over(w)).drop("_r", "event_id")
-            lost += whole - area(a.join(b, ["_g", "_n"]).withColumnRenamed("_v", c))
-        rows.append((c, lost / repeats))
-    return events.sparkSession.createDataFrame(rows, "feature string, importance double")
-
-
-def weighted_auc(scored: DataFrame, score: str, label: str, weight: str) -> DataFrame:
-    """Area under the ROC curve with row weights, ties counted half, by two-pass sums over scores; one row."""
-    each = scored.groupBy(F.lit(1).alias("_k"), F.col(score).alias("_s")).agg(
-        F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(F.col(weight))).alias("q")
-    )
-    run = running_sums(each, ["_k"], ["_s"], {"upto": "q"}, by_value=True)
-    both = F.sum("p") * F.sum("q")
-    return run.agg((F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2)) / F.when(both > 0, both)).alias("auc"))
-
-
-def select_features(events: DataFrame, numeric: Sequence[str], label: str, weight: str, folds: Sequence[int], keep: float = 0.5, repeats: int = 1) -> DataFrame:
-    """Mean permutation importance over folds, each judged on a fold by a forest of the earlier ones; the top share is kept.
-
-    `positive` tells whether the mean importance is above 0.
-    """
-    out = None
-    for k in folds:
-        part = permutation_importance(events.where(F.col("fold") < k), numeric, label, weight=weight, repeats=repeats, test=events.where(F.col("fold") == k))
-        part = part.select(F.lit(f"fold_{k}").alias("symbol"), "feature", "importance")
-        out = part if out is None else out.unionByName(part)
-    return importance_summary(out, keep).withColumn("positive", F.col("mean_importance") > 0)
-
-
 def final_refit(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, name: str = "p_final", trees: int = 10, depth: int = 3) -> DataFrame:
     """Scores of a model fitted on all rows; `refit` gives the model itself."""
     return refit(events, numeric, categorical, label, weight, trees, depth).transform(_flagged(events, numeric, label)).withColumn(name, probability()).select(*events.columns, name)
@@ -169,18 +116,17 @@ def nested_search(events: DataFrame, numeric: Sequence[str], categorical: Sequen
     return table.withColumn("won", F.row_number().over(order) == 1)
 
 
-def seed_post_mortem(events: DataFrame, score: str, label: str, weight: str, slope: float, intercept: float) -> DataFrame:
-    """Per seed: the logistic map that a fit finds when labels are drawn from a known one, and the spread of the scores.
-
-    Labels are drawn by the hash of (seed, event), so that a run can be repeated; slopes near `slope` mean that the fit is sound.
-    """
-    drawn = apply_platt(events, score, slope, intercept, "_truth")
-    coin = F.pmod(F.xxhash64("seed", "event_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = drawn.withColumn("_drawn", (coin < F.col("_truth")).cast("int"))
-    seeds = [r["seed"] for r in drawn.select("seed").distinct().orderBy("seed").collect()]  # a few runs
-    rows = [(s, *platt(drawn.where(F.col("seed") == s), score, "_drawn", weight)) for s in seeds]
-    fits = events.sparkSession.createDataFrame(rows, "seed int, slope double, intercept double")
-    return fits.join(dispersion(events, score, ["seed"]), "seed")
+def seed_post_mortem(events: DataFrame, score: str, label: str, weight: str, folds: Sequence[int], at_least: int = 2) -> DataFrame:
+    """Per seed and fold: rows, AUC, weighted log loss and spread of the raw scores, and the logistic map that the
+    folds before it would have given, or why there is none. Diagnostic only; all maps are fitted together."""
+    rows = events.where(F.col("fold").isin(list(folds)))
+    by = ["seed", "fold"]
+    table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).join(auc(rows, score, label, by).select(*by, "auc"), by)
+    table = table.join(losses(rows, score, label, weight, by).select(*by, "weighted_log_loss"), by).join(dispersion(rows, score, by), by)
+    maps = past_maps(rows, score, label, weight, folds, ["seed"], at_least)
+    fits = maps.select(*by, "slope", "intercept", F.col("n").alias("trained_on"), "method", "reason")
+    out = table.join(fits, by, "left")
+    return out.withColumn("reason", F.when(F.col("method").isNull(), "no_past_fold").otherwise(F.col("reason")))
 
 
 def apply_map(df: DataFrame, score: str, kind: str, params, name: str) -> DataFrame:

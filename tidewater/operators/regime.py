@@ -1,4 +1,4 @@
-"""Walk-forward market regimes: sticky Gaussian hidden Markov models, one window a task."""
+"""Walk-forward market regimes: sticky Gaussian hidden Markov models over sliding windows."""
 
 from __future__ import annotations
 
@@ -14,77 +14,94 @@ from tidewater.operators.series import SPAN, asof_join, ordinal, rolling
 NAMES = ("bear", "neutral", "bull")
 
 
-def fit_hmm(x: np.ndarray, states: int = 3, steps: int = 30, sticky: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each row and state means, by expectation-maximisation with diagonal covariances.
+def fit_windows(x: np.ndarray, states: int = 3, steps: int = 30, sticky: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (window, row, state) and state means of many windows (window, row, column) at once.
 
+    Expectation-maximisation with diagonal covariances; the passes over rows run for all windows together.
     States start at the terciles of the first column and end up ordered by its mean.
     """
-    n, d = x.shape
-    order = np.argsort(x[:, 0], kind="stable")
-    mean = np.array([x[part].mean(0) for part in np.array_split(order, states)])
-    var = np.tile(x.var(0) + 1e-3, (states, 1))
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1))
-    np.fill_diagonal(move, 0.9)
+    m, n, d = x.shape
+    order = np.argsort(x[:, :, 0], axis=1, kind="stable")
+    mean = np.stack([np.take_along_axis(x, part[:, :, None], 1).mean(1) for part in np.array_split(order, states, axis=1)], 1)
+    var = np.repeat(x.var(1)[:, None] + 1e-3, states, 1)
+    start, move = np.full((m, states), 1 / states), np.full((m, states, states), 0.1 / (states - 1))
+    move[:, range(states), range(states)] = 0.9
     for _ in range(steps):
-        log = -0.5 * (((x[:, None] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
-        b = np.exp(log - log.max(1, keepdims=True))
-        a = np.empty((n, states))
-        scale = np.empty(n)
+        log = np.stack([-0.5 * ((x - mean[:, k, None]) ** 2 / var[:, k, None] + np.log(2 * np.pi * var[:, k, None])).sum(2) for k in range(states)], 2)
+        b = np.exp(log - log.max(2, keepdims=True))
+        a, scale = np.empty((m, n, states)), np.empty((m, n))
         for t in range(n):
-            row = (start if t == 0 else a[t - 1] @ move) * b[t]
-            scale[t] = max(row.sum(), 1e-300)
-            a[t] = row / scale[t]
-        back = np.ones((n, states))
+            row = (start if t == 0 else np.matmul(a[:, t - 1, None], move)[:, 0]) * b[:, t]
+            scale[:, t] = np.maximum(row.sum(1), 1e-300)
+            a[:, t] = row / scale[:, t, None]
+        back = np.ones((m, n, states))
         for t in range(n - 2, -1, -1):
-            back[t] = move @ (b[t + 1] * back[t + 1]) / scale[t + 1]
+            back[:, t] = np.matmul(move, (b[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None])[:, :, None])[:, :, 0]
         post = a * back
-        post /= post.sum(1, keepdims=True)
-        joint = np.einsum("ti,ij,tj->ij", a[:-1], move, b[1:] * back[1:] / scale[1:, None]) + sticky * np.eye(states) + 1e-3
-        start, move = post[0], joint / joint.sum(1, keepdims=True)
-        mass = post.sum(0)[:, None] + 1e-9
-        mean = post.T @ x / mass
-        var = np.maximum(np.stack([(post[:, k, None] * (x - mean[k]) ** 2).sum(0) for k in range(states)]) / mass, 1e-3)
-    by = np.argsort(mean[:, 0])
-    return post[:, by], mean[by]
+        post /= post.sum(2, keepdims=True)
+        ahead = b[:, 1:] * back[:, 1:] / scale[:, 1:, None]
+        joint = np.matmul(a[:, :-1].transpose(0, 2, 1), ahead) * move + sticky * np.eye(states) + 1e-3
+        start, move = post[:, 0], joint / joint.sum(2, keepdims=True)
+        mass = post.sum(1)[:, :, None] + 1e-9
+        mean = np.matmul(post.transpose(0, 2, 1), x) / mass
+        var = np.stack([(post[:, :, k, None] * (x - mean[:, k, None]) ** 2).sum(1) for k in range(states)], 1) / mass
+        var = np.maximum(var, 1e-3)
+    by = np.argsort(mean[:, :, 0], axis=1)
+    return np.take_along_axis(post, by[:, None], 2), np.take_along_axis(mean, by[:, :, None], 1)
+
+
+def fit_hmm(x: np.ndarray, states: int = 3, steps: int = 30, sticky: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each row and state means of one window, see `fit_windows`."""
+    post, mean = fit_windows(x[None], states, steps, sticky)
+    return post[0], mean[0]
 
 
-def walk_forward_regimes(features: DataFrame, columns: Sequence[str], window: int = 120, step: int = 24) -> DataFrame:
+def walk_forward_regimes(features: DataFrame, columns: Sequence[str], window: int = 500, step: int = 1, chunk: int = 256, at_once: int = 64) -> DataFrame:
     """(symbol, open_us, bear, neutral, bull, regime, confidence) at every `step`-th bar.
 
-    Each step sees the last `window` bars only: rows are dealt to the windows they lie in, every
-    window is winsorised, scaled and fitted in a task of its own.
+    Each step sees the last `window` bars only. A series is cut into chunks of `chunk` bars, each with the `window` - 1 bars
+    before it, so rows are copied about 1 + window / chunk times; the windows of a chunk are winsorised, scaled and
+    fitted together, `at_once` of them at a time.
     """
-    have = ordinal(features.dropna(subset=list(columns)), ["symbol"], ["open_us"], "_k")
-    ends = F.transform(F.sequence(F.lit(0), F.lit((window - 1) // step + 1)), lambda i: (F.floor(F.col("_k") / step) + i) * step + step - 1)
-    spread = have.withColumn("_end", F.explode(F.filter(ends, lambda e: (e >= F.col("_k")) & (e - F.col("_k") < window))))
+    have = ordinal(features.dropna(subset=list(columns)), ["symbol"], ["open_us"], "_k").select("symbol", "open_us", "_k", *columns)
+    spread = have.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_k") / chunk), F.floor((F.col("_k") + window - 1) / chunk))))
 
     def infer(table: pa.Table) -> pa.Table:
         table = table.sort_by("_k")
-        k, end = table.column("_k").to_numpy(), table.column("_end")[0].as_py()
-        rows = []
-        if len(k) == window and k[-1] == end:
-            x = np.column_stack([table.column(c).to_numpy() for c in columns]).astype(float)
-            x = np.clip(x, np.quantile(x, 0.01, axis=0), np.quantile(x, 0.99, axis=0))
-            q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
-            scale = np.where(q3 - q1 > 1e-12, q3 - q1, np.where(x.std(0) > 1e-12, x.std(0), 1))
-            post, _ = fit_hmm(np.clip((x - q2) / scale, -8, 8))
-            p = post[-1]
-            rows.append((table.column("symbol")[0].as_py(), table.column("open_us")[-1].as_py(), *map(float, p), NAMES[int(p.argmax())], float(p.max())))
-        columns_ = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns_, kinds, strict=True)], names=["symbol", "open_us", *NAMES, "regime", "confidence"])
+        k, own = table.column("_k").to_numpy(), table.column("_chunk")[0].as_py()
+        x = np.column_stack([table.column(c).to_numpy() for c in columns]).astype(float)
+        ends = [i for i in range(window - 1, len(k)) if k[i] // chunk == own and k[i] % step == step - 1]
+        last = []
+        for i in range(0, len(ends), at_once):
+            w = np.stack([x[e - window + 1 : e + 1] for e in ends[i : i + at_once]])
+            lo, hi = np.quantile(w, [0.01, 0.99], axis=1, keepdims=True)
+            w = np.clip(w, lo, hi)
+            q1, q2, q3 = np.quantile(w, [0.25, 0.5, 0.75], axis=1, keepdims=True)
+            spread_, deviation = q3 - q1, w.std(1, keepdims=True)
+            scale = np.where(spread_ > 1e-12, spread_, np.where(deviation > 1e-12, deviation, 1))
+            last.append(fit_windows(np.clip((w - q2) / scale, -8, 8))[0][:, -1])
+        p = np.concatenate(last) if last else np.zeros((0, 3))
+        best = p.argmax(1)
+        arrays = [
+            pa.array([table.column("symbol")[0].as_py()] * len(ends), pa.string()), pa.array(table.column("open_us").to_numpy()[ends], pa.int64()),
+            *(pa.array(p[:, j]) for j in range(3)), pa.array([NAMES[j] for j in best], pa.string()), pa.array(p.max(1) if len(ends) else np.zeros(0)),
+        ]
+        return pa.table(arrays, names=["symbol", "open_us", *NAMES, "regime", "confidence"])
 
     schema = "symbol string, open_us long, bear double, neutral double, bull double, regime string, confidence double"
-    return spread.groupBy("symbol", "_end").applyInArrow(infer, schema)
+    return spread.groupBy("symbol", "_chunk").applyInArrow(infer, schema)
 
 
-def policy(regimes: DataFrame) -> DataFrame:
-    """allow in a bull, caution in neutral or when the two best states are within 0.05, block in a bear."""
+def policy(regimes: DataFrame, regime: str = "regime", confidence: str = "confidence", changed: str | None = None, age: str | None = None) -> DataFrame:
+    """Adds margin, entropy and policy: allow in a bull, block in a bear, else caution; caution too under a confidence of
+    0.50 and, where given, within two bars of a change."""
     p = F.sort_array(F.array(*NAMES), asc=False)
-    margin = p[0] - p[1]
     entropy = -sum(F.when(F.col(n) > 0, F.col(n) * F.ln(n)).otherwise(0.0) for n in NAMES)
-    verdict = F.when(margin < 0.05, "caution").when(F.col("regime") == "bull", "allow").when(F.col("regime") == "bear", "block").otherwise("caution")
-    return regimes.withColumns({"margin": margin, "entropy": entropy, "policy": verdict})
+    r = F.col(regime)
+    verdict = F.when(F.col(confidence) < 0.5, "caution").when(r == "bull", "allow").when(r == "bear", "block").otherwise("caution")
+    if changed and age:
+        verdict = F.when(F.col(changed) & (F.col(age) < 2), "caution").otherwise(verdict)
+    return regimes.withColumns({"margin": p[0] - p[1], "entropy": entropy, "policy": verdict})
 
 
 def regime_summary(regimes: DataFrame) -> DataFrame:
@@ -120,10 +137,12 @@ def confirm_switches(df: DataFrame, key: str, ts: str, state: str, confirm: int
 
 
 def anchored(regimes: DataFrame, confirm: int = 2) -> DataFrame:
-    """Regimes with confirmed switches and the margin of the proposed over the previously accepted one."""
+    """Regimes with confirmed switches, the margin of the proposed over the previously accepted one, and the policy
+    of the accepted one by its own probability and age."""
     chance = lambda c: F.coalesce(*(F.when(F.col(c) == n, F.col(n)) for n in NAMES), F.lit(0.0))
     out = confirm_switches(regimes, "symbol", "open_us", "regime", confirm)
-    return out.withColumn("switch_margin", chance("regime") - chance("previous"))
+    out = out.withColumns({"switch_margin": chance("regime") - chance("previous"), "accepted_confidence": chance("accepted")})
+    return policy(out, "accepted", "accepted_confidence", "changed", "age_bars")
 
 
 def regime_probabilities(states: DataFrame) -> DataFrame:
@@ -139,65 +158,86 @@ def regime_probabilities(states: DataFrame) -> DataFrame:
 
 
 def state_statistics(rows: DataFrame, states: int = 3) -> DataFrame:
-    """Per symbol, window and state: occupancy, mean trend, return, volatility and range, persistence, and the regime of its rank.
+    """Per symbol, window and state: occupancy, mean trend and return, size of mean volatility and range, persistence, regime.
 
-    `rows` has symbol, window, pos, post (array of state probabilities), trend, ret, vol, range. The
-    states of a window are named bear, neutral and bull in the order of trend + ret / 2.
+    `rows` has symbol, window, pos, post (array of state probabilities), trend, ret, vol, range. A row is in its likeliest
+    state, the first on ties; states without rows have zeros. By trend + ret / 2 the lowest state is a bear, the highest a
+    bull, others are neutral. Where all of three or more are within 1e-8, the state of most volatility and range is
+    the bear and the one most often occupied of the rest the bull. A single state is neutral.
     """
     w = Window.partitionBy("symbol", "window").orderBy("pos")  # a window has a bounded number of bars
-    nxt = rows.withColumn("_next", F.lead("post").over(w))
-    each = nxt.select("*", F.posexplode("post").alias("state", "p")).withColumn("_stay", F.col("p") * F.get("_next", F.col("state")))
-    p = F.col("p")
-    mean = {c: F.sum(p * F.col(c)) / F.sum(p) for c in ("trend", "ret", "vol", "range")}
-    out = each.groupBy("symbol", "window", "state").agg(
-        F.avg(p).alias("occupancy"), *(v.alias(f"mean_{n}") for n, v in mean.items()), (F.sum("_stay") / F.sum(F.when(F.col("_next").isNotNull(), p))).alias("persistence")
+    hard = rows.withColumn("_state", (F.array_position("post", F.array_max("post")) - 1).cast("int"))
+    each = hard.withColumns({"_next": F.lead("_state").over(w), "_rows": F.count(F.lit(1)).over(Window.partitionBy("symbol", "window"))})
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    seen = each.groupBy("symbol", "window", F.col("_state").alias("state")).agg(
+        (count() / F.first("_rows")).alias("occupancy"), mean("trend").alias("mean_trend"), mean("ret").alias("mean_ret"), F.abs(mean("vol")).alias("mean_vol"), F.abs(mean("range")).alias("mean_range"),
+        F.coalesce(F.avg(F.when(F.col("_next").isNotNull(), (F.col("_next") == F.col("_state")).cast("double"))), F.lit(0.0)).alias("persistence"),
+    )
+    every = rows.select("symbol", "window").distinct().withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(states - 1))))
+    names = ["occupancy", "mean_trend", "mean_ret", "mean_vol", "mean_range", "persistence"]
+    out = every.join(seen, ["symbol", "window", "state"], "left").fillna(0.0, names)
+    group = Window.partitionBy("symbol", "window")  # `states` rows
+    score = F.col("mean_trend") + 0.5 * F.col("mean_ret")
+    place = lambda *by: F.row_number().over(group.orderBy(*by))
+    out = out.withColumn("score", score).withColumns(
+        {"_low": place("score", "state"), "_high": place(F.desc("score"), F.desc("state")), "_risk": place(F.desc(F.col("mean_vol") + F.col("mean_range")), "state"), "_spread": F.max("score").over(group) - F.min("score").over(group)}
     )
-    by = Window.partitionBy("symbol", "window").orderBy(F.col("mean_trend") + 0.5 * F.col("mean_ret"), "state")
-    return out.withColumn("regime", F.get(F.array(*map(F.lit, NAMES)), F.row_number().over(by) - 1))
-
-
-def match_states(windows: DataFrame, limit: float = 1.5, follow: float = 0.3) -> DataFrame:
-    """(symbol, window, state, track, distance): states of following windows joined to lasting tracks.
-
-    `windows` has symbol, window and centers (array of state centres of equal length). Tracks start as
-    the states of a symbol's first window. In each later one states and tracks are paired greedily by
-    least distance, up to `limit`; a paired track moves by `follow` towards its state. If nothing can
-    be paired within the limit all tracks restart at the window's states. What is left takes the free
-    track of least distance. Windows of a symbol pass through one task in order, which keeps one
-    set of tracks.
+    out = out.withColumn("_rest", place(F.col("_risk") == 1, F.desc("occupancy"), "state"))
+    plain = F.when(F.col("_low") == 1, "bear").when(F.col("_high") == 1, "bull").otherwise("neutral")
+    level = F.when(F.col("_risk") == 1, "bear").when(F.col("_rest") == 1, "bull").otherwise("neutral")
+    regime = F.lit("neutral") if states == 1 else plain if states == 2 else F.when(F.col("_spread") <= 1e-8, level).otherwise(plain)
+    return out.withColumn("regime", regime).drop("_low", "_high", "_risk", "_rest", "_spread")
+
+
+def count():
+    return F.count(F.lit(1))
+
+
+def follow_states(centers: np.ndarray, before: np.ndarray | None) -> tuple[list[int] | None, float]:
+    """For each state the nearest state of the window before, paired greedily by distance, and the largest distance."""
+    if before is None or before.shape != centers.shape:
+        return None, float("inf")
+    gap = np.sqrt(((centers[:, None] - before[None]) ** 2).sum(2))
+    pair: dict[int, int] = {}
+    for at in np.argsort(gap, axis=None, kind="stable"):
+        state, old = divmod(int(at), len(before))
+        if state not in pair and old not in pair.values():
+            pair[state] = old
+    return [pair[k] for k in range(len(centers))], max(float(gap[k, pair[k]]) for k in pair)
+
+
+def match_states(windows: DataFrame, limit: float = 2.0, rebase: float = 0.5) -> DataFrame:
+    """(symbol, window, state, regime, method, distance): regimes of states, carried from window to window.
+
+    `windows` has symbol, window, centers (array of state centres), scores and regimes (by score) of each state. A window's
+    states take the regimes of the nearest states of the window before, if all of them pair within `limit` and, where
+    that differs from the order of scores, the scores spread by `rebase` at most; else the regimes by score stand. The next
+    window is compared with this one's centres and regimes. Windows of a symbol pass through one task in order, which
+    keeps one window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tracks = None, None
+        now, before, held = None, None, []
         for batch in batches:
             rows = []
-            for symbol, window, centers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.asarray(centers, float)
+            for symbol, window, centers, scores, regimes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.nan_to_num(np.asarray(centers, float), nan=0.0, posinf=0.0, neginf=0.0)
                 if symbol != now:
-                    now, tracks = symbol, None
-                if tracks is None:
-                    tracks = x.copy()
-                    rows += [(symbol, window, k, k, 0.0) for k in range(len(x))]
-                    continue
-                gap = np.sqrt(((x[:, None] - tracks[None]) ** 2).sum(2))
-                if gap.min() > limit:
-                    tracks = x.copy()
-                    rows += [(symbol, window, k, k, float(gap[k, k])) for k in range(len(x))]
-                    continue
-                pair: dict[int, int] = {}
-                for at in np.argsort(gap, axis=None, kind="stable"):
-                    state, track = divmod(int(at), len(tracks))
-                    if state not in pair and track not in pair.values():
-                        pair[state] = track
-                        if gap[state, track] <= limit:
-                            tracks[track] += follow * (x[state] - tracks[track])
-                rows += [(symbol, window, k, pair[k], float(gap[k, pair[k]])) for k in range(len(x))]
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["symbol", "window", "state", "track", "distance"])
-
-    rows = windows.select("symbol", F.col("window").cast("long").alias("window"), "centers").repartition("symbol").sortWithinPartitions("symbol", "window")
-    return rows.mapInArrow(run, "symbol string, window long, state int, track int, distance double")
+                    now, before, held = symbol, None, []
+                pairs, distance = follow_states(x, before)
+                method, mapping = "score_order", list(regimes)
+                if pairs is not None and distance <= limit:
+                    carried = [held[old] for old in pairs]
+                    if carried == mapping or max(scores) - min(scores) <= rebase:
+                        method, mapping = "matched", carried
+                before, held = x, mapping
+                rows += [(symbol, window, k, r, method, distance if np.isfinite(distance) else None) for k, r in enumerate(mapping)]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64())
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["symbol", "window", "state", "regime", "method", "distance"])
+
+    rows = windows.select("symbol", F.col("window").cast("long").alias("window"), "centers", "scores", "regimes").repartition("symbol").sortWithinPartitions("symbol", "window")
+    return rows.mapInArrow(run, "symbol string, window long, state int, regime string, method string, distance double")
 
 
 def regime_report(rows: DataFrame) -> DataFrame:

@@ -17,16 +17,36 @@ from tidewater.functions.columns import DAY
 
 SPAN = 30 * DAY  # time span of a chunk
 ROWS = 50_000  # rows of a chunk cut by position
+PARTS = 512  # ranges of values of a key
+SALTS = 64
 
 
 def _bucket(ts: str, span: int) -> Column:
     return F.floor(F.col(ts) / span)
 
 
-def value_bucket(x: Column, parts: int = 1024) -> Column:
-    """A bucket number that rises with any finite double: each power of two is cut into `parts`."""
-    size = F.floor((F.log2(F.abs(x)) + 1075) * parts)
-    return F.when(x > 0, size).when(x < 0, -size - 1).otherwise(0).cast("long")
+def value_cuts(df: DataFrame, keys: Sequence[str], value: str, parts: int = PARTS) -> DataFrame:
+    """(keys, _cuts): approximate quantiles of each key's values, ascending and distinct: a row a key of at most `parts` numbers."""
+    marks = [i / parts for i in range(1, parts)]
+    return df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, marks, 20 * parts))).alias("_cuts"))
+
+
+def _with_cuts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`df` with its key's `_cuts`, joined by key and a salt, so that a key with many rows is not one task."""
+    cuts = value_cuts(df, keys, value).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(cuts, [*keys, "_salt"]).drop("_salt")
+
+
+def value_bucket(x: Column, cuts: Column) -> Column:
+    """A number that rises with `x`: twice the cuts below it, and one more where it is a cut itself.
+
+    So ranges follow the data, and a value that holds many rows has a bucket of its own. 0 for NULL.
+    """
+    size = F.size(cuts)
+    rise = lambda at, step: F.when((at + step <= size) & (F.try_element_at(cuts, at + step) < x), at + step).otherwise(at)
+    below = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(PARTS.bit_length())))), F.lit(0), rise)
+    return 2 * below + F.coalesce((F.try_element_at(cuts, below + 1) == x).cast("int"), F.lit(0))
 
 
 def _totals(df: DataFrame, keys: Sequence[str], bucket: Column, aggs: dict[str, Column]) -> DataFrame:
@@ -74,11 +94,16 @@ def running_sums(
 ) -> DataFrame:
     """Running sums (new name -> column) up to and with each row, in two passes without a global sort.
 
-    Rows are cut into buckets of `span` by the first column of `order`, or by its size on a
-    logarithmic scale where it is no time (`by_value`).
+    Rows are cut into buckets of `span` by the first column of `order`, or at approximate quantiles
+    of each key where it is no time (`by_value`).
     """
     ts = order[0]
-    bucket = value_bucket(F.col(ts)) if by_value else _bucket(ts, span)
+    if by_value:
+        cut = _with_cuts(df, keys, ts)
+        df = cut.withColumn("_bucket", value_bucket(F.col(ts), F.col("_cuts"))).drop("_cuts").repartition(*keys, "_bucket")
+        bucket = F.col("_bucket")
+    else:
+        bucket = _bucket(ts, span)
     totals = _totals(df, keys, bucket, {n: F.sum(c) for n, c in sums.items()})
     own = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_bucket", bucket).join(totals, [*keys, "_bucket"])
@@ -86,6 +111,43 @@ def running_sums(
     return out.drop("_bucket", *(f"_before_{n}" for n in sums))
 
 
+def value_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", span: int = SPAN) -> DataFrame:
+    """Position from 0 of each row within its key, ordered by `order`: a number, then a time, then others.
+
+    Ranges follow the data; rows of a value that is a cut, so of every value held by many rows, are cut by time again.
+    """
+    value, ts = order[:2]
+    cut = _with_cuts(df, keys, value)
+    number = value_bucket(F.col(value), F.col("_cuts"))
+    bucket = F.struct(number.alias("value"), F.when(number % 2 == 1, F.floor(F.col(ts) / span)).otherwise(0).alias("time"))
+    dealt = cut.withColumn("_bucket", bucket).drop("_cuts").repartition(*keys, "_bucket")
+    totals = _totals(dealt, keys, F.col("_bucket"), {"n": F.count(F.lit(1))})
+    own = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    out = dealt.join(totals, [*keys, "_bucket"])
+    return out.withColumn(name, F.col("_before_n") + F.row_number().over(own) - 1).drop("_bucket", "_before_n")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each key (name -> share), linear between neighbours; NULLs take no part.
+
+    Rows are counted per distinct value and their running counts give the rows of a rank, so no group is
+    sorted or held in one task.
+    """
+    keys = list(keys)
+    each = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    size = each.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    run = running_sums(each, keys, ["_v"], {"_upto": "_c"}, by_value=True).join(size, keys)
+    out = {}
+    for name, share in at.items():
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        low = F.floor(place)
+        part = place - low
+        held = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
+        share_low, share_high = F.when(held(low), 1 - part).otherwise(0.0), F.when(held(low + 1), part).otherwise(0.0)
+        out[name] = F.sum(F.col("_v") * (share_low + share_high))
+    return run.groupBy(*keys).agg(*(v.alias(n) for n, v in out.items()))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

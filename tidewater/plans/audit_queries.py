@@ -374,22 +374,30 @@ def posterior_rows(s, d):
 
 add(
     "state_statistics",
-    lambda s, d: G.state_statistics(posterior_rows(s, d)).select("symbol", "window", *big("state"), *rr("occupancy", "mean_trend", "mean_ret", "mean_vol", "mean_range", "persistence", digits=5), F.when(F.col("state") == 0, F.col("regime")).alias("first_regime")),
+    lambda s, d: G.state_statistics(posterior_rows(s, d)).select("symbol", "window", *big("state"), *rr("occupancy", "mean_trend", "mean_ret", "mean_vol", "mean_range", "persistence", digits=5), "regime"),
     over("bars", """, x as (select symbol, open_us // 345600000000 as win, open_us, close / (close + open) as x, ln(close / open) as tr, trades / 1e1 as rt, volume as vl, ln(high / low) as rg from bars),
-      p as (select x.*, st, case when st = 0 then 1 - x else x / 2 end as p, lead(case when st = 0 then 1 - x else x / 2 end) over (partition by symbol, win, st order by open_us) as nx from x, range(3) t(st)),
-      g as (select symbol, win, st, avg(p) as oc, sum(p * tr) / sum(p) as mt, sum(p * rt) / sum(p) as mr, sum(p * vl) / sum(p) as mv, sum(p * rg) / sum(p) as mg, sum(p * nx) / sum(case when nx is not null then p end) as pe from p group by 1, 2, 3),
-      f as (select symbol, win, max(mt + 0.5 * mr) filter (where st = 0) as s0, max(mt + 0.5 * mr) filter (where st = 1) as s1 from g group by 1, 2)
-      select symbol, win as window, st as state, round(oc, 5) + 0e0 as occupancy, round(mt, 5) + 0e0 as mean_trend, round(mr, 5) + 0e0 as mean_ret, round(mv, 5) + 0e0 as mean_vol, round(mg, 5) + 0e0 as mean_range, round(pe, 5) + 0e0 as persistence, case when st = 0 then case when s0 <= s1 then 'bear' else 'bull' end end as first_regime from g join f using (symbol, win)"""),
+      h as (select *, case when 1 - x >= x / 2 then 0 else 1 end as st from x),
+      n as (select *, lead(st) over (partition by symbol, win order by open_us) as nx, count(*) over (partition by symbol, win) as rows from h),
+      g as (select symbol, win, st, count(*) / any_value(rows) as oc, avg(tr) as mt, avg(rt) as mr, abs(avg(vl)) as mv, abs(avg(rg)) as mg, avg(cast(nx = st as int)) as pe from n group by 1, 2, 3),
+      f as (select k.symbol, k.win, t.st, coalesce(oc, 0) as oc, coalesce(mt, 0) as mt, coalesce(mr, 0) as mr, coalesce(mv, 0) as mv, coalesce(mg, 0) as mg, coalesce(pe, 0) as pe, coalesce(mt + 0.5e0 * mr, 0) as sc
+        from (select distinct symbol, win from x) k join range(3) t(st) on true left join g on g.symbol = k.symbol and g.win = k.win and g.st = t.st),
+      o as (select *, row_number() over (partition by symbol, win order by sc, st) as lo, row_number() over (partition by symbol, win order by sc desc, st desc) as hi, row_number() over (partition by symbol, win order by mv + mg desc, st) as rk,
+        max(sc) over (partition by symbol, win) - min(sc) over (partition by symbol, win) as sp from f),
+      q as (select *, row_number() over (partition by symbol, win order by rk = 1, oc desc, st) as re from o)
+      select symbol, win as window, st as state, round(oc, 5) + 0e0 as occupancy, round(mt, 5) + 0e0 as mean_trend, round(mr, 5) + 0e0 as mean_ret, round(mv, 5) + 0e0 as mean_vol, round(mg, 5) + 0e0 as mean_range, round(pe, 5) + 0e0 as persistence,
+        case when sp <= 1e-8 then case when rk = 1 then 'bear' when re = 1 then 'bull' else 'neutral' end when lo = 1 then 'bear' when hi = 1 then 'bull' else 'neutral' end as regime from q"""),
 )
 
 
 def centred(s, d):
-    """State centres of each window: mean trend and return of the states of `state_statistics`."""
+    """Centres, scores and regimes of the states of each window of `state_statistics`, the return in hundredths."""
     st = G.state_statistics(posterior_rows(s, d))
-    return st.groupBy("symbol", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "mean_trend", "mean_ret"))), lambda x: F.array(x["mean_trend"], x["mean_ret"])).alias("centers"))
+    each = F.array_sort(F.collect_list(F.struct("state", "mean_trend", "mean_ret", "score", "regime")))
+    rows = st.groupBy("symbol", "window").agg(each.alias("r"))
+    return rows.select("symbol", "window", F.transform("r", lambda x: F.array(x["mean_trend"], x["mean_ret"] / 100)).alias("centers"), F.col("r.score").alias("scores"), F.col("r.regime").alias("regimes"))
 
 
-add("matched_states", lambda s, d: G.match_states(centred(s, d)).select("symbol", "window", *big("state", "track"), *rr("distance")))
+add("matched_states", lambda s, d: G.match_states(centred(s, d)).select("symbol", "window", *big("state"), "regime", "method", *rr("distance")))
 
 
 def report_rows(s, d):

@@ -118,13 +118,21 @@ add(
     lambda s, d: A.keep_last(V.table(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", *rr("o_totalprice", digits=2)),
     "select o_custkey, max(o_orderkey) as o_orderkey, round(cast(max_by(o_totalprice, o_orderkey) as double), 2) + 0e0 as o_totalprice from orders group by 1",
 )
+def gated(s, d):
+    """Events with a regime's policy and numbers around every border of the gate."""
+    k = F.col("event_id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.floor(k / n) % len(names) + 1).cast("int"))
+    g = C.gate(pick(("allow", "caution", "block", None), 1), pick(("bull", "neutral", "bear"), 4), pick(("BUY", "SELL", "HOLD"), 12), F.col("p_meta"), F.lit(0.6), F.col("uniqueness"), F.col("p_primary") - F.lit(0.5), k % 10 < 5, k % 4)
+    return V.oof(s, d).withColumn("g", g)
+
+
 add(
     "decision_funnel",
-    lambda s, d: C.funnel(
-        V.oof(s, d).withColumn("g", C.gate(F.element_at(F.array(*map(F.lit, ("bull", "neutral", "bear", "missing"))), (F.col("event_id") % 4 + 1).cast("int")), F.col("p_meta"), F.lit(0.6), F.col("uniqueness"), F.col("p_primary") - F.lit(0.5), F.col("event_id") % 10 == 0)),
-        F.col("g.decision"), F.col("g.reason")),
-    over("oof", """, g as (select case when event_id % 4 = 3 then 'no_regime' when event_id % 4 = 2 then 'bear_in_spot' when event_id % 4 = 1 and p_meta < least(0.95, 0.6e0 + 0.10) then 'low_conviction' when uniqueness < 0.55 then 'unstable' when p_primary - 0.5e0 < 0.10 then 'thin_margin' when event_id % 10 = 0 then 'fresh_switch' else 'ok' end as reason from oof)
-      select case reason when 'ok' then 'pass' else 'block' end as status, reason, count(*) as n from g group by 1, 2"""),
+    lambda s, d: C.funnel(gated(s, d), F.col("g.decision"), F.col("g.reason")),
+    over("oof", """, i as (select *, event_id % 4 as po, (event_id // 4) % 3 as re, (event_id // 12) % 3 as si from oof),
+      g as (select case when si = 2 then 'no_order' when po = 2 then 'policy' when si = 0 and re = 2 then 'bear_in_spot' when po = 0 then 'ok' when p_meta < least(0.95e0, 0.6e0 + 0.10e0) then 'low_conviction'
+          when uniqueness < 0.55e0 then 'unstable' when p_primary - 0.5e0 < 0.10e0 then 'thin_margin' when event_id % 10 < 5 and event_id % 4 < 2 and p_meta < least(0.99e0, least(0.95e0, 0.6e0 + 0.10e0) + 0.10e0) then 'fresh_switch' else 'ok' end as reason from i)
+      select case when reason in ('ok', 'no_order') then 'pass' else 'block' end as status, reason, count(*) as n from g group by 1, 2"""),
 )
 add(
     "positions_sized",
@@ -132,6 +140,27 @@ add(
     over("bars", """, w as (select symbol, open_us, 10 / nullif(abs(close - low * 0.99e0) / close, 0) as wanted, trades from bars), v as (select *, least(wanted, 330, 300 - trades) as value from w)
       select symbol, open_us, round(wanted, 4) + 0e0 as wanted, round(value, 4) + 0e0 as value, value < wanted - 1e-12 as scaled_down, coalesce(value < 10, true) as rejected from v"""),
 )
+def closed_trades(s, d):
+    position = F.concat_ws(":", "symbol", F.col("open_us").cast("string")).alias("position_id")
+    exits = X.trends(V.bars(s, d), (1,)).select(position, F.when(F.col("trades") % 11 == 0, F.col("open")).otherwise(F.col("close")).alias("exit"))
+    opened = V.bars(s, d).select(position, F.when(F.col("trades") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("open").alias("entry"), (F.col("low") * 0.9).alias("stop"), F.lit(2.0).alias("qty"))
+    return C.ledger(exits, opened)
+
+
+def position_votes(s, d):
+    """Four votes on every position."""
+    vote = lambda i: F.element_at(F.array(*map(F.lit, ("BUY", "SELL", "HOLD"))), ((F.col("trades") + i) % 3 + 1).cast("int"))
+    each = F.explode(F.array(*(F.struct(F.lit(f"v{i}").alias("voter"), vote(i).alias("vote")) for i in range(4)))).alias("x")
+    return V.bars(s, d).select(F.concat_ws(":", "symbol", F.col("open_us").cast("string")).alias("position_id"), each).select("position_id", "x.*")
+
+
+add(
+    "graded_votes",
+    lambda s, d: C.graded_votes(closed_trades(s, d), position_votes(s, d)).groupBy("voter", "vote").agg(F.count(F.lit(1)).alias("n"), F.count_if("aligned").alias("aligned"), F.count_if("right").alias("right"), F.count_if(~F.col("right")).alias("wrong")),
+    over("bars", """, p as (select *, case when trades % 2 = 0 then 'BUY' else 'SELL' end as side, case when trades % 11 = 0 then 0 when trades % 2 = 0 then close - open else open - close end as m from bars),
+      v as (select 'v' || cast(i as varchar) as voter, ['BUY', 'SELL', 'HOLD'][cast((trades + i) % 3 as int) + 1] as vote, side, m from p, range(4) t(i))
+      select voter, vote, count(*) as n, count(*) filter (where vote = side) as aligned, count(*) filter (where vote <> 'HOLD' and (m > 0 and vote = side or m < 0 and vote <> side)) as right, count(*) filter (where vote <> 'HOLD' and (m > 0 and vote <> side or m < 0 and vote = side)) as wrong from v group by 1, 2"""),
+)
 add(
     "trade_ledger",
     lambda s, d: C.ledger(

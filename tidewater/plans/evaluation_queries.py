@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.columns import HOUR
 from tidewater.functions.columns import rounded as r
 from tidewater.operators import evaluation as E
+from tidewater.operators.fits import past_maps, usable
 from tidewater.operators import metrics as M
 from tidewater.operators import models as L
 from tidewater.plans.metric_queries import AXES, NET, REL, SC, TAUS, big, ev, rr, sizes
@@ -119,10 +120,22 @@ add(
     lambda s, d: E.chosen_method(calibrations(s, d).groupBy("fold").pivot("version", VERSIONS).agg(F.first("weighted_brier"))).select(*big("fold"), "method", *rr("gain"), "demonstrated"),
     over("oof", VER + """, p as (select fold, max(weighted_brier) filter (where version = 'identity') as i, max(weighted_brier) filter (where version = 'platt') as p, max(weighted_brier) filter (where version = 'isotonic') as s from vl group by 1),
       m as (select *, case when p <= least(i, p, s) + 0.001 then 'platt' when i <= least(i, p, s) + 0.001 then 'identity' else 'isotonic' end as method from p)
-      select cast(fold as bigint) as fold, method, round(i - case method when 'platt' then p when 'identity' then i else s end, 6) + 0e0 as gain, i - case method when 'platt' then p when 'identity' then i else s end > 0 as demonstrated from m"""),
+      select cast(fold as bigint) as fold, method, round(i - case method when 'platt' then p when 'identity' then i else s end, 6) + 0e0 as gain, i - case method when 'platt' then p when 'identity' then i else s end > 0.001 as demonstrated from m"""),
 )
-MAPS = [(3, 0.8, -0.3), (4, 1.1, 0.1), (5, 0.9, 0.2)]
-MAPPED = f""", mp as (select * from (values {values(MAPS)}) t(fold, slope, icpt)), cl as (select *, greatest(1e-6, least(1 - 1e-6, p_meta)) as q from e),
+def newton(history, keys, at_least):
+    """CTEs nt and mp: logistic maps of x and y with weight w for each key of `history`, 30 Newton steps from slope 0."""
+    k = ", ".join(keys)
+    return f""", nt as (select {k}, 0 as i, cast(0 as double) as a, ln(sum(w * y) / (sum(w) - sum(w * y))) as b from {history} group by {k} having count(*) >= {at_least} and min(y) < max(y)
+      union all
+      select {k}, i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from (
+        select {k}, i, a, b, sum(w * (q - y) * x) + 1e-6 * a as ga, sum(w * (q - y)) as gb, sum(w * q * (1 - q) * x * x) + 1e-6 as haa, sum(w * q * (1 - q) * x) as hab, sum(w * q * (1 - q)) as hbb
+        from (select nt.*, x, y, w, 1 / (1 + exp(-(a * x + b))) as q from nt join {history} using ({k}) where i < 30) group by {k}, i, a, b)),
+      mp as (select {k}, a as slope, b as icpt from nt where i = 30 and a > 0)"""
+
+
+HISTORY = """, cl as (select *, greatest(1e-6, least(1 - 1e-6, p_meta)) as q from e),
+  hx as (select k as fold, ln(q / (1 - q)) as x, cast(win as double) as y, uniqueness as w from range(3, 6) f(k) join cl on cl.fold between 2 and k - 1)"""
+MAPPED = HISTORY + newton("hx", ["fold"], 300) + f""",
   hs as (select k as for_fold, c.*, case when k = 2 or slope is null then p_meta else 1 / (1 + exp(-(slope * ln(q / (1 - q)) + icpt))) end as s from range(2, 6) f(k) join cl c on c.fold between 2 and k left join mp on mp.fold = k),
   hh as (select for_fold as fold, threshold, count(*) filter (where s >= threshold) as n, coalesce(sum(net) filter (where s >= threshold), 0) as sn from hs, (values {values((t,) for t in META)}) t(threshold) where hs.fold < for_fold group by 1, 2),
   hb as (select *, row_number() over (partition by fold order by round(sn, 12) desc, threshold desc, n) as r from hh where n >= 30),
@@ -130,14 +143,31 @@ MAPPED = f""", mp as (select * from (values {values(MAPS)}) t(fold, slope, icpt)
     from range(2, 6) f(k) left join hb on hb.fold = k and r = 1)"""
 
 
-def maps(s):
-    return s.createDataFrame(MAPS, "fold int, slope double, intercept double")
+def recursive(views, sql):
+    return over(views, sql).replace("with ", "with recursive ", 1)
 
 
+def replay(e):
+    return E.replayed(e, "p_meta", FOLDS, META, materialise(maps(e), "maps"))
+
+
+def chain(e):
+    return E.chained(e, "p_meta", FOLDS, META, materialise(maps(e), "maps"))
+
+
+def maps(events):
+    return usable(past_maps(events, "p_meta", "win", "uniqueness", FOLDS))
+
+
+add(
+    "fitted_maps",
+    lambda s, d: past_maps(events(s, d), "p_meta", "win", "uniqueness", FOLDS).where("method = 'platt'").select(*big("fold"), *rr("slope", "intercept"), "n"),
+    recursive("oof", NET + HISTORY + newton("hx", ["fold"], 300) + ", z as (select fold, count(*) as n from hx group by 1) select cast(fold as bigint) as fold, round(slope, 6) + 0e0 as slope, round(icpt, 6) + 0e0 as intercept, n from mp join z using (fold)"),
+)
 add(
     "threshold_replay",
-    lambda s, d: E.replayed(events(s, d), "p_meta", FOLDS, META, maps(s)).select(*big("fold"), *rr("threshold"), "reason", "n", *rr("sum_net")),
-    over("oof", NET + MAPPED + " select cast(ht.fold as bigint) as fold, round(tau, 6) + 0e0 as threshold, reason, count(*) filter (where s >= tau) as n, round(coalesce(sum(net) filter (where s >= tau), 0), 6) + 0e0 as sum_net from hs join ht on ht.fold = for_fold and hs.fold = for_fold group by 1, 2, 3"),
+    lambda s, d: replay(events(s, d)).select(*big("fold"), *rr("threshold"), "reason", "n", *rr("sum_net")),
+    recursive("oof", NET + MAPPED + " select cast(ht.fold as bigint) as fold, round(tau, 6) + 0e0 as threshold, reason, count(*) filter (where s >= tau) as n, round(coalesce(sum(net) filter (where s >= tau), 0), 6) + 0e0 as sum_net from hs join ht on ht.fold = for_fold and hs.fold = for_fold group by 1, 2, 3"),
 )
 add(
     "threshold_replay_raw",
@@ -146,20 +176,21 @@ add(
 )
 add(
     "chained_scores",
-    lambda s, d: E.chained(events(s, d), "p_meta", FOLDS, META, maps(s)).select("event_id", *big("fold"), *rr("effective", "threshold"), "traded"),
-    over("oof", NET + MAPPED + " select event_id, cast(for_fold as bigint) as fold, round(s, 6) + 0e0 as effective, round(tau, 6) + 0e0 as threshold, s >= tau as traded from hs join ht on ht.fold = for_fold where hs.fold = for_fold"),
+    lambda s, d: chain(events(s, d)).select("event_id", *big("fold"), *rr("effective", "threshold"), "traded"),
+    recursive("oof", NET + MAPPED + " select event_id, cast(for_fold as bigint) as fold, round(s, 6) + 0e0 as effective, round(tau, 6) + 0e0 as threshold, s >= tau as traded from hs join ht on ht.fold = for_fold where hs.fold = for_fold"),
 )
 
 
 def rebuilt(s, d):
     e = events(s, d)
-    return E.reconstruction_gaps(E.chained(e, "p_meta", FOLDS, META, maps(s)), E.replayed(e, "p_meta", FOLDS, META, maps(s)))
+    found = materialise(maps(e), "maps")
+    return E.reconstruction_gaps(E.chained(e, "p_meta", FOLDS, META, found), E.replayed(e, "p_meta", FOLDS, META, found))
 
 
 add(
     "chain_reconstruction",
     lambda s, d: rebuilt(s, d).select(*big("fold"), "n", *rr("sum_net"), "ok"),
-    over("oof", NET + MAPPED + " select cast(ht.fold as bigint) as fold, count(*) filter (where s >= tau) as n, round(coalesce(sum(net) filter (where s >= tau), 0), 6) + 0e0 as sum_net, true as ok from hs join ht on ht.fold = for_fold and hs.fold = for_fold group by 1"),
+    recursive("oof", NET + MAPPED + " select cast(ht.fold as bigint) as fold, count(*) filter (where s >= tau) as n, round(coalesce(sum(net) filter (where s >= tau), 0), 6) + 0e0 as sum_net, true as ok from hs join ht on ht.fold = for_fold and hs.fold = for_fold group by 1"),
 )
 SZ = ", sz as (select fold, count(*) filter (where p_primary >= 0.9) as n from e group by 1)"
 add(
@@ -350,9 +381,9 @@ def live_and_rebuilt(s, d):
 
 add(
     "imbalance_report",
-    lambda s, d: E.imbalance_report(*live_and_rebuilt(s, d), ["symbol", "open_us"], "v").select("n", *rr("pearson", "spearman", "median_bias"), "verdict"),
-    over("bars", """, p as (select taker_buy / volume * case when open_us % 7200000000 = 0 then 0.9e0 else 1e0 end as x, close / high as y from bars),
-      k as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2e0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2e0 as ry from p),
-      a as (select count(*) as n, corr(x, y) as pe, corr(rx, ry) as sp, quantile_cont(x - y, 0.5) as b from k)
-      select n, round(pe, 6) + 0e0 as pearson, round(sp, 6) + 0e0 as spearman, round(b, 6) + 0e0 as median_bias, case when n < 50 then 'insufficient' when sp >= 0.7 then 'approved' when sp >= 0.4 then 'caution' else 'rejected' end as verdict from a"""),
+    lambda s, d: E.imbalance_report(*live_and_rebuilt(s, d), "v").select("symbol", "n", *rr("pearson", "spearman", "median_bias"), "verdict"),
+    over("bars", """, p as (select symbol, taker_buy / volume * case when open_us % 7200000000 = 0 then 0.9e0 else 1e0 end as x, close / high as y from bars),
+      k as (select *, rank() over (partition by symbol order by x) + (count(*) over (partition by symbol, x) - 1) / 2e0 as rx, rank() over (partition by symbol order by y) + (count(*) over (partition by symbol, y) - 1) / 2e0 as ry from p),
+      a as (select symbol, count(*) as n, corr(x, y) as pe, corr(rx, ry) as sp, quantile_cont(x - y, 0.5) as b from k group by 1)
+      select symbol, n, round(pe, 6) + 0e0 as pearson, round(sp, 6) + 0e0 as spearman, round(b, 6) + 0e0 as median_bias, case when n < 50 then 'insufficient_overlap' when pe >= 0.7 then 'approved' when pe >= 0.4 then 'caution' else 'rejected' end as verdict from a"""),
 )

@@ -195,9 +195,10 @@ add(
 add(
     "population_anchors",
     lambda s, d: M.expectation_gaps(
-        ev(s, d).agg(F.count(F.lit(1)).cast("double").alias("rows"), F.avg("win").alias("base_rate"), (F.sum(F.col("win") * F.col("uniqueness")) / F.sum("uniqueness")).alias("weighted_base_rate")).unpivot([], ["rows", "base_rate", "weighted_base_rate"], "metric", "value"),
-        s.createDataFrame([("base_rate", 0.4, 0.05), ("weighted_base_rate", 0.4, 0.05), ("absent", 1.0, 0.1)], "metric string, value double, tolerance double")).select("metric", *rr("observed", "expected", "gap"), "ok"),
-    over("oof", NET + """, o as (select 'rows' as metric, cast(count(*) as double) as v from e union all select 'base_rate', avg(win) from e union all select 'weighted_base_rate', sum(win * uniqueness) / sum(uniqueness) from e),
-      x as (select * from (values ('base_rate', 0.4e0, 0.05e0), ('weighted_base_rate', 0.4e0, 0.05e0), ('absent', 1e0, 0.1e0)) t(metric, expected, tolerance))
+        M.anchors(ev(s, d).withColumn("win", F.when(F.col("event_id") % 31 != 0, F.col("win"))), "win", "uniqueness", [2, 3, 4, 5]),
+        s.createDataFrame([("base_rate", 0.4, 0.05), ("weighted_base_rate", 0.4, 0.05), ("missing_labels", 0.0, 0.0), ("bad_weights", 0.0, 0.0), ("rows_fold_2", 1e4, 1e4), ("absent", 1.0, 0.1)], "metric string, value double, tolerance double")).select("metric", *rr("observed", "expected", "gap"), "ok"),
+    over("oof", NET + """, q as (select *, case when event_id % 31 <> 0 then win end as y from e), o as (select 'rows' as metric, cast(count(*) as double) as v from q where fold between 2 and 5 union all select 'base_rate', avg(y) from q where fold between 2 and 5
+        union all select 'weighted_base_rate', sum(y * uniqueness) / sum(case when y is not null then uniqueness end) from q where fold between 2 and 5 union all select 'missing_labels', count(*) filter (where y is null) from q where fold between 2 and 5 union all select 'bad_weights', 0 union all select 'rows_fold_' || fold, count(*) from q where fold between 2 and 5 group by fold),
+      x as (select * from (values ('base_rate', 0.4e0, 0.05e0), ('weighted_base_rate', 0.4e0, 0.05e0), ('missing_labels', 0e0, 0e0), ('bad_weights', 0e0, 0e0), ('rows_fold_2', 1e4, 1e4), ('absent', 1e0, 0.1e0)) t(metric, expected, tolerance))
       select metric, round(v, 6) + 0e0 as observed, round(expected, 6) + 0e0 as expected, round(abs(v - expected), 6) + 0e0 as gap, coalesce(abs(v - expected) <= tolerance, false) as ok from x full join o using (metric)"""),
 )

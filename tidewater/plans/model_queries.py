@@ -13,8 +13,12 @@ from tidewater.operators import metrics as M
 from tidewater.operators import microstructure as B
 from tidewater.operators import models as L
 from tidewater.operators import regime as G
+from tidewater.operators import selection as P
 from tidewater.operators import stationarity as T
 from tidewater.operators.features import base_features
+from tidewater.operators.labels import quarantine_violations
+from tidewater.plans.evaluation_queries import newton
+from tidewater.plans.metric_queries import NET
 from tidewater.plans.micro_queries import BOOK
 from tidewater.plans.sqlviews import over
 from tidewater.sources import archives as A
@@ -45,17 +49,18 @@ add(
       select x.symbol, x.open_us, round(fd, 6) + 0e0 as fd from x left join s using (symbol, open_us)"""),
 )
 add("fractional_features", lambda s, d: D.fractional_features(V.bars(s, d)).select("symbol", "open_us", *rr("fd_close", "fd_volume", "fd_range", "fd_return", "fd_vol", "fd_trend")))
+add("regime_features", lambda s, d: D.regime_features(V.bars(s, d)).select("symbol", "open_us", *rr(*D.REGIME_COLUMNS), "feature_mode"))
 add("fractional_order_selection", lambda s, d: T.order_selection(V.bars(s, d).withColumn("x", F.ln("close")), "x", threshold=1e-2).select("symbol", "selected_d", *rr("p_value", "correlation"), "reason"))
 
 
 def regimes(s, d):
     f = base_features(V.bars(s, d)).drop("pos")
-    return G.policy(G.walk_forward_regimes(f, ["log_return", "log_range", "volume_change"], window=120, step=1))
+    return G.policy(G.walk_forward_regimes(f, ["log_return", "log_range", "volume_change"]))
 
 
 add("walk_forward_regimes", lambda s, d: regimes(s, d).select("symbol", "open_us", *rr("bear", "neutral", "bull", "margin", "entropy"), "regime", "policy"))
 add("regime_summary", lambda s, d: G.regime_summary(regimes(s, d)).select("symbol", "regime", "n", *rr("mean_confidence", "share")))
-add("anchored_regimes", lambda s, d: G.anchored(materialise(regimes(s, d), "regimes")).select("symbol", "open_us", "accepted", "previous", "changed", "age_bars", *rr("switch_margin")))
+add("anchored_regimes", lambda s, d: G.anchored(materialise(regimes(s, d), "regimes")).select("symbol", "open_us", "accepted", "previous", "changed", "age_bars", *rr("switch_margin"), "policy"))
 
 
 def proposals(s, d):
@@ -162,19 +167,46 @@ def wide(s, d):
 
 
 FEATURES = ["p_meta", "p_primary", "noise"]
-add("permutation_importance", lambda s, d: L.permutation_importance(wide(s, d), FEATURES, "win", weight="uniqueness", repeats=2).select("feature", *rr("importance", digits=4)))
-add("selected_features", lambda s, d: L.select_features(wide(s, d), FEATURES, "win", "uniqueness", [2, 3, 4, 5]).select("feature", *rr("mean_importance", digits=4), "place", "kept", "positive"))
+add("permutation_importance", lambda s, d: P.permutation_importance(wide(s, d), FEATURES, "win", "uniqueness").select("feature", *rr("importance", digits=4)))
+add("selected_features", lambda s, d: P.select_features(wide(s, d), FEATURES, "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR).select("feature", *rr("mean_importance", digits=4), "place", "kept", "positive"))
+SELECTION = """, st as (select fold as k, min(decision_us) as starts from oof where fold between 2 and 5 group by 1),
+  sp as (select k, o.*, row_number() over (partition by k order by decision_us desc, symbol desc) as back, count(*) over (partition by k) as n from st join oof o on o.fold < k and o.exit_us < starts - 345600000000),
+  sv as (select k, min(decision_us) as begins from sp where back <= ceil(n * 0.2e0) group by 1),
+  sr as (select k, fold, event_id, case when back <= ceil(n * 0.2e0) then 'validation' when exit_us < begins then 'train' else 'purged' end as part from sp join sv using (k))"""
+add(
+    "selection_rows",
+    lambda s, d: P.selection_rows(V.oof(s, d), [2, 3, 4, 5], 96 * HOUR).groupBy(F.col("outer").cast("long").alias("outer"), "part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.max("fold").cast("long").alias("last_fold")),
+    over("oof", SELECTION + " select cast(k as bigint) as outer, part, count(*) as n, cast(sum(event_id) as bigint) as ids, cast(max(fold) as bigint) as last_fold from sr group by 1, 2"),
+)
+add(
+    "selection_quarantine",
+    lambda s, d: quarantine_violations(P.selection_rows(V.oof(s, d), [2, 3, 4, 5], 96 * HOUR).select(F.lit("selection").alias("role"), "fold", F.col("fold").alias("source_fold"))).select("quarantined_used"),
+    over("oof", SELECTION + " select count(*) filter (where fold = 5) as quarantined_used from sr"),
+)
 add("final_refit", lambda s, d: L.final_refit(wide(s, d), FEATURES, [], "win", "uniqueness").select("event_id", *rr("p_final", digits=4)))
 add("ablation_arms", lambda s, d: L.ablation(wide(s, d), {"both": FEATURES[:2], "no_meta": FEATURES[1:], "all": FEATURES}, [], "win", "uniqueness", [4, 5], 96 * HOUR).select("arm", "fold", "n", *rr("auc", "weighted_log_loss", digits=4)))
 add("nested_search", lambda s, d: L.nested_search(wide(s, d), FEATURES, [], "win", "uniqueness", [3, 5], 96 * HOUR, {"depth": [2, 3], "trees": [4]}).select("fold", "config_id", *rr("inner_loss", digits=4), "won"))
+SEEDS = (42, 0, 1)
+SEED_SQL = NET + f""", se as (select e.* exclude (p_meta), seed, p_meta + seed * 0.137e0 - floor(p_meta + seed * 0.137e0) as p from e, (values {", ".join(f"({x})" for x in SEEDS)}) t(seed) where fold between 2 and 5),
+  hx as (select seed, k as fold, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) as x, cast(win as double) as y, uniqueness as w from range(3, 6) f(k) join se on se.fold between 2 and k - 1)""" + newton("hx", ["seed", "fold"], 2) + """,
+  rk as (select *, rank() over (partition by seed, fold order by p) + (count(*) over (partition by seed, fold, p) - 1) / 2e0 as rk, greatest(1e-15, least(1 - 1e-15, p)) as q from se),
+  ms as (select seed, fold, count(*) as rows, (sum(rk) filter (where win = 1) - sum(win) * (sum(win) + 1) / 2e0) / (sum(win) * (count(*) - sum(win))) as auc, sum(uniqueness * -(win * ln(q) + (1 - win) * ln(1 - q))) / sum(uniqueness) as loss, stddev_pop(p) as sd from rk group by 1, 2),
+  tr as (select seed, fold, count(*) as n from hx group by 1, 2)"""
 add(
     "seed_post_mortem",
-    lambda s, d: L.seed_post_mortem(ev_scores(s, d), "p_meta", "win", "uniqueness", 0.8, -0.3).select("seed", *rr("slope", "intercept", digits=3), *rr("lowest", "highest", "mean", "deviation"), "distinct"),
-)
+    lambda s, d: L.seed_post_mortem(ev_scores(s, d), "p", "win", "uniqueness", [2, 3, 4, 5]).select(
+        F.col("seed").cast("long").alias("seed"), F.col("fold").cast("long").alias("fold"), "rows", *rr("auc", "weighted_log_loss", "deviation"), *(r(F.when(F.col("method") == "platt", F.col(c)), 5).alias(c) for c in ("slope", "intercept")), "trained_on", "reason"
+    ),
+    over("oof", SEED_SQL + """ select cast(ms.seed as bigint) as seed, cast(ms.fold as bigint) as fold, rows, round(auc, 6) + 0e0 as auc, round(loss, 6) + 0e0 as weighted_log_loss, round(sd, 6) + 0e0 as deviation, round(slope, 5) + 0e0 as slope, round(icpt, 5) + 0e0 as intercept, tr.n as trained_on,
+      case when tr.n is null then 'no_past_fold' when slope is null then 'slope_not_positive' end as reason from ms left join mp on mp.seed = ms.seed and mp.fold = ms.fold left join tr on tr.seed = ms.seed and tr.fold = ms.fold""").replace("with ", "with recursive ", 1),
+)
 
 
 def ev_scores(s, d):
-    return materialise(M.net(V.oof(s, d)).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2)))), "seeds")
+    """Scores of three seeds: the model's, moved round by a step a seed."""
+    e = M.net(V.oof(s, d)).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    moved = F.col("p_meta") + F.col("seed") * 0.137
+    return materialise(e.withColumn("p", moved - F.floor(moved)), "seeds")
 
 
 add(
