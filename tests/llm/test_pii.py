@@ -104,6 +104,32 @@ def test_names_without_titles_follow_their_person(spark):
     assert got[1] == rows[1]  # nobody is known there
 
 
+PEOPLE = {
+    "Mr John Paul Smith came. Smith left.": r"Mr (\w+) (\w+) (\w+) came\. \3 left\.",
+    "Dr Anna Keller, Prof. Otto Hahn": r"Dr \w+ \w+, Prof\. \w+ \w+",
+    "Mr. J. Smith and Smith": r"Mr\. [A-Z]\. (\w+) and \1",
+    "Herr von Neumann": r"Herr von \w+",
+    "Herr Dr. Karl-Heinz van der Berg": r"Herr Dr\. \w+ van der \w+",
+    "MR JOHN SMITH": r"MR [A-Z]+ [A-Z]+",
+    "Señora María del Pilar de la Cruz O’Brien": r"Señora \w+ del \w+ de la Cruz O’Brien|Señora \w+ del \w+( de la \w+ \S+)?",
+    "Sir A. B. Carter sat": r"Sir [A-Z]\. [A-Z]\. \w+ sat",
+    "bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4": r"bearer eyJ\w*\.\w+\.\w+|bearer \S+",
+    "from 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a at 12:30:45": r"from (?:[0-9a-f]{4}:){7}[0-9a-f]{4} and [0-9a-f]{4}::[0-9a-f:]+ at 12:30:45",
+    "ring 07911 123456 now": r"ring \d{5} \d{6} now",
+}
+
+
+def test_names_by_grammar_and_more_addresses(spark):
+    df = spark.createDataFrame(list(enumerate(PEOPLE)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(df, "k").collect()}
+    for i, (text, shape) in enumerate(PEOPLE.items()):
+        assert re.fullmatch(shape, got[i]), (text, got[i])
+        for name in ("John", "Paul", "Smith", "Anna", "Keller", "Otto", "Hahn", "Neumann", "Karl", "Berg", "JOHN", "SMITH", "María", "Carter", "hbGci", "8a2e", "1ff", "07911"):
+            assert not (name in text and name in got[i]), (name, got[i])
+    assert got[0].split()[1] in pii.GIVEN_M and got[0].split()[2] in pii.GIVEN_M
+    assert got[5].split()[1].title() in pii.GIVEN_M and got[4].split()[2] in pii.GIVEN_M
+
+
 def test_clashing_columns_repeated_rows_and_long_texts(spark):
     long = "x" * 400_000 + " 97.51.17.173 " + "mail a.b@c.example.com " * 2000
     df = spark.createDataFrame([(1, long, 7), (1, long, 7), (None, long, 8)], "doc_id long, text string, n_entities int")

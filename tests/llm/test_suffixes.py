@@ -98,3 +98,10 @@ def test_later_spans_are_cut(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, start_word string")
     got = {tuple(r) for r in cut_repeats(docs).collect()}
     assert {r for r in got if r[0]} == {(1, rows[0][1], "x"), (2, "d    e", "y"), (3, None, "n")} and len(got) == 4
+    assert next(r[1] for r in got if r[0] is None) == ""  # a copy without an id goes as well
+
+
+def test_rows_of_one_id_lose_only_their_own_repeats(spark):
+    t, other = (" ".join(f"{k}{i}" for i in range(70)) for k in "to")
+    docs = spark.createDataFrame([(1, t), (2, "q " + t), (2, other), (2, other), (3, t + " end")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in cut_repeats(docs).collect()) == sorted([(1, t), (2, "q "), (2, other), (2, ""), (3, " end")])

@@ -26,15 +26,23 @@ MAX_ATTEMPTS = 64
 ENTITIES_PER_TASK = 4096
 
 # What counts as an entity, tried in this order.
-TITLES_M = "Mr|Herr|Monsieur|Señor|Don"
-TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Doña"
+TITLES_M = "Mr|Herr|Monsieur|Señor|Don|Sir|Lord"
+TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Doña|Lady"
+TITLES = "Dr|Prof|Professor|Doctor|Docteur|Doktor"
+PARTICLES = "von|vom|van|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|ten|ter|bin|ibn|al|el"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+INITIAL = r"\p{Lu}\.?"
 SECRET_WORDS = "(?i:token|secret|password|passwd|api_key|apikey|access_key)"
 MAIL = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{N}_.+%-"
 DOMAIN = r"[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
+# a title as it stands or in capitals, up to three given names or initials, particles, the family name
+TITLED = "(?:" + "|".join(t for group in (TITLES_M, TITLES_F, TITLES) for name in group.split("|") for t in (name, name.upper())) + r")\.?"
+PERSON = rf"{TITLED} (?:{TITLED} )?(?:(?:{NAME}|{INITIAL}) ){{0,3}}(?:(?:{PARTICLES}) ){{0,3}}{NAME}"
 PATTERNS = {
     "email": rf"(?<![{MAIL}])[{MAIL}]++@{DOMAIN}",
     "named_secret": rf"(?=[tspaTSPA]){SECRET_WORDS} ?[=:] ?[\"']?(?![{MAIL}]++@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_-])(?=[_+/=.-]*+[a-zA-Z0-9])[\w+/=.-]{{8,}}",
+    "jwt": r"eyJ[\w-]{8,}\.[\w-]{4,}\.[\w-]{4,}",
+    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?=[a-fA-F:]*+[0-9])(?:[0-9a-fA-F]{1,4}:){1,6}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?(?![\w:])",
     "key": r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)[\w-]{12,}",
     "hexadecimal": r"(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -43,8 +51,9 @@ PATTERNS = {
     "card": r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}])"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}])"
-    r"|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
-    "person": rf"(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?",
+    r"|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)"
+    r"|(?<![.-])0\d{3,4} \d{6,7}(?![\p{L}\p{N}]|[ .-]\d)",
+    "person": PERSON,
 }
 GIVEN_M = [
     "James", "Peter", "Louis", "Carlos", "Martin", "Paul", "Oscar", "Hugo", "Felix", "David", "Simon", "Victor",
@@ -79,7 +88,7 @@ BOUND = [p for name, p in PATTERNS.items() if name not in ("email", "named_secre
 ANY = rf"(?:{PATTERNS['email']}|{PATTERNS['named_secret']}|(?<![\p{{L}}\p{{N}}])(?:" + "|".join(BOUND) + "))"
 # no entity is without one of these; a text that has none is not searched further
 HINT = "[0-9@]"
-WORD_HINT = rf"(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}}|{SECRET_WORDS} ?[=:]|(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
+WORD_HINT = rf"{TITLED} [\p{{L}}]|eyJ|::|{SECRET_WORDS} ?[=:]|(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)"
 
 
 def key_of(spark: SparkSession) -> str:
@@ -92,7 +101,8 @@ def kind_of(entity: Column) -> Column:
     shapes = {
         "secret": rf"^{SECRET_WORDS} ?[=:]",
         "email": "^[^@ ]+@[^@ ]+$",
-        "person": rf"^(?:{TITLES_M}|{TITLES_F})\.? {NAME}(?: {NAME})?$",
+        "person": f"^{PERSON}$",
+        "ipv6": "^[0-9a-fA-F]{1,4}:[0-9a-fA-F:]+$",
         "ipv4": r"^\d{1,3}(\.\d{1,3}){3}$",
         "ssn": r"^\d{3}-\d{2}-\d{4}$",
         "card": r"^\d(?:[ -]?\d){12,18}$",
@@ -115,7 +125,7 @@ def normal_form(entity: Column, kind: Column) -> Column:
     digits = F.regexp_replace(entity, r"[^0-9]", "")
     return (
         F.when(kind.isin("card", "phone", "ssn"), digits)
-        .when(kind == "email", F.lower(entity))
+        .when(kind.isin("email", "ipv6"), F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "person", F.regexp_replace(entity, r"\.", ""))
         .otherwise(F.substring(entity, F.length(_named(entity)) + 1, F.length(entity)))
@@ -201,12 +211,36 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _given(title: Column, first: Column, digest: Column) -> Column:
-    """A given name of the title's gender, in the first name's script."""
+def _given(title: Column, word: Column, digest: Column) -> Column:
+    """A given name of the title's gender, in the word's script and capitals; a title that tells none takes either."""
     male = F.get(F.array(*map(F.lit, GIVEN_M)), _drawn(digest, len(GIVEN_M), 0))
     female = F.get(F.array(*map(F.lit, GIVEN_F)), _drawn(digest, len(GIVEN_F), 0))
-    name = F.when(title.rlike(rf"^(?:{TITLES_M})\.?$"), male).otherwise(female)
-    return F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), name).otherwise(_recoded(first, digest))
+    either = F.get(F.array(*map(F.lit, GIVEN_M + GIVEN_F)), _drawn(digest, len(GIVEN_M + GIVEN_F), 0))
+    of = lambda titles: title.rlike(rf"(?i)^(?:{titles})\.?$")
+    name = F.when(of(TITLES_M), male).when(of(TITLES_F), female).otherwise(either)
+    name = F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(name)).otherwise(name)
+    return F.when(word.rlike(r"^[\p{IsLatin}'’-]+$"), name).otherwise(_recoded(word, digest))
+
+
+def _renamed(entity: Column, attempt: Column, key: str, more: Column) -> Column:
+    """A person with titles and particles kept, given names drawn, initials and the family name recoded.
+
+    Of two titles the first that tells a gender counts, as in `Herr Dr`.
+    """
+    words = F.split(entity, " ")
+    titles = F.filter(words, lambda w: w.rlike(f"^{TITLED}$"))
+    title = F.coalesce(F.get(F.filter(titles, lambda t: t.rlike(rf"(?i)^(?:{TITLES_M}|{TITLES_F})\.?$")), F.lit(0)), F.lit(""))
+
+    def made(word: Column, i: Column) -> Column:
+        family = F.concat(_recoded(word, _digest(key, "family", attempt, word)), more)
+        return (
+            F.when(i == F.size(words) - 1, family)
+            .when((i < 2) & word.rlike(f"^{TITLED}$") | word.rlike(f"^(?:{PARTICLES})$"), word)
+            .when(word.rlike(rf"^{INITIAL}$"), _recoded(word, _digest(key, "initial", attempt, word)))
+            .otherwise(_given(title, word, _digest(key, "given", attempt, word)))
+        )
+
+    return F.array_join(F.transform(words, made), " ")
 
 
 def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key: str) -> Column:
@@ -242,10 +276,7 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
     ip = F.concat_ws(".", *((_drawn(digest, 254, i) + 1).cast("string") for i in range(4)))
     ip = F.concat(ip, F.when(attempt >= MAX_ATTEMPTS, F.concat(F.lit("."), longer(digit))).otherwise(""))
 
-    title = F.regexp_extract(entity, r"^(\S+) ", 1)
-    first, last = (F.regexp_extract(normal, r"^\S+ (?:(\S+) )?(\S+)$", i) for i in (1, 2))
-    given = _given(title, first, _digest(key, "given", attempt, first))
-    person = F.concat_ws(" ", title, F.when(first != "", given), F.concat(_recoded(last, _digest(key, "family", attempt, last)), longer(letter)))
+    person = _renamed(entity, attempt, key, longer(letter))
 
     prefix = F.regexp_extract(normal, r"^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|AIza)", 1)
     rest = F.substring(normal, F.length(prefix) + 1, F.length(normal))
@@ -255,6 +286,7 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
         F.when(kind == "email", email)
         .when(kind == "person", person)
         .when(kind == "ipv4", ip)
+        .when(kind == "ipv6", F.concat(_filled(_hex_shape(normal), digest), longer(digit)))
         .when(kind.isin("card", "phone", "ssn", "iban"), _let(_recoded(normal, digest), of_digits))
         .otherwise(secret)
     )
@@ -302,7 +334,8 @@ def exceptions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 def _names(entity: Column) -> tuple[Column, Column]:
     """Full name, or nothing where there is one name only, and family name of a person with a title."""
-    return F.regexp_extract(entity, r"^\S+ (\S+ \S+)$", 1), F.regexp_extract(entity, r"(\S+)$", 1)
+    name = F.regexp_replace(entity, f"^{TITLED} (?:{TITLED} )?", "")
+    return F.when(name.contains(" "), name).otherwise(""), F.regexp_extract(entity, r"(\S+)$", 1)
 
 
 def _without_names(part: Column, people: Column) -> Column:
@@ -310,7 +343,7 @@ def _without_names(part: Column, people: Column) -> Column:
 
     def one(text: Column, x: Column) -> Column:
         for name, new in zip(_names(x.e), _names(x.made), strict=True):
-            text = F.when(name != "", F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name, F.lit(r"(?![\p{L}\p{N}])")), new)).otherwise(text)
+            text = F.when(name != "", F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}])")), new)).otherwise(text)
         return text
 
     return F.aggregate(people, part, one)

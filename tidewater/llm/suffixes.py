@@ -213,14 +213,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """`docs` with the `later` spans of `repeated_passages` cut out of the text, white space around them kept.
+    """`docs` with every passage but its first copy cut out of the text, white space around cuts kept.
 
-    Rows without such spans stay as they are, null ids among them. The column name `__cut` is
-    taken by the operator.
+    Each row is a document of its own: rows are numbered in the order of their ids, null ids last, and a passage stays in
+    the row of the smallest number, so rows of one id or without one lose only what an earlier row holds. Rows without such
+    passages stay as they are. The column names `__row` and `__cut` are taken by the operator.
     """
-    spans = repeated_passages(docs, id_col, text_col, words).where(F.col("later") & F.col("doc_id").isNotNull())
-    cuts = spans.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
-    joined = docs.join(cuts, id_col, "left").select(*docs.columns, "__cut")
+    order = F.asc_nulls_last(id_col)
+    numbered = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__row", F.monotonically_increasing_id())
+    numbered = materialise(numbered, "numbered")
+    spans = repeated_passages(numbered.select("__row", text_col), "__row", text_col, words).where("later")
+    cuts = spans.groupBy(F.col("doc_id").alias("__row")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
+    joined = numbered.join(cuts, "__row", "left").select(*docs.columns, "__cut")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +234,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if text and cut.is_valid:
                     ends = [m.span() for m in _WORD.finditer(text)]
                     out, last = [], 0
-                    # rows of one id may have shorter texts than the one the span was found in
-                    for s in sorted((c["start_word"], c["n_words"]) for c in cut.as_py() if c["start_word"] + c["n_words"] <= len(ends)):
+                    for s in sorted((c["start_word"], c["n_words"]) for c in cut.as_py()):
                         out.append(text[last : ends[s[0]][0]])
                         last = ends[s[0] + s[1] - 1][1]
                     text = "".join(out) + text[last:]
