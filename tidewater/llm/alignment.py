@@ -18,7 +18,6 @@ import base64
 import hashlib
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -33,6 +32,7 @@ from tidewater.llm.tables import materialise
 
 BATCH_BYTES = 1 << 23  # text of a batch of documents
 ENCODE_BYTES = 1 << 20  # text given to the tokenizers at once
+BLOCK = 256  # token ends that drive the search at once
 FLAT_LINKS = 4096  # groups of more links are counted through their distinct ids
 
 _DOC = {"n_a": np.int64, "n_b": np.int64, "n_groups": np.int64, "n_links": np.int64}
@@ -74,11 +74,11 @@ def byte_level(path: str, pattern: str | None = None) -> Side:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        plain = tiktoken.Encoding("alignment", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coder = tiktoken.Encoding("alignment", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         table = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             table[i] = token
-        return Side(lambda texts: [plain(" " + t) for t in texts], table, np.array([len(t) for t in table], np.int64))
+        return Side(lambda texts: [coder.encode_to_numpy(" " + t, disallowed_special=()) for t in texts], table, np.array([len(t) for t in table], np.int64))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -109,34 +109,38 @@ def pieces(path: str) -> Side:
     return Side(lambda t: model.encode(t, num_threads=1), table, np.array([len(t) for t in table], np.int64))
 
 
-def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
-    """Indices of the values that two ascending lists share, in either list."""
+def gallop(short: np.ndarray, long: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the values that two ascending lists share, in either list.
+
+    The shorter list drives in blocks: doubling steps from the last hit and a bisection find where a block's last value
+    lies in the longer list, and every value of the block is bisected within that range.
+    """
     found, places, at, n = [], [], 0, len(long)
-    for i, x in enumerate(short):
+    for i in range(0, len(short), block):
         if at == n:
             break
-        if long[at] < x:
-            low, reach, step = at + 1, at + 1, 1
-            while reach < n and long[reach] < x:
-                low = reach + 1
-                reach += step
-                step += step
-            at = bisect_left(long, x, low, min(reach, n))
-            if at == n:
-                break
-        if long[at] == x:
-            found.append(i)
-            places.append(at)
-            at += 1
-    return found, places
+        part = short[i : i + block]
+        low, reach, step = at, at + len(part), len(part)
+        while reach < n and long[reach] < part[-1]:
+            low = reach + 1
+            reach += step
+            step += step
+        end = low + int(np.searchsorted(long[low : min(reach, n)], part[-1]))
+        place = at + np.searchsorted(long[at : end + 1], part)
+        hit = np.flatnonzero(long[np.minimum(place, n - 1)] == part)
+        found.append(i + hit)
+        places.append(place[hit])
+        at = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found]), np.concatenate([none, *places])
 
 
 def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the tokens of either side that end where one of the other side ends."""
-    swap = len(b) < len(a)
-    short, long = (b, a) if swap else (a, b)
-    i, j = (np.array(x, np.int64) for x in gallop(short.tolist(), long.tolist()))
-    return (j, i) if swap else (i, j)
+    if len(b) < len(a):
+        j, i = gallop(b, a)
+        return i, j
+    return gallop(a, b)
 
 
 def aligned(a: Side, b: Side, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
@@ -146,11 +150,13 @@ def aligned(a: Side, b: Side, texts: list[str]) -> Iterator[tuple[np.ndarray, np
     """
     for text, ids_a, ids_b in zip(texts, a.encode(texts), b.encode(texts), strict=True):
         whole = (" " + text).encode() if text else b""
-        if not text or any(b"".join(map(s.token_bytes.__getitem__, i)) != whole for s, i in ((a, ids_a), (b, ids_b))):
+        na, nb = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(a.lengths[na]), np.cumsum(b.lengths[nb])
+        # a byte-level vocabulary gives every byte back, so its length tells
+        if not text or ends_a[-1] != len(whole) or not len(nb) or ends_b[-1] != len(whole) or b"".join(map(b.token_bytes.__getitem__, ids_b)) != whole:
             yield None
-            continue
-        na, nb = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        yield na, nb, *common_ends(np.cumsum(a.lengths[na]), np.cumsum(b.lengths[nb]))
+        else:
+            yield na, nb, *common_ends(ends_a, ends_b)
 
 
 def group_links(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,13 +182,15 @@ def group_links(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.nda
 
 
 class _Speller:
-    """Groups as `a1,a2|b1;a3|b2,b3`: each token's number with the mark that follows it."""
+    """Groups as `a1,a2|b1;a3|b2,b3`: each token's number with the mark that follows it, out of one table of bytes."""
 
     def __init__(self, n_a: int, n_b: int):
-        self.words = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+        words = [f"{i}{mark}".encode() for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+        width = max(map(len, words))
+        self.table = np.frombuffer(b"".join(w.ljust(width, b" ") for w in words), np.uint8).reshape(-1, width)
         self.n_a, self.n_b = n_a, n_b
 
-    def spell(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+    def spell(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
         na, nb = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         word_a, word_b = a.copy(), b + 2 * self.n_a
         word_a[last_a] += self.n_a
@@ -190,7 +198,8 @@ class _Speller:
         out = np.empty(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)] = word_a
         out[np.arange(len(b)) + np.repeat(np.cumsum(na), nb)] = word_b
-        return "".join(map(self.words.__getitem__, out.tolist()))[:-1]
+        spelled = self.table[out]
+        return spelled[spelled != 32].tobytes()[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -278,7 +287,7 @@ def link_batches(
                     links.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 else:
                     found = group_links(*g)
-                    digest = hashlib.sha256(speller.spell(*g).encode()).hexdigest()
+                    digest = hashlib.sha256(speller.spell(*g)).hexdigest()
                     rows.append((len(g[0]), len(g[1]), len(g[2]), int(found[1].sum()), digest))
                     links.append(found)
                 if size >= batch_bytes:
