@@ -57,3 +57,9 @@ def test_parallel_error_counts_more():
         return float((((r * x).sum(1)) ** 2 / (x * x).sum(1)).mean())
 
     assert q.eta > 1 and parallel(q) < parallel(plain)
+
+
+def test_rows_of_one_id_are_one_vector(spark):
+    rows = [(0, [1.0, 0.0], 0), (20, [0.0, 1.0], 0), (20, [0.0, 1.0], 0), (21, [1.0, 1.0], 0)]
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(0, 1): 21, (0, 2): 20, (20, 1): 21, (20, 2): 0}

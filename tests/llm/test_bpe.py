@@ -51,3 +51,11 @@ def test_table(spark):
     back = decode_table(encode_table(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert {r.doc_id: bytes(r.body).decode() for r in back} == {i: t or "" for i, t in enumerate(texts)}
     assert round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_repeated_rows_null_ids_and_long_prose(spark):
+    prose = "The tide rose over the harbour wall, and 1,204 gulls left; it was März. " * 30_000
+    df = spark.createDataFrame([(1, "same"), (1, "same"), (None, "other"), (2, prose)], "doc_id long, text string")
+    got = round_trip(df, PATH, P.PATTERN).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(LIB.encode_ordinary(t))) for i, t in ((1, "same"), (1, "same"), (None, "other"), (2, prose)))
+    assert next(r for r in got if r.doc_id == 2).decoded_sha256 == hashlib.sha256(prose.encode()).hexdigest()

@@ -65,3 +65,10 @@ def test_read_back(spark, part_chars):
     if part_chars == 1:
         assert parts.count() == len(rows)
     assert read_back(format_conversations(df.limit(0))).count() == 0
+
+
+def test_rows_of_one_turn_and_repeated_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "c"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "first")]
+    r = read_back(format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    turns = [("system", "first"), ("assistant", "c"), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected(turns)

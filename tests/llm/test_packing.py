@@ -66,3 +66,24 @@ def test_ids_are_those_of_the_tokenizers_library(spark, capacity):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_repeated_rows_null_ids_and_a_text_longer_than_a_group(spark):
+    texts = [(1, "one two"), (1, "one two"), (None, "three"), (2, "word " * 9000), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, sequence_tokens=128, group_tokens=512).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert sorted(held[1]) == [(0, 3, 3), (0, 3, 3)] and held[None] == [(0, 2, 2)] and held[3] == [(0, 1, 1)]
+    at = 0
+    for start, n, total in sorted(held[2]):
+        assert start == at and n <= 128
+        at += n
+    assert at == total
+    for seq in {r.sequence_id for r in got}:
+        at = 0
+        for off, n in sorted((r.offset, r.length) for r in got if r.sequence_id == seq):
+            assert off == at
+            at += n
+        assert at <= 128
