@@ -18,6 +18,7 @@ from tidewater.operators import regime as G
 from tidewater.operators.features import base_features, rolling_statistics, trends
 from tidewater.operators.indicators import incomplete_beta, with_defaults
 from tidewater.operators.microstructure import volume_buckets
+from tidewater.operators import search as H
 from tidewater.operators import selection as P0
 from tidewater.operators.fits import grouped_logistic, past_maps
 from tidewater.operators.series import islands, quantiles, value_bucket, value_ordinal
@@ -62,12 +63,21 @@ def test_learners_find_the_planted_column(spark):
     e = planted(spark)
     by = {r.feature: r for r in P0.select_features(e, ["p_meta", "p_primary"], "win", "uniqueness", [3, 4, 5]).collect()}
     assert by["p_meta"].mean_importance > 0.1 > abs(by["p_primary"].mean_importance) and by["p_meta"].kept and not by["p_primary"].kept
-    arms = {(r.arm, r.fold): r.auc for r in L.ablation(e, {"with": ["p_meta"], "without": ["p_primary"]}, ["symbol"], "win", "uniqueness", [4, 5], 2 * HOUR).collect()}
-    assert min(arms["with", 4], arms["with", 5]) > 0.65 > max(arms["without", 4], arms["without", 5]) - 0.05
+    frozen = {k: {"depth": 3, "l2": 3, "rate": 0.1, "w": 2, "bag": 0, "trees": 5} for k in (4, 5)}
+    families = {"micro": ["p_meta"], "base": ["p_primary"], "symbol": ["symbol"]}
+    arms = {(r.arm, r.fold): r.auc for r in H.arms_refitted(e, ["base", "no_micro"], families, [], ["symbol"], "win", "uniqueness", [4, 5], 2 * HOUR, frozen).collect()}
+    assert min(arms["base", 4], arms["base", 5]) > 0.65 > max(arms["no_micro", 4], arms["no_micro", 5]) - 0.05
     final = L.final_refit(e, ["p_meta", "p_primary"], ["symbol"], "win", "uniqueness").withColumn("k", F.lit(1))
     assert M.auc(final, "p_final", "win", ["k"]).first()["auc"] > 0.7 and final.count() == 1500
-    search = L.nested_search(e, ["p_meta"], [], "win", "uniqueness", [4], 2 * HOUR, {"depth": [1, 4], "trees": [3]}).collect()
-    assert len(search) == 2 and sum(r.won for r in search) == 1 and min(r.inner_loss for r in search) == next(r.inner_loss for r in search if r.won)
+    axes = {"depth": [1, 4], "l2": [3], "rate": [0.1], "w": [2], "bag": [0]}
+    search = H.nested_search(e, ["p_meta"], [], "win", "uniqueness", [3, 4], 2 * HOUR, axes, iterations=4).collect()
+    assert len(search) == 4 and [sum(r.won for r in search if r.fold == k) for k in (3, 4)] == [1, 1] and all(1 <= r.trees <= 4 for r in search)
+    for k in (3, 4):
+        assert min(r.inner_loss for r in search if r.fold == k) == next(r.inner_loss for r in search if r.won and r.fold == k)
+    late = e.withColumn("win", F.when(F.col("fold") >= 4, 1 - F.col("win")).otherwise(F.col("win")))
+    again = H.nested_search(late, ["p_meta"], [], "win", "uniqueness", [3, 4], 2 * HOUR, axes, iterations=4).collect()
+    assert sorted(r.inner_loss for r in again) == sorted(r.inner_loss for r in search)  # test folds take no part
+    assert len(H.configurations(H.SEARCH_AXES)) == 108
 
 
 def test_calibrators_find_known_maps(spark):

@@ -97,3 +97,20 @@ def test_features_of_a_prefix_are_the_prefix_of_features(spark, name):
     part = CAUSAL[name](b.where(F.col("open_us") < cut))
     key = lambda df: df.toPandas().sort_values("open_us").reset_index(drop=True)[sorted(df.columns)]
     pd.testing.assert_frame_equal(key(whole), key(part))
+
+
+@pytest.mark.parametrize("span", [2, 9])
+def test_ewm_blocks_hand_on_their_sums(spark, span):
+    rng = np.random.default_rng(12)
+    values = [None if i < 3 or 400 <= i < 420 or rng.random() < 0.1 else float(v) for i, v in enumerate(rng.normal(0, 1, 1200))]
+    b = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)] + [("t", 0, None), ("t", 1, 1.0)], "symbol string, open_us long, x double")
+    got = {(r.symbol, r.open_us): r.ewm_std for r in X.ewm_std(b, "x", span).collect()}
+    a, w, w2, wx, wxx, n = 2 / (span + 1), 0.0, 0.0, 0.0, 0.0, 0
+    for i, v in enumerate(values):
+        w, w2, wx, wxx = w * (1 - a), w2 * (1 - a) ** 2, wx * (1 - a), wxx * (1 - a)
+        if v is not None:
+            c = a if n else 1.0
+            w, w2, wx, wxx, n = w + c, w2 + c * c, wx + c * v, wxx + c * v * v, n + 1
+        want = None if n < span or w * w <= w2 else max((wxx / w - (wx / w) ** 2) * w * w / (w * w - w2), 0) ** 0.5
+        assert (got["s", i] is None) == (want is None) and (want is None or abs(got["s", i] - want) < 1e-7), i
+    assert got["t", 1] is None

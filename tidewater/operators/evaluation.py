@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import HOUR, finite, ratio
-from tidewater.operators.metrics import auc, calibration_error, count, losses, reliability, threshold_statistics, top_n
+from tidewater.operators.metrics import auc, best_thresholds, calibration_error, count, losses, reliability, threshold_statistics, top_n
 from tidewater.operators.series import quantiles
 
 ABSTAIN, FIRST = 1.01, 0.55
@@ -31,16 +31,12 @@ def history_statistics(events: DataFrame, score: str, thresholds: Sequence[float
 def chosen_thresholds(history: DataFrame, folds: Sequence[int], forced: bool = False, at_least: int = 30) -> DataFrame:
     """(fold, threshold, reason) by the largest summed net of the history.
 
-    The first fold takes FIRST. Sums within 1e-12 tie and go to the higher threshold, then to fewer
-    trades. Without `forced`, abstaining stands against the thresholds with a sum of 0; with it, a
+    The first fold takes FIRST, others see `best_thresholds`. Without `forced`, abstaining stands against the thresholds with a sum of 0; with it, a
     fold without an eligible threshold takes FIRST.
     """
     spark = history.sparkSession
     wanted = spark.createDataFrame([(k,) for k in folds], "fold int")
-    best = history.where(F.col("n") >= at_least).groupBy("fold").agg(
-        F.max(F.struct(F.round("sum_net", 12).alias("s"), "threshold", (-F.col("n")).alias("k"))).alias("b")
-    )
-    rows = wanted.join(best, "fold", "left")
+    rows = wanted.join(best_thresholds(history, at_least), "fold", "left")
     first = F.col("fold") == min(folds)
     if forced:
         tau = F.when(first, FIRST).otherwise(F.coalesce(F.col("b.threshold"), F.lit(FIRST)))

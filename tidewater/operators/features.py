@@ -217,7 +217,8 @@ def momentum(bars: DataFrame, steps: int = 24) -> DataFrame:
 
 
 def session_of(hour: Column) -> Column:
-    return F.when(hour < 8, "asia").when(hour < 16, "europe").otherwise("america")
+    """Session of a four-hour bar by its hour; NULL for hours that start no such bar, see `off_session`."""
+    return F.when(hour.isin(0, 4), "asia").when(hour.isin(8, 12), "europe").when(hour.isin(16, 20), "america")
 
 
 def off_session(bars: DataFrame, hour: str = "hour", step: int = 4) -> DataFrame:
@@ -265,6 +266,6 @@ def legacy_regime_features(bars: DataFrame) -> DataFrame:
 
     def second(w: WindowSpec) -> dict[str, Column]:
         x = F.col("ret")
-        return {"deviation24": full(x, 24, back(w, 24), F.stddev_samp(x).over(back(w, 24))), "trend8": full(x, 8, back(w, 8), F.avg(x).over(back(w, 8)), 3)}
+        return {"deviation24": full(x, 24, back(w, 24), F.stddev_samp(x).over(back(w, 24))), "trend8": full(x, 8, back(w, 8), F.avg(x).over(back(w, 8)))}
 
     return rolling(rolling(bars, KEYS, ORDER, 1, first), KEYS, ORDER, 24, second)

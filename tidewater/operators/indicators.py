@@ -122,8 +122,8 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 def granger(bars: DataFrame, x: str, y: str, lags: Sequence[int] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
     """(symbol, lag, n, f, p_value): do the last values of x help to predict y beyond y's own?
 
-    All products of lagged columns are summed in one aggregation per symbol; only these moment
-    matrices, of at most 14 x 14 numbers, are solved on the driver.
+    All products of lagged columns are summed in one aggregation per symbol; a symbol's moment matrix, of at most
+    14 x 14 numbers, is solved in the task that holds its row.
     """
     most = max(lags)
 
@@ -135,25 +135,34 @@ def granger(bars: DataFrame, x: str, y: str, lags: Sequence[int] = (1, 2, 3, 4,
     names = ["one", "y0", *(f"y{k}" for k in range(1, most + 1)), *(f"x{k}" for k in range(1, most + 1))]
     whole = lagged.withColumn("one", F.lit(1.0)).dropna(subset=names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = whole.groupBy("symbol").agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs)).collect()  # one row a symbol
-    rows = []
-    for r in sums:
-        g = {(a, b): r[f"{a}|{b}"] for a, b in pairs}
+    moments = F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs))
+    sums = whole.groupBy("symbol").agg(moments.alias("moments"))
+
+    def tests(values: list[float]) -> list[tuple[int, int, float, float]]:
+        g = dict(zip(pairs, values, strict=True))
         g |= {(b, a): v for (a, b), v in g.items()}
 
-        def residual(used: list[str], g=g) -> float:
+        def residual(used: list[str]) -> float:
             a = np.array([[g[p, q] for q in used] for p in used])
             v = np.array([g[p, "y0"] for p in used])
             return max(g["y0", "y0"] - float(v @ np.linalg.lstsq(a, v, rcond=None)[0]), 0.0)
 
-        n = int(g["one", "one"])
+        n, out = int(g["one", "one"]), []
         for k in lags:
             short = ["one", *(f"y{i}" for i in range(1, k + 1))]
             full = [*short, *(f"x{i}" for i in range(1, k + 1))]
             free = n - len(full)
             rest, more = residual(full), residual(short)
-            if free <= 0 or rest <= 0:
-                continue
-            f = (more - rest) / k / (rest / free)
-            rows.append((r["symbol"], k, n, float(f), incomplete_beta(free / 2, k / 2, free / (free + k * max(f, 0.0)))))
-    return bars.sparkSession.createDataFrame(rows, "symbol string, lag int, n long, f double, p_value double")
+            if free > 0 and rest > 0:
+                f = (more - rest) / k / (rest / free)
+                out.append((k, n, float(f), incomplete_beta(free / 2, k / 2, free / (free + k * max(f, 0.0)))))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            rows = [(s, *t) for s, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in tests(m)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["symbol", "lag", "n", "f", "p_value"])
+
+    return sums.mapInArrow(run, "symbol string, lag int, n long, f double, p_value double")

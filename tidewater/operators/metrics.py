@@ -47,19 +47,23 @@ def threshold_statistics(events: DataFrame, score: str, thresholds: Sequence[flo
     return out
 
 
-def pick_thresholds(stats: DataFrame, folds: Sequence[int], at_least: int = 30, first: float = 0.55, abstain: float = 1.01) -> DataFrame:
-    """Threshold per fold from the folds before it: largest summed net among those with enough trades.
+def best_thresholds(history: DataFrame, at_least: int = 30) -> DataFrame:
+    """(fold, b) with the best threshold of summed statistics: the largest sum among those with enough trades.
 
-    Sums within 1e-12 tie; ties go to the higher threshold, then to fewer trades. The first fold takes
-    `first`; a fold without an eligible threshold abstains.
+    Sums within 1e-12 tie; ties go to the higher threshold, then to fewer trades.
     """
-    spark = stats.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(k,) for k in folds], "for_fold int"))
-    past = stats.join(wanted, F.col("fold") < F.col("for_fold")).groupBy("for_fold", "threshold")
-    past = past.agg(F.sum("n").alias("n"), F.sum(F.coalesce("sum_net", F.lit(0.0))).alias("s")).where(F.col("n") >= at_least)
-    best = past.groupBy("for_fold").agg(F.max(F.struct(F.round("s", 12).alias("s"), "threshold", (-F.col("n")).alias("k"))).alias("b"))
-    chosen = F.when(F.col("for_fold") == min(folds), first).otherwise(F.coalesce(F.col("b.threshold"), F.lit(abstain)))
-    return wanted.join(best, "for_fold", "left").select(F.col("for_fold").alias("fold"), chosen.alias("threshold"))
+    order = F.struct(F.round("sum_net", 12).alias("s"), "threshold", (-F.col("n")).alias("k"))
+    return history.where(F.col("n") >= at_least).groupBy("fold").agg(F.max(order).alias("b"))
+
+
+def pick_thresholds(stats: DataFrame, folds: Sequence[int], at_least: int = 30, first: float = 0.55, abstain: float = 1.01) -> DataFrame:
+    """Threshold per fold from the folds before it, see `best_thresholds`. The first fold takes `first`; a fold without an
+    eligible threshold abstains."""
+    wanted = stats.sparkSession.createDataFrame([(k,) for k in folds], "for_fold int")
+    past = stats.join(wanted, F.col("fold") < F.col("for_fold")).groupBy(F.col("for_fold").alias("fold"), "threshold")
+    best = best_thresholds(past.agg(F.sum("n").alias("n"), F.sum(F.coalesce("sum_net", F.lit(0.0))).alias("sum_net")), at_least)
+    chosen = F.when(F.col("fold") == min(folds), first).otherwise(F.coalesce(F.col("b.threshold"), F.lit(abstain)))
+    return wanted.withColumnRenamed("for_fold", "fold").join(best, "fold", "left").select("fold", chosen.alias("threshold"))
 
 
 def trade_metrics(events: DataFrame, keys: Sequence[str], tail: float = 0.05) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import clip, finite, logit
-from tidewater.operators.fits import past_maps
-from tidewater.operators.labels import last_share
+from tidewater.operators.fits import grouped_logistic, past_maps
 from tidewater.operators.metrics import auc, dispersion, losses
 
 
@@ -36,10 +35,11 @@ def _flagged(events: DataFrame, numeric: Sequence[str], label: str) -> DataFrame
     return out.withColumns({c: F.col(c).cast("double") for c in numeric}).withColumn("_y", F.col(label).cast("double"))
 
 
-def walk_forward(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, name: str = "p_model", trees: int = 10, depth: int = 3) -> DataFrame:
+def walk_forward(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, name: str = "p_model", trees: int = 10, depth: int = 3, frozen: Mapping[int, Mapping] | None = None) -> DataFrame:
     """Out-of-fold probabilities of boosted trees: fold k is scored by rows of earlier folds that end in time.
 
-    `events` has fold, decision_us and exit_us. A training row must end `embargo` before the fold starts.
+    `events` has fold, decision_us and exit_us. A training row must end `embargo` before the fold starts. A fold in
+    `frozen` takes its configuration and number of trees from there.
     """
     flagged = _flagged(events, numeric, label)
     starts = {r["fold"]: r["s"] for r in flagged.groupBy("fold").agg(F.min("decision_us").alias("s")).collect()}  # one row a fold
@@ -48,6 +48,10 @@ def walk_forward(events: DataFrame, numeric: Sequence[str], categorical: Sequenc
         train = flagged.where((F.col("fold") < k) & (F.col("exit_us") < starts[k] - embargo))
         train = _balanced(train, weight)
         trees_of = GBTClassifier(labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=7, maxBins=64)
+        if frozen and k in frozen:
+            from tidewater.operators.search import learner
+
+            trees_of = learner(frozen[k], frozen[k]["trees"])
         model = Pipeline(stages=[*_stages(numeric, categorical), trees_of]).fit(train)
         part = model.transform(flagged.where(F.col("fold") == k)).withColumn(name, probability())
         part = part.select(*events.columns, name)
@@ -71,49 +75,13 @@ def refit(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     return Pipeline(stages=[*_stages(numeric, categorical), learner]).fit(_balanced(_flagged(events, numeric, label), weight))
 
 
-def final_calibrators(events: DataFrame, score: str, label: str, weight: str) -> DataFrame:
-    """(weighted, slope, intercept, base_rate) of logistic maps fitted on all rows, with the weights and without."""
-    flat = events.withColumn("_one", F.lit(1.0))
-    rates = flat.agg((F.sum(F.col(label) * F.col(weight)) / F.sum(weight)).alias("w"), F.avg(label).alias("u")).first()
-    rows = [(True, *platt(flat, score, label, weight), rates["w"]), (False, *platt(flat, score, label, "_one"), rates["u"])]
-    return events.sparkSession.createDataFrame([(a, b, c, float(d)) for a, b, c, d in rows], "weighted boolean, slope double, intercept double, base_rate double")
-
-
-def ablation(events: DataFrame, arms: dict[str, Sequence[str]], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, trees: int = 10, depth: int = 3) -> DataFrame:
-    """(arm, fold, n, auc, weighted_log_loss): the same frozen model refitted on the columns of each arm."""
-    out = None
-    for arm, columns in arms.items():
-        scored = walk_forward(events, columns, categorical, label, weight, folds, embargo, "_p", trees, depth)
-        area = auc(scored, "_p", label, ["fold"]).select("fold", "auc")
-        part = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).join(area, "fold").join(losses(scored, "_p", label, weight, ["fold"]), "fold")
-        part = part.select(F.lit(arm).alias("arm"), "fold", "n", "auc", "weighted_log_loss")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def nested_search(events: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str, folds: Sequence[int], embargo: int, grid: dict[str, Sequence], share: float = 0.25) -> DataFrame:
-    """(fold, config_id, inner_loss, won): every configuration of the grid judged inside the training rows of each outer fold.
-
-    Of the rows before a fold, purged by the embargo, the last `share` by time validates and the rest, purged
-    again, trains. Least weighted log loss wins, ties within 1e-12 go to the shallower and then the smaller model.
-    Axes are depth and trees; the grid is looped over on the driver, the rows are not.
-    """
-    spark = events.sparkSession
-    configs = [(f"cfg_{i:03d}", d, t) for i, (d, t) in enumerate((d, t) for d in grid["depth"] for t in grid["trees"])]
-    starts = {r["fold"]: r["s"] for r in events.groupBy("fold").agg(F.min("decision_us").alias("s")).collect()}  # one row a fold
-    rows = []
-    for k in folds:
-        past = events.where((F.col("fold") < k) & (F.col("exit_us") < starts[k] - embargo)).withColumn("_all", F.lit(1))
-        split = last_share(past, share, ["_all"])
-        begin = split.where("validation").agg(F.min("decision_us").alias("s")).first()["s"]
-        train, valid = split.where(~F.col("validation") & (F.col("exit_us") < begin - embargo)), split.where("validation")
-        for name, depth, trees in configs:
-            scored = refit(train, numeric, categorical, label, weight, trees, depth).transform(_flagged(valid, numeric, label)).withColumn("_p", probability())
-            loss = losses(scored.drop("rawPrediction"), "_p", label, weight, ["_all"]).first()["weighted_log_loss"]
-            rows.append((k, name, float(loss), depth, trees))
-    table = spark.createDataFrame(rows, "fold int, config_id string, inner_loss double, depth int, trees int")
-    order = Window.partitionBy("fold").orderBy(F.round("inner_loss", 12), "depth", "trees")  # one row per configuration
-    return table.withColumn("won", F.row_number().over(order) == 1)
+def final_calibrators(events: DataFrame, score: str, label: str, weight: str, folds: Sequence[int] | None = None) -> DataFrame:
+    """(weighted, slope, intercept, n, base_rate) of logistic maps fitted on all evaluated rows, with the weights and without."""
+    rows = events.where(F.col("fold").isin(list(folds))) if folds else events
+    both = rows.select(F.explode(F.array(F.lit(True), F.lit(False))).alias("weighted"), score, label, F.col(weight).alias("_u"))
+    both = both.withColumn("_u", F.when(F.col("weighted"), F.col("_u")).otherwise(1.0))
+    rates = both.groupBy("weighted").agg((F.sum(F.col(label) * F.col("_u")) / F.sum("_u")).alias("base_rate"))
+    return grouped_logistic(both, ["weighted"], score, label, "_u").select("weighted", "slope", "intercept", "n").join(rates, "weighted")
 
 
 def seed_post_mortem(events: DataFrame, score: str, label: str, weight: str, folds: Sequence[int], at_least: int = 2) -> DataFrame:

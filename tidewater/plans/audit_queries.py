@@ -194,7 +194,7 @@ add(
     "legacy_regime_features",
     lambda s, d: X.legacy_regime_features(V.bars(s, d)).select("symbol", "open_us", *rr("ret", "range", "dvolume", "deviation24", "trend8")),
     over("bars", """, f as (select symbol, open_us, ln(greatest(close, 1e-12)) - lag(ln(greatest(close, 1e-12))) over w as ret, ln(greatest(high, 1e-12)) - ln(greatest(low, 1e-12)) as rg, ln(greatest(volume, 1e-12)) - lag(ln(greatest(volume, 1e-12))) over w as dv from bars window w as (partition by symbol order by open_us))
-      select symbol, open_us, round(ret, 6) + 0e0 as ret, round(rg, 6) + 0e0 as range, round(dv, 6) + 0e0 as dvolume, round(case when count(ret) over a = 24 then stddev_samp(ret) over a end, 6) + 0e0 as deviation24, round(case when count(ret) over b >= 3 then avg(ret) over b end, 6) + 0e0 as trend8
+      select symbol, open_us, round(ret, 6) + 0e0 as ret, round(rg, 6) + 0e0 as range, round(dv, 6) + 0e0 as dvolume, round(case when count(ret) over a = 24 then stddev_samp(ret) over a end, 6) + 0e0 as deviation24, round(case when count(ret) over b = 8 then avg(ret) over b end, 6) + 0e0 as trend8
       from f window a as (partition by symbol order by open_us rows 23 preceding), b as (partition by symbol order by open_us rows 7 preceding)"""),
 )
 

@@ -69,15 +69,15 @@ add(
 FIXED = BUCKET.replace("sum(q) / 20 as v", "9e3 as v")
 add(
     "stream_volume_clock",
-    lambda s, d: S.live_buckets(V.trades(s, d), 9000.0).select("symbol", "bucket", *(r(F.col(c), 3).alias(c) for c in ("buy", "sell", "imbalance")), *(r(F.col(c)).alias(c) for c in ("vpin", "lower_bound"))),
-    over("trades", FIXED + """ select symbol, bucket, round(buy, 3) + 0e0 as buy, round(sell, 3) + 0e0 as sell, round(imb, 3) + 0e0 as imbalance, round(sum(imb) over w / sum(total) over w, 6) + 0e0 as vpin, round(abs(sum(buy) over w - sum(sell) over w) / sum(total) over w, 6) + 0e0 as lower_bound
+    lambda s, d: S.live_buckets(V.trades(s, d), 9000.0).select("symbol", "bucket", *(r(F.col(c), 3).alias(c) for c in ("buy", "sell", "imbalance")), *(r(F.col(c), 9).alias(c) for c in ("vpin", "lower_bound"))),
+    over("trades", FIXED + """ select symbol, bucket, round(buy, 3) + 0e0 as buy, round(sell, 3) + 0e0 as sell, round(imb, 3) + 0e0 as imbalance, round(sum(imb) over w / sum(total) over w, 9) + 0e0 as vpin, round(abs(sum(buy) over w - sum(sell) over w) / sum(total) over w, 9) + 0e0 as lower_bound
       from g window w as (partition by symbol order by bucket rows 19 preceding)"""),
 )
 LAST = TR.replace("where price > 0 and qty > 0", "where price > 0 and qty > 0 qualify us > max(us) over (partition by symbol) - 3600000000 * 12") + """, t2 as (select * from t qualify row_number() over (partition by symbol order by us desc, trade_id desc) <= 1000)"""
 add(
     "stream_imbalance_share",
     lambda s, d: S.live_vpin(V.trades(s, d), lookback=12 * 3_600_000_000).select("symbol", "us", "trades", "buckets", *(r(F.col(c)).alias(c) for c in ("vpin", "lower_bound"))),
-    over("trades", LAST + BUCKET.replace(TR, "").replace("from t group", "from t2 group").replace("from t)", "from t2)") + """, z as (select symbol, max(us) as us, count(*) as trades from t2 group by 1), y as (select symbol, count(*) as n, sum(imb) / sum(total) as p, abs(sum(buy) - sum(sell)) / sum(total) as l from g group by 1)
+    over("trades", LAST + BUCKET.replace(TR, "").replace("from t group", "from t2 group").replace("from t)", "from t2)").replace("select t.*", "select t2.*") + """, z as (select symbol, max(us) as us, count(*) as trades from t2 group by 1), y as (select symbol, count(*) as n, sum(imb) / sum(total) as p, abs(sum(buy) - sum(sell)) / sum(total) as l from g group by 1)
       select z.symbol, us, trades, coalesce(n, 0) as buckets, round(case when n >= 5 then p end, 6) + 0e0 as vpin, round(case when n >= 5 then l end, 6) + 0e0 as lower_bound from z left join y using (symbol)"""),
 )
 add(

@@ -13,7 +13,9 @@ from tidewater.operators import metrics as M
 from tidewater.operators import microstructure as B
 from tidewater.operators import models as L
 from tidewater.operators import regime as G
+from tidewater.operators import search as H
 from tidewater.operators import selection as P
+from tidewater.operators.evaluation import ARM_CHANGES
 from tidewater.operators import stationarity as T
 from tidewater.operators.features import base_features
 from tidewater.operators.labels import quarantine_violations
@@ -184,8 +186,34 @@ add(
     over("oof", SELECTION + " select count(*) filter (where fold = 5) as quarantined_used from sr"),
 )
 add("final_refit", lambda s, d: L.final_refit(wide(s, d), FEATURES, [], "win", "uniqueness").select("event_id", *rr("p_final", digits=4)))
-add("ablation_arms", lambda s, d: L.ablation(wide(s, d), {"both": FEATURES[:2], "no_meta": FEATURES[1:], "all": FEATURES}, [], "win", "uniqueness", [4, 5], 96 * HOUR).select("arm", "fold", "n", *rr("auc", "weighted_log_loss", digits=4)))
-add("nested_search", lambda s, d: L.nested_search(wide(s, d), FEATURES, [], "win", "uniqueness", [3, 5], 96 * HOUR, {"depth": [2, 3], "trees": [4]}).select("fold", "config_id", *rr("inner_loss", digits=4), "won"))
+FAMILIES = {"calendar": ["hour", "weekday"], "micro": ["flow"], "symbol": ["symbol"], "regime": ["state"], "base": ["p_primary", "p_meta"]}
+FROZEN = {k: {"depth": 3, "l2": 10, "rate": 0.05, "w": 2, "bag": 0, "trees": 6} for k in (2, 3, 4, 5)}
+
+
+def arm_rows(s, d):
+    """Events with columns of every family; the win follows the hour, the state and the score."""
+    at, noise = F.floor(F.col("decision_us") / HOUR), lambda salt: F.pmod(F.xxhash64("event_id", F.lit(salt)), F.lit(1000)) / 1000.0
+    hour = F.pmod(at, F.lit(24))
+    state = F.element_at(F.array(*map(F.lit, G.NAMES)), (F.pmod(F.floor(at / 37), F.lit(3)) + 1).cast("int"))
+    chance = F.col("p_meta") + F.when(hour < 8, 0.2).otherwise(0.0) + F.when(state == "bull", 0.2).when(state == "bear", -0.2).otherwise(0.0) + 0.4 * noise(1)
+    return materialise(V.oof(s, d).withColumns({
+        "hour": hour, "weekday": F.pmod(F.floor(at / 24) + 3, F.lit(7)), "flow": noise(2), "state": state, "session": F.element_at(F.array(*map(F.lit, ("asia", "europe", "america"))), (F.floor(hour / 8) + 1).cast("int")),
+        "extra_a": noise(3), "extra_b": noise(4), "win": (chance > 0.75).cast("int")}), "arms")
+
+
+add(
+    "ablation_arms",
+    lambda s, d: H.arms_refitted(arm_rows(s, d), ["base", *ARM_CHANGES], FAMILIES, ["extra_a", "extra_b"], ["symbol", "state", "session"], "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR, FROZEN).select("arm", "fold", "n", *rr("auc", "weighted_log_loss", digits=4)),
+)
+SOME_AXES = {"depth": (3, 5), "l2": (3, 30), "rate": (0.05,), "w": (1, 2), "bag": (0,)}  # the whole catalogue: see the README
+add("nested_search", lambda s, d: H.nested_search(wide(s, d), FEATURES, [], "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR, SOME_AXES, iterations=6).select("fold", "config_id", *rr("inner_loss", digits=4), "trees", "won"))
+add(
+    "final_calibrators",
+    lambda s, d: L.final_calibrators(M.net(V.oof(s, d)), "p_meta", "win", "uniqueness", [2, 3, 4, 5]).select("weighted", *rr("slope", "intercept", digits=5), "n", *rr("base_rate")),
+    over("oof", NET + """, b as (select e.*, weighted, case when weighted then uniqueness else 1 end as u from e, (values (true), (false)) t(weighted) where fold between 2 and 5),
+      hx as (select weighted, ln(greatest(1e-6, least(1 - 1e-6, p_meta)) / (1 - greatest(1e-6, least(1 - 1e-6, p_meta)))) as x, cast(win as double) as y, u as w from b)""" + newton("hx", ["weighted"], 2).replace("and a > 0", "") + """, z as (select weighted, count(*) as n, sum(y * w) / sum(w) as br from hx group by 1)
+      select weighted, round(slope, 5) + 0e0 as slope, round(icpt, 5) + 0e0 as intercept, n, round(br, 6) + 0e0 as base_rate from mp join z using (weighted)""").replace("with ", "with recursive ", 1),
+)
 SEEDS = (42, 0, 1)
 SEED_SQL = NET + f""", se as (select e.* exclude (p_meta), seed, p_meta + seed * 0.137e0 - floor(p_meta + seed * 0.137e0) as p from e, (values {", ".join(f"({x})" for x in SEEDS)}) t(seed) where fold between 2 and 5),
   hx as (select seed, k as fold, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) as x, cast(win as double) as y, uniqueness as w from range(3, 6) f(k) join se on se.fold between 2 and k - 1)""" + newton("hx", ["seed", "fold"], 2) + """,
