@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import HOUR
+from tidewater.operators import audits as A
 from tidewater.operators import cycle as C
 from tidewater.operators import evaluation as E
 from tidewater.operators import fracdiff as D
@@ -21,7 +22,7 @@ from tidewater.operators.microstructure import volume_buckets
 from tidewater.operators import search as H
 from tidewater.operators import selection as P0
 from tidewater.operators.fits import grouped_logistic, past_maps
-from tidewater.operators.series import islands, quantiles, value_bucket, value_ordinal
+from tidewater.operators.series import islands, quantiles, rolling, value_bucket, value_ordinal
 from tidewater.sources import sinks as S
 from tidewater.streaming import jobs as J
 from tidewater.streaming import volume_clock as K
@@ -256,7 +257,7 @@ def test_crowded_scores_are_cut_by_the_data(spark):
 def test_test_folds_take_no_part_in_selection(spark):
     e = planted(spark)
     flip = lambda k: e.withColumns({"win": F.when(F.col("fold") >= k, 1 - F.col("win")).otherwise(F.col("win")), "p_meta": F.when(F.col("fold") >= k, 0.5).otherwise(F.col("p_meta"))})
-    chosen = lambda df, folds: sorted(tuple(r) for r in P0.select_features(df, ["p_meta", "p_primary"], "win", "uniqueness", folds, 2 * HOUR).collect())
+    chosen = lambda df, folds: sorted((r.feature, round(r.mean_importance, 9), r.kept) for r in P0.select_features(df, ["p_meta", "p_primary"], "win", "uniqueness", folds, 2 * HOUR).collect())
     assert chosen(e, [2, 3, 4, 5]) == chosen(flip(5), [2, 3, 4, 5])
     assert chosen(e, [3]) == chosen(flip(3), [3]) != chosen(flip(2), [3])
     rows = P0.selection_rows(e, [2, 3, 4, 5], 2 * HOUR).collect()
@@ -448,3 +449,10 @@ def test_short_series_fall_back_to_plain_features(spark):
     assert 36 < len(D.weights(0.45, 1e-3)) < 60  # with 24 rows of deviation more than the short series has
     assert got.groupby("symbol").feature_mode.unique().map(list).to_dict() == {"long": ["fractional_diff"], "short": ["legacy"]}
     assert not got.isna().any().any()
+
+
+def test_features_that_look_ahead_are_told(spark):
+    bars = spark.createDataFrame([("s", i, float(i * i % 7)) for i in range(20)], "symbol string, open_us long, close double")
+    lag = lambda b: rolling(b, ["symbol"], ["open_us"], 2, lambda w: {"x": F.lag("close").over(w)})
+    lead = lambda b: rolling(b, ["symbol"], ["open_us"], 0, lambda w: {"x": F.lead("close").over(w)}, ahead=1)
+    assert tuple(A.prefix_differences(bars, lag, 9).first()) == (10, 0) and tuple(A.prefix_differences(bars, lead, 9).first()) == (10, 1)

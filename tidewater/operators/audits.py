@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,3 +174,13 @@ def cadence(df: DataFrame, lagged: str) -> DataFrame:
     """Most frequent distance between following rows of a symbol, the smaller one on ties."""
     each = df.where(F.col(lagged).isNotNull()).groupBy("symbol", lagged).agg(F.count(F.lit(1)).alias("_n"))
     return each.groupBy("symbol").agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col(lagged).alias("v"))).alias("x")).select("symbol", F.col("x.v").alias("cadence"))
+
+
+def prefix_differences(bars: DataFrame, make: Callable[[DataFrame], DataFrame], cut: int, keys: Sequence[str] = ("symbol", "open_us")) -> DataFrame:
+    """(rows, differing): rows up to a time whose features change when all later rows are taken away. Features that look ahead differ."""
+    keys = list(keys)
+    whole, alone = make(bars).where(F.col(keys[-1]) <= cut), make(bars.where(F.col(keys[-1]) <= cut))
+    made = [c for c in whole.columns if c not in keys]
+    pack = lambda df, name: df.select(*keys, F.struct(*(F.round(c, 9).alias(c) if dict(df.dtypes)[c] == "double" else c for c in made)).alias(name))
+    both = pack(whole, "_whole").join(pack(alone, "_alone"), keys, "full")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("_whole").eqNullSafe(F.col("_alone"))).alias("differing"))
