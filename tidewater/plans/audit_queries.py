@@ -418,7 +418,7 @@ add(
       z as (select symbol, count(*) as rows, count(*) filter (where ok and pv <> g) as switches, avg(ok::int) as ok_rate, """ + ", ".join(f"count(*) filter (where ok and g = '{n}') / count(*) filter (where ok) as {n}_share, avg(fwd) filter (where ok and g = '{n}') as {n}_fwd" for n in ("bear", "neutral", "bull"))
       + ", avg((fwd < 0)::int) filter (where ok and g = 'bear') as bear_hits, avg((fwd > 0)::int) filter (where ok and g = 'bull') as bull_hits from y group by 1), q as (select *, bull_fwd - bear_fwd as spread from z) select symbol, rows, switches, " + ", ".join(f"round({c}, 6) + 0e0 as {c}" for c in SUMS) + " from q"),
 )
-CAUSAL = {"base": X.base_features, "rolling": X.rolling_statistics, "trends": X.trends, "distances": X.distances, "deviation": lambda b: X.ewm_std(X.base_features(b).drop("pos"), "log_return", 6), "momentum": X.momentum, "ages": X.regime_ages}
+CAUSAL = {"base": X.base_features, "rolling": X.rolling_statistics, "trends": X.trends, "distances": X.distances, "deviation": lambda b: X.ewm_std(X.base_features(b).drop("pos"), "log_return", 6), "ages": X.regime_ages}
 
 
 def look_ahead(s, d):
