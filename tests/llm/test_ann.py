@@ -63,3 +63,29 @@ def test_rows_of_one_id_are_one_vector(spark):
     rows = [(0, [1.0, 0.0], 0), (20, [0.0, 1.0], 0), (20, [0.0, 1.0], 0), (21, [1.0, 1.0], 0)]
     got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {(0, 1): 21, (0, 2): 20, (20, 1): 21, (20, 2): 0}
+
+
+def test_second_level_leaves_less_and_follows_the_codes():
+    x = np.random.default_rng(4).normal(size=(1500, 14))
+    index = ann.build(x, 20)
+    first, second = index.levels
+    rest = first.rest(x, first.assign(x))
+    left = second.rest(rest, second.assign(rest, x))
+    assert (left**2).sum() < 0.3 * (rest**2).sum() < 0.3 * (x**2).sum()
+    about = index.scan(np.ascontiguousarray(index.codes(x).T), x[3])
+    assert np.abs(about - (x - left) @ x[3]).max() < 1e-3
+    assert index.codes(x).shape == (1500, 2 * 4)  # two levels of seven pairs, four bits each, padded to a whole byte
+
+
+def test_crowded_blocks_are_scored_exactly(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[100:400] = x[100] + rng.normal(size=(300, 8)).astype(np.float32) * 1e-4  # almost equal, none a copy
+    df = spark.createDataFrame(rows_of(x), "vec_id long, embedding array<float>, score int")
+    want = brute(rows_of(x), 20, 20)
+    for most in (1, 1024):
+        by = {}
+        for r in sorted(ann.nearest(df, block_rows=150, block_queries=7, most=most).collect(), key=lambda r: (r.query_id, r.rank)):
+            by.setdefault(r.query_id, []).append(r.vec_id)
+        hits = sum(len(set(by[q]) & set(w)) for q, w in want.items())
+        assert by.keys() == want.keys() and hits >= (1.0 if most == 1 else 0.9) * 20 * len(want)

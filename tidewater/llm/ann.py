@@ -3,18 +3,22 @@
 Every vector is cut into pairs of dimensions; each pair gets one of 16 code words, so a code takes
 four bits. Code words and assignments minimise ||r||^2 + (eta - 1) (x.r)^2 / ||x||^2 over the
 residual r: error along the vector itself, which is what changes large inner products, counts eta
-times. Search adds up table entries: a query has one table of 16 inner products per pair, two of
-which make a table of 256 for one code byte. Every vector of a block whose approximate score comes
-within a calibrated slack of the block's k-th best is scored exactly on the original vectors; there
-is no cap on how many these are, so clusters of almost equal vectors are ranked exactly.
+times. A second level of code words does the same for what the first leaves. Search adds up table
+entries: a query has one table of 16 inner products per pair, two of which make a table of 256 for
+one code byte.
 
 The index is fitted on a bounded sample (MAX_SAMPLE vectors by the hash of their id) and covers
-every row. Rows and queries are dealt into blocks of bounded size, and each pair of blocks is one
-group of work with at most k results per query.
+every row. Rows and queries are dealt into blocks of bounded size; only codes are copied to the
+blocks of queries. A block names the rows whose approximate score comes within a slack of its k-th
+best, then the k-th best of all blocks decides, and vectors are joined to those that are left. The
+slack is calibrated on the sample: how far true nearest vectors fall behind the k-th approximate
+score. Where more than MOST rows of a block come that near to a query, as in clusters of almost equal
+vectors, that query and that block are scored exactly on the vectors instead, so nothing is cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,18 +31,21 @@ from tidewater.llm.tables import materialise
 
 MAX_SAMPLE, ROUNDS, WORDS, PAIR = 8192, 8, 16, 2
 THRESHOLD = 0.3  # inner products, as a share of the norm, from which accuracy matters
-SLACK_QUANTILE = 0.998
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 2048
+SLACK_QUANTILE, LEVELS = 0.998, 2
+BLOCK_ROWS, BLOCK_QUERIES = 32768, 2048
+MOST = 1024  # rows of a block near one query, beyond which the block is scored exactly
 
 
 @dataclass
 class Quantiser:
-    """Code words (pairs x 16 x 2), the weight eta of parallel error, and the score slack."""
+    """Code words of one level (pairs x 16 x 2) and the weight eta of parallel error.
+
+    `goal` is what the words stand for, `x` the vectors whose direction counts: the same on the first level.
+    """
 
     words: np.ndarray
     dim: int
     eta: float
-    slack: float = 0.0
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """n x pairs x 2, padded with zeros."""
@@ -46,13 +53,13 @@ class Quantiser:
         full[:, : x.shape[1]] = x
         return full.reshape(len(x), -1, PAIR)
 
-    def assign(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
+    def assign(self, goal: np.ndarray, x: np.ndarray | None = None, sweeps: int = 2) -> np.ndarray:
         """Code of each pair, by coordinate descent on the anisotropic loss."""
-        parts = self.split(x)
-        weight = (self.eta - 1) / np.maximum((parts**2).sum((1, 2)), 1e-300)
+        parts, toward = self.split(goal), self.split(goal if x is None else x)
+        weight = (self.eta - 1) / np.maximum((toward**2).sum((1, 2)), 1e-300)
         codes = np.zeros(parts.shape[:2], np.uint8)
         along = np.zeros(parts.shape[:2])  # x_m . r_m of the chosen word
-        options = [self._options(parts, m) for m in range(parts.shape[1])]
+        options = [self._options(parts, toward, m) for m in range(parts.shape[1])]
         for m, (error, dot) in enumerate(options):
             codes[:, m] = error.argmin(1)
             along[:, m] = np.take_along_axis(dot, codes[:, m : m + 1].astype(int), 1)[:, 0]
@@ -66,30 +73,33 @@ class Quantiser:
                 total = others + along[:, m]
         return codes
 
-    def _options(self, parts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    def _options(self, parts: np.ndarray, toward: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         r = parts[:, m, None, :] - self.words[m]
-        return (r**2).sum(2), (r * parts[:, m, None, :]).sum(2)
+        return (r**2).sum(2), (r * toward[:, m, None, :]).sum(2)
 
-    def refine(self, x: np.ndarray, codes: np.ndarray) -> None:
+    def refine(self, goal: np.ndarray, codes: np.ndarray, x: np.ndarray | None = None) -> None:
         """Weighted least squares for the words of each pair, the other pairs held fixed."""
-        parts = self.split(x)
-        weight = (self.eta - 1) / np.maximum((parts**2).sum((1, 2)), 1e-300)
+        parts, toward = self.split(goal), self.split(goal if x is None else x)
+        weight = (self.eta - 1) / np.maximum((toward**2).sum((1, 2)), 1e-300)
         pair = np.arange(parts.shape[1])
-        residual = parts - self.words[pair, codes]
-        along = (parts * residual).sum(2)
+        along = (toward * (parts - self.words[pair, codes])).sum(2)
         total = along.sum(1)
         for m in pair:
-            p = parts[:, m]
-            goal = total - along[:, m] + (p * p).sum(1)
-            left = np.eye(PAIR) + weight[:, None, None] * p[:, :, None] * p[:, None, :]
-            right = p + (weight * goal)[:, None] * p
+            p, t = parts[:, m], toward[:, m]
+            wanted = total - along[:, m] + (t * p).sum(1)
+            left = np.eye(PAIR) + weight[:, None, None] * t[:, :, None] * t[:, None, :]
+            right = p + (weight * wanted)[:, None] * t
             for k in range(WORDS):
                 own = codes[:, m] == k
                 if own.sum() >= PAIR:
                     self.words[m, k] = np.linalg.solve(left[own].sum(0), right[own].sum(0))
-            along[:, m] = (p * (p - self.words[m, codes[:, m]])).sum(1)
+            along[:, m] = (t * (p - self.words[m, codes[:, m]])).sum(1)
             total = along.sum(1)
 
+    def rest(self, goal: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the words of `codes` leave of `goal`."""
+        return goal - self.words[np.arange(len(self.words)), codes].reshape(len(goal), -1)[:, : self.dim]
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return (codes[:, ::2] << 4) | codes[:, 1::2]
 
@@ -107,7 +117,30 @@ class Quantiser:
         return total
 
 
-def fit(x: np.ndarray, seed: int = 3) -> Quantiser:
+@dataclass
+class Index:
+    """Levels of code words, each for what the levels before it leave, and the slack of approximate scores."""
+
+    levels: list[Quantiser]
+    slack: float = 0.0
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """n x bytes, level after level."""
+        goal, out = x, []
+        for q in self.levels:
+            c = q.assign(goal, x)
+            out.append(q.pack(c))
+            goal = q.rest(goal, c)
+        return np.concatenate(out, 1)
+
+    def scan(self, packed: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Approximate scores; `packed` has one row per code byte."""
+        each = np.split(packed, len(self.levels))
+        return sum(q.scan(p, query) for q, p in zip(self.levels, each, strict=True))
+
+
+def fit(x: np.ndarray, seed: int = 3, toward: np.ndarray | None = None) -> Quantiser:
+    """One level for `x`, where error along `toward` (x itself, if not given) counts more."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
     pairs = -(-dim // (2 * PAIR)) * 2
@@ -116,17 +149,29 @@ def fit(x: np.ndarray, seed: int = 3) -> Quantiser:
     start = q.split(x[rng.choice(len(x), WORDS, replace=len(x) < WORDS)])
     q.words = start.transpose(1, 0, 2) + rng.normal(0, 1e-6, q.words.shape)
     for _ in range(ROUNDS):
-        q.refine(x, q.assign(x))
-    packed = q.pack(q.assign(x)).T
-    errors = []
-    for i in rng.choice(len(x), min(256, len(x)), replace=False):
-        exact = x @ x[i]
-        top = np.argsort(-exact)[: max(32, len(x) // 64)]
-        errors.append(np.abs(exact[top] - q.scan(packed, x[i])[top]))
-    q.slack = 2 * float(np.quantile(np.concatenate(errors), SLACK_QUANTILE))
+        q.refine(x, q.assign(x, toward), toward)
     return q
 
 
+def build(x: np.ndarray, k: int, seed: int = 3) -> Index:
+    """Levels and slack from a sample; its own near vectors show how far behind the k-th a true one may fall."""
+    index, goal = Index([]), x
+    for _ in range(LEVELS):
+        q = fit(goal, seed, x)
+        index.levels.append(q)
+        goal = q.rest(goal, q.assign(goal, x))
+    packed = np.ascontiguousarray(index.codes(x).T)
+    rng, behind, errors = np.random.default_rng(seed), [], []
+    for i in rng.choice(len(x), min(256, len(x)), replace=False):
+        exact, about = x @ x[i], index.scan(packed, x[i])
+        top = np.argsort(-exact)[:k]
+        errors.append(exact[top] - about[top])
+        behind.append(np.sort(about)[-len(top)] - about[top])
+    # more rows than the sample has push the k-th approximate score up by about one error
+    index.slack = max(0.0, float(np.quantile(np.concatenate(behind), SLACK_QUANTILE))) + float(np.std(np.concatenate(errors)))
+    return index
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """Distinct ids with finite, non-zero vectors of the most frequent length, and that length."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(
@@ -140,44 +185,62 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
     return v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), dim
 
 
-def _encoder(q: Quantiser):
+def _encoder(index: Index):
     def run(batches):
         for batch in batches:
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            codes = [c.tobytes() for c in q.pack(q.assign(x))] if len(x) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], names=["vec_id", "v", "code"])
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else None
+            codes = [c.tobytes() for c in index.codes(x)] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["vec_id", "code"])
 
     return run
 
 
-def _searcher(q: Quantiser, k: int):
+def _table(rows: list[tuple], names: Sequence[str], kinds: Sequence[pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _scanner(index: Index, k: int, most: int):
+    """Rows of a block near each query by their codes; a row without vec_id where they are more than `most`."""
+
+    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        if rows.num_rows and queries.num_rows:
+            ids = rows.column("vec_id").to_numpy()
+            packed = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T)
+            for query_id, v in zip(queries.column("vec_id").to_numpy(), queries.column("v").to_numpy(), strict=True):
+                about = index.scan(packed, np.asarray(v, np.float64))
+                about[ids == query_id] = -np.inf
+                floor = np.partition(about, -k)[-k] if len(about) > k else -np.inf
+                near = np.flatnonzero((about >= floor - index.slack) & (ids != query_id))
+                if len(near) > most:
+                    found.append((np.full(1, query_id), np.full(1, -1), np.full(1, floor, np.float32), np.ones(1, bool)))
+                else:
+                    found.append((np.full(len(near), query_id), ids[near], about[near], np.zeros(len(near), bool)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [[], [], [], []]
+        block = pa.array([key[0].as_py()] * len(columns[0]), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.float32(), pa.bool_())
+        names = ["i", "query_id", "vec_id", "about", "crowded"]
+        return pa.table([block, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+
+    return run
+
+
+def _searcher(k: int):
+    """The k best rows of a block for each query, on the vectors themselves."""
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        ids = rows.column("vec_id").to_numpy()
         found: list[tuple[int, int, float]] = []
-        if len(ids) and queries.num_rows:
-            order = np.argsort(ids)
-            ids = ids[order]
-            x = np.stack(rows.column("v").to_numpy())[order].astype(np.float64)
-            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            # of equal vectors only the k + 1 smallest ids can be among k nearest
-            _, name = np.unique(x, axis=0, return_inverse=True)
-            by = np.argsort(name, kind="stable")
-            sizes = np.bincount(name)
-            nth = np.empty(len(ids), np.int64)
-            nth[by] = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = nth <= k
-            ids, x, packed = ids[keep], x[keep], np.ascontiguousarray(code[keep].T)
-            for query_id, v in zip(queries.column("vec_id").to_pylist(), queries.column("v").to_numpy(), strict=True):
-                v = np.asarray(v, np.float64)
-                about = q.scan(packed, v)
-                floor = np.partition(about, -k - 1)[-k - 1] if len(about) > k else -np.inf
-                near = np.flatnonzero((about >= floor - q.slack) & (ids != query_id))
-                score = (x[near] * v).sum(1)
-                best = np.lexsort((ids[near], -score))[:k]
-                found += zip([query_id] * len(best), ids[near][best].tolist(), score[best].tolist(), strict=True)
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
+        if rows.num_rows and queries.num_rows:
+            ids, x = rows.column("vec_id").to_numpy(), np.stack(rows.column("v").to_numpy()).astype(np.float64)
+            for query_id, v in zip(queries.column("query_id").to_pylist(), queries.column("q").to_numpy(), strict=True):
+                score = (x * np.asarray(v, np.float64)).sum(1)
+                score[ids == query_id] = -np.inf
+                floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+                near = np.flatnonzero((score >= floor) & (ids != query_id))
+                best = near[np.lexsort((ids[near], -score[near]))[:k]]
+                found += [(query_id, i) for i in ids[best].tolist()]
+        return _table(found, ["query_id", "vec_id"], (pa.int64(), pa.int64()))
 
     return run
 
@@ -190,6 +253,7 @@ def nearest(
     vector_col: str = "embedding",
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
+    most: int = MOST,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
@@ -205,21 +269,32 @@ def nearest(
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).select("v").toPandas()["v"]
-    q = fit(np.stack(drawn.to_numpy()).astype(np.float64))
-    kind = dict(rows.dtypes)["v"]
-    index = rows.mapInArrow(_encoder(q), f"vec_id long, v {kind}, code binary")
+    index = build(np.stack(drawn.to_numpy()).astype(np.float64), k)
     asked = rows.where(F.col("vec_id") % every == 0)
     row_blocks, query_blocks = -(-n // block_rows), -(-max(asked.count(), 1) // block_queries)
+    # of equal vectors only the k + 1 smallest ids can be among k nearest
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     spot = F.xxhash64("vec_id")
-    index = index.select(
-        "vec_id", "v", "code", F.pmod(spot, F.lit(row_blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j")
-    )
-    asked = asked.select(
-        "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("i"), F.pmod(spot, F.lit(query_blocks)).cast("int").alias("j")
-    )
-    pairs = index.groupBy("i", "j").cogroup(asked.groupBy("i", "j"))
-    found = pairs.applyInArrow(_searcher(q, k), "query_id long, vec_id long, score double")
+    block = F.pmod(spot, F.lit(row_blocks).cast("long"))
+    first = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "v")
+    held = materialise(first, "candidates")
+    codes = held.mapInArrow(_encoder(index), "vec_id long, code binary").select("vec_id", "code", block.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j"))
+    to = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("i"), F.pmod(spot, F.lit(query_blocks)).cast("int").alias("j"))
+    pairs = codes.groupBy("i", "j").cogroup(to.groupBy("i", "j"))
+    found = materialise(pairs.applyInArrow(_scanner(index, k, most), "i long, query_id long, vec_id long, about float, crowded boolean"), "near")
+
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    crowded = found.where("crowded").select("query_id", "i")
+    parts = crowded.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("parts"))
+    dealt = crowded.join(parts, "i").join(queries, "query_id").select("query_id", "q", "i", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("j"))
+    whole = held.withColumn("i", block).join(parts, "i").select("vec_id", "v", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    exact = whole.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(_searcher(k), "query_id long, vec_id long")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+    kth = found.where("not crowded").withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("query_id", F.col("about").alias("kth"))
+    near = found.where("not crowded").join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("about") >= F.col("kth") - float(index.slack)))
+    near = near.select("query_id", "vec_id").unionByName(exact)
+    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    met = near.join(held, "vec_id").join(queries, "query_id").select("query_id", "vec_id", score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
