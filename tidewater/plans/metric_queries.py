@@ -8,7 +8,7 @@ from tidewater.functions.columns import rounded as r
 from tidewater.operators import metrics as M
 from tidewater.operators.features import base_features
 from tidewater.operators.series import rolling
-from tidewater.plans.sqlviews import over
+from tidewater.plans.sqlviews import over, tails
 from tidewater.sources import views as V
 
 Q, O = {}, {}
@@ -166,7 +166,12 @@ add(
 )
 SEEDS = 10_000
 add("placebo_draws", lambda s, d: M.placebo(ev(s, d), ["fold"], sizes(ev(s, d)), SEEDS).select("seed", *big("fold"), "n", *rr("sum_net", "sum_hold")))
-add("coefficient_p_values", lambda s, d: M.correlation_p_values(ic(s, d)).select("feature", "label", *rr("p_pearson", "p_spearman")))
+add(
+    "coefficient_p_values",
+    lambda s, d: M.correlation_p_values(ic(s, d)).select("feature", "label", *rr("p_pearson", "p_spearman")),
+    over("bars", IC + ", c as (select feature, label, what, n - 2 as free, 1 as k, v * v as u from (select feature, label, n, unnest(['p', 's']) as what, unnest([pearson, spearman]) as v from i) where v is not null and n >= 3)" + tails("c", "feature, label, what") + """
+      select feature, label, round(max(p) filter (where what = 'p'), 6) + 0e0 as p_pearson, round(max(p) filter (where what = 's'), 6) + 0e0 as p_spearman from i left join tl using (feature, label) group by 1, 2"""),
+)
 add(
     "vertical_rates",
     lambda s, d: M.threshold_statistics(ev(s, d), "p_primary", TAUS, vertical=F.col("event_id") % 92 > 80).select(*big("fold", "n"), *rr("threshold", "vertical_rate")),

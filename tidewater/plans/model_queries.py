@@ -22,7 +22,7 @@ from tidewater.operators.labels import quarantine_violations
 from tidewater.plans.evaluation_queries import newton
 from tidewater.plans.metric_queries import NET
 from tidewater.plans.micro_queries import BOOK
-from tidewater.plans.sqlviews import over
+from tidewater.plans.sqlviews import over, tails
 from tidewater.sources import archives as A
 from tidewater.sources import views as V
 from tidewater.sources.store import materialise
@@ -50,8 +50,27 @@ add(
       s as (select a.symbol, a.open_us, sum(w * b.x) as fd from x a join w on true join x b on a.symbol = b.symbol and b.k = a.k - w.i group by 1, 2 having count(*) = {len(W)})
       select x.symbol, x.open_us, round(fd, 6) + 0e0 as fd from x left join s using (symbol, open_us)"""),
 )
-add("fractional_features", lambda s, d: D.fractional_features(V.bars(s, d)).select("symbol", "open_us", *rr("fd_close", "fd_volume", "fd_range", "fd_return", "fd_vol", "fd_trend")))
-add("regime_features", lambda s, d: D.regime_features(V.bars(s, d)).select("symbol", "open_us", *rr(*D.REGIME_COLUMNS), "feature_mode"))
+FD_SQL = """, x as (select *, ln(greatest(close, 1e-12)) as c, ln(greatest(volume, 1e-12)) as v, row_number() over (partition by symbol order by open_us) as k from bars), w as (select * from (values """ + ", ".join(f"({i}, {float(v)!r}e0)" if "e" not in repr(float(v)) else f"({i}, {float(v)!r})" for i, v in enumerate(D.weights(0.45, 1e-3))) + f""") t(i, w)),
+  s as (select a.symbol, a.open_us, sum(w * b.c) as fc, sum(w * b.v) as fv from x a join w on true join x b on a.symbol = b.symbol and b.k = a.k - w.i group by 1, 2 having count(*) = {len(D.weights(0.45, 1e-3))}),
+  g as (select symbol, open_us, fc, fv, ln(greatest(high, 1e-12)) - ln(greatest(low, 1e-12)) as fr, fc - lag(fc) over (partition by symbol order by open_us) as ret from x left join s using (symbol, open_us)),
+  ff as (select *, case when count(ret) over f = 24 then stddev_samp(ret) over f end as vol, case when count(ret) over h >= 3 then avg(ret) over h end as trend
+    from g window f as (partition by symbol order by open_us rows 23 preceding), h as (partition by symbol order by open_us rows 7 preceding))"""
+LEGACY_SQL = """, l as (select symbol, open_us, ln(greatest(close, 1e-12)) - lag(ln(greatest(close, 1e-12))) over w as ret, ln(greatest(high, 1e-12)) - ln(greatest(low, 1e-12)) as rg, ln(greatest(volume, 1e-12)) - lag(ln(greatest(volume, 1e-12))) over w as dv from bars window w as (partition by symbol order by open_us)),
+  ll as (select *, case when count(ret) over a = 24 then stddev_samp(ret) over a end as d24, case when count(ret) over b = 8 then avg(ret) over b end as t8
+    from l window a as (partition by symbol order by open_us rows 23 preceding), b as (partition by symbol order by open_us rows 7 preceding))"""
+add(
+    "fractional_features",
+    lambda s, d: D.fractional_features(V.bars(s, d)).select("symbol", "open_us", *rr("fd_close", "fd_volume", "fd_range", "fd_return", "fd_vol", "fd_trend")),
+    over("bars", FD_SQL + """ select symbol, open_us, round(fc, 6) + 0e0 as fd_close, round(fv, 6) + 0e0 as fd_volume, round(fr, 6) + 0e0 as fd_range, round(ret, 6) + 0e0 as fd_return, round(vol, 6) + 0e0 as fd_vol, round(trend, 6) + 0e0 as fd_trend from ff"""),
+)
+add(
+    "regime_features",
+    lambda s, d: D.regime_features(V.bars(s, d)).select("symbol", "open_us", *rr(*D.REGIME_COLUMNS), "feature_mode"),
+    over("bars", FD_SQL + LEGACY_SQL + """, ok as (select * from ff where ret + vol + fr + fv + trend is not null),
+      un as (select symbol, open_us, ret, vol, fr, fv, trend, 'fractional_diff' as feature_mode from ok
+        union all select symbol, open_us, ret, d24, rg, dv, t8, 'legacy' from ll where ret + d24 + rg + dv + t8 is not null and symbol not in (select symbol from ok))
+      select symbol, open_us, round(ret, 6) + 0e0 as fd_return, round(vol, 6) + 0e0 as fd_volatility, round(fr, 6) + 0e0 as fd_log_range, round(fv, 6) + 0e0 as fd_log_volume, round(trend, 6) + 0e0 as fd_trend, feature_mode from un"""),
+)
 add("fractional_order_selection", lambda s, d: T.order_selection(V.bars(s, d).withColumn("x", F.ln("close")), "x", threshold=1e-2).select("symbol", "selected_d", *rr("p_value", "correlation"), "reason"))
 
 
@@ -134,9 +153,46 @@ def stop_ticks(s, d):
 
 
 add("stop_management", lambda s, d: S.manage_stops(stop_ticks(s, d)).select("position_id", F.unix_micros("ts").alias("us"), "event", *rr("price", "stop")))
-add("screener_indicators", lambda s, d: I.indicators(V.bars(s, d)).select("symbol", "open_us", *rr(*I.NAMES)))
-add("screener_top", lambda s, d: I.screened(V.bars(s, d), 3, 100).select("symbol", "bars", *rr("relative_volume", "rsi14")))
-add("granger_volume_to_return", lambda s, d: I.granger(base_features(V.bars(s, d)).drop("pos"), "volume_change", "log_return").select("symbol", "lag", "n", *rr("f", "p_value")))
+# an exponential mean in closed form: faded seed and faded sum of what follows
+SCREEN_SQL = """, t as (select *, row_number() over w - 1 as k, coalesce(lag(close) over w, close) as c1, coalesce(lag(high) over w, high) as h1, coalesce(lag(low) over w, low) as l1 from src window w as (partition by symbol order by open_us)),
+  mv as (select symbol, open_us, k, close, volume, greatest(high - low, abs(high - c1), abs(low - c1)) as tr, close - c1 as move, high - h1 as up, l1 - low as down from t),
+  ser as (select symbol, k, name, x, n, a from (select symbol, k, unnest(['ema50', 'ema200', 'gain', 'loss', 'tr', 'plus', 'minus']) as name,
+      unnest([close, close, greatest(move, 0), greatest(-move, 0), tr, case when up > down and up > 0 then up else 0 end, case when down > up and down > 0 then down else 0 end]) as x from mv)
+    join (values ('ema50', 50, 2 / 51e0), ('ema200', 200, 2 / 201e0), ('gain', 14, 1 / 14e0), ('loss', 14, 1 / 14e0), ('tr', 14, 1 / 14e0), ('plus', 14, 1 / 14e0), ('minus', 14, 1 / 14e0)) p(name, n, a) using (name)),
+  sm as (select symbol, k, name, case when k >= n - 1 then pow(1 - a, k - n + 1) * (sum(case when k < n then x end) over (partition by symbol, name)) / n + a * sum(case when k >= n then x * pow(1 - a, -k) else 0 end) over (partition by symbol, name order by k) * pow(1 - a, k) end as v from ser),
+  wide as (select symbol, k, max(v) filter (where name = 'ema50') as ema50, max(v) filter (where name = 'ema200') as ema200, max(v) filter (where name = 'gain') as g, max(v) filter (where name = 'loss') as l, max(v) filter (where name = 'tr') as atr, max(v) filter (where name = 'plus') as p, max(v) filter (where name = 'minus') as m from sm group by 1, 2),
+  dx as (select symbol, k - 13 as k, case when p + m > 0 then 100 * abs(p - m) / (p + m) else 0 end as x from wide where atr is not null),
+  ax as (select symbol, k + 13 as k, case when k >= 13 then pow(13 / 14e0, k - 13) * (sum(case when k < 14 then x end) over (partition by symbol)) / 14 + sum(case when k >= 14 then x * pow(13 / 14e0, -k) else 0 end) over (partition by symbol order by k) * pow(13 / 14e0, k) / 14 end as adx from dx),
+  vol as (select symbol, open_us, k, volume / case when k >= 19 then avg(volume) over (partition by symbol order by k rows 19 preceding) end as rv from mv),
+  ind as (select symbol, open_us, k, ema50, ema200, case when g is null then null when g + l > 0 then 100 * g / (g + l) else 50 end as rsi, adx, atr, rv from vol join wide using (symbol, k) left join ax using (symbol, k))"""
+add(
+    "screener_indicators",
+    lambda s, d: I.indicators(V.bars(s, d)).select("symbol", "open_us", *rr(*I.NAMES)),
+    over("bars", ", src as (select * from bars)" + SCREEN_SQL + " select symbol, open_us, round(ema50, 6) + 0e0 as ema50, round(ema200, 6) + 0e0 as ema200, round(rsi, 6) + 0e0 as rsi14, round(adx, 6) + 0e0 as adx14, round(atr, 6) + 0e0 as atr14, round(rv, 6) + 0e0 as relative_volume from ind"),
+)
+add(
+    "screener_top",
+    lambda s, d: I.screened(V.bars(s, d), 3, 100).select("symbol", "bars", *rr("relative_volume", "rsi14")),
+    over("bars", ", src as (select * from bars where open_us < (select max(o.open_us) from bars o where o.symbol = bars.symbol))" + SCREEN_SQL + """, z as (select symbol, count(*) as bars, coalesce(max_by(rv, k), 0) as rv, coalesce(max_by(rsi, k), 50) as rsi from ind group by 1)
+      select symbol, bars, round(rv, 6) + 0e0 as relative_volume, round(rsi, 6) + 0e0 as rsi14 from z where bars >= 100 order by rv desc, symbol limit 3"""),
+)
+# residuals by elimination in the order constant, own lags, other's lags: after own lags the short model's, at the end the full one's
+GRANGER_SQL = """, f as (select symbol, open_us, ln(close / lag(close) over w) as y, case when volume > 0 and lag(volume) over w > 0 then ln(volume / lag(volume) over w) end as x from bars window w as (partition by symbol order by open_us)),
+  l as (select symbol, open_us, [1e0, """ + ", ".join(f"lag({c}, {k}) over w" for c in "yx" for k in range(1, 7)) + """, y] as z from f window w as (partition by symbol order by open_us)),
+  h as (select symbol, open_us, unnest(range(0, 14)) as i, unnest(z) as v from l where list_aggregate(z, 'count') = 14),
+  mo as (select a.symbol, a.i as a, b.i as b, sum(a.v * b.v) as v, count(*) as n from h a join h b on a.symbol = b.symbol and a.open_us = b.open_us group by 1, 2, 3),
+  pl as (select k, i, case when i = 0 then 0 when i = 13 then 2 * k + 1 when i <= 6 then i else k + i - 6 end as q from range(1, 7) kk(k), range(0, 14) ii(i) where i in (0, 13) or i between 1 and k or i between 7 and 6 + k),
+  el(p, symbol, k, i, j, v) as (select 0::bigint, symbol, pa.k, pa.q, pb.q, v from mo join pl pa on pa.i = a join pl pb on pb.i = b and pb.k = pa.k
+    union all select e.p + 1, e.symbol, e.k, e.i, e.j, e.v - r.v * c.v / d.v from el e join el r on r.symbol = e.symbol and r.k = e.k and r.i = e.i and r.j = e.p
+      join el c on c.symbol = e.symbol and c.k = e.k and c.i = e.p and c.j = e.j join el d on d.symbol = e.symbol and d.k = e.k and d.i = e.p and d.j = e.p where e.i > e.p and e.j > e.p),
+  rs as (select symbol, k, max(v) filter (where p = k + 1) as short, max(v) filter (where p = 2 * k + 1) as rest from el where i = 2 * k + 1 and j = i group by 1, 2),
+  st as (select symbol, k, m.n, m.n - 2 * k - 1 as free, greatest(short, 0) as short, greatest(rest, 0) as rest from rs join (select symbol, n from mo where a = 0 and b = 0) m using (symbol)),
+  fs as (select *, (short - rest) / k / (rest / free) as f from st where free > 0 and rest > 0), src as (select symbol, k, free, n, f, k * greatest(f, 0) / (free + k * greatest(f, 0)) as u from fs)"""
+add(
+    "granger_volume_to_return",
+    lambda s, d: I.granger(base_features(V.bars(s, d)).drop("pos"), "volume_change", "log_return").select("symbol", "lag", "n", *rr("f", "p_value")),
+    over("bars", GRANGER_SQL + tails("src", "symbol, k, free") + " select symbol, cast(k as int) as lag, n, round(f, 6) + 0e0 as f, round(p, 6) + 0e0 as p_value from src join tl using (symbol, k)").replace("with ", "with recursive ", 1),
+)
 
 
 def levels(s, d):

@@ -36,3 +36,14 @@ def over(views: str, sql: str) -> str:
     """`sql` after a WITH list of the named views; further CTEs in `sql` start with a comma."""
     head = "with " + ", ".join(VIEWS[v] for v in views.split())
     return f"{head} {sql}" if views else sql
+
+
+def tails(source: str, keys: str, name: str = "tl") -> str:
+    """A further CTE `name` (keys, p): two-sided chances of F statistics of `source`.
+
+    `source` has the keys, `free` (degrees of freedom below), `k` (above) and `u`, the share k f / (free + k f). The chance is the
+    integral of cos(t)^(free - 1) sin(t)^(k - 1) from asin(sqrt(u)) on over that from 0 on, by Simpson's rule.
+    """
+    part = lambda lo: f"((pi() / 2 - {lo}) * sum(w * pow(cos({lo} + (pi() / 2 - {lo}) * i / 4000), free - 1) * pow(sin({lo} + (pi() / 2 - {lo}) * i / 4000), k - 1)))"
+    return f""", {name} as (select {keys}, {part("lo")} / {part("0")} as p
+      from (select *, asin(sqrt(least(1, u))) as lo from {source}), (select i, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end as w from range(0, 4001) q(i)) group by {keys}, lo)"""
