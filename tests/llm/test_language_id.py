@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from tidewater.llm import language_id as L
@@ -97,3 +99,12 @@ def test_pieces_cover_whole_texts_whatever_the_number_of_languages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learned = {r.lang for r in df.where(~L.held_out()).collect()}
     assert len(learned) > 290 and set(L.fit(df).languages) == learned
+
+
+def test_a_repeated_id_is_not_chosen_as_a_whole(spark):
+    kept = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(kept, f"word{i} other", "xx") for i in range(4000)] + [(kept, "same text here", "yy")] * 4000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = L.sample(df, 100).collect()
+    assert 0 < sum(r.lang == "xx" for r in got) < 1500  # of 8000 pieces, two a text
+    assert sum(r.lang == "yy" for r in got) <= len(L.pieces("same text here"))

@@ -144,13 +144,15 @@ def held_out(id_col: str = "doc_id"):
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, ids, n): subword counts of the pieces of about `per_language` whole documents of each language.
 
-    Documents are chosen by the hash of their id, with a share that makes the expected number
-    `per_language`, so the size of the result does not depend on the size of the corpus. The shares, one row a
-    language, are no more than the model's own columns, so they are broadcast.
+    Documents are chosen by the hash of their id and text, with a share that makes the expected number
+    `per_language`, so the size of the result does not depend on the size of the corpus: rows of one id are chosen
+    apart, and of equal rows one is read. The shares, one row a language, are no more than the model's own columns, so
+    they are broadcast.
     """
     known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
-    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    chosen = chosen.dropDuplicates(["doc_id", "lang", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
