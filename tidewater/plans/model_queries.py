@@ -152,7 +152,22 @@ def stop_ticks(s, d):
     return t.select("position_id", "ts", side.alias("side"), F.lit(104.0).alias("entry"), stop.alias("stop"), "price")
 
 
-add("stop_management", lambda s, d: S.manage_stops(stop_ticks(s, d)).select("position_id", F.unix_micros("ts").alias("us"), "event", *rr("price", "stop")))
+add(
+    "stop_management",
+    lambda s, d: S.manage_stops(stop_ticks(s, d)).select("position_id", F.unix_micros("ts").alias("us"), "event", *rr("price", "stop")),
+    over("trades", """, tk as (select symbol || ':' || cast(trade_id // 200 as varchar) as id, us, price, case when (trade_id // 200) % 2 = 0 then 1 else -1 end as side from trades),
+      nk as (select *, row_number() over (partition by id order by us) as k from tk),
+      st(id, us, k, side, risk, stop, target, trails, event, price) as (
+        select id, us, 0::bigint, side, abs(104e0 - case when side = 1 then 101e0 else 107e0 end), case when side = 1 then 101e0 else 107e0 end, 104e0 + 6e0 * side, false, '', price from nk where k = 1
+        union all select id, us, k, side, risk, case event when 'breakeven' then 104e0 when 'trail' then price - 1.5 * risk * side else stop end,
+          case when event = 'breakeven' then price + 3 * risk * side else target end, trails or event = 'breakeven', event, price
+        from (select o.id, n.us, n.k, o.side, o.risk, o.stop, o.target, o.trails, n.price, case
+            when (n.price - o.stop) * o.side <= 0 then case when o.trails then 'SL_trail' else 'SL' end
+            when (n.price - o.target) * o.side >= 0 then 'TP' when not o.trails and (n.price - 104) * o.side >= o.risk then 'breakeven'
+            when o.trails and (n.price - 1.5 * o.risk * o.side - o.stop) * o.side > 0 then 'trail' else '' end as event
+          from st o join nk n on n.id = o.id and n.k = o.k + 1 where o.event not in ('TP', 'SL', 'SL_trail')))
+      select id as position_id, us, event, round(price, 6) + 0e0 as price, round(stop, 6) + 0e0 as stop from st where event <> ''""").replace("with ", "with recursive ", 1),
+)
 # an exponential mean in closed form: faded seed and faded sum of what follows
 SCREEN_SQL = """, t as (select *, row_number() over w - 1 as k, coalesce(lag(close) over w, close) as c1, coalesce(lag(high) over w, high) as h1, coalesce(lag(low) over w, low) as l1 from src window w as (partition by symbol order by open_us)),
   mv as (select symbol, open_us, k, close, volume, greatest(high - low, abs(high - c1), abs(low - c1)) as tr, close - c1 as move, high - h1 as up, l1 - low as down from t),
