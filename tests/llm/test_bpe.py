@@ -59,3 +59,9 @@ def test_repeated_rows_null_ids_and_long_prose(spark):
     got = round_trip(df, PATH, P.PATTERN).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(LIB.encode_ordinary(t))) for i, t in ((1, "same"), (1, "same"), (None, "other"), (2, prose)))
     assert next(r for r in got if r.doc_id == 2).decoded_sha256 == hashlib.sha256(prose.encode()).hexdigest()
+
+
+def test_ids_of_another_type_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(Exception):  # noqa: B017
+        round_trip(df, PATH, P.PATTERN).collect()

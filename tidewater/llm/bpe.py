@@ -182,6 +182,7 @@ def round_trip(
 
     Null text counts as empty: 0 tokens and the digests of no bytes. Repeated rows give
     repeated results, an empty table an empty one; columns other than id and text are not read.
+    Ids are of type long, others fail and have to be cast first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

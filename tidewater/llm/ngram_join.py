@@ -317,8 +317,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A text of fewer than five words has its whole word sequence as one shingle; null text and text
     without words have none and are linked with nothing. Repeated rows and equal sets are linked.
-    component_id is the smallest doc_id in the component (a null id is never the smallest). An
-    empty table gives an empty result; other columns are not read.
+    component_id is the smallest doc_id in the component (a null id is never the smallest). Ids are
+    of type long, others fail and have to be cast first. An empty table gives an empty result; other columns are not read.
     """
     member = materialise(members(docs, id_col, text_col), "members")
     keys = ["n", "f1", "f2"]

@@ -157,8 +157,8 @@ def pack(
     A document's tokens are its text's ids followed by END_OF_DOCUMENT. Null or empty text
     gives that single token. Repeated rows are packed as often as they occur; a null id stays
     null. Within a sequence the pieces' offsets are gapless from 0. Sequence ids are unique
-    over the result but not dense: partition number and running number in one integer. Other
-    columns are not read.
+    over the result but not dense: partition number and running number in one integer. Ids are
+    of type long, others fail and have to be cast first. Other columns are not read.
     """
     marks = tuple(sorted((special or {}).items()))
 
