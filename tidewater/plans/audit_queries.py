@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions.columns import DAY, HOUR
+from tidewater.functions.columns import DAY, HOUR, quotient
 from tidewater.functions.columns import rounded as r
 from tidewater.operators import audits as A
 from tidewater.operators import features as X
@@ -368,8 +368,9 @@ add(
 
 
 def posterior_rows(s, d):
-    x = F.col("close") / (F.col("close") + F.col("open"))
-    return V.bars(s, d).select("symbol", F.floor(F.col("open_us") / (4 * DAY)).alias("window"), F.col("open_us").alias("pos"), F.array(1 - x, x / 2, x / 2 * F.lit(1.0)).alias("post"), F.ln(F.col("close") / F.col("open")).alias("trend"), (F.col("trades") / 10.0).alias("ret"), F.col("volume").alias("vol"), F.ln(F.col("high") / F.col("low")).alias("range"))
+    """State probabilities of bars; quotients of prices that are 0 are infinite or NaN, as in the SQL."""
+    x = quotient(F.col("close"), F.col("close") + F.col("open"))
+    return V.bars(s, d).select("symbol", F.floor(F.col("open_us") / (4 * DAY)).alias("window"), F.col("open_us").alias("pos"), F.array(1 - x, x / 2, x / 2 * F.lit(1.0)).alias("post"), F.ln(quotient(F.col("close"), F.col("open"))).alias("trend"), (F.col("trades") / 10.0).alias("ret"), F.col("volume").alias("vol"), F.ln(quotient(F.col("high"), F.col("low"))).alias("range"))
 
 
 add(
