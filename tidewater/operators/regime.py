@@ -175,7 +175,7 @@ def state_statistics(rows: DataFrame, states: int = 3) -> DataFrame:
     )
     every = rows.select("symbol", "window").distinct().withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(states - 1))))
     names = ["occupancy", "mean_trend", "mean_ret", "mean_vol", "mean_range", "persistence"]
-    out = every.join(seen, ["symbol", "window", "state"], "left").fillna(0.0, names)
+    out = every.join(seen, ["symbol", "window", "state"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})  # NaN stays
     group = Window.partitionBy("symbol", "window")  # `states` rows
     score = F.col("mean_trend") + 0.5 * F.col("mean_ret")
     place = lambda *by: F.row_number().over(group.orderBy(*by))
