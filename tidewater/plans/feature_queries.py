@@ -35,13 +35,14 @@ add(
     "bars_base_features",
     lambda s, d: X.base_features(V.bars(s, d)).select(
         "symbol", "open_us", *(r(F.col(c)).alias(c) for c in ("pct_return", "log_return", "log_range", "volume_change", "taker_ratio", "flow_imbalance")), "hour", "weekday"),
-    over("bars", f"""select symbol, open_us, round(close / lag(close) over w - 1, 6) + 0e0 as pct_return,
-      round(ln(close / lag(close) over w), 6) + 0e0 as log_return, round(ln(high / low), 6) + 0e0 as log_range,
+    over("bars", f""", q as (select *, close / nullif(lag(close) over {W}, 0) as rc, high / nullif(low, 0) as rr from bars)
+      select symbol, open_us, round(rc - 1, 6) + 0e0 as pct_return,
+      round(case when rc > 0 then ln(rc) end, 6) + 0e0 as log_return, round(case when rr > 0 then ln(rr) end, 6) + 0e0 as log_range,
       round(case when volume > 0 and lag(volume) over w > 0 then ln(volume / lag(volume) over w) end, 6) + 0e0 as volume_change,
       round(case when volume > 0 then greatest(0, least(1, taker_buy / volume)) else 0.5 end, 6) + 0e0 as taker_ratio,
       round(2 * case when volume > 0 then greatest(0, least(1, taker_buy / volume)) else 0.5 end - 1, 6) + 0e0 as flow_imbalance,
       cast(extract(hour from make_timestamp(open_us)) as bigint) as hour, cast(extract(isodow from make_timestamp(open_us)) - 1 as bigint) as weekday
-      from bars window w as {W}"""),
+      from q window w as {W}"""),
 )
 add(
     "bars_trends",
