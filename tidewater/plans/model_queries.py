@@ -353,7 +353,7 @@ def kline_lines(s, d):
 add(
     "best_prices",
     lambda s, d: C.best_price(quotes(s, d)).select("symbol", "open_us", *rr("price")),
-    over("bars", """ select symbol, open_us, round(case when trades % 3 > 0 and trades % 4 > 0 then (low + high) / 2 when trades % 3 > 0 then low when trades % 4 > 0 then high when trades % 5 > 0 then open else close end, 6) + 0e0 as price from bars"""),
+    over("bars", """ select symbol, open_us, round(case when trades % 3 > 0 and low > 0 and trades % 4 > 0 and high > 0 then (low + high) / 2 when trades % 3 > 0 and low > 0 then low when trades % 4 > 0 and high > 0 then high when trades % 5 > 0 and open > 0 then open when close > 0 then close end, 6) + 0e0 as price from bars"""),
 )
 
 
