@@ -149,6 +149,12 @@ IC = """, b as (select *, ln(high / low) as log_range, case when volume > 0 then
   l as (""" + " union all ".join(f"select '{x}' as feature, '{y}' as label, cast({x} as double) as x, {y} as y from f where {x} is not null and {y} is not null" for x in FEATS for y in ("log_return", "fwd")) + """),
   k as (select *, rank() over (partition by feature, label order by x) + (count(*) over (partition by feature, label, x) - 1) / 2e0 as rx, rank() over (partition by feature, label order by y) + (count(*) over (partition by feature, label, y) - 1) / 2e0 as ry from l),
   i as (select feature, label, count(*) as n, corr(x, y) as pearson, corr(rx, ry) as spearman from k group by 1, 2)"""
+# as IC, by the rules of the query: a log of what is not above 0 is missing, and so is a coefficient that is not finite or of fewer than 10 rows
+IC_KNOWN = (
+    IC.replace("ln(high / low)", "case when high / nullif(low, 0) > 0 then ln(high / nullif(low, 0)) end")
+    .replace("ln(close / lag(close) over (partition by symbol order by open_us)) as log_return from bars)", "case when c1 > 0 and close > 0 then ln(close / c1) end as log_return from (select *, lag(close) over (partition by symbol order by open_us) as c1 from bars))")
+    .replace("corr(x, y) as pearson, corr(rx, ry) as spearman", "case when count(*) >= 10 and isfinite(corr(x, y)) then corr(x, y) end as pearson, case when count(*) >= 10 and isfinite(corr(rx, ry)) then corr(rx, ry) end as spearman")
+)
 add(
     "information_coefficients",
     lambda s, d: ic(s, d).select("feature", "label", "n", *rr("pearson", "spearman"), "status"),
@@ -169,7 +175,7 @@ add("placebo_draws", lambda s, d: M.placebo(ev(s, d), ["fold"], sizes(ev(s, d)),
 add(
     "coefficient_p_values",
     lambda s, d: M.correlation_p_values(ic(s, d)).select("feature", "label", *rr("p_pearson", "p_spearman")),
-    over("bars", IC + ", c as (select feature, label, what, n - 2 as free, 1 as k, v * v as u from (select feature, label, n, unnest(['p', 's']) as what, unnest([pearson, spearman]) as v from i) where v is not null and n >= 3)" + tails("c", "feature, label, what") + """
+    over("bars", IC_KNOWN + ", c as (select feature, label, what, n - 2 as free, 1 as k, v * v as u from (select feature, label, n, unnest(['p', 's']) as what, unnest([pearson, spearman]) as v from i) where v is not null and n >= 3)" + tails("c", "feature, label, what") + """
       select feature, label, round(max(p) filter (where what = 'p'), 6) + 0e0 as p_pearson, round(max(p) filter (where what = 's'), 6) + 0e0 as p_spearman from i left join tl using (feature, label) group by 1, 2"""),
 )
 add(
