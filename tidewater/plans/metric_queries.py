@@ -163,7 +163,7 @@ add(
 add(
     "feature_verdicts",
     lambda s, d: M.feature_verdicts(ic(s, d), V.bars(s, d).agg(F.count(F.lit(1)).alias("rows"))).select("feature", *rr("strength"), "n", "verdict"),
-    over("bars", IC + """ select feature, round(max(abs(spearman)), 6) + 0e0 as strength, max(n) as n, case when max(n) / (select count(*) from bars) < 0.2 then 'skipped' when max(n) < 50 then 'insufficient' when max(abs(spearman)) >= 0.05 then 'useful' else 'weak' end as verdict from i group by 1"""),
+    over("bars", IC_KNOWN + """ select feature, round(max(abs(spearman)), 6) + 0e0 as strength, max(n) as n, case when max(n) / (select count(*) from bars) < 0.2 then 'skipped' when max(n) < 50 then 'insufficient' when max(abs(spearman)) >= 0.05 then 'useful' else 'weak' end as verdict from i group by 1"""),
 )
 add(
     "strongest_coefficients",
