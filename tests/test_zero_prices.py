@@ -8,7 +8,7 @@ import pytest
 from tidewater.plans.registry import ORACLES, QUERIES
 
 HOUR = 3_600_000_000
-COEFFICIENTS = ["coefficient_p_values", "feature_verdicts"]
+COEFFICIENTS = ["coefficient_p_values", "feature_verdicts", "information_coefficients"]
 
 
 def written(folder, zeros):

@@ -158,7 +158,7 @@ IC_KNOWN = (
 add(
     "information_coefficients",
     lambda s, d: ic(s, d).select("feature", "label", "n", *rr("pearson", "spearman"), "status"),
-    over("bars", IC + " select feature, label, n, round(pearson, 6) + 0e0 as pearson, round(spearman, 6) + 0e0 as spearman, case when n < 10 then 'insufficient' else 'ok' end as status from i"),
+    over("bars", IC_KNOWN + " select feature, label, n, round(pearson, 6) + 0e0 as pearson, round(spearman, 6) + 0e0 as spearman, case when n < 10 then 'insufficient' else 'ok' end as status from i"),
 )
 add(
     "feature_verdicts",
