@@ -10,6 +10,8 @@ from tidewater.operators.features import back, full, prior_zscore, tail_zscore
 from tidewater.operators.series import SPAN, asof_join, quantiles, rolling, running_sums
 from tidewater.sources.store import materialise
 
+UNITS = 10**9  # of volume in 1
+
 
 def books(levels: DataFrame) -> DataFrame:
     """One row per (symbol, seq) with sorted arrays `bids` (price falling) and `asks` (rising) of (price, qty).
@@ -80,11 +82,14 @@ def volume_buckets(trades: DataFrame, buckets: int = 20, capacity: float | None
 
     Volume is quote notional or, by `unit`, base quantity. A trade takes [c0, c1) of its symbol's running volume and bucket
     k is [kV, (k+1)V), with V the capacity or the symbol's total over `buckets`. Incomplete last buckets are
-    dropped; without a capacity above 0 there are none.
+    dropped; without a capacity above 0 there are none. With a capacity there may be many small buckets in a long series, see
+    `fixed_buckets`.
     """
     volume = {"quote": "quote", "base": "qty"}[unit]
+    if capacity is not None:
+        return fixed_buckets(trades, volume, capacity, span)
     t = signed_trades(trades)
-    size = t.groupBy("symbol").agg((F.lit(float(capacity)) if capacity is not None else F.sum(volume) / buckets).alias("V")).where("V > 1e-12")
+    size = t.groupBy("symbol").agg((F.sum(volume) / buckets).alias("V")).where("V > 1e-12")
     run = running_sums(t, ["symbol"], ["us", "trade_id"], {"c1": volume}, span)
     run = run.join(size, "symbol").withColumn("c0", F.col("c1") - F.col(volume))
     v = F.col("V")
@@ -100,6 +105,27 @@ def volume_buckets(trades: DataFrame, buckets: int = 20, capacity: float | None
     return out.where(F.col("total") >= F.col("V") * (1 - 1e-9)).withColumn("imbalance", F.abs(F.col("buy") - F.col("sell")))
 
 
+def fixed_buckets(trades: DataFrame, volume: str, capacity: float, span: int = SPAN) -> DataFrame:
+    """Complete buckets of a fixed capacity. Volume is counted in whole units of 1e-9, so that running sums of any length are
+    exact and do not depend on their order; sums of doubles would lose complete buckets far on in a series."""
+    exact = lambda x: x.cast("decimal(38,0)")
+    t = signed_trades(trades).withColumn("_u", F.round(F.col(volume) * UNITS).cast("decimal(28,0)"))
+    size = exact(F.lit(round(capacity * UNITS)))
+    run = running_sums(t, ["symbol"], ["us", "trade_id"], {"_c1": "_u"}, span).withColumn("_V", size).where("_V > 0")
+    run = run.withColumn("_c0", exact(F.col("_c1") - F.col("_u")))
+    parts = run.withColumn("bucket", F.explode(F.expr("sequence(_c0 div _V, _c1 div _V)")))
+    border = lambda k: exact(k.cast("decimal(19,0)") * F.col("_V"))
+    take = F.least(F.col("_c1"), border(F.col("bucket") + 1)) - F.greatest(F.col("_c0"), border(F.col("bucket")))
+    parts = parts.withColumn("_take", take.cast("decimal(28,0)")).where("_take > 0")
+    of = lambda side: F.coalesce(F.sum(F.when(side, F.col("_take"))), F.lit(0))
+    out = parts.groupBy("symbol", "bucket", "_V").agg(
+        of(~F.col("is_buyer_maker")).alias("_buy"), of(F.col("is_buyer_maker")).alias("_sell"), F.sum("_take").alias("_total"),
+        F.min("us").alias("start_us"), F.max("us").alias("end_us"),
+    )
+    values = {"V": F.col("_V"), "buy": F.col("_buy"), "sell": F.col("_sell"), "total": F.col("_total"), "imbalance": F.abs(F.col("_buy") - F.col("_sell"))}
+    return out.where("_total >= _V").select("symbol", "bucket", *((x.cast("double") / float(UNITS)).alias(n) for n, x in values.items()), "start_us", "end_us")
+
+
 def vpin(buckets: DataFrame, at_least: int = 5) -> DataFrame:
     """Share of imbalance in the volume of all complete buckets, its lower bound and the last z-score."""
     z = rolling(buckets, ["symbol"], ["bucket"], 50, lambda w: {"z": tail_zscore(F.col("imbalance") / F.col("total"), 50, w)}, span=100_000)

@@ -60,7 +60,20 @@ add(
       from g window w as (partition by symbol order by bucket rows 49 preceding))
       select symbol, count(*) as buckets, round(least(1, sum(imb) / sum(total)), 6) + 0e0 as vpin, round(abs(sum(buy) - sum(sell)) / sum(total), 6) + 0e0 as lower_bound, round(max_by(z, bucket), 6) + 0e0 as vpin_z from z group by 1"""),
 )
-BASE = BUCKET.replace("case when not is_buyer_maker then price * qty else 0 end as bq", "case when not is_buyer_maker then qty else 0 end as bq").replace("price * qty as q", "qty as q").replace("sum(q) / 20 as v", "6e1 as v")
+
+
+def fixed_clock(volume, capacity):
+    """CTE g of buckets of a fixed capacity, counted in whole units of 1e-9 as the query does, so that long sums are exact."""
+    v = f"{round(capacity * M.UNITS)}::hugeint"
+    return f""", n as (select *, cast(round({volume} * 1e9) as hugeint) as u from trades where us >= 0 and price > 0 and qty > 0),
+  c as (select *, sum(u) over (partition by symbol order by us, trade_id) as c1 from n),
+  p as (select *, c1 - u as c0, unnest(range(cast((c1 - u) // {v} as bigint), cast(c1 // {v} as bigint) + 1)) as k from c),
+  k as (select *, least(c1, (k + 1) * {v}) - greatest(c0, k * {v}) as take from p),
+  w as (select symbol, k as bucket, sum(case when is_buyer_maker then 0 else take end) as b, sum(case when is_buyer_maker then take else 0 end) as s, sum(take) as t from k where take > 0 group by 1, 2),
+  g as (select symbol, bucket, b / 1e9 as buy, s / 1e9 as sell, t / 1e9 as total, abs(b - s) / 1e9 as imb from w where t >= {v})"""
+
+
+BASE = fixed_clock("qty", 60)
 add(
     "volume_clock_base",
     lambda s, d: M.volume_buckets(V.trades(s, d), capacity=60.0, unit="base").select("symbol", "bucket", *(r(F.col(c), 3).alias(c) for c in ("buy", "sell", "total", "imbalance"))),
