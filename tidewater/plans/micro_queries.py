@@ -79,7 +79,7 @@ add(
     lambda s, d: M.volume_buckets(V.trades(s, d), capacity=60.0, unit="base").select("symbol", "bucket", *(r(F.col(c), 3).alias(c) for c in ("buy", "sell", "total", "imbalance"))),
     over("trades", BASE + " select symbol, bucket, round(buy, 3) + 0e0 as buy, round(sell, 3) + 0e0 as sell, round(total, 3) + 0e0 as total, round(imb, 3) + 0e0 as imbalance from g"),
 )
-FIXED = BUCKET.replace("sum(q) / 20 as v", "9e3 as v")
+FIXED = fixed_clock("price * qty", 9000)
 add(
     "stream_volume_clock",
     lambda s, d: S.live_buckets(V.trades(s, d), 9000.0).select("symbol", "bucket", *(r(F.col(c), 3).alias(c) for c in ("buy", "sell", "imbalance")), *(r(F.col(c), 9).alias(c) for c in ("vpin", "lower_bound"))),
