@@ -284,8 +284,50 @@ def spark_hash(seed: int, ids: np.ndarray) -> np.ndarray:
 
 #: Fixed values of the hash function.
 XX_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+class HashTable:
+    """`spark_hash` of many seeds and ids, table by table, in arrays that stay in a core's cache.
+
+    The turn of seed and id is the turn of each, so both are turned once. A table holds the hashes before their last
+    step, which leaves the upper half as it is; `finished` takes that step.
+    """
+
+    SEEDS, IDS = 8, 4096
+
+    def __init__(self, seeds: np.ndarray, ids: np.ndarray):
+        p1, p2, p3, _, p5 = (np.uint64(p) for p in XX_PRIMES)
+        turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+        with np.errstate(over="ignore"):
+            h = turn((np.uint64(42) + p5 + np.uint64(4)) ^ ((seeds.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            self.seeds = turn((h ^ (h >> np.uint64(32))) + p5 + np.uint64(8), 27)
+            self.ids = turn(turn(ids.view(np.uint64) * p2, 31) * p1, 27)
+        self._h, self._t = (np.empty(self.SEEDS * self.IDS, np.uint64) for _ in range(2))
+
+    def tables(self):
+        """(first seed, first id, hashes of the seeds and ids from there on); a table is overwritten by the next."""
+        p1, p2, p3, p4, _ = (np.uint64(p) for p in XX_PRIMES)
+        for i in range(0, len(self.seeds), self.SEEDS):
+            for j in range(0, len(self.ids), self.IDS):
+                x, y = self.seeds[i : i + self.SEEDS, None], self.ids[None, j : j + self.IDS]
+                h, t = (a[: x.size * y.size].reshape(x.size, y.size) for a in (self._h, self._t))
+                np.bitwise_xor(x, y, out=h)
+                np.add(np.multiply(h, p1, out=h), p4, out=h)
+                np.multiply(np.bitwise_xor(h, np.right_shift(h, np.uint64(33), out=t), out=h), p2, out=h)
+                np.multiply(np.bitwise_xor(h, np.right_shift(h, np.uint64(29), out=t), out=h), p3, out=h)
+                yield i, j, h.view(np.int64)
+
+    @staticmethod
+    def finished(h: np.ndarray) -> np.ndarray:
+        u = h.view(np.uint64)
+        return (u ^ (u >> np.uint64(32))).view(np.int64)
+
+
 CHUNK_EVENTS = 1 << 16
 SEED_BLOCK = 500
+SEED_PART = 50  # seeds of a row that a chunk hands on
 WIDTH = 8.0  # deviations of the expected cut that candidates may lie apart
 
 
@@ -294,56 +336,96 @@ def placebo(events: DataFrame, cells: Sequence[str], sizes: DataFrame, seeds: in
 
     An event's place in a draw is the hash of (seed, event_id), an integer, and of each cell (fold, or fold and symbol)
     the n smallest are drawn. A cell is cut into chunks of about `chunk_events`, and a task hashes a chunk for a block of
-    seeds. A cell of one chunk is drawn there. Of a larger cell a chunk gives, for each seed, the sums of what lies below
-    `width` deviations under the expected cut, and the events within as many above it; the cut is found among those of all
+    seeds, all of them where a cell has many chunks. A chunk gives, for each seed, the sums of what lies below `width`
+    deviations under the expected cut, and the events within as many above it; the cut is found among those of all
     chunks. So seeds move a few numbers each, not events. A draw whose cut lies outside is drawn from all its events.
     """
-    cells = list(cells)
+    spark, cells = events.sparkSession, list(cells)
     hold = (F.col("exit_us") - F.col("decision_us")) / 3.6e9
     slim = events.select("fold", *(c for c in cells if c != "fold"), F.col("event_id").cast("long").alias("event_id"), "net", hold.alias("_hold"))
     slim = slim.join(sizes.select(*cells, F.col("n").cast("long").alias("_n")).where("n > 0"), cells)
     pool = slim.groupBy(*cells).agg(count().alias("_pool"))
     dealt = slim.join(pool, cells).withColumn("_chunks", F.ceil(F.col("_pool") / chunk_events))
-    dealt = dealt.withColumns({"_chunk": F.pmod(F.xxhash64("event_id", F.lit(1)), F.col("_chunks")), "_block": F.explode(F.sequence(F.lit(0), F.lit((seeds - 1) // SEED_BLOCK)))})
+    # about as many tasks a cell as there are blocks of seeds or chunks, whichever are more
+    per = F.lit(SEED_BLOCK) * F.least(F.col("_chunks"), F.lit(-(-seeds // SEED_BLOCK)))
+    dealt = dealt.withColumn("_per", per).withColumns({"_chunk": F.pmod(F.xxhash64("event_id", F.lit(1)), F.col("_chunks")), "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.lit(seeds - 1) / F.col("_per"))))})
     names = [*dict.fromkeys(["fold", *cells])]
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", seed int, below long, net double, hold double, near array<struct<h:long,id:long,net:double,hold:double>>, want long"
+    head = ", ".join(f"{c} {kinds[c]}" for c in names)
+
+    def same(table: pa.Table, rows: int) -> dict:
+        return {c: pa.array([table.column(c)[0].as_py()] * rows, table.schema.field(c).type) for c in names}
 
     def draw(table: pa.Table) -> pa.Table:
         ids, net_, held = (table.column(c).to_numpy() for c in ("event_id", "net", "_hold"))
-        want, size, chunks, block = (table.column(c)[0].as_py() for c in ("_n", "_pool", "_chunks", "_block"))
-        rows = []
+        order = np.lexsort((held, net_, ids))
+        ids, net_, held = ids[order], net_[order], held[order]
+        want, size, block, per = (table.column(c)[0].as_py() for c in ("_n", "_pool", "_block", "_per"))
         share = min(want / size, 1.0)
         slack = width * (share * (1 - share) / size) ** 0.5 + 2 / size
-        lo, hi = (int(min(max((share + k * slack) * 2.0**64 - 2.0**63, -(2.0**63)), 2.0**63 - 1025)) for k in (-1, 1))
-        for seed in range(block * SEED_BLOCK, min((block + 1) * SEED_BLOCK, seeds)):
-            h = spark_hash(seed, ids)
-            if chunks == 1:
-                below = np.lexsort((ids, h))[:want] if want < len(h) else np.arange(len(h))
-                near = []
-            else:
-                below, at = np.flatnonzero(h < lo), np.flatnonzero((h >= lo) & (h <= hi))
-                near = [{"h": int(h[i]), "id": int(ids[i]), "net": float(net_[i]), "hold": float(held[i])} for i in at]
-            rows.append((seed, len(below), float(net_[below].sum()), float(held[below].sum()), near))
-        same = {c: pa.array([table.column(c)[0].as_py()] * len(rows), table.schema.field(c).type) for c in names}
-        place = pa.list_(pa.struct([("h", pa.int64()), ("id", pa.int64()), ("net", pa.float64()), ("hold", pa.float64())]))
-        found = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.float64(), place), strict=True)]
-        own = dict(zip(("seed", "below", "net", "hold", "near"), found, strict=True))
-        return pa.table({**same, **own, "want": pa.array([min(want, size)] * len(rows), pa.int64())})
-
-    parts = dealt.groupBy(*cells, "_chunk", "_block").applyInArrow(draw, schema)
+        # bounds with an empty lower half, so that the last step of the hash changes no comparison
+        lo, hi = (int(min(max((share + k * slack) * 2.0**32 - 2.0**31, -(2.0**31)), 2.0**31 - 1)) << 32 for k in (-1, 1))
+        lo, hi = (np.int64(lo), np.int64(max(hi, lo))) if share < 1 else (np.int64(2**63 - 1), np.int64(2**63 - 1))
+        own = np.arange(block * per, min((block + 1) * per, seeds))
+        below, sums, near = np.zeros(len(own), np.int64), np.zeros((2, len(own))), [[] for _ in own]
+        hashed = HashTable(own, ids)
+        flags, other = (np.empty(HashTable.SEEDS * HashTable.IDS, bool) for _ in range(2))
+        ones = np.empty(HashTable.SEEDS * HashTable.IDS)
+        for i, j, h in hashed.tables():
+            (n, m), k = h.shape, h.size
+            under, about, one = (a[:k].reshape(n, m) for a in (flags, other, ones))
+            np.less(h, lo, out=under)
+            np.less(h, hi, out=about)
+            np.not_equal(about, under, out=about)
+            np.copyto(one, under)
+            below[i : i + n] += one.sum(axis=1).astype(np.int64)
+            sums[0, i : i + n] += np.vecdot(one, net_[j : j + m])  # unlike a matrix product, one thread
+            sums[1, i : i + n] += np.vecdot(one, held[j : j + m])
+            at = np.flatnonzero(about)
+            if len(at):
+                found = HashTable.finished(h.ravel()[at])
+                ends = np.searchsorted(at, np.arange(n + 1) * m)
+                at = at % m + j
+                for s in range(n):
+                    if ends[s] < ends[s + 1]:
+                        near[i + s].append((found[ends[s] : ends[s + 1]], at[ends[s] : ends[s + 1]]))
+        rows = []
+        for s in range(0, len(own), SEED_PART):
+            part = near[s : s + SEED_PART]
+            h, at = (np.concatenate([x[k] for p in part for x in p] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            count_ = np.array([sum(len(x[0]) for x in p) for p in part], np.int32)
+            rows.append((int(own[s]), below[s : s + SEED_PART].tobytes(), sums[:, s : s + SEED_PART].tobytes(), count_.tobytes(), h.tobytes(), net_[at].tobytes(), held[at].tobytes()))
+        found = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)]
+        return pa.table({**same(table, len(rows)), **dict(zip(("first", "below", "sums", "sizes", "h", "net", "hold"), found, strict=True)), "want": pa.array([min(want, size)] * len(rows), pa.int64())})
+
+    def settle(table: pa.Table) -> pa.Table:
+        first, want = table.column("first")[0].as_py(), table.column("want")[0].as_py()
+        read = {c: [np.frombuffer(b, t) for b in table.column(c).to_pylist()] for c, t in (("below", np.int64), ("sums", np.float64), ("sizes", np.int32), ("h", np.int64), ("net", np.float64), ("hold", np.float64))}
+        below, sums = sum(read["below"]), sum(read["sums"]).reshape(2, -1)
+        ends = [np.concatenate([[0], np.cumsum(x)]) for x in read["sizes"]]
+        rows = []
+        for s, under in enumerate(below.tolist()):
+            more = want - under
+            h, net_, held = (np.concatenate([x[e[s] : e[s + 1]] for x, e in zip(read[c], ends, strict=True)]) for c in ("h", "net", "hold"))
+            if not 0 <= more <= len(h):
+                rows.append((first + s, want, None, None))
+                continue
+            took = np.argsort(h, kind="stable")[:more]
+            rows.append((first + s, want, float(sums[0, s] + net_[took].sum()), float(sums[1, s] + held[took].sum())))
+        found = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        return pa.table({**same(table, len(rows)), **dict(zip(("seed", "n", "net", "hold"), found, strict=True))})
+
+    # a fixed number of tasks: few bytes are much work here, so they must not be put together by size
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, *cells, "_chunk", "_block")
+    parts = dealt.groupBy(*cells, "_chunk", "_block").applyInArrow(draw, f"{head}, first int, below binary, sums binary, sizes binary, h binary, net binary, hold binary, want long")
     by = ["seed", *names]
-    near = F.array_sort(F.flatten(F.collect_list("near")))
-    draws = materialise(parts.groupBy(*by).agg(F.sum("below").alias("below"), F.sum("net").alias("net"), F.sum("hold").alias("hold"), near.alias("near"), F.first("want").alias("want")), "draws")
-    more = (F.col("want") - F.col("below")).cast("int")
-    found = (more >= 0) & (more <= F.size("near"))
-    took = F.slice("near", 1, F.greatest(more, F.lit(0)))
-    total = lambda c: F.col(c) + F.aggregate(took, F.lit(0.0), lambda s, x: s + x[c])
-    done = draws.where(found).select(*by, F.col("want").alias("n"), total("net").alias("net"), total("hold").alias("hold"))
-    rest = slim.join(draws.where(~found).select(*by), names).withColumn("_h", F.xxhash64("seed", "event_id"))
+    draws = materialise(parts.groupBy(*names, "first").applyInArrow(settle, f"{head}, seed int, n long, net double, hold double"), "draws")
+    done = draws.where("net is not null")
+    rest = slim.join(draws.where("net is null").select(*by), names).withColumn("_h", F.xxhash64("seed", "event_id"))
     order = Window.partitionBy(*by).orderBy("_h", "event_id")
     rest = rest.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_n"))
-    rows = done.unionByName(rest.groupBy(*by).agg(count().alias("n"), F.sum("net").alias("net"), F.sum("_hold").alias("hold")))
+    rows = done.select(*by, "n", "net", "hold").unionByName(rest.groupBy(*by).agg(count().alias("n"), F.sum("net").alias("net"), F.sum("_hold").alias("hold")))
     return rows.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.sum("net").alias("sum_net"), F.sum("hold").alias("sum_hold"))
 
 
