@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import evaluation as E
 from tidewater.operators import metrics as M
 
 
@@ -25,3 +26,11 @@ def test_draws_of_many_seeds(spark, chunk, width):
     for seed in range(1100):
         took = ids[np.argsort(M.spark_hash(seed, ids))[:9]]
         assert got[seed] == (9, round(float((took % 7 / 10.0).sum()), 9), float(took.sum()))
+
+
+def test_members_sort_no_repeats(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", 2)], "s string, f int")
+    usable = spark.createDataFrame([("a", 1)] * 5 + [("c", 2), ("c", 3)], "s string, f int")
+    got = E.members(rows, usable, ["s", "f"])
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 1), ("c", 2)]
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()  # the index has a row a key before it is joined

@@ -292,8 +292,11 @@ def attach_predictions(events: DataFrame, predictions: DataFrame, keys: Sequence
 
 
 def members(rows: DataFrame, usable: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key stands in the usable index, each once, whatever is repeated there."""
-    return rows.join(usable.select(*keys), list(keys), "left_semi")
+    """Rows whose key stands in the usable index, each once, whatever is repeated there.
+
+    The index is cut to distinct keys first, so that few keys on many rows are not sorted with all their repeats.
+    """
+    return rows.join(usable.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def aligned(bars: DataFrame, micro: DataFrame, keys: Sequence[str], prefix: str = "m_") -> DataFrame:
