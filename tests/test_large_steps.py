@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import cycle as C
 from tidewater.operators import evaluation as E
 from tidewater.operators import metrics as M
 
@@ -34,3 +35,13 @@ def test_members_sort_no_repeats(spark):
     got = E.members(rows, usable, ["s", "f"])
     assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 1), ("c", 2)]
     assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()  # the index has a row a key before it is joined
+
+
+def test_votes_are_parsed_once_a_candidate(spark):
+    texts = ['x\n```json\n{"vote": "BUY", "confidence": 70}\n```', '\n\t{"vote": "SELL", "confidence": 60}', 'so {"vote": "HOLD", "confidence": 0.5} {more}', "5", "", None, '{"vote": broken} ```{"vote": "BUY", "confidence": 1}```', "```{no}``` {", "plain"]
+    df = C.extracted_votes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
+    got = [(r.vote, r.confidence, r.valid) for r in df.orderBy("i").collect()]
+    none = (None, None, False)
+    assert got == [("BUY", 70, True), ("SELL", 60, True), ("HOLD", 50, True), none, none, none, ("BUY", 100, True), none, none]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") <= 3

@@ -28,6 +28,11 @@ def _object(depth: int) -> str:
 OBJECT = rf"(?s)({_object(4)})"
 
 
+def _read(candidate: Column) -> Column:
+    """The object in a text that starts with a brace; NULL for an empty text or one that does not parse."""
+    return F.try_parse_json(F.when(F.length(candidate) > 0, candidate))
+
+
 def extracted_votes(responses: DataFrame, text: str = "text", debate: bool = False) -> DataFrame:
     """Vote and confidence out of response texts: a fenced JSON object, else the whole text, else the first object in it.
 
@@ -36,12 +41,16 @@ def extracted_votes(responses: DataFrame, text: str = "text", debate: bool = Fal
     SELL or HOLD and the confidence a number.
     """
     t = F.trim(F.regexp_replace(F.col(text), "(?is)<think>.*?</think>", ""))
+    # each step looks only at texts that no step before it could read, and only at what starts as an object does: a text that
+    # does not parse costs much more than one that does, and a bare number or string is no object
     staged = responses.withColumn("_t", t)
-    parsed = [F.try_parse_json(F.regexp_extract("_t", r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)), F.try_parse_json("_t"), F.try_parse_json(F.regexp_extract("_t", OBJECT, 1))]
-    # only objects count, so that a bare number or string is passed over
-    found = F.coalesce(*(F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in parsed))
+    fenced = F.when(F.contains("_t", F.lit("```")), F.regexp_extract("_t", r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1))
+    whole = F.when(F.col("_v").isNull() & F.startswith(F.ltrim("_t", F.lit(" \t\r\n")), F.lit("{")), F.col("_t"))
+    within = F.when(F.col("_v").isNull() & F.contains("_t", F.lit("{")), F.regexp_extract("_t", OBJECT, 1))
+    staged = staged.withColumn("_v", _read(fenced))
+    staged = staged.withColumn("_v", F.coalesce("_v", _read(whole)))
+    out = staged.withColumn("_v", F.coalesce("_v", _read(within)))
     keys = ("final_vote", "final_confidence") if debate else ("vote", "confidence")
-    out = staged.withColumn("_v", found)
     out = out.withColumns({"vote": F.upper(F.try_variant_get("_v", f"$.{keys[0]}", "string")), "_c": F.try_variant_get("_v", f"$.{keys[1]}", "double")})
     if debate:
         out = out.withColumn("changed", F.coalesce(F.try_variant_get("_v", "$.changed_opinion", "boolean"), F.lit(False)))
