@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import cycle as C
 from tidewater.operators import evaluation as E
 from tidewater.operators import metrics as M
+from tidewater.streaming import jobs as J
 
 
 def test_hash_tables_are_sparks_hash(spark):
@@ -45,3 +46,29 @@ def test_votes_are_parsed_once_a_candidate(spark):
     assert got == [("BUY", 70, True), ("SELL", 60, True), ("HOLD", 50, True), none, none, none, ("BUY", 100, True), none, none]
     plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("parsejson") + plan.count("parse_json") <= 3
+
+
+def test_batch_stops_pass_positions_in_order_through_few_calls(spark):
+    rows = []
+    for p in range(40):
+        side, entry, stop = ("BUY", 104.0, 101.0) if p % 2 else ("SELL", 104.0, 107.0)
+        rows += [(f"p{p}", 1_000_000 * i, side, entry, stop, None if (p, i) == (3, 2) else 104.0 + (p * 7 + i * i * 3) % 17 - 8.0) for i in range(30)]
+    ticks = spark.createDataFrame(rows, "position_id string, us long, side string, entry double, stop double, price double").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    want = []
+    for p in range(40):
+        state = None
+        for _, us, side, entry, stop, price in (r for r in rows if r[0] == f"p{p}"):
+            sign, risk = (1.0 if side == "BUY" else -1.0), abs(entry - stop)
+            state = state or (sign, entry, risk, stop, entry + 2 * risk * sign, False, False)
+            state, event = J._step(state, float("nan") if price is None else price)
+            if event:
+                want.append((f"p{p}", us, price, event, state[3]))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # positions go over the ends of batches
+    try:
+        df = J.manage_stops(ticks)
+        got = [tuple(r) for r in df.select("position_id", F.unix_micros("ts"), "price", "event", "stop").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(got) == sorted(want) and len(want) > 40
+    assert "GroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()  # no call of Python a position

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,7 +92,31 @@ def manage_stops(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
 
     names = [c.split()[0] for c in STOP_SCHEMA.split(", ")]
     if not ticks.isStreaming:
-        return ticks.groupBy("position_id").applyInPandas(lambda pdf: pd.DataFrame(replay(pdf, None)[0], columns=names), STOP_SCHEMA)
+        def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # many positions a batch; only the open one's state goes from batch to batch
+            now, state = None, None
+            for batch in batches:
+                side = batch.column("side").to_pylist()
+                entry, stop, price = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("entry", "stop", "price"))  # NULL as NaN
+                rows, at = [], []
+                for i, position in enumerate(batch.column("position_id").to_pylist()):
+                    if position != now or state is None:
+                        long = 1.0 if side[i] == "BUY" else -1.0
+                        risk = abs(entry[i] - stop[i])
+                        now, state = position, (long, entry[i], risk, stop[i], entry[i] + 2 * risk * long, False, False)
+                    if state[-1]:
+                        continue
+                    state, event = _step(state, price[i])
+                    if event:
+                        rows.append((event, state[3]))
+                        at.append(i)
+                found = batch.select(["position_id", "ts", "price"]).take(pa.array(at, pa.int32()))
+                events, stops = ([r[k] for r in rows] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(events, pa.string()), pa.array(stops, pa.float64())], names=names)
+
+        numbers = [F.col(c).cast("double").alias(c) for c in ("entry", "stop", "price")]
+        dealt = ticks.select("position_id", "ts", "side", *numbers).repartition("position_id").sortWithinPartitions("position_id", F.col("ts").asc_nulls_last())
+        return dealt.mapInArrow(ordered, STOP_SCHEMA)
 
     def stateful(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
