@@ -72,3 +72,20 @@ def test_batch_stops_pass_positions_in_order_through_few_calls(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(got) == sorted(want) and len(want) > 40
     assert "GroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()  # no call of Python a position
+
+
+def test_reliability_ranks_only_rows_at_borders(spark):
+    rng = np.random.default_rng(5)
+    rows = [("k" + str(i % 3), i, f"s{i % 2}", None if i % 41 == 0 else [0.5, 0.2, float(rng.random())][i % 7 % 3], int(rng.random() < 0.4), float(0.5 + rng.random())) for i in range(400)] + [("few", i, "s", 0.1, 1, 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, decision_us long, symbol string, p double, y int, w double")
+    got = {(r.k, r.bin): (r.n, r.weight, r.mean_score, r.rate, r.weighted_rate) for r in M.reliability(df, "p", "y", "w", ["k"], 10, span=50).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[3] is not None, r[3] or 0.0, r[1], r[2]))
+        for b, at in enumerate(np.array_split(np.arange(len(own)), 10)):
+            part = [own[i] for i in at]
+            if part:
+                known, w = [r[3] for r in part if r[3] is not None], sum(r[5] for r in part)
+                want[k, b] = (len(part), w, np.mean(known) if known else None, np.mean([r[4] for r in part]), sum(r[5] * r[4] for r in part) / w)
+    assert got.keys() == want.keys()
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for key in want for a, b in zip(got[key], want[key], strict=True))

@@ -142,18 +142,45 @@ def losses(events: DataFrame, score: str, label: str, weight: str, keys: Sequenc
     )
 
 
-def reliability(events: DataFrame, score: str, label: str, weight: str, keys: Sequence[str], bins: int = 10) -> DataFrame:
-    """Equal-count bins by (score, time, symbol): mean score, observed rate, their weighted forms."""
-    keys = list(keys)
-    size = events.groupBy(*keys).agg(count().alias("_n"))
+def reliability(events: DataFrame, score: str, label: str, weight: str, keys: Sequence[str], bins: int = 10, span: int = 30 * DAY) -> DataFrame:
+    """Equal-count bins by (score, time, symbol): mean score, observed rate, their weighted forms.
+
+    Rows are summed up per distinct score, and a score whose ranks lie in one bin counts as a whole. Only scores that a
+    border of bins cuts, fewer than `bins` a key, are summed up by `span` of time, and only spans that a border cuts row by row.
+    """
     from tidewater.operators.labels import equal_parts
 
-    e = value_ordinal(events, keys, [score, "decision_us", "symbol"], "_rank").join(size, keys)
-    e = e.withColumn("bin", equal_parts(F.col("_rank"), F.col("_n"), bins))
-    w = F.col(weight)
-    return e.groupBy(*keys, "bin").agg(
-        count().alias("n"), F.sum(w).alias("weight"), F.avg(score).alias("mean_score"), F.avg(label).alias("rate"),
-        (F.sum(w * F.col(score)) / F.sum(w)).alias("weighted_score"), (F.sum(w * F.col(label)) / F.sum(w)).alias("weighted_rate"),
+    keys = list(keys)
+    w, s, y = F.col(weight), F.col(score), F.col(label)
+    sums = {"n": count(), "_w": F.sum(w), "_s": F.sum(s), "_y": F.sum(y), "_ns": F.count(s), "_ny": F.count(y), "_ws": F.sum(w * s), "_wy": F.sum(w * y)}
+    named = [v.alias(n) for n, v in sums.items()]
+    size = events.groupBy(*keys).agg(count().alias("_size"))
+
+    def binned(parts: DataFrame) -> DataFrame:
+        """First and last bin of parts with `n` rows from rank `_from` on."""
+        first, last = (equal_parts(r, F.col("_size"), bins) for r in (F.col("_from"), F.col("_from") + F.col("n") - 1))
+        return parts.withColumns({"bin": first, "_last": last})
+
+    each = events.groupBy(*keys, s.alias("_score")).agg(*named)
+    run = running_sums(each, keys, ["_score"], {"_upto": "n"}, by_value=True).withColumn("_from", F.col("_upto") - F.col("n"))
+    scores = materialise(binned(run.join(size, keys)), "scores")
+    cut = scores.where("bin != _last").select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_score"), F.col("_from").alias("_base"), "_size")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), s.eqNullSafe(F.col("_score")))
+    rows = events.join(cut, same).drop(*(f"_k_{k}" for k in keys)).withColumn("_span", F.floor(F.col("decision_us") / span))
+    by = [*keys, "_score"]
+    each = rows.groupBy(*by, "_span").agg(F.first("_base").alias("_base"), F.first("_size").alias("_size"), *named)
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    spans = materialise(binned(each.withColumn("_from", F.col("_base") + F.coalesce(F.sum("n").over(before), F.lit(0)))), "spans")
+    cut = spans.where("bin != _last").select(*by, "_span", F.col("_from").alias("_first"))
+    own = Window.partitionBy(*by, "_span").orderBy("decision_us", "symbol")
+    near = rows.join(cut.select(*(F.col(c).alias(f"_j_{c}") for c in [*by, "_span"]), "_first"), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in [*by, "_span"])))
+    single = near.withColumn("bin", equal_parts(F.col("_first") + F.row_number().over(own) - 1, F.col("_size"), bins)).groupBy(*keys, "bin").agg(*named)
+    parts = [df.where("bin = _last").select(*keys, "bin", *sums) for df in (scores, spans)]
+    total = {n: F.sum(n) for n in sums}
+    mean = lambda x, k: total[x] / F.when(total[k] > 0, total[k])
+    return reduce(DataFrame.unionByName, [*parts, single.select(*keys, "bin", *sums)]).groupBy(*keys, "bin").agg(
+        total["n"].alias("n"), total["_w"].alias("weight"), mean("_s", "_ns").alias("mean_score"), mean("_y", "_ny").alias("rate"),
+        (total["_ws"] / total["_w"]).alias("weighted_score"), (total["_wy"] / total["_w"]).alias("weighted_rate"),
     )
 
 
