@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import clip, finite, logit
+from tidewater.operators.boosting import Fit, boosted
 from tidewater.operators.fits import grouped_logistic, past_maps
 from tidewater.operators.metrics import auc, dispersion, losses
 
@@ -41,22 +42,30 @@ def walk_forward(events: DataFrame, numeric: Sequence[str], categorical: Sequenc
     `events` has fold, decision_us and exit_us. A training row must end `embargo` before the fold starts. A fold in
     `frozen` takes its configuration and number of trees from there.
     """
+    scored = walk_forwards(events, [(numeric, categorical)], label, weight, folds, embargo, trees, depth, frozen)
+    return scored.withColumn(name, F.col("_arms")[0]).select(*events.columns, name)
+
+
+def walk_forwards(
+    events: DataFrame, arms: Sequence[tuple[Sequence[str], Sequence[str]]], label: str, weight: str, folds: Sequence[int], embargo: int, trees: int = 10, depth: int = 3, frozen: Mapping[int, Mapping] | None = None,
+) -> DataFrame:
+    """`walk_forward` of several arms (numbers and categories) at once: `_arms` has a probability for each. All folds and arms are
+    fitted together and scored in one pass."""
+    numeric, kinds = list(dict.fromkeys(c for n, _ in arms for c in n)), list(dict.fromkeys(c for _, k in arms for c in k))
     flagged = _flagged(events, numeric, label)
     starts = {r["fold"]: r["s"] for r in flagged.groupBy("fold").agg(F.min("decision_us").alias("s")).collect()}  # one row a fold
-    out = None
+    past = F.array_compact(F.array(*(F.when((F.col("fold") < k) & (F.col("exit_us") < starts[k] - embargo), k) for k in folds)))
+    train = flagged.withColumns({"_for": F.explode(past), "_u": F.col(weight).cast("double"), "_valid": F.lit(False)})
+    fits = []
     for k in folds:
-        train = flagged.where((F.col("fold") < k) & (F.col("exit_us") < starts[k] - embargo))
-        train = _balanced(train, weight)
-        trees_of = GBTClassifier(labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=7, maxBins=64)
+        how = {"trees": trees, "depth": depth}
         if frozen and k in frozen:
-            from tidewater.operators.search import learner
+            from tidewater.operators.search import fitted_as
 
-            trees_of = learner(frozen[k], frozen[k]["trees"])
-        model = Pipeline(stages=[*_stages(numeric, categorical), trees_of]).fit(train)
-        part = model.transform(flagged.where(F.col("fold") == k)).withColumn(name, probability())
-        part = part.select(*events.columns, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+            how = fitted_as(frozen[k], frozen[k]["trees"])
+        fits += [Fit(k, (*n, *c), **how) for n, c in arms]
+    model = boosted(train, numeric, kinds, fits)
+    return flagged.where(F.col("fold").isin(list(folds))).withColumn("_arms", model.scores("fold"))
 
 
 def _balanced(train: DataFrame, weight: str) -> DataFrame:
