@@ -79,3 +79,8 @@ def test_halves_stay_nearer_than_strangers(spark):
     texts = [" ".join(f"the w{i}{j} of" if j % 2 else f"w{i}{j}" for j in range(200)) for i in range(6)]
     got = edited_fingerprints(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA)).collect()
     assert all(r.near_edited > 0.25 and r.near_next == 0.0 for r in got)
+
+
+def test_a_text_is_searched_once(spark):
+    plan = spark.createDataFrame([("",)], "t string").select(signatures(F.col("t")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1

@@ -12,6 +12,8 @@ Everything is DataFrame functions: two replacements, one extraction with look-ah
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,16 @@ ANCHORS = (
 )
 
 
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of these words that reads shared beginnings once."""
+    rest: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    each = "|".join(re.escape(c) + _any_of(r) for c, r in rest.items())
+    return f"(?:{each})" + ("?" if "" in words else "") if each else ""
+
+
 def signatures(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCHORS) -> Column:
     """The distinct signatures of a text, ascending, one at least: 16 hexadecimal digits of their MD5.
 
@@ -42,15 +54,14 @@ def signatures(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCH
     """
     text = F.coalesce(text, F.lit(""))
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    any_of = "|".join(sorted(anchors, key=len, reverse=True))
-    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), rf"(?<= )(?:{any_of})(?= )", "~$0")
+    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), rf" (?={_any_of(anchors)} )", " ~")
     content = r" [^~ ][^ ]*+"
     spot = rf"~(?=([^ ]++{content}(?:(?: ~[^ ]++)*+{content}){{{chain - 1}}}))"
     found = F.regexp_extract_all(marked, F.lit(spot), F.lit(1))
     digest = lambda s: F.left(F.md5(s), F.lit(DIGITS))
     hashed = F.array_sort(F.array_distinct(F.transform(found, lambda s: digest(F.regexp_replace(s, " ~[^ ]+", "")))))
     whole = F.array(digest(F.when(words != "", words).otherwise(text)))
-    return F.when(F.size(hashed) > 0, hashed).otherwise(whole)
+    return F.get(F.filter(F.array(hashed, whole), lambda s: F.size(s) > 0), F.lit(0))  # names `hashed` once, so that it is computed once
 
 
 def spelled(signatures: Column) -> Column:
