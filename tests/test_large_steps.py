@@ -131,3 +131,11 @@ def test_arms_and_folds_are_fitted_together_like_sparks_trees(spark):
             model = Pipeline(stages=[*L._stages(numeric, kinds), GBTClassifier(labelCol="_y", weightCol="_w", seed=7, maxBins=64, **how)]).fit(train)
             for r in model.transform(flagged.where(F.col("fold") == k)).select("event_id", L.probability().alias("p")).collect():
                 assert got[r.event_id, i] == pytest.approx(r.p, abs=1e-9)
+
+
+def test_frozen_trees_may_draw_columns_and_rows(spark):
+    e = mixed_events(spark, 900)
+    frozen = {3: {"depth": 3, "l2": 3, "rate": 0.3, "w": 1, "bag": 1, "trees": 3}}
+    run = lambda df: {r.event_id: r.p for r in L.walk_forward(df, ["a", "b"], ["c"], "win", "u", [3], 0, "p", frozen=frozen).collect()}
+    got = run(e)
+    assert len(got) == 300 and len(set(got.values())) > 4 and got == run(e.repartition(3, "b"))  # the layout of the table changes nothing

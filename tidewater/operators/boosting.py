@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,8 @@ ACCURACY = 10_000
 
 @dataclass(frozen=True)
 class Fit:
-    """A classifier of a fold; `columns` are numbers and categories, `least` the rows of a leaf, `bag` the share of rows a tree sees."""
+    """A classifier of a fold; `columns` are numbers and categories, `least` the rows of a leaf, `bag` the share of rows a tree
+    sees. With `third` a node may split by a random third of the columns and flags; the draws are not those of Spark ML."""
 
     fold: int
     columns: tuple[str, ...]
@@ -39,6 +40,7 @@ class Fit:
     least: int = 1
     rate: float = 0.1
     bag: float = 1.0
+    third: bool = False
 
 
 @dataclass
@@ -185,6 +187,14 @@ def _bagged(key: np.ndarray, tree: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)) < share * (1 << 53)
 
 
+def _drawn(fit: Fit, names: Sequence[str], kinds: Sequence[str], own: Sequence[int], tree: int, node: int) -> list[int]:
+    """Places in `own` of a random third of a fit's columns; flags of numbers that miss nothing count, but split nothing."""
+    numbers = [c for c in fit.columns if c not in kinds]
+    every = [*numbers, *(f"_na_{c}" for c in numbers), *(c for c in fit.columns if c in kinds)]
+    drawn = np.random.default_rng([7, tree, node]).choice(len(every), -(-len(every) // 3), replace=False)
+    return [own.index(names.index(every[i])) for i in sorted(drawn) if every[i] in names]
+
+
 def _best(sums: np.ndarray, fit: Fit, ordered: Sequence[bool], allowed: Sequence[Sequence[int]] | None) -> list[tuple]:
     """The best split of each node, or -1: (column's place, bins that go left, value, value left, value right); `sums` has node, column, bin and target, weight, rows."""
     out = []
@@ -209,13 +219,11 @@ def _best(sums: np.ndarray, fit: Fit, ordered: Sequence[bool], allowed: Sequence
     return out
 
 
-def boosted(
-    train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits: Sequence[Fit], allowed: Callable[[Fit, int, Sequence[int], int], list[list[int]]] | None = None,
-) -> Model:
+def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits: Sequence[Fit]) -> Model:
     """Fit `fits` to `train`: _for (fold of the fit), _y, _u (weight), _valid, and the columns; numbers have to be doubles.
 
     Weights of positives are multiplied by the ratio of class masses. Where a fold has `_valid` rows, boosting ends when their
-    weighted log loss rises, and the trees up to the least loss stay. `allowed` gives the columns that nodes may split by.
+    weighted log loss rises, and the trees up to the least loss stay.
     """
     numeric, kinds, fits = list(numeric), list(kinds), list(fits)
     cuts, ratio, flags, n = _cuts(train.where("not _valid"), numeric, kinds)
@@ -247,7 +255,7 @@ def boosted(
         """For each fit of `work` the best splits of its open nodes, and the summed loss and weight of validating rows."""
         growing_of = {j: growing.get(j) for j in work}
         trees_of = {j: forests[j] for j in work}
-        draws = {j: None if allowed is None or not nodes else allowed(fits[j], len(forests[j]), nodes, j) for j, nodes in work.items()}
+        draws = {j: [_drawn(fits[j], names, kinds, own[j], len(forests[j]), node) for node in nodes] if fits[j].third else None for j, nodes in work.items()}
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = {j: np.zeros((len(nodes), len(own[j]), BINS, 3)) for j, nodes in work.items()}
