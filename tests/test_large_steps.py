@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import cycle as C
 from tidewater.operators import evaluation as E
+from tidewater.operators import labels as B
 from tidewater.operators import metrics as M
 from tidewater.operators import models as L
+from tidewater.operators import search as H
+from tidewater.sources.store import scope
 from tidewater.streaming import jobs as J
 
 
@@ -139,3 +142,48 @@ def test_frozen_trees_may_draw_columns_and_rows(spark):
     run = lambda df: {r.event_id: r.p for r in L.walk_forward(df, ["a", "b"], ["c"], "win", "u", [3], 0, "p", frozen=frozen).collect()}
     got = run(e)
     assert len(got) == 300 and len(set(got.values())) > 4 and got == run(e.repartition(3, "b"))  # the layout of the table changes nothing
+
+
+def test_search_fits_all_configurations_together_on_grouped_rows(spark):
+    e = mixed_events(spark).withColumn("symbol", F.lit("s"))
+    axes = {"depth": [2, 4], "l2": [3, 40], "rate": [0.3], "w": [2], "bag": [0]}
+
+    def run(axes):
+        with scope() as written:
+            rows = H.nested_search(e, ["b"], ["c"], "win", "u", [2, 3], 0, axes, iterations=5).collect()
+        return {(r.fold, r.depth, r.l2): (r.inner_loss, r.trees) for r in rows}, [spark.read.parquet(p).count() for p in written if "binned" in p]
+
+    ((got, sizes), many), (_, one) = count_jobs(spark, lambda: run(axes)), count_jobs(spark, lambda: run(axes | {"depth": [4], "l2": [3]}))
+    assert many < 1.5 * one and len(got) == 8  # all configurations share their passes; those that stop early end theirs
+    assert sizes and max(sizes) <= 2 * 2 * 2 * 10 * 6  # folds, labels, parts and values; there are 1,500 rows
+    for k in (2, 3):
+        start = e.where(F.col("fold") == k).agg(F.min("decision_us")).first()[0]
+        past = L._flagged(e.where((F.col("fold") < k) & (F.col("exit_us") < start)), ["b"], "win").orderBy("decision_us").toPandas()
+        n = len(past) // 4
+        begin = past["decision_us"].iloc[-n]
+        ids = spark.createDataFrame([(int(i), j >= len(past) - n) for j, (i, x) in enumerate(zip(past["event_id"], past["exit_us"], strict=True)) if j >= len(past) - n or x < begin], "event_id long, _valid boolean")
+        rows = L._flagged(e, ["b"], "win").join(ids, "event_id")
+        ready = Pipeline(stages=L._stages(["b"], ["c"])).fit(rows.where("not _valid")).transform(rows)
+        ready = L._balanced(ready.where("not _valid"), "u").unionByName(ready.where("_valid").withColumn("_w", F.col("u"))).cache()
+        for depth in axes["depth"]:
+            for least in axes["l2"]:
+                model = GBTClassifier(labelCol="_y", weightCol="_w", seed=7, maxBins=64, maxIter=5, maxDepth=depth, minInstancesPerNode=least, stepSize=0.3, validationIndicatorCol="_valid", validationTol=0.0).fit(ready)
+                scored = model.transform(ready.where("_valid")).select(L.probability().alias("p"), "_y", "u", F.lit(1).alias("k"))
+                loss = M.losses(scored, "p", "_y", "u", ["k"]).first().weighted_log_loss
+                assert got[k, depth, least] == (pytest.approx(loss, abs=1e-9), len(model.trees))
+
+
+@pytest.mark.parametrize("span", [1000, 7])
+def test_last_share_ranks_only_the_span_where_it_begins(spark, span):
+    rows = [(k, i * 37 % 101 // 2, f"s{i % 3}", i) for k, n in ((1, 60), (2, 7), (3, 1), (4, 3)) for i in range(n)]
+    e = spark.createDataFrame(rows, "fold int, decision_us long, symbol string, i long")
+    for share, up in ((0.25, False), (0.2, True), (0.0, False), (1.0, False)):
+        out = B.last_share(e, share, up=up, span=span)
+        got = {k: sorted((r.decision_us, r.symbol) for r in out.collect() if r.fold == k and r.validation) for k in (1, 2, 3, 4)}
+        for k in got:
+            own = sorted((t, s) for f, t, s, _ in rows if f == k)
+            n = int(np.ceil(len(own) * share) if up else len(own) * share)
+            assert got[k] == own[len(own) - n :]
+        assert out.count() == len(rows) and out.columns == [*e.columns, "validation"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan and "_before_n" not in plan  # no ranks of all rows

@@ -2,12 +2,15 @@
 
 The trees are those of Spark ML's GBTClassifier (log loss, variance, ordered categories, medians and flags for missing
 numbers). A column of at most BINS values is cut between any two of them, others at quantiles of all training rows, where
-Spark ML takes those of 10,000 rows. In a pass tasks sum up their rows by node, column and bin, Spark groups the sums by
-fit, and one task a fit, whose input does not grow with the rows, picks the splits. Only trees and cuts are on the driver.
+Spark ML takes those of 10,000 rows. Where the bins have fewer combinations than there are rows and no tree draws rows, rows of
+equal bins, label and part are one row with their summed weight and their number, so the passes do not grow with the rows. In a
+pass tasks sum up their rows by node, column and bin, Spark groups the sums by fit, and one task a fit, whose input does not
+grow with the rows, picks the splits. Only trees and cuts are on the driver.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
@@ -233,6 +236,13 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
     own = [[names.index(c) for c in (*(c for c in f.columns if c in numeric), *(f"_na_{c}" for c in f.columns if c in flags), *(c for c in f.columns if c in kinds))] for f in fits]
     key = F.xxhash64(*numeric, *kinds, *(c for c in ("decision_us", "exit_us", "event_id") if c in train.columns))
 
+    spread = 2 * sum(math.prod([*(len(c.bounds[x]) + 1 for x in numeric), *(2 for _ in flags), *(len(c.values[x]) + 1 for x in kinds)]) for c in cuts.values())
+    grouped = spread <= n and all(f.bag == 1 for f in fits)
+    unit = 1.0
+    if grouped:  # whole multiples of a unit add up to the same sum in any order
+        top = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("_u")).alias("u")).first()
+        unit = 2.0 ** (math.frexp(top["n"] * top["u"] * max(1.0, *ratio.values()))[1] - 62)
+
     def binning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of = b["_for"].to_numpy()
@@ -243,11 +253,15 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
                 packed = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(np.arange(size + 1, dtype=np.int32) * width), pa.py_buffer(bins)])
                 y, u, valid = (part[c].to_numpy(zero_copy_only=False) for c in ("_y", "_u", "_valid"))
                 w = np.where((y == 1) & ~valid, u * ratio[k], u)
+                w = np.rint(w / unit).astype(np.int64) if grouped else w
                 yield pa.RecordBatch.from_arrays([part["_for"], packed, part["_y"].cast(pa.int8()), pa.array(w), part["_valid"], part["_key"]], ["_for", "bins", "y", "w", "valid", "key"])
 
     cast = train.select("_for", *numeric, *(F.col(c).cast("string").alias(c) for c in kinds), "_y", "_u", "_valid", key.alias("_key")).where(F.col("_for").isin(list(cuts)))
-    dealt = cast.mapInArrow(binning, "_for int, bins binary, y byte, w double, valid boolean, key long")
-    tasks = max(train.sparkSession.sparkContext.defaultParallelism, n // ROWS)
+    dealt = cast.mapInArrow(binning, f"_for int, bins binary, y byte, w {'long' if grouped else 'double'}, valid boolean, key long").withColumn("n", F.lit(1.0))
+    if grouped:
+        by = ["_for", "bins", "y", "valid"]
+        dealt = dealt.groupBy(*by).agg((F.sum("w") * F.lit(unit)).alias("w"), F.count(F.lit(1)).cast("double").alias("n")).withColumn("key", F.xxhash64(*by))
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, (min(n, spread) if grouped else n) // ROWS)
     rows = materialise(dealt.repartition(tasks, "key").sortWithinPartitions("_for", "key"), "binned")  # binned rows are so few bytes that a task would read millions
     forests: list[list[Tree]] = [[] for _ in fits]
 
@@ -262,7 +276,7 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
             loss = defaultdict(lambda: np.zeros(2))
             seen = set()
 
-            def take(k, bins, y, w, valid, key):
+            def take(k, bins, y, w, valid, key, n):
                 bins = np.ascontiguousarray(bins.T)
                 sign = 2.0 * y - 1
                 for j, nodes in work.items():
@@ -285,7 +299,7 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
                     size, wt = (len(nodes) + 1) * BINS, w * target
                     for i, c in enumerate(own[j]):
                         cell = at + bins[c]
-                        for s, v in enumerate((wt, w, None)):
+                        for s, v in enumerate((wt, w, n)):
                             sums[j][:, i, :, s] += np.bincount(cell, v, size)[:-BINS].reshape(-1, BINS)
 
             waiting = defaultdict(list)
@@ -295,7 +309,7 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
                 of, bins = b["_for"].to_numpy(), b["bins"].cast(pa.large_binary())
                 start = int(np.frombuffer(bins.buffers()[1], np.int64)[bins.offset])
                 raw = np.frombuffer(bins.buffers()[2], np.uint8)[start : start + len(of) * len(names)]
-                arrays = [raw.reshape(len(of), -1), *(b[c].to_numpy(zero_copy_only=False) for c in ("y", "w", "valid", "key"))]
+                arrays = [raw.reshape(len(of), -1), *(b[c].to_numpy(zero_copy_only=False) for c in ("y", "w", "valid", "key", "n"))]
                 for k in np.unique(of):
                     mine = of == k
                     waiting[k].append([a[mine] for a in arrays])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import HOUR
 from tidewater.operators.features import KEYS, ORDER
-from tidewater.operators.series import ordinal, rolling, running_sums
+from tidewater.operators.series import SPAN, ordinal, rolling, running_sums
 
 
 def triple_barrier(
@@ -97,13 +97,24 @@ def purged_training(events: DataFrame, after_exit: int = 4 * HOUR, embargo: int
     return early.groupBy("fold").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("removed"))
 
 
-def last_share(events: DataFrame, share: float, keys: list[str] | None = None, up: bool = False) -> DataFrame:
-    """Marks the last share of the rows of each key by (decision_us, symbol) as validation."""
+def last_share(events: DataFrame, share: float, keys: list[str] | None = None, up: bool = False, span: int = SPAN) -> DataFrame:
+    """Marks the last share of the rows of each key by (decision_us, symbol) as validation. Keys are few: folds, symbols.
+
+    Spans of time are counted, and only rows of the span in which a key's share begins are ranked.
+    """
     keys = keys or ["fold"]
-    n = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    e = ordinal(events, keys, ["decision_us", "symbol"], "_rank").join(n, keys)
-    size = (F.ceil if up else F.floor)(F.col("_n") * share)
-    return e.withColumn("validation", F.col("_rank") >= F.col("_n") - size).drop("_rank", "_n")
+    at, n = F.floor(F.col("decision_us") / span), F.col("_n")
+    each = events.groupBy(*keys, at.alias("_edge")).agg(F.count(F.lit(1)).alias("_n"))
+    all_of = Window.partitionBy(*keys)  # a row a span
+    upto = each.withColumns({"_upto": F.sum("_n").over(all_of.orderBy("_edge")), "_all": F.sum("_n").over(all_of)})
+    begins = F.col("_all") - (F.ceil if up else F.floor)(F.col("_all") * share)
+    cut = upto.withColumn("_skip", begins - (F.col("_upto") - n)).where((F.col("_skip") >= 0) & (F.col("_skip") < n)).select(*keys, "_edge", "_skip")
+    marked = events.dropna(subset=[*keys, "decision_us"]).join(F.broadcast(cut), keys, "left")
+    edge = F.coalesce(at == F.col("_edge"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("decision_us", "symbol"))
+    inside = marked.where(edge).withColumn("validation", rank > F.col("_skip"))
+    others = marked.where(~edge).withColumn("validation", F.coalesce(at > F.col("_edge"), F.col("_skip").isNotNull()))
+    return others.unionByName(inside).drop("_edge", "_skip")
 
 
 def selection_split(events: DataFrame, share: float = 0.2, keys: list[str] | None = None) -> DataFrame:
@@ -112,7 +123,7 @@ def selection_split(events: DataFrame, share: float = 0.2, keys: list[str] | Non
     e = last_share(events, share, keys, up=True)
     starts = e.where("validation").groupBy(*keys).agg(F.min("decision_us").alias("_start"))
     part = F.when(F.col("validation"), "validation").when(F.col("exit_us") < F.col("_start"), "train").otherwise("purged")
-    return e.join(starts, keys).withColumn("part", part).drop("_start", "validation")
+    return e.join(F.broadcast(starts), keys).withColumn("part", part).drop("_start", "validation")
 
 
 def time_blocks(events: DataFrame, blocks: int = 4) -> DataFrame:
