@@ -14,6 +14,7 @@ from tidewater.operators import labels as B
 from tidewater.operators import metrics as M
 from tidewater.operators import models as L
 from tidewater.operators import search as H
+from tidewater.operators import selection as P
 from tidewater.sources.store import scope
 from tidewater.streaming import jobs as J
 
@@ -187,3 +188,17 @@ def test_last_share_ranks_only_the_span_where_it_begins(spark, span):
         assert out.count() == len(rows) and out.columns == [*e.columns, "validation"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" in plan and "_before_n" not in plan  # no ranks of all rows
+
+
+def test_permuted_rows_are_scored_once_and_not_written_for_each_feature(spark):
+    e = mixed_events(spark).withColumns({"symbol": F.lit("s"), "d": F.col("event_id") % 13 / 1.0, "f": F.col("event_id") % 5 / 1.0})
+    with scope() as written:
+        out = P.select_features(e, ["b", "d", "f"], "win", "u", [2, 3])
+        assert len(out.collect()) == 3
+    tables = {p.rsplit("/", 1)[1].split("-")[0]: spark.read.parquet(p) for p in written}
+    assert tables["permuted"].count() == P.REPEATS * tables["parts"].where("part = 'validation'").count()
+    kinds = tables["scores"].groupBy("outer", "feature", "repeat", "_s", "_y").count()
+    assert kinds.count() == tables["scores"].count() and tables["scores"].agg(F.countDistinct("outer", "feature", "repeat")).first()[0] == 2 * (1 + 3 * P.REPEATS)
+    mass = {(r.outer, r.feature, r.repeat): r.u for r in tables["scores"].groupBy("outer", "feature", "repeat").agg(F.sum("_u").alias("u")).collect()}
+    assert all(u == pytest.approx(mass[k, -1, 0]) for (k, _, _), u in mass.items())  # every row is scored for every feature and repeat
+    assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()  # areas come from sums, forests score no second time

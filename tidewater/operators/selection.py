@@ -27,7 +27,7 @@ def selection_rows(events: DataFrame, folds: Sequence[int], embargo: int, share:
     the rest trains where it ends before the validation begins.
     """
     starts = events.groupBy("fold").agg(F.min("decision_us").alias("_starts")).where(F.col("fold").isin(list(folds)))
-    past = events.join(starts.withColumnRenamed("fold", "outer"), (F.col("fold") < F.col("outer")) & (F.col("exit_us") < F.col("_starts") - embargo))
+    past = events.join(F.broadcast(starts.withColumnRenamed("fold", "outer")), (F.col("fold") < F.col("outer")) & (F.col("exit_us") < F.col("_starts") - embargo))
     return selection_split(past.drop("_starts"), share, ["outer"])
 
 
@@ -41,7 +41,7 @@ def permuted(rows: DataFrame, n_features: int, repeats: int, seed: int) -> DataF
     repeat with the feature's value from the row that takes its place in a random order.
 
     Rows are ordered by two hashes, ranked in two passes each, and joined by rank: a true permutation of the outer
-    fold's rows, found without one sort of them all.
+    fold's rows, found without one sort of them all. The pairs are written; the copies for each feature are made as they are read.
     """
     each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
@@ -50,9 +50,9 @@ def permuted(rows: DataFrame, n_features: int, repeats: int, seed: int) -> DataF
         return ordinal(order, ["outer", "repeat"], ["_h", "event_id"], "_rank", SPREAD)
 
     donors = ranked(1).select("outer", "repeat", "_rank", F.col("_x").alias("_other"))
-    both = ranked(2).join(donors, ["outer", "repeat", "_rank"])
+    both = materialise(ranked(2).join(donors, ["outer", "repeat", "_rank"]).select("outer", "repeat", "_x", "_other", "_y", "_u"), "permuted")
     changed = both.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))))
-    mixed = F.transform("_x", lambda v, i: F.when(i == F.col("feature"), F.get("_other", i)).otherwise(v))
+    mixed = F.array(*(F.when(F.col("feature") == i, F.col("_other")[i]).otherwise(F.col("_x")[i]) for i in range(n_features)))
     cols = ["outer", "feature", "repeat", "_x", "_y", "_u"]
     plain = rows.withColumns({"feature": F.lit(-1), "repeat": F.lit(0)})
     return changed.withColumn("_x", mixed).select(*cols).unionByName(plain.select(*cols))
@@ -62,15 +62,15 @@ def fold_importances(parts: DataFrame, numeric: Sequence[str], label: str, weigh
     """(outer, feature, importance): mean loss of weighted AUC on validation rows when a feature is permuted.
 
     `parts` has outer and part as from `selection_rows`, and event_id. One forest is fitted for each outer fold on its
-    training rows; all permutations of all folds are scored as one table and judged in one aggregation. Outer folds
+    training rows; all permutations of all folds are scored once, summed up per distinct score and judged in one aggregation. Outer folds
     whose training or validation rows lack a class are left out.
     """
     rows = materialise(_vectors(parts.where("part != 'purged'"), numeric, label, weight), "parts")
     seen = rows.groupBy("outer", "part").agg(F.countDistinct("_y").alias("classes"), F.sum(F.when(F.col("_y") == 1, F.col("_u"))).alias("p"), F.sum(F.when(F.col("_y") != 1, F.col("_u"))).alias("q"))
     of = {(r["outer"], r["part"]): r for r in seen.collect()}  # two rows an outer fold
     usable = sorted(k for k, part in of if part == "train" and of[k, part]["classes"] == 2 and (k, "validation") in of and of[k, "validation"]["classes"] == 2)
-    table = materialise(permuted(rows.where((F.col("part") == "validation") & F.col("outer").isin(usable)), len(numeric), repeats, seed), "permuted")
-    scored = None
+    table = permuted(rows.where((F.col("part") == "validation") & F.col("outer").isin(usable)), len(numeric), repeats, seed)
+    scored, by = None, ["outer", "feature", "repeat"]
     for k in usable:
         ratio = of[k, "train"]["q"] / of[k, "train"]["p"]
         train = rows.where((F.col("part") == "train") & (F.col("outer") == k)).select("event_id", array_to_vector("_x").alias("features"), "_y", (F.col("_u") * F.when(F.col("_y") == 1, ratio).otherwise(1.0)).alias("_w"))
@@ -82,7 +82,8 @@ def fold_importances(parts: DataFrame, numeric: Sequence[str], label: str, weigh
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         return parts.sparkSession.createDataFrame([], "outer int, feature string, importance double")
-    area = weighted_auc(scored, "_s", "_y", "_u", ["outer", "feature", "repeat"]).withColumn("auc", F.coalesce("auc", F.lit(0.5)))
+    tied = materialise(scored.groupBy(*by, "_s", "_y").agg(F.sum("_u").alias("_u")), "scores")  # a forest gives few scores
+    area = weighted_auc(tied, "_s", "_y", "_u", by).withColumn("auc", F.coalesce("auc", F.lit(0.5)))
     whole = area.where("feature = -1").select("outer", F.col("auc").alias("_whole"))
     name = F.get(F.array(*map(F.lit, numeric)), F.col("feature"))
     lost = area.where("feature >= 0").join(whole, "outer").groupBy("outer", name.alias("feature"))
