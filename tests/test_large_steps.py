@@ -202,3 +202,9 @@ def test_permuted_rows_are_scored_once_and_not_written_for_each_feature(spark):
     mass = {(r.outer, r.feature, r.repeat): r.u for r in tables["scores"].groupBy("outer", "feature", "repeat").agg(F.sum("_u").alias("u")).collect()}
     assert all(u == pytest.approx(mass[k, -1, 0]) for (k, _, _), u in mass.items())  # every row is scored for every feature and repeat
     assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()  # areas come from sums, forests score no second time
+
+
+def test_search_refuses_validation_rows_without_weight(spark):
+    e = mixed_events(spark, 300).withColumns({"symbol": F.lit("s"), "u": F.when(F.col("event_id") != 199, F.col("u"))})  # the last before fold 3
+    with pytest.raises(ValueError, match="weights"):
+        H.nested_search(e, ["b"], [], "win", "u", [3], -48 * 3600 * 10**6, {"depth": [2], "l2": [3], "rate": [0.3], "w": [2], "bag": [0]}, iterations=2)

@@ -238,10 +238,13 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
 
     spread = 2 * sum(math.prod([*(len(c.bounds[x]) + 1 for x in numeric), *(2 for _ in flags), *(len(c.values[x]) + 1 for x in kinds)]) for c in cuts.values())
     grouped = spread <= n and all(f.bag == 1 for f in fits)
-    unit = 1.0
-    if grouped:  # whole multiples of a unit add up to the same sum in any order
-        top = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("_u")).alias("u")).first()
-        unit = 2.0 ** (math.frexp(top["n"] * top["u"] * max(1.0, *ratio.values()))[1] - 62)
+    u = F.col("_u")
+    bad = F.count_if(u.isNull() | F.isnan(u) | (F.abs(u) == float("inf")) | F.coalesce(~F.col("_y").isin(0.0, 1.0), F.lit(True)))
+    top = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(u)).alias("u"), bad.alias("bad")).first()
+    if top["bad"]:
+        raise ValueError("labels other than 0 and 1, or weights that are missing or not finite")
+    # whole multiples of a unit add up to the same sum in any order
+    unit = 2.0 ** (math.frexp(top["n"] * top["u"] * max(1.0, *ratio.values()))[1] - 62) if grouped else 1.0
 
     def binning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
