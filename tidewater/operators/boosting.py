@@ -23,60 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.forests import BINS, Cells, Fit, Tree, drawn, grown
 from tidewater.sources.store import materialise
 
-BINS = 64
 BATCH = 1 << 15
 ROWS = 1 << 18  # of a task
+CELLS = 1 << 20  # of a fold whose forests grow within tasks
 ACCURACY = 10_000
-
-
-@dataclass(frozen=True)
-class Fit:
-    """A classifier of a fold; `columns` are numbers and categories, `least` the rows of a leaf, `bag` the share of rows a tree
-    sees. With `third` a node may split by a random third of the columns and flags; the draws are not those of Spark ML."""
-
-    fold: int
-    columns: tuple[str, ...]
-    trees: int
-    depth: int
-    least: int = 1
-    rate: float = 0.1
-    bag: float = 1.0
-    third: bool = False
-
-
-@dataclass
-class Tree:
-    """Nodes by heap number from 1: column, bins that go left, value. What is no split sends all rows left, with its value."""
-
-    column: np.ndarray
-    left: np.ndarray
-    value: np.ndarray
-
-    @classmethod
-    def of(cls, depth: int) -> Tree:
-        n = 2 << depth
-        return cls(np.zeros(n, np.int64), np.ones((n, BINS), bool), np.zeros(n))
-
-    def close(self, node: int) -> None:
-        while 2 * node < len(self.value):
-            self.value[2 * node] = self.value[node]
-            node *= 2
-
-    def nodes(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """The node of each row after so many levels, all by default."""
-        n = bins.shape[1]
-        flat, left, rows, at = bins.ravel(), self.left.ravel(), np.arange(n), np.ones(n, np.int64)
-        for _ in range(len(self.column).bit_length() - 2 if levels is None else levels):
-            cell = self.column.take(at)
-            cell *= n
-            cell += rows
-            down = at * BINS
-            down += flat.take(cell)
-            at *= 2
-            at += ~left.take(down)
-        return at
+PLAIN, BAGGED = 3, 18  # fits that a task grows side by side; those that draw rows share the draws
 
 
 @dataclass
@@ -87,6 +41,10 @@ class Cuts:
     bounds: dict[str, np.ndarray] = field(default_factory=dict)
     values: dict[str, list[str]] = field(default_factory=dict)
 
+    def sizes(self, numeric: Sequence[str], flags: Sequence[str], kinds: Sequence[str]) -> list[int]:
+        """The number of bins of each column; the last of a category is for values that are missing or new."""
+        return [*(len(self.bounds[x]) + 1 for x in numeric), *(2 for _ in flags), *(len(self.values[x]) + 1 for x in kinds)]
+
     def binned(self, numeric: Sequence[str], flags: Sequence[str], kinds: Sequence[str], arrays: Mapping[str, pa.Array]) -> np.ndarray:
         """One row of bins for each of numeric, flags and kinds."""
         out = []
@@ -190,14 +148,6 @@ def _bagged(key: np.ndarray, tree: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)) < share * (1 << 53)
 
 
-def _drawn(fit: Fit, names: Sequence[str], kinds: Sequence[str], own: Sequence[int], tree: int, node: int) -> list[int]:
-    """Places in `own` of a random third of a fit's columns; flags of numbers that miss nothing count, but split nothing."""
-    numbers = [c for c in fit.columns if c not in kinds]
-    every = [*numbers, *(f"_na_{c}" for c in numbers), *(c for c in fit.columns if c in kinds)]
-    drawn = np.random.default_rng([7, tree, node]).choice(len(every), -(-len(every) // 3), replace=False)
-    return [own.index(names.index(every[i])) for i in sorted(drawn) if every[i] in names]
-
-
 def _best(sums: np.ndarray, fit: Fit, ordered: Sequence[bool], allowed: Sequence[Sequence[int]] | None) -> list[tuple]:
     """The best split of each node, or -1: (column's place, bins that go left, value, value left, value right); `sums` has node, column, bin and target, weight, rows."""
     out = []
@@ -222,13 +172,20 @@ def _best(sums: np.ndarray, fit: Fit, ordered: Sequence[bool], allowed: Sequence
     return out
 
 
-def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits: Sequence[Fit]) -> Model:
-    """Fit `fits` to `train`: _for (fold of the fit), _y, _u (weight), _valid, and the columns; numbers have to be doubles.
+@dataclass
+class Binned:
+    """Rows by bins, written, with what was fitted before any tree; `own` has the places in `names` of each fit's columns."""
 
-    Weights of positives are multiplied by the ratio of class masses. Where a fold has `_valid` rows, boosting ends when their
-    weighted log loss rises, and the trees up to the least loss stay.
-    """
-    numeric, kinds, fits = list(numeric), list(kinds), list(fits)
+    rows: DataFrame
+    cuts: dict[int, Cuts]
+    flags: list[str]
+    names: list[str]
+    own: list[list[int]]
+    alone: bool  # the rows of a fold are so few that a task can take them
+
+
+def _binned(train: DataFrame, numeric: list[str], kinds: list[str], fits: Sequence[Fit], within: bool = False) -> Binned:
+    """With `within` rows of equal bins are one row also where trees draw rows, if a fold then has at most CELLS combinations."""
     cuts, ratio, flags, n = _cuts(train.where("not _valid"), numeric, kinds)
     if missing := {f.fold for f in fits} - set(cuts):
         raise ValueError(f"no training rows for folds {sorted(missing)}")
@@ -236,8 +193,9 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
     own = [[names.index(c) for c in (*(c for c in f.columns if c in numeric), *(f"_na_{c}" for c in f.columns if c in flags), *(c for c in f.columns if c in kinds))] for f in fits]
     key = F.xxhash64(*numeric, *kinds, *(c for c in ("decision_us", "exit_us", "event_id") if c in train.columns))
 
-    spread = 2 * sum(math.prod([*(len(c.bounds[x]) + 1 for x in numeric), *(2 for _ in flags), *(len(c.values[x]) + 1 for x in kinds)]) for c in cuts.values())
-    grouped = spread <= n and all(f.bag == 1 for f in fits)
+    each = [math.prod(c.sizes(numeric, flags, kinds)) for c in cuts.values()]
+    spread, alone = 2 * sum(each), within and min(max(each), n) <= CELLS
+    grouped = alone or (spread <= n and all(f.bag == 1 for f in fits))
     u = F.col("_u")
     bad = F.count_if(u.isNull() | F.isnan(u) | (F.abs(u) == float("inf")) | F.coalesce(~F.col("_y").isin(0.0, 1.0), F.lit(True)))
     top = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(u)).alias("u"), bad.alias("bad")).first()
@@ -266,13 +224,63 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
         dealt = dealt.groupBy(*by).agg((F.sum("w") * F.lit(unit)).alias("w"), F.count(F.lit(1)).cast("double").alias("n")).withColumn("key", F.xxhash64(*by))
     tasks = max(train.sparkSession.sparkContext.defaultParallelism, (min(n, spread) if grouped else n) // ROWS)
     rows = materialise(dealt.repartition(tasks, "key").sortWithinPartitions("_for", "key"), "binned")  # binned rows are so few bytes that a task would read millions
+    return Binned(rows, cuts, flags, names, own, alone)
+
+
+def judged(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits: Sequence[Fit], patience: int) -> list[tuple[float | None, int]]:
+    """The loss and the number of trees of each fit as in `boosted`; the trees themselves are not kept.
+
+    Where a fold has at most CELLS combinations of bins, or the table as many rows, tasks grow the forests of a few fits each.
+    """
+    numeric, kinds, fits = list(numeric), list(kinds), list(fits)
+    binned = _binned(train, numeric, kinds, fits, within=True)
+    if not binned.alone:
+        model = _boosted(binned, numeric, kinds, fits, patience)
+        return [(loss, len(forest)) for loss, forest in zip(model.loss, model.forests, strict=True)]
+    cuts, flags, names, own = binned.cuts, binned.flags, binned.names, binned.own
+
+    def packed(table: pa.Table) -> pa.Table:
+        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, len(names))
+        cells = Cells.of(bins, *(table[c].to_numpy() for c in ("y", "w", "valid", "n")))
+        return pa.table({"_for": pa.array([table["_for"][0].as_py()], pa.int32()), "cells": pa.array([pickle.dumps(cells)], pa.binary())})
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, cells, ids in zip(b["_for"].to_pylist(), b["cells"], b["ids"].to_pylist(), strict=True):
+                draws = [(lambda m, node, j=j: drawn(fits[j], names, kinds, own[j], m, node)) if fits[j].third else None for j in ids]
+                found = grown(pickle.loads(cells.as_py()), cuts[k].sizes(numeric, flags, kinds), [c not in kinds for c in names], [fits[j] for j in ids], [own[j] for j in ids], draws, patience)
+                yield pa.RecordBatch.from_pylist([{"fit": j, "loss": loss, "trees": m} for j, (loss, m) in zip(ids, found, strict=True)], pa.schema([("fit", pa.int32()), ("loss", pa.float64()), ("trees", pa.int32())]))
+
+    cells = materialise(binned.rows.groupBy("_for").applyInArrow(packed, "_for int, cells binary"), "cells")  # one row a fold
+    alike = defaultdict(list)
+    for j, f in enumerate(fits):
+        alike[f.bag, -f.fold].append(j)
+    shares = [of[i :: -(-len(of) // many)] for (bag, _), of in sorted(alike.items()) for many in [BAGGED if bag < 1 else PLAIN] for i in range(-(-len(of) // many))]
+    work = train.sparkSession.createDataFrame([(i, fits[ids[0]].fold, ids) for i, ids in enumerate(shares)], "share int, _for int, ids array<int>")
+    dealt = cells.join(F.broadcast(work), "_for").repartitionByRange(len(shares), "share")
+    done = {r["fit"]: (r["loss"], r["trees"]) for r in dealt.select("_for", "cells", "ids").mapInArrow(grow, "fit int, loss double, trees int").collect()}  # one row a fit
+    return [done[j] for j in range(len(fits))]
+
+
+def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits: Sequence[Fit]) -> Model:
+    """Fit `fits` to `train`: _for (fold of the fit), _y, _u (weight), _valid, and the columns; numbers have to be doubles.
+
+    Weights of positives are multiplied by the ratio of class masses. Where a fold has `_valid` rows, boosting ends when their
+    weighted log loss rises, and the trees up to the least loss stay.
+    """
+    numeric, kinds, fits = list(numeric), list(kinds), list(fits)
+    return _boosted(_binned(train, numeric, kinds, fits), numeric, kinds, fits)
+
+
+def _boosted(binned: Binned, numeric: list[str], kinds: list[str], fits: list[Fit], patience: int = 1) -> Model:
+    rows, cuts, flags, names, own = binned.rows, binned.cuts, binned.flags, binned.names, binned.own
     forests: list[list[Tree]] = [[] for _ in fits]
 
     def one_pass(work: dict[int, list[int]]) -> dict[int, tuple[list[tuple], float, float]]:
         """For each fit of `work` the best splits of its open nodes, and the summed loss and weight of validating rows."""
         growing_of = {j: growing.get(j) for j in work}
         trees_of = {j: forests[j] for j in work}
-        draws = {j: [_drawn(fits[j], names, kinds, own[j], len(forests[j]), node) for node in nodes] if fits[j].third else None for j, nodes in work.items()}
+        draws = {j: [drawn(fits[j], names, kinds, own[j], len(forests[j]), node) for node in nodes] if fits[j].third else None for j, nodes in work.items()}
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = {j: np.zeros((len(nodes), len(own[j]), BINS, 3)) for j, nodes in work.items()}
@@ -350,7 +358,7 @@ def boosted(train: DataFrame, numeric: Sequence[str], kinds: Sequence[str], fits
             if not mass or not forests[j]:
                 continue
             now = loss / mass
-            if j in best and best[j][0] < now:
+            if j in best and best[j][0] < now and len(forests[j]) - best[j][1] >= patience:
                 live.discard(j)
             elif j not in best or now < best[j][0]:
                 best[j] = (now, len(forests[j]))

@@ -276,8 +276,7 @@ add(
     "ablation_arms",
     lambda s, d: H.arms_refitted(arm_rows(s, d), ["base", *ARM_CHANGES], FAMILIES, ["extra_a", "extra_b"], ["symbol", "state", "session"], "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR, FROZEN).select("arm", "fold", "n", *rr("auc", "weighted_log_loss", digits=4)),
 )
-SOME_AXES = {"depth": (3, 5), "l2": (3, 30), "rate": (0.05,), "w": (1, 2), "bag": (0,)}  # the whole catalogue: see the README
-add("nested_search", lambda s, d: H.nested_search(wide(s, d), FEATURES, [], "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR, SOME_AXES, iterations=6).select("fold", "config_id", *rr("inner_loss", digits=4), "trees", "won"))
+add("nested_search", lambda s, d: H.nested_search(wide(s, d), FEATURES, [], "win", "uniqueness", [2, 3, 4, 5], 96 * HOUR, patience=50).select("fold", "config_id", *rr("inner_loss", digits=4), "trees", "won"))
 add(
     "final_calibrators",
     lambda s, d: L.final_calibrators(M.net(V.oof(s, d)), "p_meta", "win", "uniqueness", [2, 3, 4, 5]).select("weighted", *rr("slope", "intercept", digits=5), "n", *rr("base_rate")),
